@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import line_dedup, packing
+from quarry.llm import byte_cnn, decontaminate, line_dedup, packing
 
 QUERIES = {
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_quality_classifier": byte_cnn.op9_quality_classifier,
 }
 
-ORACLE_SQL = {"op7_line_dedup": line_dedup.ORACLE_OP7}
+ORACLE_SQL = {"op3_decontamination": decontaminate.ORACLE_OP3, "op7_line_dedup": line_dedup.ORACLE_OP7}
