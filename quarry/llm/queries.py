@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_cnn, decontaminate, line_dedup, packing
+from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, simhash
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_classifier": byte_cnn.op9_quality_classifier,
