@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, simhash
+from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, simhash, suffix_dedup
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_classifier": byte_cnn.op9_quality_classifier,
+    "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
 
 ORACLE_SQL = {"op3_decontamination": decontaminate.ORACLE_OP3, "op7_line_dedup": line_dedup.ORACLE_OP7}
