@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, simhash, suffix_dedup
+from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_classifier": byte_cnn.op9_quality_classifier,
