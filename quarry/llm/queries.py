@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup
+from quarry.llm import byte_cnn, chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup
 
 QUERIES = {
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
 
-ORACLE_SQL = {"op3_decontamination": decontaminate.ORACLE_OP3, "op7_line_dedup": line_dedup.ORACLE_OP7}
+ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE_OP2, "op3_decontamination": decontaminate.ORACLE_OP3, "op7_line_dedup": line_dedup.ORACLE_OP7}
