@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_cnn, chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup
+from quarry.llm import byte_cnn, chat_format, decontaminate, html_extract, line_dedup, packing, quality_rules, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
