@@ -1,23 +1,59 @@
-"""The corpus pipeline: classify, drop frequent lines, thin near copies, decontaminate, pack."""
+"""The corpus pipeline: classify, drop frequent lines, thin near copies, decontaminate, pack.
+
+Each stage takes all documents that the one before kept, as written, and all
+but the last return the columns of ``documents``. A stage that changes a text
+counts its characters anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, packing
+from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, simhash
 from quarry.llm.common import saved
 from quarry.session import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRY = ("lang", "source", "n_chars")
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more."""
+    network = byte_cnn.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = byte_cnn.scored(docs, network, CARRY)
+    return scored.where(F.col("score") >= 0.5).select("doc_id", "text", "carried.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them hold; those left without text go."""
+    rows = line_dedup.drop_lines(docs, carry=CARRY)
+    empty = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    return rows.where(~empty).select("doc_id", "text", "carried.lang", "carried.source", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("carried.n_chars")).alias("n_chars"))
+
+
+def thin_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    groups = simhash.near_copies(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
+    return kept.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten consecutive words of a benchmark item."""
+    rows = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), carry=CARRY)
+    return rows.select("doc_id", "text", "carried.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and where they stand in sequences of 2048 ids."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("quality classifier", classify), ("line dedup", drop_lines), ("near-dedup", thin_copies), ("decontamination", clean), ("best-fit packing", pack)]
 
-#: SQL expresses neither the classifier nor the packing.
+#: SQL expresses neither the classifier nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, blocks
+from quarry.llm.common import arrow_map, blocks, carried
 from quarry.session import table
 
 CHUNK, OVERLAP, WIDTH, STEP, DEPTH, FILTERS, HIDDEN = 512, 64, 8, 2, 8, 32, 16
-MAX_LABELLED, MAX_CHUNKS, EPOCHS, BATCH, RATE, SEED = 4000, 24, 5, 32, 0.01, 20
+MAX_LABELLED, MAX_CHUNKS, STEPS, BATCH, RATE, SEED = 4000, 24, 600, 32, 0.01, 20
 
 
 def chunks_of(text: bytes) -> np.ndarray:
@@ -99,7 +99,7 @@ class Network:
         return out
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+def fit(documents: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Network:
     """Adam on the cross-entropy; documents: each one's chunks as codes."""
     net, r = Network.fresh(seed), np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
@@ -108,6 +108,7 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, s
         net.out_bias[:] = np.log((share + 1e-6) / (1 - share + 1e-6))
         return net
     first, second, t = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
+    epochs = max(1, round(steps / -(-len(labels) // BATCH)))
     total = epochs * -(-len(labels) // BATCH)
     for _ in range(epochs):
         order = r.permutation(len(labels))
@@ -146,7 +147,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chunks: int = MAX_CHUNKS, epochs: int = EPOCHS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chunks: int = MAX_CHUNKS, steps: int = STEPS) -> Network:
     """Learns from rows of labels (doc_id, quality) that are not held out."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -163,19 +164,20 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
     rows = arrow_map(taught, run, "doc_id long, codes binary, quality int").dropDuplicates(["doc_id"]).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["codes"], np.int16).reshape(-1, CHUNK) for r in rows], np.array([r["quality"] for r in rows], np.float32), epochs)
+    return fit([np.frombuffer(r["codes"], np.int16).reshape(-1, CHUNK) for r in rows], np.array([r["quality"] for r in rows], np.float32), steps)
 
 
-def scored(docs: DataFrame, network: Network) -> DataFrame:
-    """doc_id, text and score of every document."""
+def scored(docs: DataFrame, network: Network, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and score of every document, with the columns of carry as a struct."""
+    rows, schema, names = carried(docs, carry)
     cast = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             score = cast.value.score([(t or "").encode() for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "text", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), *batch.columns[2:]], names=["doc_id", "text", "score", *names])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, text string, score double")
+    return arrow_map(rows, run, "doc_id long, text string, score double" + schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

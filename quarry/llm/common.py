@@ -95,3 +95,13 @@ def _byte_ends(column: pa.Array):
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     arrow_rows(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, str, list[str]]:
+    """doc_id, text and, as one struct, the columns to be carried along; its part of a schema; its name."""
+    from pyspark.sql import functions as F
+
+    if not carry:
+        return docs.select("doc_id", "text"), "", []
+    rows = docs.select("doc_id", "text", F.struct(*carry).alias("carried"))
+    return rows, f", carried {rows.schema['carried'].dataType.simpleString()}", ["carried"]

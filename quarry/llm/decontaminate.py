@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, blocks
+from quarry.llm.common import arrow_map, blocks, carried
 from quarry.session import table
 
 WINDOW = 10
@@ -158,9 +158,10 @@ def _open(load, window: int) -> TestSuffixes:
 MATCHED = "doc_id long, text string, n_words long, n_hit long, matches array<struct<item_id:long,words:int,at:int>>"
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_test_words: int = MAX_TEST_WORDS) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_test_words: int = MAX_TEST_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its hit words and, for each matching item, the longest verbatim match."""
     spark = docs.sparkSession
+    rows, schema, carried_names = carried(docs, carry)
     bound = max_test_words * 8
     size = benchmark.agg(F.sum(F.length("text"))).head()[0] or 0
     parts = max(1, -(-size // bound))
@@ -184,14 +185,14 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_tes
             counts = np.array([len(own) for own in own_words])
             n_hit = np.add.reduceat(hit, np.cumsum(counts + 1) - counts - 1, dtype=np.int64)
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("at", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(matches, kind)], names=["doc_id", "text", "n_words", "n_hit", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(matches, kind), *batch.columns[2:]], names=["doc_id", "text", "n_words", "n_hit", "matches", *carried_names])
 
-    return arrow_map(docs.select("doc_id", "text"), run, MATCHED)
+    return arrow_map(rows, run, MATCHED + schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents without those that hold any window of a test item."""
-    return matched(docs, benchmark, window).where(F.col("n_hit") == 0)
+    return matched(docs, benchmark, window, carry=carry).where(F.col("n_hit") == 0)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def text_blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link", "words_before", "link_before", "words_behind", "link_behind", "aside", "main", "elsewhere", "heading", "item")
+FEATURES = ("words", "link", "words_before", "link_before", "words_behind", "link_behind", "zone", "heading", "item")
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -158,122 +158,135 @@ def features(found: list[Block]) -> np.ndarray:
     link = np.array([min(b.linked, b.words) for b in found], float) / np.maximum(words, 1)
     back, ahead = np.append(0, words[:-1])[:n], np.append(words[1:], 0)[:n]
     link_back, link_ahead = np.append(0, link[:-1])[:n], np.append(link[1:], 0)[:n]
-    main = np.array([b.main for b in found], float)
-    has_main = float(any(b.main and not b.aside for b in found))
+    has_main = any(b.main and not b.aside for b in found)
+    zone = np.array([0 if b.aside else 3 if b.main else 1 if has_main else 2 for b in found], float)
     flag = lambda name: np.array([getattr(b, name) for b in found], float)
-    return np.stack([words, link, back, link_back, ahead, link_ahead, flag("aside"), main, has_main * (1 - main), flag("heading"), flag("item")], axis=1)
+    return np.stack([words, link, back, link_back, ahead, link_ahead, zone, flag("heading"), flag("item")], axis=1)
 
 
-#: The labelled table: FEATURES of a block, then whether it is main text.
+#: The labelled table: FEATURES of a block, then whether it is main text. Zones: 0 in a menu,
+#: advert, form or the like; 1 beside a marked main part; 2 where none is marked; 3 within it.
 LABELLED = np.array(
     [
-        # words, link, before, behind (words, link), aside, main, elsewhere, heading, item, label
+        # words, link, before, behind (words, link), zone, heading, item, label
         # menus, breadcrumbs, tags
-        [1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 1, 0],
-        [2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 1, 0, 1, 0],
-        [1, 1.0, 2, 1.0, 40, 0.0, 1, 0, 1, 0, 1, 0],
-        [3, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1, 0],
-        [2, 1.0, 3, 1.0, 1, 1.0, 0, 0, 1, 0, 0, 0],
-        [4, 1.0, 2, 1.0, 90, 0.05, 0, 0, 0, 0, 1, 0],
-        [1, 1.0, 60, 0.0, 1, 1.0, 0, 1, 0, 0, 1, 0],
-        [6, 1.0, 1, 1.0, 5, 1.0, 0, 1, 0, 0, 1, 0],
-        [8, 0.9, 5, 1.0, 7, 1.0, 0, 0, 0, 0, 0, 0],
+        [1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0],
+        [2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 1, 0],
+        [1, 1.0, 2, 1.0, 40, 0.0, 0, 0, 1, 0],
+        [3, 1.0, 1, 1.0, 2, 1.0, 2, 0, 1, 0],
+        [2, 1.0, 3, 1.0, 1, 1.0, 1, 0, 0, 0],
+        [4, 1.0, 2, 1.0, 90, 0.05, 2, 0, 1, 0],
+        [1, 1.0, 60, 0.0, 1, 1.0, 3, 0, 1, 0],
+        [6, 1.0, 1, 1.0, 5, 1.0, 3, 0, 1, 0],
+        [8, 0.9, 5, 1.0, 7, 1.0, 2, 0, 0, 0],
         # adverts, notices, forms, asides, reader comments
-        [8, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 0, 0],
-        [25, 0.1, 12, 0.0, 60, 0.0, 1, 0, 1, 0, 0, 0],
-        [60, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0, 0, 0, 0],
-        [35, 0.0, 80, 0.0, 20, 0.0, 1, 1, 0, 0, 1, 0],
-        [2, 0.0, 35, 0.0, 50, 0.0, 1, 1, 0, 1, 0, 0],
-        [120, 0.0, 50, 0.0, 5, 0.0, 1, 0, 0, 0, 0, 0],
-        [15, 0.0, 3, 0.0, 20, 0.0, 1, 0, 1, 0, 0, 0],
-        [45, 0.02, 70, 0.0, 45, 0.0, 1, 0, 0, 0, 0, 0],
-        [3, 0.0, 2, 0.0, 3, 0.0, 1, 0, 0, 0, 0, 0],
-        [70, 0.0, 5, 0.0, 2, 1.0, 1, 0, 0, 0, 0, 0],
-        [250, 0.0, 30, 0.0, 1, 1.0, 1, 1, 0, 0, 0, 0],
-        [300, 0.0, 90, 0.0, 100, 0.0, 1, 1, 0, 0, 0, 0],
-        [18, 0.0, 150, 0.0, 0, 0.0, 1, 1, 0, 0, 0, 0],
-        [9, 0.0, 60, 0.0, 25, 0.0, 1, 1, 0, 0, 1, 0],
-        [40, 0.0, 0, 0.0, 30, 0.0, 1, 0, 0, 0, 0, 0],
-        [28, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0],
-        [5, 0.0, 30, 0.0, 60, 0.0, 1, 0, 0, 1, 0, 0],
+        [8, 0.0, 1, 1.0, 12, 0.0, 0, 0, 0, 0],
+        [25, 0.1, 12, 0.0, 60, 0.0, 0, 0, 0, 0],
+        [60, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0],
+        [35, 0.0, 80, 0.0, 20, 0.0, 0, 0, 1, 0],
+        [2, 0.0, 35, 0.0, 50, 0.0, 0, 1, 0, 0],
+        [120, 0.0, 50, 0.0, 5, 0.0, 0, 0, 0, 0],
+        [15, 0.0, 3, 0.0, 20, 0.0, 0, 0, 0, 0],
+        [45, 0.02, 70, 0.0, 45, 0.0, 0, 0, 0, 0],
+        [3, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0],
+        [70, 0.0, 5, 0.0, 2, 1.0, 0, 0, 0, 0],
+        [250, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0],
+        [300, 0.0, 90, 0.0, 100, 0.0, 0, 0, 0, 0],
+        [18, 0.0, 150, 0.0, 0, 0.0, 0, 0, 0, 0],
+        [9, 0.0, 60, 0.0, 25, 0.0, 0, 0, 1, 0],
+        [40, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0],
+        [28, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0],
+        [5, 0.0, 30, 0.0, 60, 0.0, 0, 1, 0, 0],
         # footers and what stands beside the main part
-        [16, 0.0, 70, 0.0, 0, 0.0, 1, 0, 1, 0, 0, 0],
-        [7, 0.5, 55, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0],
-        [12, 0.0, 40, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0],
-        [30, 0.0, 9, 0.0, 14, 0.0, 0, 0, 1, 0, 0, 0],
-        [80, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1, 0, 0, 0],
-        [45, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1, 0, 0, 0],
-        [10, 0.0, 45, 0.0, 120, 0.0, 0, 0, 1, 1, 0, 0],
-        [6, 0.0, 0, 0.0, 14, 0.0, 0, 0, 1, 1, 0, 0],
-        [5, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0],
-        [4, 0.0, 2, 1.0, 6, 1.0, 0, 0, 0, 1, 0, 0],
-        [6, 0.2, 8, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0],
-        [2, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0, 0, 0, 0],
-        [30, 0.8, 12, 0.7, 20, 0.9, 0, 0, 0, 0, 0, 0],
-        [16, 0.7, 40, 0.0, 9, 1.0, 0, 0, 0, 0, 0, 0],
-        [3, 0.0, 6, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 0],
-        [5, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0, 0, 1, 0],
+        [16, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0],
+        [7, 0.5, 55, 0.0, 0, 0.0, 1, 0, 0, 0],
+        [12, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0],
+        [30, 0.0, 9, 0.0, 14, 0.0, 1, 0, 0, 0],
+        [80, 0.0, 0, 0.0, 9, 0.0, 1, 0, 0, 0],
+        [45, 0.0, 60, 0.0, 30, 0.0, 1, 0, 0, 0],
+        [10, 0.0, 45, 0.0, 120, 0.0, 1, 1, 0, 0],
+        [6, 0.0, 0, 0.0, 14, 0.0, 1, 1, 0, 0],
+        [5, 0.0, 3, 1.0, 3, 1.0, 2, 0, 0, 0],
+        [4, 0.0, 2, 1.0, 6, 1.0, 2, 1, 0, 0],
+        [6, 0.2, 8, 0.0, 0, 0.0, 2, 0, 0, 0],
+        [2, 0.0, 1, 1.0, 1, 0.0, 2, 0, 0, 0],
+        [30, 0.8, 12, 0.7, 20, 0.9, 2, 0, 0, 0],
+        [16, 0.7, 40, 0.0, 9, 1.0, 2, 0, 0, 0],
+        [3, 0.0, 6, 0.0, 4, 0.0, 2, 0, 0, 0],
+        [5, 0.0, 1, 1.0, 2, 0.0, 2, 0, 1, 0],
         # headings and paragraphs of a marked main part
-        [9, 0.0, 8, 0.0, 11, 0.0, 0, 1, 0, 1, 0, 1],
-        [5, 0.0, 12, 1.0, 30, 0.0, 0, 1, 0, 1, 0, 1],
-        [60, 0.0, 9, 0.0, 45, 0.0, 0, 1, 0, 0, 0, 1],
-        [1, 0.0, 60, 0.0, 40, 0.0, 0, 1, 0, 0, 0, 1],
-        [2, 0.0, 10, 0.0, 15, 0.0, 0, 1, 0, 0, 0, 1],
-        [3, 0.0, 2, 0.0, 1, 0.0, 0, 1, 0, 0, 0, 1],
-        [40, 0.3, 20, 0.0, 16, 0.0, 0, 1, 0, 0, 0, 1],
-        [7, 0.6, 35, 0.0, 50, 0.0, 0, 1, 0, 0, 0, 1],
-        [1, 1.0, 50, 0.0, 50, 0.0, 0, 1, 0, 0, 0, 1],
-        [10, 1.0, 40, 0.0, 60, 0.1, 0, 1, 0, 0, 0, 1],
-        [200, 0.0, 4, 0.0, 16, 0.0, 0, 1, 0, 0, 0, 1],
-        [6, 0.0, 20, 0.0, 8, 0.0, 0, 1, 0, 0, 1, 1],
-        [12, 0.2, 6, 0.0, 9, 0.0, 0, 1, 0, 0, 1, 1],
-        [1, 0.0, 3, 0.0, 16, 0.0, 0, 1, 0, 0, 0, 1],
-        [14, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1],
-        [8, 0.0, 9, 0.0, 120, 0.0, 0, 1, 0, 0, 0, 1],
-        [2, 0.0, 90, 0.0, 95, 0.0, 0, 1, 0, 0, 0, 1],
-        [110, 0.0, 95, 0.0, 130, 0.0, 0, 1, 0, 0, 0, 1],
-        [5, 0.0, 1, 0.0, 3, 0.0, 0, 1, 0, 0, 0, 1],
-        [30, 0.0, 8, 0.0, 300, 0.0, 0, 1, 0, 0, 0, 1],
-        [400, 0.01, 300, 0.0, 2, 1.0, 0, 1, 0, 0, 0, 1],
-        [4, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 0, 0, 1],
-        [3, 0.0, 120, 0.0, 20, 0.0, 0, 1, 0, 0, 1, 1],
-        [24, 0.0, 200, 0.0, 5, 0.0, 0, 1, 0, 0, 0, 1],
-        [11, 0.0, 15, 0.0, 210, 0.0, 0, 1, 0, 1, 0, 1],
-        [1, 0.0, 2, 0.0, 9, 0.5, 0, 1, 0, 0, 0, 1],
-        [6, 0.4, 12, 0.3, 90, 0.0, 0, 1, 0, 0, 0, 1],
-        [65, 0.0, 16, 0.0, 12, 0.2, 0, 1, 0, 0, 0, 1],
-        [2, 0.5, 30, 0.0, 7, 0.0, 0, 1, 0, 0, 1, 1],
-        [3, 0.0, 40, 0.0, 1, 1.0, 0, 1, 0, 0, 0, 1],
-        [50, 0.0, 3, 0.0, 2, 1.0, 0, 1, 0, 0, 0, 1],
-        [90, 0.0, 70, 0.0, 1, 1.0, 0, 1, 0, 0, 0, 1],
-        [12, 0.0, 8, 0.0, 4, 1.0, 0, 1, 0, 1, 0, 1],
-        [7, 0.0, 7, 0.0, 3, 1.0, 0, 1, 0, 0, 0, 1],
-        [3, 0.0, 20, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1],
-        [1, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1],
-        [8, 0.0, 4, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1],
-        [5, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 1],
-        [2, 1.0, 30, 0.0, 5, 0.0, 0, 1, 0, 0, 0, 1],
-        [4, 0.8, 7, 0.0, 12, 0.0, 0, 1, 0, 0, 0, 1],
-        [6, 1.0, 16, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1],
+        [9, 0.0, 8, 0.0, 11, 0.0, 3, 1, 0, 1],
+        [5, 0.0, 12, 1.0, 30, 0.0, 3, 1, 0, 1],
+        [60, 0.0, 9, 0.0, 45, 0.0, 3, 0, 0, 1],
+        [1, 0.0, 60, 0.0, 40, 0.0, 3, 0, 0, 1],
+        [2, 0.0, 10, 0.0, 15, 0.0, 3, 0, 0, 1],
+        [3, 0.0, 2, 0.0, 1, 0.0, 3, 0, 0, 1],
+        [40, 0.3, 20, 0.0, 16, 0.0, 3, 0, 0, 1],
+        [7, 0.6, 35, 0.0, 50, 0.0, 3, 0, 0, 1],
+        [1, 1.0, 50, 0.0, 50, 0.0, 3, 0, 0, 1],
+        [10, 1.0, 40, 0.0, 60, 0.1, 3, 0, 0, 1],
+        [200, 0.0, 4, 0.0, 16, 0.0, 3, 0, 0, 1],
+        [6, 0.0, 20, 0.0, 8, 0.0, 3, 0, 1, 1],
+        [12, 0.2, 6, 0.0, 9, 0.0, 3, 0, 1, 1],
+        [1, 0.0, 3, 0.0, 16, 0.0, 3, 0, 0, 1],
+        [14, 0.0, 0, 0.0, 0, 0.0, 3, 0, 0, 1],
+        [8, 0.0, 9, 0.0, 120, 0.0, 3, 0, 0, 1],
+        [2, 0.0, 90, 0.0, 95, 0.0, 3, 0, 0, 1],
+        [110, 0.0, 95, 0.0, 130, 0.0, 3, 0, 0, 1],
+        [5, 0.0, 1, 0.0, 3, 0.0, 3, 0, 0, 1],
+        [30, 0.0, 8, 0.0, 300, 0.0, 3, 0, 0, 1],
+        [400, 0.01, 300, 0.0, 2, 1.0, 3, 0, 0, 1],
+        [4, 0.0, 1, 1.0, 0, 0.0, 3, 0, 0, 1],
+        [3, 0.0, 120, 0.0, 20, 0.0, 3, 0, 1, 1],
+        [24, 0.0, 200, 0.0, 5, 0.0, 3, 0, 0, 1],
+        [11, 0.0, 15, 0.0, 210, 0.0, 3, 1, 0, 1],
+        [1, 0.0, 2, 0.0, 9, 0.5, 3, 0, 0, 1],
+        [6, 0.4, 12, 0.3, 90, 0.0, 3, 0, 0, 1],
+        [65, 0.0, 16, 0.0, 12, 0.2, 3, 0, 0, 1],
+        [2, 0.5, 30, 0.0, 7, 0.0, 3, 0, 1, 1],
+        [3, 0.0, 40, 0.0, 1, 1.0, 3, 0, 0, 1],
+        [50, 0.0, 3, 0.0, 2, 1.0, 3, 0, 0, 1],
+        [90, 0.0, 70, 0.0, 1, 1.0, 3, 0, 0, 1],
+        [12, 0.0, 8, 0.0, 4, 1.0, 3, 1, 0, 1],
+        [7, 0.0, 7, 0.0, 3, 1.0, 3, 0, 0, 1],
+        [3, 0.0, 20, 0.0, 0, 0.0, 3, 0, 0, 1],
+        [1, 0.0, 50, 0.0, 0, 0.0, 3, 0, 0, 1],
+        [8, 0.0, 4, 0.0, 0, 0.0, 3, 0, 0, 1],
+        [5, 0.0, 9, 0.0, 0, 0.0, 3, 1, 0, 1],
+        [2, 1.0, 30, 0.0, 5, 0.0, 3, 0, 0, 1],
+        [4, 0.8, 7, 0.0, 12, 0.0, 3, 0, 0, 1],
+        [6, 1.0, 16, 0.0, 0, 0.0, 3, 0, 0, 1],
+        [9, 0.0, 1, 1.0, 40, 0.0, 3, 1, 0, 1],
+        [6, 0.0, 1, 1.0, 2, 0.0, 3, 1, 0, 1],
+        [70, 0.0, 1, 1.0, 60, 0.1, 3, 0, 0, 1],
+        [14, 0.0, 2, 1.0, 9, 0.4, 3, 0, 0, 1],
+        [3, 0.2, 2, 1.0, 30, 0.0, 3, 0, 0, 1],
+        [8, 0.2, 60, 0.0, 30, 0.0, 3, 0, 0, 1],
+        [5, 0.2, 7, 0.0, 3, 0.6, 3, 0, 0, 1],
+        [9, 0.3, 9, 1.0, 12, 1.0, 3, 0, 0, 1],
+        [4, 0.4, 1, 1.0, 1, 1.0, 3, 0, 0, 1],
+        [20, 0.7, 8, 0.9, 8, 0.6, 3, 0, 0, 1],
+        [1, 0.0, 1, 1.0, 1, 1.0, 3, 0, 0, 1],
+        [2, 0.0, 6, 1.0, 20, 0.2, 3, 0, 0, 1],
         # paragraphs of pages whose main part is not marked
-        [70, 0.0, 3, 1.0, 55, 0.0, 0, 0, 0, 0, 0, 1],
-        [55, 0.05, 70, 0.0, 80, 0.0, 0, 0, 0, 0, 0, 1],
-        [6, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1],
-        [20, 0.1, 60, 0.0, 7, 0.0, 0, 0, 0, 0, 0, 1],
-        [12, 0.0, 40, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 1],
-        [7, 0.0, 2, 1.0, 65, 0.0, 0, 0, 0, 1, 0, 1],
-        [4, 0.0, 50, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 1],
-        [18, 0.0, 5, 1.0, 30, 0.0, 0, 0, 0, 0, 0, 1],
-        [150, 0.02, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1],
-        [35, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1],
-        [22, 0.0, 6, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1],
-        [60, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 1],
-        [19, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 1],
-        [26, 0.0, 7, 0.0, 1, 0.0, 0, 0, 0, 0, 0, 1],
-        [33, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 1],
-        [45, 0.3, 20, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1],
-        [30, 0.0, 25, 0.0, 28, 0.0, 0, 0, 0, 0, 1, 1],
-        [9, 0.0, 24, 0.0, 26, 0.0, 0, 0, 0, 0, 1, 1],
+        [70, 0.0, 3, 1.0, 55, 0.0, 2, 0, 0, 1],
+        [55, 0.05, 70, 0.0, 80, 0.0, 2, 0, 0, 1],
+        [6, 0.0, 70, 0.0, 60, 0.0, 2, 0, 0, 1],
+        [20, 0.1, 60, 0.0, 7, 0.0, 2, 0, 0, 1],
+        [12, 0.0, 40, 0.0, 25, 0.0, 2, 0, 0, 1],
+        [7, 0.0, 2, 1.0, 65, 0.0, 2, 1, 0, 1],
+        [4, 0.0, 50, 0.0, 50, 0.0, 2, 1, 0, 1],
+        [18, 0.0, 5, 1.0, 30, 0.0, 2, 0, 0, 1],
+        [150, 0.02, 0, 0.0, 0, 0.0, 2, 0, 0, 1],
+        [35, 0.0, 50, 0.0, 3, 1.0, 2, 0, 0, 1],
+        [22, 0.0, 6, 0.0, 2, 1.0, 2, 0, 0, 1],
+        [60, 0.0, 30, 0.0, 1, 1.0, 2, 0, 0, 1],
+        [19, 0.0, 4, 0.0, 2, 0.0, 2, 0, 0, 1],
+        [26, 0.0, 7, 0.0, 1, 0.0, 2, 0, 0, 1],
+        [33, 0.0, 2, 1.0, 0, 0.0, 2, 0, 0, 1],
+        [45, 0.3, 20, 0.0, 0, 0.0, 2, 0, 0, 1],
+        [30, 0.0, 25, 0.0, 28, 0.0, 2, 0, 1, 1],
+        [9, 0.0, 24, 0.0, 26, 0.0, 2, 0, 1, 1],
     ]
 )
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, blocks, partitions, saved
+from quarry.llm.common import arrow_map, blocks, carried, saved
 from quarry.session import table
 
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -202,8 +202,8 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     return saved(shard_arrays(counts, shards), "line-arrays"), shards
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every document with its frequent lines gone: doc_id, text, n_lines, n_dropped."""
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with its frequent lines gone: doc_id, text, n_lines, n_dropped, and carry as a struct."""
     spark = docs.sparkSession
     arrays, shards = frequent_lines(docs, min_docs, min_chars)
     sizes = {r["shard"]: r["bytes"] for r in arrays.select("shard", F.expr("length(displacement) + length(prints) + length(counts) + length(spare)").alias("bytes")).collect()}
@@ -217,7 +217,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
         held += size
     # Each block is bounded by block_bytes, so each broadcast is; with more than one, the marks of
     # earlier blocks travel with the text as one bit a line.
-    rows = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("marks"))
+    rows, schema, names = carried(docs, carry)
+    rows = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("marks"), *names)
     for k, group in enumerate(groups):
         held_rows = [r.asDict() for r in arrays.where(F.col("shard").isin(group)).collect()] if group else []
         cast = spark.sparkContext.broadcast(held_rows)
@@ -236,11 +237,13 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
                 bits = [b if m is None else b | np.unpackbits(np.frombuffer(m, np.uint8), count=len(b)).astype(bool) for b, m in zip(bits, marks, strict=True)]
                 if last:
                     kept = [t if not b.any() else b"\n".join([x for x, gone in zip(own, b.tolist(), strict=True) if not gone]).decode() for t, own, b in zip(texts, lines, bits, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array([len(b) for b in bits], pa.int64()), pa.array([int(b.sum()) for b in bits], pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array([len(b) for b in bits], pa.int64()), pa.array([int(b.sum()) for b in bits], pa.int64()), *batch.columns[3:]], names=["doc_id", "text", "n_lines", "n_dropped", *names])
                 else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], names=["doc_id", "text", "marks"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()), *batch.columns[3:]], names=["doc_id", "text", "marks", *names])
 
-        rows = arrow_map(rows, run, "doc_id long, text string, n_lines long, n_dropped long" if last else "doc_id long, text string, marks binary")
+        rows = arrow_map(rows, run, ("doc_id long, text string, n_lines long, n_dropped long" if last else "doc_id long, text string, marks binary") + schema)
+        if not last:  # blocks follow one another; a stage never holds two
+            rows = saved(rows, "marked")
     return rows
 
 

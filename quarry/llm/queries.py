@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_cnn, chat_format, decontaminate, html_extract, line_dedup, packing, quality_rules, simhash, suffix_dedup
+from quarry.llm import byte_cnn, chat_format, decontaminate, html_extract, line_dedup, packing, quality_rules, simhash, suffix_dedup, training_order
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_training_order": training_order.op4_training_order,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,

@@ -20,6 +20,14 @@ open), and links to the smallest member there. For budgets over 2 the members
 of a crowded file are compared block against block and only what links is
 kept. No pair of different fingerprints within the budget is lost either way.
 
+Wider similarity. Fingerprints of two texts that share 0.8 of their shingles
+differ in some 10 of 64 bits, which no exact search over single fingerprints
+can narrow down. For such budgets (``similar``) each text also has
+``SAMPLES`` fingerprints of small samples of its shingles (the four with the
+smallest hashes under a function of each sample). Texts that agree in one are
+candidates: at a similarity of 0.8 all but some 0.5 % of pairs are, unrelated
+texts never; candidates link where the whole fingerprints are near enough.
+
 Cases: a null or empty text, or one of white space, has fingerprint zero and
 links like any other; with fewer words than the shingle the whole sequence is
 one shingle; repeated rows are copies; a null doc_id takes no part in naming
@@ -72,6 +80,42 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big")
 
 
+#: Samples of each text, and shingles in each.
+SAMPLES, SAMPLE_SIZE = 10, 4
+#: Differing bits at a Jaccard similarity of 0.8: 64 / pi * arccos(2 J / (1 + J)), rounded up.
+SIMILAR_BITS = 10
+
+
+def sample_fingerprints(text: str | None, k: int, seed: int = SEED) -> list[int]:
+    """A number for each sample of the text's shingles; none for a text without words."""
+    own = shingles(words_of(text), k)
+    if not own:
+        return []
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.array([digest(s, seed) for s in own], np.uint64))
+    out = []
+    with np.errstate(over="ignore"):
+        for r in range(SAMPLES):
+            x = (h ^ np.uint64(r * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            least = np.sort(np.partition(x, SAMPLE_SIZE - 1)[:SAMPLE_SIZE]) if len(x) > SAMPLE_SIZE else np.sort(x)
+            out.append(xxhash.xxh64_intdigest(least.tobytes(), r))
+    return out
+
+
+def sampled_fingerprints(docs: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """doc_id, fp and samples, the samples' fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            texts = batch.column(1).to_pylist()
+            fp = np.array([fingerprint(t, k, seed) for t in texts], np.uint64)
+            samples = [np.array(sample_fingerprints(t, k, seed), np.uint64).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(samples, pa.list_(pa.int64()))], names=["doc_id", "fp", "samples"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, fp long, samples array<long>")
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
 
@@ -173,10 +217,52 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFr
     return arrow_map(members.select("start", "fps"), run, "a long, b long")
 
 
-def grouped(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
+def similar(prints: DataFrame, budget: int = SIMILAR_BITS, crowd: int = CROWD) -> DataFrame:
+    """Links between different fingerprints (fp, samples) of texts that share a sample."""
+    filed = prints.select("fp", F.posexplode("samples").alias("r", "sample")).distinct()
+    members = filed.groupBy("r", "sample").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, flat = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy().view(np.uint64)
+            found = [np.empty((0, 2), np.uint64)]
+            for k in range(batch.num_rows):
+                found.append(_leaders(np.sort(flat[ends[k] : ends[k + 1]]), budget, crowd))
+            pair = np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+    return arrow_map(members.select("fps"), run, "a long, b long")
+
+
+def _leaders(fps: np.ndarray, budget: int, block: int) -> np.ndarray:
+    """Links that connect all pairs within the budget: each round, everything near the first
+    that is left links to it and seeds the search on; a fingerprint is compared once as a seed."""
+    left, out = fps, []
+    while len(left) > 1:
+        seeds, left = left[:1], left[1:]
+        while len(seeds) and len(left):
+            near = np.zeros(len(left), bool)
+            first = np.zeros(len(left), np.uint64)
+            for s in seeds:
+                hit = ~near & (bits(left ^ s) <= budget)
+                first[hit] = s
+                near |= hit
+            out.append(np.stack([first[near], left[near]], axis=1))
+            seeds, left = left[near], left[~near]
+    return np.concatenate(out) if out else np.empty((0, 2), np.uint64)
+
+
+def near_copies(docs: DataFrame, k: int = 5, budget: int = BUDGET, similar_bits: int = SIMILAR_BITS) -> DataFrame:
+    """doc_id, fp and component_id by shingles of k words: within the budget, or similar by samples."""
+    prints = saved(sampled_fingerprints(docs, k), "prints")
+    return grouped(prints.select("doc_id", "fp"), budget, more=similar(prints, similar_bits))
+
+
+def grouped(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, more: DataFrame | None = None) -> DataFrame:
     """Adds component_id to documents' fingerprints (doc_id, fp; a written table)."""
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    roots = components(links(distinct.select("fp"), budget, crowd))
+    found = links(distinct.select("fp"), budget, crowd)
+    roots = components(found if more is None else found.unionByName(more))
     linked = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
