@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.session import shared_dir
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a round through the folder that all executors share."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -19,11 +19,11 @@ def closure(edges: DataFrame) -> DataFrame:
 
     Paths double in length each round, so a chain of depth d takes log2 d rounds.
     """
-    pairs = _kept(edges.select("member", F.col("parent").alias("ancestor")).where("member IS NOT NULL AND parent IS NOT NULL").distinct())
+    pairs = kept(edges.select("member", F.col("parent").alias("ancestor")).where("member IS NOT NULL AND parent IS NOT NULL").distinct())
     known = pairs.count()
     while True:
         further = pairs.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.member")).select("a.member", "b.ancestor")
-        pairs = _kept(pairs.unionByName(further).distinct())
+        pairs = kept(pairs.unionByName(further).distinct())
         now = pairs.count()
         if now == known:
             return pairs
@@ -48,13 +48,13 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label around each node and then the label of
     that label, until nothing changes.
     """
-    both = _kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("around"))
         step = labels.join(around, labels["node"] == around["a"]).select("node", F.col("root").alias("old"), F.least("root", "around").alias("root"))
         jump = step.alias("s").join(step.select(F.col("node").alias("at"), F.col("root").alias("further")), F.col("s.root") == F.col("at"), "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root"))
-        jump = _kept(jump)
+        jump = kept(jump)
         labels = jump.select("node", "root")
         if jump.where("root <> old").isEmpty():
             return labels

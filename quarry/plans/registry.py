@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import recall
+from quarry.plans import access, ingestion, operations, recall, resolution, temporal
 
-_FAMILIES = (recall,)
+_FAMILIES = (recall, temporal, access, resolution, operations, ingestion)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _FAMILIES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _FAMILIES for k, s in m.ORACLE_SQL.items()}
