@@ -173,6 +173,11 @@ def block_pairs(entities: DataFrame, threshold: float = 0.45, decided: DataFrame
     return rows.withColumn("raw", score).where(F.col("raw") >= threshold).select("left_ref", "right_ref", F.round("raw", 4).alias("score"))
 
 
+def _run(n: int):
+    """The n words from a place on, joined."""
+    return lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("form"))
+
+
 def mentions(texts: DataFrame, gazetteer: DataFrame, longest: int = 5) -> DataFrame:
     """Where a text's words are a surface form: id, form, at (word number from 0). gazetteer: form, canonical.
 
@@ -180,8 +185,8 @@ def mentions(texts: DataFrame, gazetteer: DataFrame, longest: int = 5) -> DataFr
     equi-joined with them.
     """
     words = texts.select("id", F.filter(F.split(F.trim(F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "").alias("w"))
-    spans = words.select("id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))).alias("at")).where("size(w) > 0")
-    spans = spans.select("id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at"))), lambda n: F.array_join(F.slice("w", F.col("at") + 1, n), " "))).alias("form"))
+    runs = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), _run(n)) for n in range(1, longest + 1)]
+    spans = words.where("size(w) > 0").select("id", F.inline(F.concat(*[F.when(F.size("w") >= n, r).otherwise(F.slice(r, 1, 0)) for n, r in enumerate(runs, 1)])))
     return spans.join(gazetteer.select("form").distinct(), "form").select("id", "at", "form")
 
 

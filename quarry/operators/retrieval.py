@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.scope import Scope, drop_reasons, scoped_chunks
+from quarry.operators.graph import kept
+from quarry.operators.scope import Scope, chunk_fence, drop_reasons, predicate, scoped_chunks
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -53,14 +54,16 @@ def bm25(chunks: DataFrame, scope: Scope, query: str, k: int) -> DataFrame:
     import re
 
     terms = [t for t in dict.fromkeys(re.split("[^a-z0-9]+", query.lower())) if t]
-    counted = lambda df: df.withColumn("w", tokens(F.coalesce("content", F.lit("")))).select("*", F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]).drop("w")
-    index = counted(chunks.where(F.col("tenant") == scope.tenant).select("content"))
+    rows = chunks.where(F.col("tenant") == scope.tenant).withColumn("w", tokens(F.coalesce("content", F.lit(""))))
+    seen = predicate(chunks.columns, scope, chunk_fence(scope))
+    # a few numbers for each row, worked out once and read twice
+    index = kept(rows.select("id", seen.alias("seen"), F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(F.lit(1.0) + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = counted(scoped_chunks(chunks, scope).select("id", "content")).drop("content").where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
+    hits = index.where("seen").where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
     return hits.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)  # stats is one row
 
 

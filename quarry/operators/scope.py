@@ -83,14 +83,19 @@ def fact_fence(scope: Scope) -> Column:
     return F.col("entity_id").isin(*scope.entities) if scope.entities else F.lit(True)
 
 
-def scoped(df: DataFrame, scope: Scope, fence: Column | None = None, current: bool = True) -> DataFrame:
-    """The rows that the scope may see; the only way in which reads open governed tables."""
+def predicate(columns: list[str], scope: Scope, fence: Column | None = None, current: bool = True) -> Column:
+    """What every read filters by; false for an empty set of principals."""
     if not scope.principals:
-        return df.where(F.lit(False))
+        return F.lit(False)
     keep = (F.col("tenant") == scope.tenant) & (F.col("confidentiality") <= scope.ceiling) & visible(scope)
-    if current and "valid_to" in df.columns:
+    if current and "valid_to" in columns:
         keep = keep & F.col("valid_to").isNull()
-    return df.where(keep & fence if fence is not None else keep)
+    return keep & fence if fence is not None else keep
+
+
+def scoped(df: DataFrame, scope: Scope, fence: Column | None = None, current: bool = True) -> DataFrame:
+    """The rows that the scope may see; the only way in which reads open governed tables."""
+    return df.where(predicate(df.columns, scope, fence, current))
 
 
 def scoped_chunks(df: DataFrame, scope: Scope, current: bool = True) -> DataFrame:
