@@ -67,16 +67,24 @@ def permuted(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
 
 
 def stored(ids: np.ndarray, width: int) -> bytes:
-    """Compressed ids, byte by byte: all low bytes, then the next."""
-    return pa.compress(np.ascontiguousarray(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), codec="zstd", asbytes=True)
+    """Ids of several sequences, compressed together (words repeat from one to the next)."""
+    return pa.Codec("zstd", compression_level=3).compress(ids.astype(f"<u{width}").tobytes(), asbytes=True)
 
 
-def opened(blob: bytes, seq_len: int, width: int) -> bytes:
-    raw = np.frombuffer(pa.decompress(blob, decompressed_size=seq_len * width, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, seq_len).T).tobytes()
+def opened(blob: bytes, n: int, seq_len: int, width: int) -> np.ndarray:
+    raw = pa.decompress(blob, decompressed_size=n * seq_len * width, codec="zstd")
+    return np.frombuffer(raw, f"<u{width}").reshape(n, seq_len)
 
 
-SEQUENCES = "part int, local long, n_tokens int, first_doc long, n_docs int, ids_crc32 long, payload binary"
+#: Sequences in one row of the written table.
+BLOCK = 64
+META = "local array<long>, n_tokens array<int>, first_doc array<long>, n_docs array<int>, ids_crc32 array<long>, payload binary"
+SEQUENCES = "part int, " + META
+_KINDS = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def sequences(docs: DataFrame, tokenizer: str, seq_len: int, width: int) -> DataFrame:
@@ -96,7 +104,7 @@ def sequences(docs: DataFrame, tokenizer: str, seq_len: int, width: int) -> Data
                 n = len(own)
                 whose = owner[at : at + n]
                 full = np.append(own, np.full(seq_len - n, END_ID)).astype(np.uint32)
-                rows.append((part, local, n, names[whose[0]], int(whose[-1] - whose[0]) + 1, zlib.crc32(full.astype(f"<u{width}").tobytes()), stored(full, width)))
+                rows.append((local, n, names[whose[0]], int(whose[-1] - whose[0]) + 1, zlib.crc32(full.astype(f"<u{width}").tobytes()), full))
                 local, at = local + 1, at + n
             if at < have:
                 keep = int(owner[at])
@@ -107,18 +115,26 @@ def sequences(docs: DataFrame, tokenizer: str, seq_len: int, width: int) -> Data
             return rows
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in SEQUENCES.split(", ")])
+            own = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
+            lists = [pa.array([[r[k] for r in block] for block in own], kind) for k, kind in enumerate(_KINDS)]
+            payload = pa.array([stored(np.concatenate([r[5] for r in block]), width) for block in own], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), *lists, payload], names=_names(SEQUENCES))
 
+        ready: list[tuple] = []
         for batch in blocks(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 buffer.append(np.append(encode(text), np.uint32(END_ID)).astype(np.uint32))
                 docs_in.append(doc)
                 have += len(buffer[-1])
             if have >= seq_len:
-                yield batch_of(cut(False))
-        if have:
-            yield batch_of(cut(True))
+                ready += cut(False)
+            if len(ready) >= BLOCK:
+                whole = len(ready) // BLOCK * BLOCK
+                yield batch_of(ready[:whole])
+                ready = ready[whole:]
+        ready += cut(True) if have else []
+        if ready:
+            yield batch_of(ready)
 
     return arrow_map(docs.select("doc_id", "text"), run, SEQUENCES)
 
@@ -126,23 +142,36 @@ def sequences(docs: DataFrame, tokenizer: str, seq_len: int, width: int) -> Data
 PLACED = "slot long, shard long, byte_offset long, part int, local long, n_tokens int, first_doc long, n_docs int, ids_crc32 long"
 
 
-def slots(rows: DataFrame, key: int, slots_per_shard: int, stride: int) -> DataFrame:
-    """Adds slot, shard and byte_offset to written sequences."""
-    counts = rows.groupBy("part").count().orderBy("part").collect()  # one number for each input partition
+DEALT = "shard long, slot array<long>, part int, " + META
+
+
+def slots(rows: DataFrame, key: int, slots_per_shard: int, seq_len: int, width: int) -> DataFrame:
+    """Written sequences dealt to shards: one row for each shard and block of input, compressed together."""
+    counts = rows.groupBy("part").agg(F.sum(F.size("local")).alias("n")).orderBy("part").collect()  # one number for each input partition
     base, total = {}, 0
     for r in counts:
         base[r["part"]] = total
-        total += r["count"]
+        total += r["n"]
     cast = rows.sparkSession.sparkContext.broadcast(base)  # as above: a number for each input partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                index = np.array([cast.value[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
-                slot = permuted(index, total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // slots_per_shard), pa.array(slot % slots_per_shard * stride), *batch.columns], names=["slot", "shard", "byte_offset", *batch.schema.names])
-
-    return arrow_map(rows, run, "slot long, shard long, byte_offset long, " + SEQUENCES)
+            for at in range(0, batch.num_rows, 32):
+                some = batch.slice(at, 32)
+                columns = [some.column(k).flatten() for k in range(1, 6)]
+                sizes = np.diff(some.column(1).offsets.to_numpy())
+                part = np.repeat(some.column(0).to_numpy(), sizes)
+                ids = np.concatenate([opened(b, n, seq_len, width) for b, n in zip(some.column(6).to_pylist(), sizes.tolist(), strict=True)])
+                slot = permuted(np.array([cast.value[p] for p in part.tolist()], np.int64) + columns[0].to_numpy(), total, key)
+                out: list[list] = [[] for _ in range(9)]
+                for shard, p in sorted(set(zip((slot // slots_per_shard).tolist(), part.tolist(), strict=True))):
+                    own = np.flatnonzero((slot // slots_per_shard == shard) & (part == p))
+                    for k, v in enumerate((shard, slot[own].tolist(), p, *[c.take(pa.array(own)).to_pylist() for c in columns], stored(ids[own], width))):
+                        out[k].append(v)
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), *_KINDS, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=_names(DEALT))
+
+    return arrow_map(rows, run, DEALT)
 
 
 def shard_name(folder: str, shard: int) -> str:
@@ -155,22 +184,28 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shards(placed: DataFrame, folder: str, seq_len: int, width: int) -> DataFrame:
+def write_shards(dealt: DataFrame, folder: str, seq_len: int, width: int, slots_per_shard: int) -> DataFrame:
     """Writes every shard's file when the result is computed; returns where each sequence stands."""
 
     def run(key, pdf):
+        import pandas as pd
+
         system, path = _files(folder)
         system.create_dir(path, recursive=True)
-        pdf = pdf.sort_values("slot")
+        slot = np.concatenate(pdf["slot"].to_list())
+        order = np.argsort(slot)
+        ids = np.concatenate([opened(b, len(s), seq_len, width) for b, s in zip(pdf["payload"], pdf["slot"], strict=True)])[order]
         name = shard_name(path, int(key[0]))
         trial = f"{name}.{uuid.uuid4().hex}"
         with system.open_output_stream(trial) as out:
-            for blob in pdf["payload"]:
-                out.write(opened(blob, seq_len, width))
+            out.write(ids.tobytes())
         system.move(trial, name)
-        return pdf.drop(columns=["payload"])
+        placed = pd.DataFrame({"slot": slot, "shard": int(key[0]), "byte_offset": slot % slots_per_shard * seq_len * width, "part": np.repeat(pdf["part"].to_numpy(), [len(s) for s in pdf["slot"]])})
+        for c in ("local", "n_tokens", "first_doc", "n_docs", "ids_crc32"):
+            placed[c] = pd.array([x for v in pdf[c] for x in v], dtype="Int64")
+        return placed
 
-    return placed.groupBy("shard").applyInPandas(run, PLACED)
+    return dealt.groupBy("shard").applyInPandas(run, PLACED)
 
 
 def read_slots(folder: str, first: int, count: int, seq_len: int = SEQ_LEN, width: int = 2, slots_per_shard: int = SLOTS_PER_SHARD) -> np.ndarray:
@@ -191,7 +226,7 @@ def read_slots(folder: str, first: int, count: int, seq_len: int = SEQ_LEN, widt
 
 def materialized(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_len: int = SEQ_LEN, key: int = KEY, slots_per_shard: int = SLOTS_PER_SHARD, width: int = 2) -> DataFrame:
     rows = saved(sequences(docs, tokenizer or default_tokenizer(), seq_len, width), "sequences")
-    return write_shards(slots(rows, key, slots_per_shard, seq_len * width), folder, seq_len, width)
+    return write_shards(slots(rows, key, slots_per_shard, seq_len, width), folder, seq_len, width, slots_per_shard)
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
