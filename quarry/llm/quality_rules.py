@@ -44,11 +44,11 @@ SYMBOLS, SPACE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 #: Each rule's value and its cutoffs, from the most lenient on.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / n_words", [2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1, 0.05]),
-    "dup_lines": ("n_dup_lines / n_lines", [0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]),
-    "repeats": ("n_repeat_words / n_words", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
-    "capitals": ("n_upper / word_chars", [0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2]),
-    "marks": ("n_marks / n_words", [2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1]),
+    "symbols": ("try_divide(n_symbols, n_words)", [2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1, 0.05]),
+    "dup_lines": ("try_divide(n_dup_lines, n_lines)", [0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]),
+    "repeats": ("try_divide(n_repeat_words, n_words)", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
+    "capitals": ("try_divide(n_upper, word_chars)", [0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2]),
+    "marks": ("try_divide(n_marks, n_words)", [2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1]),
 }
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
