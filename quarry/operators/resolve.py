@@ -141,7 +141,7 @@ def trigrams(name: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    return F.try_divide(both, F.size(a) + F.size(b) - both)
 
 
 def block_pairs(entities: DataFrame, threshold: float = 0.45, decided: DataFrame | None = None) -> DataFrame:

@@ -23,10 +23,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, query: list[float]) -> Column:
-    """Cosine of a double array against a fixed vector, whose norm is a literal."""
+    """Cosine of a double array against a fixed vector, whose norm is a literal; null if either is zero."""
     q = F.array(*[F.lit(float(x)) for x in query])
     norm = math.sqrt(sum(x * x for x in query))
-    return F.round(dot(a, q) / (F.sqrt(dot(a, a)) * F.lit(norm)), 6)
+    return F.round(F.try_divide(dot(a, q), F.sqrt(dot(a, a)) * F.lit(norm)), 6)
 
 
 def dense(chunks: DataFrame, vectors: DataFrame, scope: Scope, query: list[float], k: int) -> DataFrame:
@@ -62,7 +62,7 @@ def bm25(chunks: DataFrame, scope: Scope, query: str, k: int) -> DataFrame:
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(F.lit(1.0) + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.coalesce(F.try_divide("dl", "avgdl"), F.lit(1.0))))
     hits = index.where("seen").where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
     return hits.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)  # stats is one row
 
