@@ -239,6 +239,8 @@ SORT, HOT, REPEATS = 0, 1, 2
 
 def _blobs(part: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[tuple[int, int, int, bytes]]:
     """One blob for each part that has rows, rows in the given order."""
+    if not len(part):
+        return []
     order = np.argsort(part, kind="stable")
     parts, at = np.unique(part[order], return_index=True)
     return [(int(p), kind, len(own), _packed(*[c[own] for c in columns])) for p, own in zip(parts, np.split(order, at[1:]), strict=True)]
@@ -439,7 +441,7 @@ def _sorted_shard(length: int, symbols: int):
                 unit, shift = repeated_windows(text[spread], own[at, 4], own[at, 1], own[at, 3], length)
                 unit = at[unit]
                 found.append(np.stack([own[unit, 1], own[unit, 2], own[unit, 3] + shift], axis=1))
-            f = np.concatenate(found)
+            f = np.concatenate(found) if found else np.empty((0, 3), np.int64)
             f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
             if len(f):  # windows side by side are one run
                 new = np.append(True, (f[1:, 0] != f[:-1, 0]) | (f[1:, 1] != f[:-1, 1]) | (f[1:, 2] > f[:-1, 2] + 1))
