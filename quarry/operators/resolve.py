@@ -148,29 +148,39 @@ def block_pairs(entities: DataFrame, threshold: float = 0.45, decided: DataFrame
     """Candidate pairs (left_ref, right_ref, score) of entities (ref, name, domain; canonical forms).
 
     The larger Jaccard of name words and of trigrams; an equal domain counts
-    0.9. Instead of all pairs, those are compared that share one of their
+    0.9. Names are compared, each different one once, and refs are put in
+    afterwards, so many refs of one name cost only the rows they give. Instead
+    of all pairs of names, those are compared that share one of their
     rarest trigrams: at a Jaccard of t two sets share an element among the
     first (1 - t) * size + 1 in any fixed order, so each name files under so
     many of its trigrams, rarest first, and likewise words. No pair over the
     threshold is lost, and common trigrams bring no candidates together.
     """
-    e = entities.select("ref", "name", "domain").withColumn("words", F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).withColumn("grams", F.when(F.col("name") != "", trigrams(F.col("name"))))
+    e = entities.select("ref", "name", "domain")
+    names = e.select("name").where("name IS NOT NULL").distinct().withColumn("words", F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).withColumn("grams", F.when(F.col("name") != "", trigrams(F.col("name"))))
 
     def filed(column: str) -> DataFrame:
-        x = e.select("ref", F.explode(column).alias("g"), F.size(column).alias("n"))
+        x = names.select("name", F.explode(column).alias("g"), F.size(column).alias("n"))
         often = x.groupBy("g").agg(F.count("*").alias("df"))
-        rank = Window.partitionBy("ref").orderBy("df", "g")
-        return x.join(often, "g").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("ref", F.concat(F.lit(column), F.lit(":"), "g").alias("key"))
+        rank = Window.partitionBy("name").orderBy("df", "g")
+        return x.join(often, "g").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("name", F.concat(F.lit(column), F.lit(":"), "g").alias("key"))
 
-    keys = filed("grams").unionByName(filed("words")).unionByName(e.where("domain IS NOT NULL").select("ref", F.concat(F.lit("d:"), "domain").alias("key")))
-    pairs = keys.alias("l").join(keys.alias("r"), "key").where("l.ref < r.ref").select(F.col("l.ref").alias("left_ref"), F.col("r.ref").alias("right_ref")).distinct()
+    keys = filed("grams").unionByName(filed("words"))
+    met = keys.alias("l").join(keys.alias("r"), "key").where("l.name <= r.name").select(F.col("l.name").alias("left_name"), F.col("r.name").alias("right_name")).distinct()
+    side = lambda s: names.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "words", "grams")])
+    by_name = F.coalesce(F.greatest(jaccard(F.col("left_words"), F.col("right_words")), jaccard(F.col("left_grams"), F.col("right_grams"))), F.lit(0.0))
+    alike = met.join(side("left"), "left_name").join(side("right"), "right_name").withColumn("by_name", by_name).where(F.col("by_name") >= threshold).select("left_name", "right_name", "by_name")
+    one, two = e.select(F.col("ref").alias("x"), F.col("name").alias("left_name"), F.col("domain").alias("dx")), e.select(F.col("ref").alias("y"), F.col("name").alias("right_name"), F.col("domain").alias("dy"))
+    score = F.when(F.col("dx") == F.col("dy"), F.greatest("by_name", F.lit(0.9))).otherwise(F.col("by_name"))
+    named = alike.join(one, "left_name").join(two, "right_name").where("x < y OR (x > y AND left_name <> right_name)").select(F.least("x", "y").alias("left_ref"), F.greatest("x", "y").alias("right_ref"), score.alias("raw"))
+    # equal domains whose names are not alike
+    shared = one.join(two, F.col("dx") == F.col("dy")).where("x < y").withColumn("a", F.least("left_name", "right_name")).withColumn("b", F.greatest("left_name", "right_name"))
+    known = alike.select(F.col("left_name").alias("ka"), F.col("right_name").alias("kb"))
+    apart = shared.join(known, (F.col("left_name").isNotNull() & F.col("right_name").isNotNull()) & (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti").select(F.col("x").alias("left_ref"), F.col("y").alias("right_ref"), F.lit(0.9).alias("raw"))
+    pairs = named.unionByName(apart)
     if decided is not None:
         pairs = pairs.join(decided.select(F.least("a", "b").alias("left_ref"), F.greatest("a", "b").alias("right_ref")), ["left_ref", "right_ref"], "left_anti")
-    side = lambda s: e.select(*[F.col(c).alias(f"{s}_{c}") for c in ("ref", "words", "grams", "domain")])
-    rows = pairs.join(side("left"), "left_ref").join(side("right"), "right_ref")
-    by_name = F.coalesce(F.greatest(jaccard(F.col("left_words"), F.col("right_words")), jaccard(F.col("left_grams"), F.col("right_grams"))), F.lit(0.0))
-    score = F.when(F.col("left_domain") == F.col("right_domain"), F.greatest(by_name, F.lit(0.9))).otherwise(by_name)
-    return rows.withColumn("raw", score).where(F.col("raw") >= threshold).select("left_ref", "right_ref", F.round("raw", 4).alias("score"))
+    return pairs.where(F.col("raw") >= threshold).select("left_ref", "right_ref", F.round("raw", 4).alias("score"))
 
 
 def _run(n: int):

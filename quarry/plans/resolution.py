@@ -102,8 +102,8 @@ def review_queue(spark, sf):
 
 
 def _names(spark, sf):
-    """A bounded list of parties with names alike in part."""
-    return table(spark, sf, "part").where("p_partkey <= 400").selectExpr("'part:' || p_partkey AS ref", "lower(p_name) || ' ' || lower(p_brand) AS name", "CASE WHEN p_partkey % 9 = 0 THEN 'firm' || (p_partkey % 45) || '.com' END AS domain")
+    """Parties with names alike in part."""
+    return table(spark, sf, "part").selectExpr("'part:' || p_partkey AS ref", "lower(p_name) || ' ' || lower(p_brand) AS name", "CASE WHEN p_partkey % 9 = 0 THEN 'firm' || (p_partkey % 45) || '.com' END AS domain")
 
 
 def tier2_blocking(spark, sf):
