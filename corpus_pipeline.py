@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", classify), ("line dedup", drop_lines), ("near-dedup", thin_copies), ("decontamination", clean), ("best-fit packing", pack)]
 
-#: SQL expresses neither the classifier nor the packing; tests hold the stages against brute force.
+#: SQL expresses neither the classifier nor the packing; tests hold the operators and the near-copy stage against brute force.
 ORACLE_SQL = None
 
 

@@ -22,12 +22,15 @@ kept. No pair of different fingerprints within the budget is lost either way.
 
 Wider similarity. Fingerprints of two texts that share 0.8 of their shingles
 differ in some 10 of 64 bits, which no exact search over single fingerprints
-can narrow down. For such budgets (``similar``) each text also has
-``SAMPLES`` fingerprints of small samples of its shingles (the four with the
-smallest hashes under a function of each sample). Texts that agree in one are
+can narrow down. ``near_copies`` therefore takes fingerprints as candidates
+only and decides by the similarity itself. Each text also has ``SAMPLES``
+fingerprints of small samples of its shingles (the four with the smallest
+hashes under a function of each sample). Texts that agree in one are
 candidates: at a similarity of 0.8 all but some 0.5 % of pairs are, unrelated
-texts never; candidates link where the whole fingerprints differ in at most
-``SIMILAR_BITS`` bits.
+texts never; so are texts whose fingerprints differ in at most ``budget``
+bits. Candidates that hang together meet in one place, each different shingle
+set once, and link where the exact Jaccard similarity of their shingle sets is
+``SIMILARITY`` or more; within such a place every pair over it is found.
 
 Cases: a null or empty text, or one of white space, has fingerprint zero and
 links like any other; with fewer words than the shingle the whole sequence is
@@ -83,17 +86,25 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
 
 #: Samples of each text, and shingles in each.
 SAMPLES, SAMPLE_SIZE = 10, 4
-#: At a Jaccard similarity of 0.8, 64 / pi * arccos(2 J / (1 + J)) = 9.7 bits differ on average; most pairs stay below this.
-SIMILAR_BITS = 12
+#: Least Jaccard similarity of near copies, as a fraction of whole numbers.
+SIMILARITY = (4, 5)
 
 
-def sample_fingerprints(text: str | None, k: int, seed: int = SEED) -> list[int]:
-    """A number for each sample of the text's shingles; none for a text without words."""
-    own = shingles(words_of(text), k)
-    if not own:
-        return []
+def hashes(text: str | None, k: int, seed: int = SEED) -> np.ndarray:
+    """The text's set of shingles as sorted hashes."""
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.array([digest(s, seed) for s in own], np.uint64))
+    return np.unique(np.array([digest(s, seed) for s in shingles(words_of(text), k)], np.uint64))
+
+
+def set_id(h: np.ndarray) -> int:
+    """A number for a set of shingles; 0 for the empty one."""
+    return xxhash.xxh64_intdigest(h.tobytes(), SAMPLES) if len(h) else 0
+
+
+def sample_fingerprints(h: np.ndarray) -> list[int]:
+    """A number for each sample of a set of shingles; none for the empty one."""
+    if not len(h):
+        return []
     out = []
     with np.errstate(over="ignore"):
         for r in range(SAMPLES):
@@ -105,16 +116,20 @@ def sample_fingerprints(text: str | None, k: int, seed: int = SEED) -> list[int]
 
 
 def sampled_fingerprints(docs: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """doc_id, fp and samples, the samples' fingerprints."""
+    """doc_id, fp, own (a number for the set of shingles) and samples, the samples' fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            texts = batch.column(1).to_pylist()
-            fp = np.array([fingerprint(t, k, seed) for t in texts], np.uint64)
-            samples = [np.array(sample_fingerprints(t, k, seed), np.uint64).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(samples, pa.list_(pa.int64()))], names=["doc_id", "fp", "samples"])
+            fps, owns, samples = [], [], []
+            for t in batch.column(1).to_pylist():
+                h = hashes(t, k, seed)
+                fps.append(fingerprint(t, k, seed))
+                owns.append(set_id(h))
+                samples.append(np.array(sample_fingerprints(h), np.uint64).view(np.int64))
+            signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fps), signed(owns), pa.array(samples, pa.list_(pa.int64()))], names=["doc_id", "fp", "own", "samples"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, fp long, samples array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, fp long, own long, samples array<long>")
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -218,52 +233,120 @@ def links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFr
     return arrow_map(members.select("start", "fps"), run, "a long, b long")
 
 
-def similar(prints: DataFrame, budget: int = SIMILAR_BITS, crowd: int = CROWD) -> DataFrame:
-    """Links between different fingerprints (fp, samples) of texts that share a sample."""
-    filed = prints.select("fp", F.posexplode("samples").alias("r", "sample")).distinct()
-    members = filed.groupBy("r", "sample").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+def candidates(prints: DataFrame, budget: int) -> DataFrame:
+    """Links (a, b) between different shingle sets (prints: fp, own, samples) that connect all which share
+    a sample or whose fingerprints differ in at most ``budget`` bits: each to the smallest it meets."""
+    filed = prints.select("own", F.posexplode("samples").alias("r", "key")).unionByName(prints.select("own", F.lit(-1).alias("r"), F.col("fp").alias("key")))
+    least = filed.groupBy("r", "key").agg(F.min("own").alias("b"), F.max("own").alias("most")).where("b <> most").select("r", "key", "b")
+    stars = filed.join(least, ["r", "key"]).where("own <> b").select(F.col("own").alias("a"), "b")
+    first = saved(prints.groupBy("fp").agg(F.min("own").alias("own")), "fingerprints")
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("own").alias(f"{c}_own"))
+    near = links(first.select("fp"), budget).join(end("a"), "a").join(end("b"), "b").select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))
+    return stars.unionByName(near)
+
+
+def alike(sets: list[np.ndarray], least: tuple[int, int] = SIMILARITY) -> list[int]:
+    """For each of several sorted sets the place of the first one of its component, where pairs with a Jaccard
+    similarity of ``least`` or more are linked.
+
+    Every linked set is a seed once, and is compared with the sets still left
+    that share one of its rarest elements: of n elements, a pair over the
+    similarity of t shares one among the n - ceil(t n) + 1 rarest of both.
+    """
+    top, bottom = least
+    n = len(sets)
+    of = list(range(n))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if n < 2 or not sizes.sum():
+        return of
+    ends = np.append(0, np.cumsum(sizes))
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    flat = rank[ids]  # elements by rarity, 0 the rarest
+    rare = [np.sort(flat[ends[i] : ends[i + 1]])[: sizes[i] - -(-top * sizes[i] // bottom) + 1] for i in range(n)]
+    held = np.concatenate(rare)
+    who = np.repeat(np.arange(n), [len(x) for x in rare])
+    order = np.argsort(held, kind="stable")
+    held, who = held[order], who[order]
+    left = np.ones(n, bool)
+    mark = np.zeros(len(counts), bool)
+    remaining = n
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], remaining, seeds = False, remaining - 1, [start]
+        while seeds and remaining:
+            s = seeds.pop()
+            met = [who[a:b] for a, b in zip(np.searchsorted(held, rare[s]), np.searchsorted(held, rare[s], side="right"), strict=True)]
+            near = np.unique(np.concatenate(met)) if met else np.empty(0, np.int64)
+            near = near[left[near]]
+            near = near[(bottom * sizes[near] >= top * sizes[s]) & (bottom * sizes[s] >= top * sizes[near])]
+            if not len(near):
+                continue
+            mark[flat[ends[s] : ends[s + 1]]] = True
+            for j in near.tolist():
+                both = int(np.count_nonzero(mark[flat[ends[j] : ends[j + 1]]]))
+                if bottom * both >= top * (sizes[s] + sizes[j] - both):
+                    of[j], left[j], remaining = start, False, remaining - 1
+                    seeds.append(j)
+            mark[flat[ends[s] : ends[s + 1]]] = False
+    return of
+
+
+def verified(docs: DataFrame, prints: DataFrame, roots: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """own and group, the smallest own of its component, for the shingle sets among candidates (roots: node, root)."""
+    members = saved(roots.select(F.col("node").alias("own"), "root"), "candidates")
+    # one document for each set; a null id stands for all that have none
+    ids = prints.join(members, "own", "left_semi").groupBy("own").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            sets = [hashes(t, k, seed) for t in batch.column(0).to_pylist()]
+            owns = np.array([set_id(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(owns), pa.array([h.tobytes() for h in sets], pa.binary())], names=["own", "held"])
+
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
+    sets = arrow_map(texts, cut, "own long, held binary").join(members, "own").dropDuplicates(["own"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, owns, held = None, [], []
+
+        def close() -> pa.RecordBatch:
+            of = alike(held)
+            least: dict[int, int] = {}
+            for own, at in zip(owns, of, strict=True):
+                least[at] = min(own, least.get(at, own))
+            return pa.RecordBatch.from_arrays([pa.array(owns, pa.int64()), pa.array([least[at] for at in of], pa.int64())], names=["own", "group"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, flat = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy().view(np.uint64)
-            found = [np.empty((0, 2), np.uint64)]
-            for k in range(batch.num_rows):
-                found.append(_leaders(np.sort(flat[ends[k] : ends[k + 1]]), budget, crowd))
-            pair = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            for r, own, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if owns and r != root:
+                    yield close()
+                    owns, held = [], []
+                root = r
+                owns.append(own)
+                held.append(np.frombuffer(h, np.uint64))
+        if owns:
+            yield close()
+
+    return arrow_map(sets.select("root", "own", "held").repartition("root").sortWithinPartitions("root", "own"), decide, "own long, group long")
+
 
-    return arrow_map(members.select("fps"), run, "a long, b long")
-
-
-def _leaders(fps: np.ndarray, budget: int, block: int) -> np.ndarray:
-    """Links that connect all pairs within the budget: each round, everything near the first
-    that is left links to it and seeds the search on; a fingerprint is compared once as a seed."""
-    left, out = fps, []
-    while len(left) > 1:
-        seeds, left = left[:1], left[1:]
-        while len(seeds) and len(left):
-            near = np.zeros(len(left), bool)
-            first = np.zeros(len(left), np.uint64)
-            for s in seeds:
-                hit = ~near & (bits(left ^ s) <= budget)
-                first[hit] = s
-                near |= hit
-            out.append(np.stack([first[near], left[near]], axis=1))
-            seeds, left = left[near], left[~near]
-    return np.concatenate(out) if out else np.empty((0, 2), np.uint64)
-
-
-def near_copies(docs: DataFrame, k: int = 5, budget: int = BUDGET, similar_bits: int = SIMILAR_BITS) -> DataFrame:
-    """doc_id, fp and component_id by shingles of k words: within the budget, or similar by samples."""
+def near_copies(docs: DataFrame, k: int = 5, budget: int = BUDGET) -> DataFrame:
+    """doc_id, fp and component_id: texts link where their sets of k-word shingles are alike by SIMILARITY or more."""
     prints = saved(sampled_fingerprints(docs, k), "prints")
-    return grouped(prints.select("doc_id", "fp"), budget, more=similar(prints, similar_bits))
+    different = prints.select("fp", "own", "samples").distinct()
+    found = saved(verified(docs, prints, components(candidates(different, budget)), k), "groups")
+    rows = prints.select("doc_id", "fp", "own").join(found, "own", "left").select("doc_id", "fp", F.coalesce("group", "own").alias("group"))
+    rows = saved(rows, "grouped")
+    return rows.join(rows.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "fp", "component_id")
 
 
-def grouped(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD, more: DataFrame | None = None) -> DataFrame:
+def grouped(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
     """Adds component_id to documents' fingerprints (doc_id, fp; a written table)."""
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    found = links(distinct.select("fp"), budget, crowd)
-    roots = components(found if more is None else found.unionByName(more))
+    roots = components(links(distinct.select("fp"), budget, crowd))
     linked = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
