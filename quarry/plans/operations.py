@@ -49,8 +49,8 @@ def derived_visibility(spark, sf):
 
 
 def _episodes(spark, sf):
-    """Conversation turns as observations that state facts."""
-    return table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS episode_id", "concat('Acme Corp is ', substr(text, 1, 12), '. Customers in ', role, ' always pay late! Plan: ', substr(text, 1, 9), '\nOwner: team ', conv_id % 7, '.\nhttp link: x\nNothing here') AS content", "array('crm:acct' || (conv_id % 9)) AS entities")
+    """Conversation turns, each whole behind sentences that state facts."""
+    return table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS episode_id", "concat('Acme Corp is ', substr(text, 1, 12), '. Customers in ', role, ' always pay late! Plan: ', substr(text, 1, 9), '\nOwner: team ', conv_id % 7, '.\nhttp link: x\nNothing here.\n', text) AS content", "array('crm:acct' || (conv_id % 9)) AS entities")
 
 
 def extract_l2_facts(spark, sf):

@@ -82,3 +82,16 @@ def test_alike_equals_all_pairs():
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
         assert alike(sets) == root
+
+
+def test_facts_and_candidates_come_from_the_whole_turn(spark, tmp_path):
+    from quarry.plans.operations import extract_l2_facts, knowledge_candidates
+
+    text = "Nothing of note stands in front. Blue Harbour is closed on Mondays. Readers consistently ask for maps.\nBudget: 40 euros."
+    rows = [(1, 2, "user", text), (1, 3, "user", "Green Hill is open."), (2, 1, "user", None)]
+    pq.write_table(pa.table({"conv_id": [r[0] for r in rows], "turn": pa.array([r[1] for r in rows], pa.int32()), "role": [r[2] for r in rows], "text": [r[3] for r in rows]}), tmp_path / "conversations.parquet")
+    facts = {(r.episode_id, r.subject, r.relation, r.object) for r in extract_l2_facts(spark, str(tmp_path)).collect()}
+    assert {(1002, "Blue Harbour", "is", "closed on Mondays"), (1002, "crm:acct1", "Budget", "40 euros"), (1003, "Green Hill", "is", "open")} <= facts
+    assert {(1002, "Acme Corp", "is", "Nothing of n"), (1002, "crm:acct1", "Owner", "team 1")} <= facts
+    stated = {(r.episode_id, r.statement) for r in knowledge_candidates(spark, str(tmp_path)).collect()}
+    assert stated == {(1002, "Customers in user always pay late!"), (1003, "Customers in user always pay late!"), (1002, "Readers consistently ask for maps.")}
