@@ -30,7 +30,7 @@ def publish_gate(spark, sf):
 
 def deid_gate(spark, sf):
     statements = b.chunks(spark, sf).selectExpr("id", "content AS statement")
-    lexicon = table(spark, sf, "documents").where("doc_id % 50 = 0").selectExpr("element_at(split(text, ' '), 2) AS term")
+    lexicon = table(spark, sf, "documents").selectExpr("try_element_at(split(text, ' '), 2) AS term")
     return k.identifying(statements, lexicon)
 
 

@@ -95,3 +95,21 @@ def test_facts_and_candidates_come_from_the_whole_turn(spark, tmp_path):
     assert {(1002, "Acme Corp", "is", "Nothing of n"), (1002, "crm:acct1", "Owner", "team 1")} <= facts
     stated = {(r.episode_id, r.statement) for r in knowledge_candidates(spark, str(tmp_path)).collect()}
     assert stated == {(1002, "Customers in user always pay late!"), (1003, "Customers in user always pay late!"), (1002, "Readers consistently ask for maps.")}
+
+
+def test_lexicon_holds_the_terms_of_every_document(spark, tmp_path):
+    from quarry.operators import knowledge
+    from quarry.plans.operations import deid_gate
+
+    texts = ["see Quartz there", "no term here", "a Bluebird sang", "of one quartzite", "an ox bluebirds", None, "the", "x Óscar y"]
+    rows = [(k + 1, t, "en", "web", len(t or "")) for k, t in enumerate(texts)]  # no doc_id is a multiple of 50
+    pq.write_table(pa.table({c: [r[i] for r in rows] for i, c in enumerate(("doc_id", "text", "lang", "source", "n_chars"))}), tmp_path / "documents.parquet")
+    terms = {t.split(" ")[1].lower() for t in texts if t and " " in t}
+    terms = {t for t in terms if len(t) >= 4}
+    want = {k: min(t for t in terms if t in s.lower()) for k, s, *_ in rows if s and any(t in s.lower() for t in terms)}
+    assert {r.id: r.term for r in deid_gate(spark, str(tmp_path)).collect()} == want
+    assert len(want) == 6
+    statements = spark.createDataFrame([r[:2] for r in rows], "id long, statement string")
+    lexicon = spark.createDataFrame([(t,) for t in terms], "term string")
+    for sent in (20_000, 0):
+        assert {r.id: r.term for r in knowledge.identifying(statements, lexicon, sent).collect()} == want
