@@ -34,8 +34,8 @@ from quarry.session import table
 
 # The elements of HTML by how they bear on text.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-SILENT = set("script style noscript template svg math iframe object embed canvas audio video textarea title select datalist noframes".split())
-VOID = set("area base br col hr img input link meta param source track wbr".split())
+SILENT = set("script style noscript template svg math iframe object canvas audio video textarea title select datalist noframes".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = set("nav footer aside form menu button dialog fieldset search".split())
 MAIN = set("article main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -103,6 +103,33 @@ def text_blocks(page: str) -> list[Block]:
                 linked.append(text)
 
     n = len(page)
+    closings: dict[str, re.Match | None] = {}  # by silent element the closing tag last found, None if there is none further on
+
+    def parent_end(stop: int) -> int:
+        """Where the innermost block element that is closed before ``stop`` ends, or ``stop``."""
+        for parent in dict.fromkeys(name for name, _, _ in reversed(stack)):
+            depth = 1
+            for m in re.compile(rf"<(/?){re.escape(parent)}(?=[\s/>])[^>]*>", re.I).finditer(page, at, stop):
+                depth += -1 if m[1] else 1
+                if not depth:
+                    return m.start()
+        return stop
+
+    def silent_end(name: str) -> int:
+        """Behind the silent element's closing tag; one without its own ends where its parent does."""
+        tag = re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I)
+        end = closings.get(name)
+        if name not in closings or (end and end.start() < at):
+            end = closings[name] = next((m for m in tag.finditer(page, at) if m[1]), None)
+        if end is None:
+            return n if name in ("script", "style") else parent_end(n)
+        if name not in ("script", "style") and (other := tag.search(page, at, end.start())):
+            # the closing tag may be that of a later element of the same name
+            own = parent_end(other.start())
+            if own < other.start():
+                return own
+        return end.end()
+
     while at < n:
         m = TAG.search(page, at)
         if m is None:
@@ -123,8 +150,7 @@ def text_blocks(page: str) -> list[Block]:
             pieces.append(" ")
         elif name in SILENT:
             if not closing and not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = silent_end(name)
         elif name in BLOCK:
             end_block()
             links = 0
