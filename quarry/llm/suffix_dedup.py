@@ -7,11 +7,12 @@ judged on the input as it is.
 1. Anchors. Every window of ``length`` bytes names one of the 32-byte strings
    in it, the one with the smallest hash (the leftmost of equals). Equal
    windows name equal strings at equal places, so windows can only repeat
-   among those with one anchor hash. Consecutive windows with one anchor are a
+   among those with one anchor. Consecutive windows with one anchor are a
    unit: a run of 35 windows on average, whose text is 134 bytes.
 2. Equal units are collapsed where they are found, before anything is
-   shuffled: all but the first of a map task are repeats for certain. The
-   rest meets by anchor hash; anchors found once are done with.
+   shuffled: all but the first of a map task are repeats. The rest meets by
+   anchor; anchors found once are done with. Units count as equal where both
+   the anchor's hash and the unit's, of different kinds, agree in 64 bits.
 3. The texts of the remaining units, each different one once, go to shards by
    anchor. A shard sorts all its suffixes by the difference-cover algorithm:
    sampled triples (places 1 and 2 of every 3) are sorted and named, the
@@ -23,25 +24,31 @@ judged on the input as it is.
 
 Sorting all suffixes of the corpus in one array would send each place around
 some thirty times; here only text that may repeat is sorted, once for each
-different unit, and a shard fits one task. Anchors whose units exceed
-``HOT_UNITS`` different texts (contexts of one very common passage) are cut
-to single windows, which are dealt to shards by the windows' own hash and
-collapsed on the way, so no group is gathered whole.
-
-Cases: null text has no bytes; texts shorter than the window lose none; very
-long texts are taken in parts that overlap by a window; rows that repeat a
-doc_id are one document in the order, and rows with one doc_id and one text
-get one result each; a null doc_id is the smallest; other columns are not
-read; cutting may leave bytes that are no UTF-8, so kept bytes are binary.
+different unit. The number of shards follows the bytes of the corpus
+(``PART_TEXT`` each), so a task's memory does not grow with it.
+
+Skew. An anchor may have many different units (contexts of one very common
+passage, or a large group of near copies). Where they exceed a suffix array's
+size, their windows are named anew by longer anchors, in up to three more
+rounds; the last anchor is the window itself, of which there is but one.
+An anchor that has many units within one map task already is dealt by unit
+instead of by anchor, so its units never meet in one place.
+
+Cases: null and empty texts have no bytes; texts shorter than the window lose
+none; very long texts are taken in parts that overlap by a window; a table
+without rows gives none; rows that repeat a doc_id are one document in the
+order, and rows with one doc_id and one text get one result each; a null
+doc_id is the smallest; other columns, whatever their names, are not read;
+cutting may leave bytes that are no UTF-8, so kept bytes are binary.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +57,18 @@ from quarry.session import table
 
 LENGTH, ANCHOR = 100, 32
 #: Window starts that are hashed together; a place takes 21 bits.
-PART = 1 << 20
+PART = 1 << 18
 #: Symbols that one suffix array is made for at a time.
-SHARD_SYMBOLS = 1 << 20
-#: Different units of one anchor that are sorted together.
-HOT_UNITS = 20_000
+SHARD_SYMBOLS = 1 << 19
+#: Bytes of text for each shard.
+PART_TEXT = 16 << 20
+#: Different units of one anchor in one map task beyond which they are dealt by unit.
+LOUD_UNITS = 1_000
 NULL_ID = -(1 << 63)
 
 _r = np.random.default_rng(32)
 _SYMBOL = _r.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD1342543DE82EF95
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,31 +76,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _powers or len(_powers[0][0]) < n:
-        size = max(n, PART + 4 * LENGTH)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.append(np.uint64(1), np.full(size - 1, _BASE, np.uint64)))
-            down = np.cumprod(np.append(np.uint64(1), np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64)))
-        _powers[0] = up, down
-    return _powers[0]
+def levels(length: int) -> list[int]:
+    """Anchor lengths of the rounds: each takes half of what is left of the window, the last all of it."""
+    first = min(ANCHOR, length)
+    return sorted({first, length - (length - first) // 2, length - (length - first) // 4, length})
 
 
-def anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH):
-    """Units of all windows in text[start:end] of several documents that lie one after the other.
+def anchors(raw: bytes, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
+    """Units of all windows in raw[start:end] of several documents that lie one after the other.
 
-    Returns (anchor hash, unit hash, start of the first window, windows, anchor's place after the start).
+    Returns (anchor hash, unit hash, start of the first window, windows).
     """
+    text = np.frombuffer(raw, np.uint8)
     empty = np.empty(0, np.int64)
     n = len(text)
     if n < length:
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
-    anchor = min(ANCHOR, length)
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty
+    anchor = min(anchor, length)
     with np.errstate(over="ignore"):
-        code = _SYMBOL[text]
         # hash of `anchor` bytes from each place, by doubling
-        h, have, done, total = code, 1, 0, np.zeros(n - anchor + 1, np.uint64)
+        h, have, done, total = _SYMBOL[text], 1, 0, np.zeros(n - anchor + 1, np.uint64)
         rest = anchor
         while rest:
             if rest & 1:
@@ -104,87 +107,88 @@ def anchors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
                 have *= 2
         mixed = _mixed(total)
         places = np.arange(len(mixed), dtype=np.uint64)
-        key = (mixed & ~np.uint64((1 << 21) - 1)) | places
-        least, have, span = key, 1, length - anchor + 1
+        least, have, span = (mixed & ~np.uint64((1 << 21) - 1)) | places, 1, length - anchor + 1
         while 2 * have <= span:
             least = np.minimum(least[:-have], least[have:])
             have *= 2
         if have < span:
             least = np.minimum(least[: n - length + 1], least[span - have : span - have + n - length + 1])
         at = (least & np.uint64((1 << 21) - 1)).astype(np.int64)
-        inside = np.zeros(n + 1, np.int32)
-        use = ends - starts >= length
-        np.add.at(inside, starts[use], 1)
-        np.add.at(inside, ends[use] - length + 1, -1)
-        inside = np.cumsum(inside)[: n - length + 1] > 0
-        head = np.zeros(n, bool)
-        head[starts[use]] = True
-        new = inside.copy()
-        new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1] | head[1 : n - length + 1]
-        first = np.flatnonzero(new)
-        stop = inside.copy()
-        stop[:-1] &= new[1:] | ~inside[1:]
-        last = np.flatnonzero(stop)
-        up, down = _powers_to(n + 1)
-        prefix = np.append(np.uint64(0), np.cumsum(code * up[:n]))
-        unit = _mixed((prefix[last + length] - prefix[first]) * down[first])
-        a = at[first]
-        offset = a - first
-        unit = unit ^ _mixed(offset.astype(np.uint64) * np.uint64(131) + (last - first).astype(np.uint64))
-    return mixed[a], unit, first, last - first + 1, offset
-
-
-UNIT = np.dtype([("anchor", "<u8"), ("unit", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("windows", "<i4"), ("offset", "<i4")])
+    inside = np.zeros(n + 1, np.int32)
+    use = ends - starts >= length
+    np.add.at(inside, starts[use], 1)
+    np.add.at(inside, ends[use] - length + 1, -1)
+    inside = np.cumsum(inside)[: n - length + 1] > 0
+    head = np.zeros(n, bool)
+    head[starts[use]] = True
+    new = inside.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1] | head[1 : n - length + 1]
+    first = np.flatnonzero(new)
+    stop = inside.copy()
+    stop[:-1] &= new[1:] | ~inside[1:]
+    last = np.flatnonzero(stop)
+    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
+    unit = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+    return mixed[at[first]], unit, first, last - first + 1
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
     """The suffix array of up to 2^21 - 4 symbols below 2^21 - 2, by difference cover."""
     n = len(s)
-    if n < 4:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.append(s.astype(np.uint64) + np.uint64(1), np.zeros(3, np.uint64))
-    return _merged(t, n, _sample_ranks(t, n))
-
-
-def _sample_ranks(t: np.ndarray, n: int) -> np.ndarray:
-    """Ranks from 1 of the suffixes at places 1 and 2 of every 3; 0 elsewhere and past the end."""
-    b1, b2 = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([b1, b2])
-    triple = (t[sample] << np.uint64(42)) | (t[sample + 1] << np.uint64(21)) | t[sample + 2]
-    order = np.argsort(triple, kind="stable")
-    ordered = triple[order]
-    step = np.append(np.uint64(0), (ordered[1:] != ordered[:-1]).astype(np.uint64))
-    name = np.empty(len(sample), np.uint64)
-    name[order] = np.cumsum(step)
-    if int(name[order[-1]]) + 1 < len(sample):
-        reduced = np.append(name + np.uint64(1), np.zeros(3, np.uint64))
-        solved = _merged(reduced, len(sample), _sample_ranks(reduced, len(sample)))
-        name[solved] = np.arange(len(sample), dtype=np.uint64)
-    rank = np.zeros(n + 3, np.uint64)
-    rank[sample] = name + np.uint64(1)
+    t = np.append(s.astype(np.int64) + 1, np.zeros(3, np.int64))
+    return _merged(t, n, _sample_ranks(t, n, int(t.max()).bit_length() if n else 1)) if n >= 4 else _few(t, n)
+
+
+def _few(t: np.ndarray, n: int) -> np.ndarray:
+    return np.array(sorted(range(n), key=lambda i: t[i:n].tolist()), np.int64)
+
+
+def _sample_ranks(t: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Ranks from 1 of the suffixes at places 1 and 2 of every 3; 0 elsewhere and past the end. Symbols have ``bits`` bits."""
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
+    m = len(sample)
+    triple = (t[sample] << (2 * bits)) | (t[sample + 1] << bits) | t[sample + 2]
+    place = m.bit_length()
+    if 3 * bits + place <= 63:  # triple and place sort as one number
+        both = np.sort((triple << place) | np.arange(m))
+        order, ordered = both & ((1 << place) - 1), both >> place
+    else:
+        order = np.argsort(triple)
+        ordered = triple[order]
+    name = np.empty(m, np.int64)
+    name[order] = np.cumsum(np.append(1, ordered[1:] != ordered[:-1]))
+    top = int(name[order[-1]])
+    if top < m:
+        reduced = np.append(name, np.zeros(3, np.int64))
+        solved = _merged(reduced, m, _sample_ranks(reduced, m, top.bit_length())) if m >= 4 else _few(reduced, m)
+        name[solved] = np.arange(1, m + 1)
+    rank = np.zeros(n + 3, np.int64)
+    rank[sample] = name
     return rank
 
 
 def _merged(t: np.ndarray, n: int, rank: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the ranks of the sampled ones."""
-    if n < 4:
-        return np.array(sorted(range(n), key=lambda i: t[i:n].tolist()), np.int64)
-    bits21 = np.uint64(21)
-    b0, b1, b2 = (np.arange(k, n, 3) for k in range(3))
-    key0 = (t[b0] << bits21) | rank[b0 + 1]
-    o0 = np.argsort(key0, kind="stable")
+    b0 = np.arange(0, n, 3)
+    key0 = (t[b0] << 21) | rank[b0 + 1]
+    o0 = np.argsort(key0)
     b0, key0 = b0[o0], key0[o0]
-    b1 = b1[np.argsort(rank[b1], kind="stable")]
-    b2 = b2[np.argsort(rank[b2], kind="stable")]
-    # place of each suffix = how many of every list come before it
-    r1, r2 = rank[b1], rank[b2]
-    key1 = (t[b1] << bits21) | rank[b1 + 1]  # against b0: (symbol, rank that follows)
-    long0 = (t[b0] << np.uint64(42)) | (t[b0 + 1] << bits21) | rank[b0 + 2]  # against b2: two symbols, rank
-    long2 = (t[b2] << np.uint64(42)) | (t[b2 + 1] << bits21) | rank[b2 + 2]
+    at = np.flatnonzero(rank[:n])
+    sampled = np.full(int(rank.max()) + 1, -1)
+    sampled[rank[at]] = at
+    sampled = sampled[sampled >= 0]
+    one = sampled % 3 == 1
+    b1, b2 = sampled[one], sampled[~one]
+    key1 = (t[b1] << 21) | rank[b1 + 1]  # against b0: (symbol, rank that follows)
+    long0 = (t[b0] << 42) | (t[b0 + 1] << 21) | rank[b0 + 2]  # against b0: two symbols, rank
+    long2 = (t[b2] << 42) | (t[b2 + 1] << 21) | rank[b2 + 2]
+    # a suffix of b0 stands behind the sampled ones that come before it
+    place0 = np.arange(len(b0)) + np.searchsorted(key1, key0) + np.searchsorted(long2, long0)
     out = np.empty(n, np.int64)
-    out[np.arange(len(b0)) + np.searchsorted(key1, key0, "left") + np.searchsorted(long2, long0, "left")] = b0
-    out[np.arange(len(b1)) + np.searchsorted(key0, key1, "right") + np.searchsorted(r2, r1, "left")] = b1
-    out[np.arange(len(b2)) + np.searchsorted(long0, long2, "right") + np.searchsorted(r1, r2, "right")] = b2
+    out[place0] = b0
+    rest = np.ones(n, bool)
+    rest[place0] = False
+    out[rest] = sampled
     return out
 
 
@@ -198,20 +202,21 @@ def repeated_windows(text: np.ndarray, windows: np.ndarray, doc: np.ndarray, pla
     begin = np.cumsum(sizes) - sizes
     unit_at = np.repeat(np.arange(len(windows)), sizes)
     order = suffix_order(text)
-    unit, shift = unit_at[order], order - begin[unit_at[order]]
-    use = shift < windows[unit]
-    order, unit, shift = order[use], unit[use], shift[use]
-    if not len(order):
-        return order, order
+    unit = unit_at[order]
+    use = order - begin[unit] < windows[unit]
+    order, unit = order[use], unit[use]
     width = min(8, length)
-    padded = np.append(text, np.zeros(width, np.uint8))
-    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)).view(f"S{width}").ravel() if width < 8 else np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    padded = np.append(text, np.zeros(8, np.uint8))
+    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width))
+    word = word.view("<u8").ravel() if width == 8 else word.view(f"S{width}").ravel()
     alike = np.arange(1, len(order))
     for at in [*range(0, length - width + 1, width), length - width]:
         alike = alike[word[order[alike] + at] == word[order[alike - 1] + at]]
-    same = np.zeros(len(order), bool)
+    same = np.zeros(len(order) + 1, bool)
     same[alike] = True
-    group = np.cumsum(~same)
+    met = same[:-1] | same[1:]  # in a run of equals
+    group, order, unit = np.cumsum(~same[:-1])[met], order[met], unit[met]
+    shift = order - begin[unit]
     where = place[unit] + shift
     by = np.lexsort((where, doc[unit], group))
     first = np.ones(len(by), bool)
@@ -233,88 +238,164 @@ def _unpacked(blob: bytes, rows: int, columns: int) -> list[np.ndarray]:
 
 
 BLOB = "part int, kind int, n long, payload binary"
-#: Kinds of blobs and rows: units to be compared, hot units, windows known to repeat.
-SORT, HOT, REPEATS = 0, 1, 2
+#: Kinds of blobs and rows: units to be compared, units to be named anew, windows known to repeat, anchors dealt by unit.
+SORT, HOT, REPEATS, MARK = 0, 1, 2, 3
 
 
-def _blobs(part: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[tuple[int, int, int, bytes]]:
-    """One blob for each part that has rows, rows in the given order."""
+def _blobs(part: np.ndarray, kind: int, columns: list[np.ndarray], text: tuple[np.ndarray, np.ndarray] | None = None, length: int = 0) -> list[tuple[int, int, int, bytes]]:
+    """One blob for each part that has rows, rows in the given order; text: bytes and where each row's begin."""
     if not len(part):
         return []
     order = np.argsort(part, kind="stable")
     parts, at = np.unique(part[order], return_index=True)
-    return [(int(p), kind, len(own), _packed(*[c[own] for c in columns])) for p, own in zip(parts, np.split(order, at[1:]), strict=True)]
+    out = []
+    for p, own in zip(parts.tolist(), np.split(order, at[1:]), strict=True):
+        numbers = [c[own] for c in columns]
+        out.append((p, kind, len(own), _text_blob(numbers, _taken(text[0], text[1][own], numbers[-1] + length - 1)) if text else _packed(*numbers)))
+    return out
 
 
 def _blob_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "kind", "n", "payload"])
 
 
-def _text_parts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, starts, ends, index of text, place in it of each start), PART bytes at a time."""
-    held: list[tuple[int, int, bytes]] = []
-    size = 0
-    for i, text in enumerate(texts):
-        for s in range(0, max(1, len(text) - length + 1), PART):
-            piece = text if len(text) <= PART + length - 1 else text[s : s + PART + length - 1]
-            if held and size + len(piece) > PART + length:
-                yield _joined(held)
-                held, size = [], 0
-            if len(piece) >= length:
-                held.append((i, s, piece))
-                size += len(piece)
-    if held:
-        yield _joined(held)
+def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+    """(start, bytes) of a text's parts, which overlap by a window."""
+    for s in range(0, max(1, len(text) - length + 1), PART):
+        yield s, text if len(text) <= PART + length - 1 else text[s : s + PART + length - 1]
+
+
+def _texts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(id, row, start, bytes) of the parts of whole texts."""
+    for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for s, piece in _pieces((text or "").encode(), length):
+            yield doc, row, s, piece
+
+
+def _units(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(id, row, start, bytes) of units that are to be named anew."""
+    for n, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        (_, doc, row, start, windows), text = _with_text(payload, n, 5, length)
+        raw, at = text.tobytes(), 0
+        for d, r, s, w in zip(doc.tolist(), row.tolist(), start.tolist(), windows.tolist(), strict=True):
+            yield d, r, s, raw[at : at + w + length - 1]
+            at += w + length - 1
+
+
+def _text_blob(columns: list[np.ndarray], text: np.ndarray) -> bytes:
+    """Columns of numbers, the last one windows, and the units' texts one after the other."""
+    texts = pa.compress(text.tobytes(), codec="zstd", asbytes=True)
+    return len(texts).to_bytes(8, "little") + texts + _packed(*columns)
 
 
-def _joined(held):
-    ends = np.cumsum([len(p) for _, _, p in held])
-    return np.frombuffer(b"".join(p for _, _, p in held), np.uint8), np.append(0, ends[:-1]), ends, np.array([i for i, _, _ in held]), np.array([s for _, s, _ in held])
+def _with_text(payload: bytes, n: int, columns: int, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    size = int.from_bytes(payload[:8], "little")
+    own = _unpacked(payload[8 + size :], n, columns)
+    return own, np.frombuffer(pa.decompress(payload[8 : 8 + size], decompressed_size=int((own[-1] + length - 1).sum()), codec="zstd"), np.uint8)
 
 
-FLUSH_UNITS = 2_000_000
+def _taken(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """text[begin : begin + size] of several, one after the other."""
+    return text[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
-def _find(parts: int, length: int):
+#: Units that a task holds before it sends them; fewer where their texts go along.
+FLUSH_UNITS, FLUSH_WITH_TEXT = 2_000_000, 200_000
+
+
+def _find(parts: int, length: int, anchor: int, again: bool):
+    """Units of each task's texts, equal ones once, in blobs for the parts where they meet.
+
+    From the second round on, the texts are those of earlier units, and units take theirs along.
+    """
+    most = FLUSH_WITH_TEXT if again else FLUSH_UNITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        count = 0
-        for batch in blocks(batches):
-            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            for text, starts, ends, which, base in _text_parts(texts, length):
-                anchor, unit, first, windows, offset = anchors(text, starts, ends, length)
-                own = np.searchsorted(starts, first, side="right") - 1
-                held.append([anchor.view(np.int64), unit.view(np.int64), ids[which[own]], rows[which[own]], first - starts[own] + base[own], windows])
-                count += len(first)
-            if count >= FLUSH_UNITS:
-                yield _blob_batch(_collapsed(held, parts))
-                held, count = [], 0
+        joined: list[tuple[int, int, int, bytes]] = []
+        count = size = 0
+
+        def close() -> int:
+            doc, row, base = (np.array(c, np.int64) for c in list(zip(*joined, strict=True))[:3])
+            raw = b"".join(j[3] for j in joined)
+            ends = np.cumsum([len(j[3]) for j in joined])
+            starts = np.append(0, ends[:-1])
+            name, unit, first, windows = anchors(raw, starts, ends, length, anchor)
+            own = np.searchsorted(starts, first, side="right") - 1
+            held.append([name.view(np.int64), unit.view(np.int64), doc[own], row[own], first - starts[own] + base[own], windows])
+            if again:
+                held[-1].append(_taken(np.frombuffer(raw, np.uint8), first, windows + length - 1))
+            return len(first)
+
+        pieces = (piece for batch in batches for piece in _units(batch, length)) if again else (piece for batch in blocks(batches) for piece in _texts(batch, length))
+        for piece in pieces:
+            if len(piece[3]) < length:
+                continue
+            if joined and size + len(piece[3]) > PART + length:
+                count, joined, size = count + close(), [], 0
+                if count >= most:
+                    yield _blob_batch(_collapsed(held, parts, length))
+                    held, count = [], 0
+            joined.append(piece)
+            size += len(piece[3])
+        if joined:
+            count += close()
         if count:
-            yield _blob_batch(_collapsed(held, parts))
+            yield _blob_batch(_collapsed(held, parts, length))
 
     return run
 
 
-def _collapsed(held: list[list[np.ndarray]], parts: int) -> list[tuple[int, int, int, bytes]]:
-    """Of equal units of a task the first goes on; the others' windows repeat for certain.
+def _mixed_array(*columns: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            out = _mixed(out * np.uint64(_BASE) + np.ascontiguousarray(c).view(np.uint64))
+    return out
 
-    Equal windows have equal numbers of windows and anchor places in their hash.
-    """
-    anchor, unit, doc, row, start, windows = (np.concatenate(c) for c in zip(*held, strict=True))
-    order = np.lexsort((start, doc, unit, anchor))
+
+def _first_of_equals(anchor: np.ndarray, unit: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which units are the earliest of those equal to them, and which repeat one that stands elsewhere."""
+    key = _mixed_array(anchor, unit)
+    order = np.argsort(key)
+    alike = key[order][1:] == key[order][:-1]
+    several = np.append(False, alike) | np.append(alike, False) if len(order) else np.zeros(0, bool)
+    single, order = order[~several], order[several]
+    order = order[np.lexsort((start[order], doc[order], unit[order], anchor[order]))]
     head = np.ones(len(order), bool)
     a, u = anchor[order], unit[order]
     head[1:] = (a[1:] != a[:-1]) | (u[1:] != u[:-1])
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     later = (doc[order] != doc[lead]) | (start[order] != start[lead])
-    single = np.sort(order[head | ~later])
-    gone = np.sort(order[~head & later])
-    out = _blobs(anchor[single].view(np.uint64) % np.uint64(parts), SORT, [c[single] for c in (anchor, unit, doc, row, start, windows)])
+    return np.append(single, order[head]), order[~head & later]
+
+
+def _sizes_of(anchor: np.ndarray) -> np.ndarray:
+    """For each of several units how many have its anchor."""
+    _, of, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    return size[of]
+
+
+def _collapsed(held: list[list[np.ndarray]], parts: int, length: int) -> list[tuple[int, int, int, bytes]]:
+    """Of equal units of a task the first goes on; the others' windows repeat."""
+    anchor, unit, doc, row, start, windows, *text = (np.concatenate(c) for c in zip(*held, strict=True))
+    first, gone = _first_of_equals(anchor, unit, doc, start)
+    loud = _sizes_of(anchor[first]) > LOUD_UNITS
+    marks = np.unique(anchor[first[loud]])
+    out = _blobs(marks.view(np.uint64) % np.uint64(parts), MARK, [marks])
+    for kind, own in ((SORT, np.sort(first[~loud])), (HOT, np.sort(first[loud]))):
+        part = (anchor[own].view(np.uint64) if kind == SORT else _mixed_array(anchor[own], unit[own])) % np.uint64(parts)
+        out += _blobs(part, kind, [c[own] for c in (anchor, unit, doc, row, start, windows)], *[(t, _begin(windows, length)[own]) for t in text], length=length)
+    gone = np.sort(gone)
     return out + _blobs(doc[gone].view(np.uint64) % np.uint64(parts), REPEATS, [c[gone] for c in (doc, row, start, windows)])
 
 
-ROWS = "doc_id long, row long, kind int, n long, payload binary"
+def _begin(windows: np.ndarray, length: int) -> np.ndarray:
+    """Where each unit's text begins if they lie one after the other."""
+    return np.cumsum(windows + length - 1) - (windows + length - 1)
+
+
+MET = "doc_id long, row long, part int, kind int, n long, payload binary"
 
 
 def _rows(kind: int, doc: np.ndarray, row: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
@@ -325,44 +406,46 @@ def _rows(kind: int, doc: np.ndarray, row: np.ndarray, columns: list[np.ndarray]
     new = np.flatnonzero(np.append(True, (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1])))
     columns = [c[order] for c in columns]
     ends = np.append(new[1:], len(order))
-    return [(int(doc[order[s]]), int(row[order[s]]), kind, int(e - s), b"".join(c[s:e].tobytes() for c in columns)) for s, e in zip(new.tolist(), ends.tolist(), strict=True)]
+    return [(int(doc[order[s]]), int(row[order[s]]), 0, kind, int(e - s), b"".join(c[s:e].tobytes() for c in columns)) for s, e in zip(new.tolist(), ends.tolist(), strict=True)]
 
 
 def _frame(rows: list[tuple]):
     import pandas as pd
 
-    return pd.DataFrame(rows, columns=["doc_id", "row", "kind", "n", "payload"])
+    return pd.DataFrame(rows, columns=["doc_id", "row", "part", "kind", "n", "payload"])
 
 
-def _meet(hot_units: int):
-    """Units of some anchors from all tasks: which repeat for certain, and which are to be sorted."""
+def _meet(hot_units: int, length: int, again: bool, last: bool):
+    """Units of some anchors from all tasks: which repeat, which are to be sorted, and which to be named anew."""
 
     def run(pdf):
         out = []
-        for blob, n in zip(pdf["payload"][pdf["kind"] == REPEATS], pdf["n"][pdf["kind"] == REPEATS], strict=True):
+        held = {kind: list(zip(own["payload"], own["n"], strict=True)) for kind, own in pdf.groupby("kind")}
+        for blob, n in held.get(REPEATS, []):
             doc, row, start, windows = _unpacked(blob, n, 4)
             out += _rows(REPEATS, doc, row, [start, windows])
-        sort = pdf[pdf["kind"] == SORT]
-        if len(sort):
-            anchor, unit, doc, row, start, windows = (np.concatenate(c) for c in zip(*[_unpacked(b, n, 6) for b, n in zip(sort["payload"], sort["n"], strict=True)], strict=True))
-            by = np.argsort(anchor, kind="stable")
-            a = anchor[by]
-            twice = np.zeros(len(by), bool)
-            twice[1:] = a[1:] == a[:-1]
-            twice[:-1] |= twice[1:]
-            by = by[twice]
-            by = by[np.lexsort((start[by], doc[by], unit[by], anchor[by]))]
-            a, u = anchor[by], unit[by]
-            head = np.ones(len(by), bool)
-            head[1:] = (a[1:] != a[:-1]) | (u[1:] != u[:-1])
-            lead = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))] if len(by) else by
-            gone = by[~head & ((doc[by] != doc[lead]) | (start[by] != start[lead]))]
+        marks = [_unpacked(blob, n, 1)[0] for blob, n in held.get(MARK, [])]
+        for kind in (SORT, HOT):
+            if kind not in held:
+                continue
+            met = [_with_text(b, n, 6, length) if again else (_unpacked(b, n, 6), None) for b, n in held[kind]]
+            anchor, unit, doc, row, start, windows = (np.concatenate(c) for c in zip(*[m[0] for m in met], strict=True))
+            first, gone = _first_of_equals(anchor, unit, doc, start)
             out += _rows(REPEATS, doc[gone], row[gone], [start[gone], windows[gone]])
-            first = by[head]
-            _, of, size = np.unique(anchor[first], return_inverse=True, return_counts=True)
-            hot = size[of] > hot_units
-            for kind, own in ((SORT, first[~hot]), (HOT, first[hot])):
-                out += _rows(kind, doc[own], row[own], [anchor[own], start[own], windows[own]])
+            units = _sizes_of(anchor[first])
+            hot = np.full(len(first), kind == HOT)
+            if kind == SORT:
+                hot |= units > hot_units
+                if marks:
+                    hot |= np.isin(anchor[first], np.concatenate(marks))
+            if last:
+                hot[:] = False
+            for to, own in ((SORT, first[~hot & (units > 1)]), (HOT, first[hot])):
+                if not again:
+                    out += _rows(to, doc[own], row[own], [anchor[own], start[own], windows[own]])
+                elif len(own):
+                    text = _taken(np.concatenate([m[1] for m in met]), _begin(windows, length)[own], windows[own] + length - 1)
+                    out.append((0, 0, int(pdf["part"].iloc[0]), to, len(own), _text_blob([c[own] for c in (anchor, doc, row, start, windows)], text)))
         return _frame(out)
 
     return run
@@ -373,110 +456,66 @@ def _cut_out(parts: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            units: list[tuple[int, int, int, int, int, bytes]] = []
-            seen: dict[bytes, tuple[int, int, int]] = {}
-            extra: list[tuple[int, int, int]] = []
-            for doc, row, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            raw = [t.encode() for t in batch.column(2).to_pylist()]
+            base = np.cumsum([0, *[len(r) for r in raw[:-1]]])
+            numbers = []
+            for doc, row, at, asked in zip(ids, rows, base.tolist(), batch.column(3).to_pylist(), strict=True):
                 for ask in asked:
-                    for anchor, start, windows in np.frombuffer(ask["payload"], np.int64).reshape(3, -1).T.tolist():
-                        if ask["kind"] == SORT:
-                            units.append((anchor, doc, row, start, windows, raw[start : start + windows + length - 1]))
-                            continue
-                        for at in range(start, start + windows):
-                            window = raw[at : at + length]
-                            held = seen.setdefault(window, (doc, at, row))
-                            if (doc, at) < held[:2]:
-                                seen[window] = (doc, at, row)
-                                extra.append(held)
-                            elif (doc, at) > held[:2]:
-                                extra.append((doc, at, row))
-            for window, (doc, at, row) in seen.items():
-                name = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                units.append((name, doc, row, at, 1, window))
-            rows: list[tuple[int, int, int, bytes]] = []
-            if units:
-                numbers = np.array([u[:5] for u in units], np.int64)
-                shard = _mixed_array(numbers[:, 0]) % np.uint64(parts)
-                for s in np.unique(shard).tolist():
-                    own = np.flatnonzero(shard == s)
-                    texts = pa.compress(b"".join(units[i][5] for i in own.tolist()), codec="zstd", asbytes=True)
-                    rows.append((s, SORT, len(own), len(texts).to_bytes(8, "little") + texts + _packed(*numbers[own].T)))
-            if extra:
-                e = np.array(extra, np.int64)
-                rows += _blobs(e[:, 0].view(np.uint64) % np.uint64(parts), REPEATS, [e[:, 0], e[:, 2], e[:, 1], np.ones(len(e), np.int64)])
-            if rows:
-                yield _blob_batch(rows)
+                    anchor, start, windows = np.frombuffer(ask["payload"], np.int64).reshape(3, -1)
+                    numbers.append(np.stack([anchor, np.full(len(start), doc), np.full(len(start), row), start, windows, start + at, np.full(len(start), ask["kind"])]))
+            own = np.concatenate(numbers, axis=1)
+            out = []
+            for kind in (SORT, HOT):
+                chosen = own[:, own[6] == kind]
+                out += _blobs(_mixed_array(chosen[0]) % np.uint64(parts), kind, list(chosen[:5]), (np.frombuffer(b"".join(raw), np.uint8), chosen[5]), length)
+            yield _blob_batch(out)
 
     return run
 
 
-def _mixed_array(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mixed(x.view(np.uint64) if x.flags.c_contiguous else np.ascontiguousarray(x).view(np.uint64))
-
-
 def _sorted_shard(length: int, symbols: int):
     def run(pdf):
         out, numbers, texts = [], [], []
-        for kind, n, payload in zip(pdf["kind"], pdf["n"], pdf["payload"], strict=True):
-            if kind == REPEATS:
-                doc, row, start, windows = _unpacked(payload, n, 4)
-                out += _rows(REPEATS, doc, row, [start, windows])
-                continue
-            size = int.from_bytes(payload[:8], "little")
-            own = np.stack(_unpacked(payload[8 + size :], n, 5), axis=1)
-            raw = np.frombuffer(pa.decompress(payload[8 : 8 + size], decompressed_size=int((own[:, 4] + length - 1).sum()), codec="zstd"), np.uint8)
-            numbers.append(own)
-            texts.append(raw)
-        if numbers:
-            own, text = np.concatenate(numbers), np.concatenate(texts)
-            sizes = own[:, 4] + length - 1
-            begin = np.cumsum(sizes) - sizes
-            order = np.lexsort((own[:, 3], own[:, 1], own[:, 0]))
-            found = []
-            for chosen in _shares(own[order, 0], sizes[order], symbols):
-                at = order[chosen]
-                spread = np.repeat(begin[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at]) + np.arange(int(sizes[at].sum()))
-                unit, shift = repeated_windows(text[spread], own[at, 4], own[at, 1], own[at, 3], length)
-                unit = at[unit]
-                found.append(np.stack([own[unit, 1], own[unit, 2], own[unit, 3] + shift], axis=1))
-            f = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-            f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
-            if len(f):  # windows side by side are one run
-                new = np.append(True, (f[1:, 0] != f[:-1, 0]) | (f[1:, 1] != f[:-1, 1]) | (f[1:, 2] > f[:-1, 2] + 1))
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(f)) - 1
-                out += _rows(REPEATS, f[first, 0], f[first, 1], [f[first, 2], f[last, 2] - f[first, 2] + 1])
+        for n, payload in zip(pdf["n"], pdf["payload"], strict=True):
+            own, text = _with_text(payload, n, 5, length)
+            numbers.append(np.stack(own, axis=1))
+            texts.append(text)
+        own, text = np.concatenate(numbers), np.concatenate(texts)
+        sizes = own[:, 4] + length - 1
+        begin = np.cumsum(sizes) - sizes
+        order = np.lexsort((own[:, 3], own[:, 1], own[:, 0]))
+        found = [np.empty((0, 3), np.int64)]
+        for chosen in _shares(own[order, 0], sizes[order], symbols):
+            at = order[chosen]
+            unit, shift = repeated_windows(_taken(text, begin[at], sizes[at]), own[at, 4], own[at, 1], own[at, 3], length)
+            unit = at[unit]
+            found.append(np.stack([own[unit, 1], own[unit, 2], own[unit, 3] + shift], axis=1))
+        f = np.concatenate(found)
+        f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
+        if len(f):  # windows side by side are one run
+            new = np.append(True, (f[1:, 0] != f[:-1, 0]) | (f[1:, 1] != f[:-1, 1]) | (f[1:, 2] > f[:-1, 2] + 1))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(f)) - 1
+            out = _rows(REPEATS, f[first, 0], f[first, 1], [f[first, 2], f[last, 2] - f[first, 2] + 1])
         return _frame(out)
 
     return run
 
 
 def _shares(anchor: np.ndarray, sizes: np.ndarray, symbols: int) -> Iterator[np.ndarray]:
-    """Units, sorted by anchor and place, in shares of about ``symbols`` bytes.
-
-    An anchor's units stay together. One that is over the size alone (equal
-    windows of hot units, gathered from many tasks) is taken in several shares
-    that each begin with its first unit, the earliest.
-    """
-    ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
-    begin = np.append(0, ends[:-1])
+    """Units, sorted by anchor and place, in shares of about ``symbols`` bytes; an anchor's units stay together."""
+    begin = np.append(0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1)
     total = np.add.reduceat(sizes, begin)
-    held, weight = [], 0
+    ends = np.append(begin[1:], len(anchor))
+    start, weight = 0, 0
     for s, e, w in zip(begin.tolist(), ends.tolist(), total.tolist(), strict=True):
-        if held and weight + w > symbols:
-            yield np.concatenate(held)
-            held, weight = [], 0
-        if w > symbols:
-            step = max(1, symbols // int(sizes[s:e].max()) - 1)
-            for k in range(s + 1, e, step):
-                yield np.append(s, np.arange(k, min(e, k + step)))
-        else:
-            held.append(np.arange(s, e))
-            weight += w
-    if held:
-        yield np.concatenate(held)
+        if weight and weight + w > symbols:
+            yield np.arange(start, s)
+            start, weight = s, 0
+        weight += w
+    if weight:
+        yield np.arange(start, e)
 
 
 def _cut(length: int):
@@ -504,19 +543,39 @@ def _cut(length: int):
     return run
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_units: int = 0, symbols: int = SHARD_SYMBOLS) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_units: int = 0, symbols: int = SHARD_SYMBOLS, part_text: int = PART_TEXT) -> DataFrame:
     """Every document without its repeated bytes: doc_id, kept (binary), n_bytes, n_removed, n_spans."""
     spark = docs.sparkSession
-    parts = partitions(spark)
-    hot_units = hot_units or max(2, symbols // (2 * length - min(ANCHOR, length)))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), -(-total // part_text))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
-    found = arrow_map(keyed.select("id", "row", "text"), _find(parts, length), BLOB)
-    asked = saved(found.groupBy("part").applyInPandas(_meet(hot_units), ROWS), "units")
-    requests = asked.where(F.col("kind") != REPEATS).groupBy(F.col("doc_id").alias("id"), "row").agg(F.collect_list(F.struct("kind", "payload")).alias("asked"))
-    wanted = keyed.join(requests.hint("shuffle_hash"), ["id", "row"]).select("id", "row", "text", "asked")
-    shards = arrow_map(wanted, _cut_out(parts, length), BLOB).groupBy("part").applyInPandas(_sorted_shard(length, symbols), ROWS)
-    repeats = asked.where(F.col("kind") == REPEATS).unionByName(shards).groupBy(F.col("doc_id").alias("id"), "row").agg(F.collect_list("payload").alias("found"))
-    rows = keyed.join(repeats.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", "found")
+
+    def meet(found: DataFrame, anchor: int, again: bool) -> DataFrame:
+        most = hot_units or max(2, symbols // (2 * length - anchor))
+        met = found.repartition(parts, "part").groupBy("part").applyInPandas(_meet(most, length, again, anchor == length), MET)
+        return saved(met, f"units-{anchor}")
+
+    first, *more = levels(length)
+    met = meet(arrow_map(keyed.select("id", "row", "text"), _find(parts, length, first, False), BLOB), first, False)
+    asked = met.where(F.col("kind") != REPEATS).select(F.col("doc_id").alias("id"), "row", F.struct("kind", "payload").alias("ask"))
+    asked = asked.repartition(parts, "id", "row").groupBy("id", "row").agg(F.collect_list("ask").alias("asked"))
+    wanted = keyed.repartition(parts, "id", "row").join(asked.hint("shuffle_hash"), ["id", "row"]).select("id", "row", "text", "asked")
+    units = arrow_map(wanted, _cut_out(parts, length), BLOB)
+    repeats = met.where(F.col("kind") == REPEATS)
+    if more and not met.where(F.col("kind") == HOT).isEmpty():
+        units = saved(units, "texts")
+        hot, units = units.where(F.col("kind") == HOT), units.where(F.col("kind") == SORT)
+        for anchor in more:
+            met = meet(arrow_map(hot.select("n", "payload"), _find(parts, length, anchor, True), BLOB), anchor, True)
+            units = units.unionByName(met.where(F.col("kind") == SORT).select("part", "kind", "n", "payload"))
+            repeats = repeats.unionByName(met.where(F.col("kind") == REPEATS))
+            hot = met.where(F.col("kind") == HOT)
+            if anchor == length or hot.isEmpty():
+                break
+    shards = units.repartition(parts, "part").groupBy("part").applyInPandas(_sorted_shard(length, symbols), MET)
+    repeats = repeats.unionByName(shards).select(F.col("doc_id").alias("id"), "row", "payload")
+    repeats = repeats.repartition(parts, "id", "row").groupBy("id", "row").agg(F.collect_list("payload").alias("found"))
+    rows = keyed.repartition(parts, "id", "row").join(repeats.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", "found")
     return arrow_map(rows, _cut(length), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 

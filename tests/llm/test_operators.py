@@ -437,3 +437,22 @@ def test_suffix_dedup(spark, monkeypatch, length, hot, symbols):
     out = suffix_dedup.cut_repeats(df.repartition(3), length, hot, symbols)
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()) == brute_cut(rows, length)
     assert suffix_dedup.cut_repeats(empty(df)).count() == 0
+
+
+@pytest.mark.parametrize(("loud", "hot", "symbols"), [(3, 4, 3000), (1000, 4, 3000), (3, 0, 1 << 19)])
+def test_suffix_dedup_crowded_anchors(spark, monkeypatch, loud, hot, symbols):
+    """One passage in many contexts and a large group of near copies: windows are named anew by longer anchors."""
+    monkeypatch.setattr(suffix_dedup, "LOUD_UNITS", loud)
+    r = np.random.default_rng(3)
+    letters = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    passage, base = letters(160), letters(700)
+    rows = [(i, letters(int(r.integers(0, 90))) + passage + letters(int(r.integers(0, 90)))) for i in range(40)]
+    for i in range(40, 80):
+        copy = list(base)
+        for at in r.integers(0, len(base), 6):
+            copy[at] = "?"
+        rows.append((i, "".join(copy)))
+    rows += [(80, base), (81, base), (82, ""), (83, None), (84, base * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = suffix_dedup.cut_repeats(df, 100, hot, symbols, part_text=4000)
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in out.collect()) == brute_cut(rows, 100)
