@@ -2,34 +2,39 @@
 
 Every rule rejects documents whose value is over a cutoff. Cutoffs are not
 set by hand: labelled good documents, held out for this, bound how often a
-cutoff rejects wrongly. Per stratum and rule the cutoffs are tested from the
-most lenient on; one is certified if the exact (Clopper-Pearson) upper bound
-of its false-rejection rate, at confidence 1 - delta / (rules * strata), is at
-most alpha / rules, and testing stops at the first that is not (a fixed
-sequence needs no further correction). So with probability 1 - delta all
-rules together reject at most a share alpha of the good documents of every
-stratum. Of the certified cutoffs a rule takes the most lenient of those that
-reject most bad documents, each falsely rejected one counting ``COST`` times.
-A rule without a certified cutoff rejects nothing, as where a stratum has too
-few labels.
+set of cutoffs rejects wrongly. Per stratum the sets form one chain from the
+most lenient on, each tightening one rule by one cutoff. The chain's order is
+taken from all other documents of the stratum alone (bad ones and those
+without a label): next comes the step that adds most bad documents for each
+other one. Along the chain a set is certified if the exact (Clopper-Pearson)
+upper bound of its false-rejection rate, at confidence 1 - delta / strata, is
+at most alpha, and testing stops at the first that is not: a fixed sequence
+needs no further correction, and strata are corrected by Bonferroni. So with
+probability 1 - delta all rules together reject at most a share alpha of the
+good documents of every stratum. Of the certified sets that one is taken that
+rejects most bad documents, each falsely rejected one counting ``COST`` times.
+
+Only strata with good documents enough to certify anything are tested, and
+only they count as strata; how many labels there are says nothing about the
+documents' values. In the others just the base rules reject.
 
 Scale: texts are read once and become a row of numbers, which is written;
-labels meet those numbers in one join and shrink to counts by (stratum, rule,
-level, label) before anything reaches the driver. Strata whose labels cannot
-certify anything are left out of that.
-
-Cases: a null or empty text has no words and fails the base rules; a null
-stratum is one of its own; null labels and those of missing documents are
-passed over, of several for one document the smallest counts; rows that
-repeat count each; ties on a cutoff are not over it; other columns are not
-read; a table without rows gives none.
+labels meet those numbers in one join and shrink to counts by stratum, label
+and the number of cutoffs that each rule's value is over (52,650 combinations
+at most) before anything reaches the driver, for tested strata only.
+
+Cases: a null or empty text has no words and fails the base rules; very long
+texts are read whole; a null stratum is one of its own; null labels and those
+of missing documents are passed over, of several for one document the smallest
+counts; rows that repeat count each; ties on a cutoff are not over it; other
+columns, whatever their names, are not read; a table without rows gives none.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,20 +110,61 @@ def upper_bound(k: int, n: int, confidence: float) -> float:
     return high
 
 
-def choose(good: list[int], bad: list[int], alpha: float, confidence: float) -> int | None:
-    """Which cutoff a rule takes. good[i], bad[i]: labelled documents that are over i cutoffs exactly."""
-    n, best, at = sum(good), 0.0, None
+Levels = tuple[int, ...]  # for each rule how many of its cutoffs a value is over, or how many are in use
+
+
+def rejected(levels: Levels, state: Levels) -> list[bool]:
+    """Which rules reject a document whose values are over ``levels`` cutoffs when the first ``state`` are in use."""
+    return [over + used > len(cutoffs) for over, used, (_, cutoffs) in zip(levels, state, RULES.values(), strict=True)]
+
+
+def chain(bad: Mapping[Levels, int], others: Mapping[Levels, int]) -> list[Levels]:
+    """Sets of cutoffs, each tightening one rule by one: next the step that adds most bad documents for each other one."""
+    state, out = (0,) * len(RULES), []
+    bad, others = dict(bad), dict(others)
+    sizes = [len(cutoffs) for _, cutoffs in RULES.values()]
+    while True:
+        open_rules = [r for r in range(len(sizes)) if state[r] < sizes[r]]
+        if not open_rules:
+            return out
+        worth = {}
+        for r in open_rules:
+            new = sizes[r] - state[r]  # values over this many cutoffs are rejected by the step
+            worth[r] = (sum(c for v, c in bad.items() if v[r] >= new) + 0.5) / (sum(c for v, c in others.items() if v[r] >= new) + 1)
+        best = max(open_rules, key=lambda r: (worth[r], -r))
+        new = sizes[best] - state[best]
+        bad, others = ({v: c for v, c in counts.items() if v[best] < new} for counts in (bad, others))
+        state = tuple(n + (r == best) for r, n in enumerate(state))
+        out.append(state)
+
+
+def choose(states: list[Levels], good: Mapping[Levels, int], bad: Mapping[Levels, int], alpha: float, confidence: float) -> Levels | None:
+    """The set of cutoffs to use, of those that the good documents certify."""
+    n, best, at = sum(good.values()), 0.0, None
     if not n:
         return None
-    for i in range(len(good) - 1):  # a document over the i-th cutoff is over all later ones
-        wrong, right = sum(good[len(good) - 1 - i :]), sum(bad[len(bad) - 1 - i :])
+    for state in states:
+        wrong, right = (sum(c for v, c in counts.items() if any(rejected(v, state))) for counts in (good, bad))
         if wrong > alpha * n or upper_bound(wrong, n, confidence) > alpha:
             break
         if right - COST * wrong > best:
-            best, at = right - COST * wrong, i
+            best, at = right - COST * wrong, state
     return at
 
 
+def needed(alpha: float, delta: float, strata: int) -> int:
+    """Good documents without which nothing is certified in one of several strata."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-alpha))
+
+
+def tested(good: Mapping[str | None, int], alpha: float, delta: float) -> list[str | None]:
+    """As many strata as have good documents enough for so many to be tested."""
+    order = sorted(good, key=lambda s: (-good[s], s is not None, s or ""))
+    while order and good[order[-1]] < needed(alpha, delta, len(order)):
+        order.pop()
+    return order
+
+
 def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
@@ -126,23 +172,21 @@ def base_failed() -> F.Column:
 def certified(numbers: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
     """Cutoffs by (stratum, rule). Documents that fail the base rules teach nothing about the others."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = numbers.where(~base_failed()).join(marks, "doc_id")
-    level = lambda name: sum((F.coalesce(F.expr(RULES[name][0]) > F.lit(c), F.lit(False)).cast("int") for c in RULES[name][1]), F.lit(0))
-    rows = known.select("stratum", (F.col("quality") == 1).alias("good"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES])).alias("r"))
-    counts = rows.groupBy("stratum", "r.rule", "r.level", "good").count()
-    strata = numbers.select("stratum").distinct().count()
-    confidence = 1 - delta / (len(RULES) * max(1, strata))
-    least = math.log(1 - confidence) / math.log1p(-alpha / len(RULES))  # good documents without which nothing is certified
-    enough = counts.where("good").groupBy("stratum").agg((F.sum("count") / len(RULES)).alias("n")).where(F.col("n") >= least)
-    held: dict[tuple[str | None, str], list[list[int]]] = {}
-    for r in counts.join(enough, counts["stratum"].eqNullSafe(enough["stratum"]), "left_semi").collect():
-        pair = held.setdefault((r["stratum"], r["rule"]), [[0] * (len(RULES[r["rule"]][1]) + 1) for _ in range(2)])
-        pair[not r["good"]][r["level"]] += r["count"]
+    over = lambda name: sum((F.coalesce(F.expr(RULES[name][0]) > F.lit(c), F.lit(False)).cast("int") for c in RULES[name][1]), F.lit(0))
+    known = numbers.where(~base_failed()).join(marks, "doc_id", "left").select("stratum", "quality", *[over(r).alias(f"over_{r}") for r in RULES])
+    counts = saved(known.groupBy("stratum", "quality", *[f"over_{r}" for r in RULES]).count(), "levels")
+    enough = counts.where("quality = 1").groupBy("stratum").agg(F.sum("count").alias("n")).where(F.col("n") >= needed(alpha, delta, 1))
+    strata = tested({r["stratum"]: r["n"] for r in enough.collect()}, alpha, delta)
+    held: dict[str | None, list[Counter]] = {s: [Counter(), Counter(), Counter()] for s in strata}  # good, bad, without a label
+    for r in counts.join(enough.select("stratum"), counts["stratum"].eqNullSafe(enough["stratum"]), "left_semi").collect():
+        if r["stratum"] in held:
+            held[r["stratum"]][2 if r["quality"] is None else 0 if r["quality"] == 1 else 1][tuple(r[f"over_{k}"] for k in RULES)] += r["count"]
     out = {}
-    for (stratum, rule), (good, bad) in held.items():
-        at = choose(good, bad, alpha / len(RULES), confidence)
-        if at is not None:
-            out[stratum, rule] = RULES[rule][1][at]
+    for stratum, (good, bad, unknown) in held.items():
+        state = choose(chain(bad, unknown), good, bad, alpha, 1 - delta / len(strata))
+        for used, (rule, (_, cutoffs)) in zip(state or (), RULES.items(), strict=False):
+            if used:
+                out[stratum, rule] = cutoffs[used - 1]
     return out
 
 
@@ -152,7 +196,7 @@ def screened(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: f
     numbers = saved(stats(docs, stratum), "stats")
     cutoffs = certified(numbers, labels, alpha, delta)
     schema = "s string, " + ", ".join(f"cut_{r} double" for r in RULES)
-    # one row for each stratum with a certified cutoff: at most labelled documents / least
+    # one row for each stratum with a certified cutoff: at most labelled documents / needed
     wide = spark.createDataFrame([(s, *[cutoffs.get((s, r)) for r in RULES]) for s in dict.fromkeys(s for s, _ in cutoffs)], schema)
     joined = numbers.join(wide, numbers["stratum"].eqNullSafe(wide["s"]), "left")
     by = F.array_compact(F.array(*[F.when(F.expr(RULES[r][0]) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
