@@ -14,18 +14,20 @@ from quarry.session import shared_dir
 #: Texts handled together in Python are cut to batches of about this many
 #: bytes, whatever number of rows Spark puts in an Arrow batch.
 BATCH_BYTES = 4 << 20
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A key with more than this share of all rows is joined by broadcast: there are at most as many of them.
+HOT_KEYS = 4096
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def arrow_rows(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes as well as rows, unless the session already does.
+    """Bounds Arrow batches by bytes before they reach Python, unless the session sets its own bound.
 
-    Documents may be very long, so the default of 10,000 rows a batch alone
-    does not bound an executor's memory.
+    Documents may be very long, so a number of rows does not bound an executor's memory.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get(BYTES) == "67108864b":  # Spark's default
+        spark.conf.set(BYTES, str(4 * BATCH_BYTES))
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -97,6 +99,21 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def with_values(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the one row of ``values`` of their key; values has ``n``, how many of ``total`` rows have that key.
+
+    Keys that hold over a share of 1 / HOT_KEYS of all rows would each fill one
+    task; there are HOT_KEYS of them at most, so those are broadcast.
+    """
+    from pyspark.sql import functions as F
+
+    least = max(1, total // HOT_KEYS)
+    hot = F.broadcast(values.where(F.col("n") > least).drop("n").withColumn("is_hot", F.lit(True)))
+    both = rows.join(hot, key, "left")
+    cold = both.where(F.col("is_hot").isNull()).select(*rows.columns).join(values.where(F.col("n") <= least).drop("n"), key)
+    return both.where(F.col("is_hot").isNotNull()).drop("is_hot").unionByName(cold)
+
+
 def carried(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, str, list[str]]:
     """doc_id, text and, as one struct, the columns to be carried along; its part of a schema; its name."""
     from pyspark.sql import functions as F

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, blocks, saved
+from quarry.llm.common import arrow_map, blocks, saved, with_values
 from quarry.llm.components import components
 from quarry.session import table
 
@@ -337,22 +337,23 @@ def near_copies(docs: DataFrame, k: int = 5, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp and component_id: texts link where their sets of k-word shingles are alike by SIMILARITY or more."""
     prints = saved(sampled_fingerprints(docs, k), "prints")
     different = prints.select("fp", "own", "samples").distinct()
-    found = saved(verified(docs, prints, components(candidates(different, budget)), k), "groups")
-    rows = prints.select("doc_id", "fp", "own").join(found, "own", "left").select("doc_id", "fp", F.coalesce("group", "own").alias("group"))
-    rows = saved(rows, "grouped")
-    return rows.join(rows.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "fp", "component_id")
+    found = verified(docs, prints, components(candidates(different, budget)), k)
+    sets = saved(prints.groupBy("own").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).join(found, "own", "left").select("own", "n", "least", F.coalesce("group", "own").alias("group")), "sets")
+    groups = sets.groupBy("group").agg(F.min("least").alias("component_id"))
+    of = saved(sets.join(groups, "group").select("own", "n", "component_id"), "groups")
+    return with_values(prints.select("doc_id", "fp", "own"), of, "own", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def grouped(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
     """Adds component_id to documents' fingerprints (doc_id, fp; a written table)."""
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "fingerprints")
     roots = components(links(distinct.select("fp"), budget, crowd))
-    linked = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
+    linked = roots.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     # only fingerprints with links need the join by root; the rest are their own component
-    of = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(of, "fp")
+    of = saved(distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "components")
+    return with_values(prints, of, "fp", prints.count())
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
