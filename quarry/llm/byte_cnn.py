@@ -6,17 +6,20 @@ a document's chunks, the maximum and the mean of the pooled responses go
 through a small dense layer to one probability. Nothing but the text is an
 input of the score.
 
-Training takes at most ``max_labelled`` labelled documents, those with the
-smallest hashes of doc_id, and at most ``max_chunks`` chunks of each, spread
-evenly over its whole text; both bounds are parameters, so the training set
-fits the driver at any size of corpus. Scoring reads every byte of every
-document and needs no shuffle: the weights (some 40 kB) are all that is sent.
+Training takes the labelled documents with the smallest hashes of doc_id, each
+with its whole text, up to ``max_labelled`` of them and up to ``max_bytes``
+bytes in all; both bounds are parameters, so the training set fits the driver
+at any size of corpus. Scoring reads every byte of every document, in blocks of
+bounded size however long it is, and needs no shuffle: the weights (some 40 kB)
+are all that is sent.
 
 Cases: a null or empty text is one chunk of padding and gets a score; labels
 that are null, or of documents that are not there, teach nothing; of several
 labels of one document the smallest counts; with no labels, or labels of one
 kind only, every score is that kind's share (0.5 without any). A null doc_id
-is never held out. Other columns are not read.
+is never held out; rows that repeat a doc_id teach once and are scored each; a
+score of exactly 0.5 predicts 1; a table without rows gives none. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_map, blocks, carried
 from quarry.session import table
 
 CHUNK, OVERLAP, WIDTH, STEP, DEPTH, FILTERS, HIDDEN = 512, 64, 8, 2, 8, 32, 16
-MAX_LABELLED, MAX_CHUNKS, STEPS, BATCH, RATE, SEED = 4000, 24, 600, 32, 0.01, 20
+MAX_LABELLED, MAX_BYTES, STEPS, BATCH, RATE, SEED = 4000, 64 << 20, 600, 32, 0.01, 20
 
 
 def chunks_of(text: bytes) -> np.ndarray:
@@ -126,7 +129,8 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, see
 def _gradient(net: Network, documents: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
     codes, sizes = np.concatenate(documents), np.array([len(d) for d in documents])
     starts = np.cumsum(np.append(0, sizes[:-1]))
-    pooled, at = net.pooled(codes, where=True)
+    found = [net.pooled(codes[k : k + 256], where=True) for k in range(0, len(codes), 256)]
+    pooled, at = (np.concatenate(c) for c in zip(*found, strict=True))
     p, features, hidden = net.head(pooled, starts)
     d_logit = (p - labels) / len(labels)
     d_hidden = np.outer(d_logit, net.out) * (hidden > 0)
@@ -135,11 +139,14 @@ def _gradient(net: Network, documents: list[np.ndarray], labels: np.ndarray) ->
     top = pooled == features[of, :FILTERS]
     ties = np.add.reduceat(top.astype(np.float32), starts, axis=0)
     d_pooled = (d_features[of, :FILTERS] * top / ties[of] + d_features[of, FILTERS:] / sizes[of, None]) * (pooled > 0)
-    seen = codes[np.arange(len(codes))[:, None, None], at[:, :, None] * STEP + np.arange(WIDTH)]  # (chunk, filter, place)
-    patches = net.embed[seen].reshape(len(codes), FILTERS, -1)
-    d_filters = np.einsum("cf,cfk->kf", d_pooled, patches, optimize=True)
-    back = (d_pooled[:, :, None] * net.filters.T[None]).reshape(-1, DEPTH)
-    d_embed = np.stack([np.bincount(seen.ravel(), back[:, k], 257) for k in range(DEPTH)], axis=1)
+    d_filters, d_embed = np.zeros_like(net.filters), np.zeros((257, DEPTH))
+    for k in range(0, len(codes), 256):
+        own, d_own = slice(k, k + 256), d_pooled[k : k + 256]
+        seen = codes[own][np.arange(len(d_own))[:, None, None], at[own][:, :, None] * STEP + np.arange(WIDTH)]  # (chunk, filter, place)
+        patches = net.embed[seen].reshape(len(d_own), FILTERS, -1)
+        d_filters += np.einsum("cf,cfk->kf", d_own, patches, optimize=True)
+        back = (d_own[:, :, None] * net.filters.T[None]).reshape(-1, DEPTH)
+        d_embed += np.stack([np.bincount(seen.ravel(), back[:, c], 257) for c in range(DEPTH)], axis=1)
     return [d_embed.astype(np.float32), d_filters, d_pooled.sum(axis=0), features.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ d_logit, np.array([d_logit.sum()])]
 
 
@@ -147,24 +154,18 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chunks: int = MAX_CHUNKS, steps: int = STEPS) -> Network:
-    """Learns from rows of labels (doc_id, quality) that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES, steps: int = STEPS) -> Network:
+    """Learns from rows of labels (doc_id, quality) that are not held out, each document's whole text."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
-                codes = chunks_of((text or "").encode())
-                out.append(codes[np.unique(np.linspace(0, len(codes) - 1, max_chunks).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["doc_id", "codes", "quality"])
-
     # at most max_labelled rows of two numbers: bounded, so it may be broadcast
-    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
-    rows = arrow_map(taught, run, "doc_id long, codes binary, quality int").dropDuplicates(["doc_id"]).collect()
+    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").cast("int").alias("quality"))
+    # the same few rows, in one order: a running total of their bytes
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    upto = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = taught.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("upto") == size)).select("doc_id", "text", "quality").collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["codes"], np.int16).reshape(-1, CHUNK) for r in rows], np.array([r["quality"] for r in rows], np.float32), steps)
+    return fit([chunks_of((r["text"] or "").encode()) for r in rows], np.array([r["quality"] for r in rows], np.float32), steps)
 
 
 def scored(docs: DataFrame, network: Network, carry: tuple[str, ...] = ()) -> DataFrame:
