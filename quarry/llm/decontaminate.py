@@ -15,13 +15,17 @@ therefore holds about the contaminated text alone.
 
 Scale: one pass over the documents without a shuffle; what is sent along is
 the test set, whose size is checked (``MAX_TEST_WORDS``); larger test sets
-are taken in parts of that size, one after another. A result holds one
+are taken in parts of that size, one after another: each part is one pass that
+leaves its hits with the texts for the next, so neither the driver nor a worker
+ever holds two parts. A result holds one
 element for each pair of item and document that match, never one for each
 occurrence.
 
 Cases: null or empty texts have no words; an item with fewer words than the
 window is one window, an item without words none; repeated items and rows
-count each; a null item_id shows nowhere; other columns are not read.
+count each; a null item_id shows nowhere; very long texts are searched whole;
+without documents there are no rows, without items no hits; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, blocks, carried
+from quarry.llm.common import arrow_map, blocks, carried, saved
 from quarry.session import table
 
 WINDOW = 10
@@ -146,48 +150,49 @@ _opened: dict[tuple, TestSuffixes] = {}
 
 
 def _open(load, window: int) -> TestSuffixes:
-    """A worker keeps a few parts of the test set ready."""
+    """A worker keeps the part of the test set that it searched for last."""
     name, items = load.value
     if (name, window) not in _opened:
-        while len(_opened) >= 4:
-            _opened.pop(next(iter(_opened)))
+        _opened.clear()
         _opened[name, window] = TestSuffixes(items, window)
     return _opened[name, window]
 
 
-MATCHED = "doc_id long, text string, n_words long, n_hit long, matches array<struct<item_id:long,words:int,at:int>>"
+MATCHED = "doc_id long, text string, n_words long, n_hit long, marks binary, matches array<struct<item_id:long,words:int,at:int>>"
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_test_words: int = MAX_TEST_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its hit words and, for each matching item, the longest verbatim match."""
     spark = docs.sparkSession
     rows, schema, carried_names = carried(docs, carry)
-    bound = max_test_words * 8
+    none = F.array().cast("array<struct<item_id:long,words:int,at:int>>")
+    rows = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("marks"), none.alias("matches"), *carried_names)
     size = benchmark.agg(F.sum(F.length("text"))).head()[0] or 0
-    parts = max(1, -(-size // bound))
+    parts = max(1, -(-size // (max_test_words * 8)))
     tests = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    loads = []
     for k in range(parts):  # each part is bounded by max_test_words, so each may be sent to all
         own = tests if parts == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        loads.append(spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["item_id"], r["text"]) for r in own.collect()), key=str))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            own_words = [words_of(t) for t in batch.column(1).to_pylist()]
-            matches: list[list[dict]] = [[] for _ in own_words]
-            hit: np.ndarray | None = None
-            for load in loads:
+        load = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["item_id"], r["text"]) for r in own.collect()), key=str)))
+
+        def run(batches: Iterator[pa.RecordBatch], load=load) -> Iterator[pa.RecordBatch]:
+            for batch in blocks(batches):
+                own_words = [words_of(t) for t in batch.column(1).to_pylist()]
                 search = _open(load, window)
-                found, longest = _hits(search, own_words)
-                hit = found if hit is None else hit | found
-                for own, of in zip(matches, longest, strict=True):
-                    own += [{"item_id": search.item_ids[i], "words": n, "at": at} for i, (n, at) in of.items()]
-            counts = np.array([len(own) for own in own_words])
-            n_hit = np.add.reduceat(hit, np.cumsum(counts + 1) - counts - 1, dtype=np.int64)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("at", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(matches, kind), *batch.columns[2:]], names=["doc_id", "text", "n_words", "n_hit", "matches", *carried_names])
-
-    return arrow_map(rows, run, MATCHED + schema)
+                hit, longest = _hits(search, own_words)
+                matches = batch.column(3).to_pylist()
+                for held, of in zip(matches, longest, strict=True):
+                    held += [{"item_id": search.item_ids[i], "words": n, "at": at} for i, (n, at) in of.items()]
+                ends = np.cumsum([len(own) + 1 for own in own_words])
+                bits = [hit[e - len(own) - 1 : e - 1] for e, own in zip(ends.tolist(), own_words, strict=True)]
+                bits = [b if m is None else b | np.unpackbits(np.frombuffer(m, np.uint8), count=len(b)).astype(bool) for b, m in zip(bits, batch.column(2).to_pylist(), strict=True)]
+                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("at", pa.int32())]))
+                counts = [pa.array([len(b) for b in bits], pa.int64()), pa.array([int(b.sum()) for b in bits], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array([np.packbits(b).tobytes() if b.any() else None for b in bits], pa.binary()), pa.array(matches, kind), *batch.columns[4:]], names=["doc_id", "text", "n_words", "n_hit", "marks", "matches", *carried_names])
+
+        rows = arrow_map(rows, run, MATCHED + schema)
+        if k < parts - 1:
+            rows = saved(rows, "matched").select("doc_id", "text", "marks", "matches", *carried_names)
+    return rows.drop("marks")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:

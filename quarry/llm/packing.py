@@ -12,7 +12,7 @@ counts and the stacks of open bins per gap. What a shard leaves badly filled
 (a few bins each) is dealt anew to fewer shards and packed once more, until
 one shard is left or nothing is gained.
 
-Cases: a null or empty text is a document of the end id alone; a document of
+Cases: very long texts are cut into pieces of one capacity; a null or empty text is a document of the end id alone; a document of
 exactly ``capacity`` tokens is one piece that fills a sequence; a table
 without rows gives none; rows that repeat a doc_id are packed each on its own.
 A null doc_id stays null. Columns other than doc_id and text are not read.
@@ -99,7 +99,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bin_of, offset_of
 
 
-PACKED = PIECES + ", sequence_id long, offset long"
+PACKED = PIECES + ", sequence_id long, offset long, poor boolean"
 
 
 def _deal(rows: DataFrame, shards: int) -> DataFrame:
@@ -115,20 +115,20 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     def packer(turn: int):
         def run(key, pdf):
             bins, offsets = sum_of_squares(pdf["length"].to_numpy(np.int64), capacity)
-            return pdf.drop(columns=["shard"]).assign(sequence_id=(turn << 56) + (int(key[0]) << 30) + bins, offset=offsets)
+            fill = np.bincount(bins, pdf["length"])[bins]
+            return pdf.drop(columns=["shard"]).assign(sequence_id=(turn << 56) + (int(key[0]) << 30) + bins, offset=offsets, poor=fill < capacity * 3 // 4)
 
         return run
 
     while True:
         packed = _deal(rows, shards).groupBy("shard").applyInPandas(packer(turn), PACKED)
         if shards == 1:
+            packed = packed.drop("poor")
             return packed if done is None else done.unionByName(packed)
         packed = saved(packed, "packed")
-        fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-        poor = fill.where(F.col("fill") < capacity * 3 // 4).select("sequence_id")
-        kept = packed.join(poor, "sequence_id", "left_anti").select(*packed.columns)
+        kept = packed.where(~F.col("poor")).drop("poor")
         done = kept if done is None else done.unionByName(kept)
-        rows = saved(packed.join(poor, "sequence_id", "left_semi").drop("sequence_id", "offset"), "poor")
+        rows = packed.where("poor").drop("sequence_id", "offset", "poor")
         shards, turn = min(shards - 1, max(1, -(-rows.count() // shard_pieces))), turn + 1
 
 

@@ -19,7 +19,8 @@ range partition that writes their shard. A task holds one shard
 name and renamed, and their bytes depend on the table of sequences alone, so
 a task that is run again leaves the same file.
 
-Cases: a null or empty text is an end id alone; a table without rows gives no
+Cases: very long texts run on over sequences; a vocabulary with ids over the
+stored width is an error; a null or empty text is an end id alone; a table without rows gives no
 shard; repeated rows are written each; a null doc_id is written like any
 other; other columns are not read.
 """
@@ -224,8 +225,17 @@ def read_slots(folder: str, first: int, count: int, seq_len: int = SEQ_LEN, widt
     return np.concatenate(out) if out else np.empty((0, seq_len), f"<u{width}")
 
 
+def checked_width(tokenizer: str, width: int) -> int:
+    """Bytes of a stored id, unless the vocabulary has ids that need more."""
+    most = max(ids_of(tokenizer).tokenizer.get_vocab().values(), default=0)
+    if most >> 8 * width:
+        raise ValueError(f"ids up to {most} do not fit in {width} bytes")
+    return width
+
+
 def materialized(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_len: int = SEQ_LEN, key: int = KEY, slots_per_shard: int = SLOTS_PER_SHARD, width: int = 2) -> DataFrame:
-    rows = saved(sequences(docs, tokenizer or default_tokenizer(), seq_len, width), "sequences")
+    tokenizer = tokenizer or default_tokenizer()
+    rows = saved(sequences(docs, tokenizer, seq_len, checked_width(tokenizer, width)), "sequences")
     return write_shards(slots(rows, key, slots_per_shard, seq_len, width), folder, seq_len, width, slots_per_shard)
 
 
