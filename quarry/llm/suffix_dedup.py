@@ -552,7 +552,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_units: int = 0, symbo
 
     def meet(found: DataFrame, anchor: int, again: bool) -> DataFrame:
         most = hot_units or max(2, symbols // (2 * length - anchor))
-        met = found.repartition(parts, "part").groupBy("part").applyInPandas(_meet(most, length, again, anchor == length), MET)
+        met = found.repartitionById(parts, F.col("part")).groupBy("part").applyInPandas(_meet(most, length, again, anchor == length), MET)
         return saved(met, f"units-{anchor}")
 
     first, *more = levels(length)
@@ -572,7 +572,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, hot_units: int = 0, symbo
             hot = met.where(F.col("kind") == HOT)
             if anchor == length or hot.isEmpty():
                 break
-    shards = units.repartition(parts, "part").groupBy("part").applyInPandas(_sorted_shard(length, symbols), MET)
+    shards = units.repartitionById(parts, F.col("part")).groupBy("part").applyInPandas(_sorted_shard(length, symbols), MET)
     repeats = repeats.unionByName(shards).select(F.col("doc_id").alias("id"), "row", "payload")
     repeats = repeats.repartition(parts, "id", "row").groupBy("id", "row").agg(F.collect_list("payload").alias("found"))
     rows = keyed.repartition(parts, "id", "row").join(repeats.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", "found")

@@ -60,6 +60,44 @@ def test_html_odd_pages(spark, sf):
     assert html_extract.extracted(empty(df)).count() == 0
 
 
+def _article(n):
+    words = lambda k: " ".join(["word"] * k) + "."
+    return f"<h1>Title</h1><p>{words(50)}</p><p>Short.</p><p>{words(n)}</p>", f"Title\n{words(50)}\nShort.\n{words(n)}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="no-sidebar"><nav><a href=/>Home</a></nav><article>{}</article></body>',
+        '<body class="post-template tag-social"><article>{}</article></body>',
+        '<body><div class="page-with-comments"><article>{}</article></div></body>',
+        '<body><article class="post category-legal">{}</article></body>',
+        '<body><div class="sidebar-left"><div class="menu"><a href=x>A</a></div>{}</div></body>',
+        "<body style='visibility:hidden'><main>{}</main><footer>Imprint</footer></body>",
+        '<body><article>{}<section class="user-opinions"><p>I do not agree with any of it at all.</p></section></article></body>',
+        "<body><article>{}<ul><li><a href=1>One more of these</a><li><a href=2>And another of them</a></ul></article></body>",
+        '<body><div class="sidebar"><article>A teaser of few words.</article></div><article>{}</article></body>',
+        "<body><div>Home News</div>{}<div>All rights reserved</div></body>",
+    ],
+)
+def test_html_page_shapes(page):
+    inner, want = _article(40)
+    assert html_extract.main_text(page.format(inner))[0] == want
+
+
+def test_html_tree_uses_text_and_elements():
+    """The tree splits on word counts and link densities, of blocks and of neighbours, not on elements alone."""
+    used, todo = set(), [html_extract.trained()]
+    while todo:
+        node = todo.pop()
+        if node.column >= 0:
+            used.add(html_extract.FEATURES[node.column])
+            todo += [node.low, node.high]
+    assert {"link", "words_behind", "main", "named"} <= used
+    x, y = html_extract.labelled_blocks()
+    assert len(y) < 200 and ((html_extract.trained()(x) >= 0.5) == (y > 0.5)).mean() >= 0.97
+
+
 def test_html_on_pages(spark, sf):
     import html
     import re
@@ -268,10 +306,52 @@ def test_exact_bound_and_choice():
         from math import comb
 
         assert abs(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) - 0.05) < 1e-6
-    # 3 cutoffs; 4000 good documents under all of them, 3 over the last two
-    assert quality_rules.choose([4000, 0, 0, 0], [5, 0, 30, 10], 0.01, 0.99) == 1
-    assert quality_rules.choose([10, 0, 0, 0], [0, 0, 0, 50], 0.01, 0.99) is None
-    assert quality_rules.choose([4000, 0, 300, 0], [0, 0, 50, 40], 0.01, 0.99) == 0
+
+
+def test_chain_and_choice():
+    r = random.Random(4)
+    sizes = [len(c) for _, c in quality_rules.RULES.values()]
+    draw = lambda n, high: Counter(tuple(r.randint(0, s) if r.random() < high else 0 for s in sizes) for _ in range(n))
+    bad, others, good = draw(60, 0.4), draw(400, 0.05), draw(900, 0.002)
+    states = quality_rules.chain(bad, others)
+    assert len(states) == sum(sizes) and states[-1] == tuple(sizes)
+    assert all(sum(b) == k + 1 for k, b in enumerate(states)) and all(x <= y for a, b in zip(states, states[1:], strict=False) for x, y in zip(a, b, strict=True))
+    # by brute force: walk the chain, stop at the first set that is not certified
+    n, best, want = sum(good.values()), 0, None
+    for state in states:
+        over = lambda v: any(v[k] > sizes[k] - state[k] for k in range(len(sizes)))  # noqa: E731, B023
+        wrong, right = (sum(c for v, c in counts.items() if over(v)) for counts in (good, bad))
+        if quality_rules.upper_bound(wrong, n, 0.99) > 0.02:
+            break
+        if right - quality_rules.COST * wrong > best:
+            best, want = right - quality_rules.COST * wrong, state
+    assert want is not None and quality_rules.choose(states, good, bad, 0.02, 0.99) == want
+    assert quality_rules.choose(states, Counter({(0,) * 5: 50}), bad, 0.02, 0.99) is None
+    assert quality_rules.choose(states, Counter(), bad, 0.02, 0.99) is None
+
+
+def test_tested_strata():
+    assert quality_rules.needed(0.02, 0.05, 4) == 217
+    assert quality_rules.tested({"a": 500, "b": 160, None: 150}, 0.02, 0.05) == ["a"]
+    assert quality_rules.tested({"a": 500, None: 190, "c": 10}, 0.02, 0.05) == ["a", None]
+    assert quality_rules.tested({"a": 148}, 0.02, 0.05) == [] and quality_rules.tested({}, 0.02, 0.05) == []
+
+
+def test_false_rejection_is_bounded():
+    """Of many draws of labels, at most about delta choose cutoffs that reject over alpha of all good documents."""
+    r = np.random.default_rng(6)
+    sizes = [len(c) for _, c in quality_rules.RULES.values()]
+    # true shares of good documents over 0, 1, .. cutoffs of the first two rules, so that some sets are over alpha
+    good = [(0, 0, 0, 0, 0), (1, 0, 0, 0, 0), (3, 0, 0, 0, 0), (0, 1, 0, 0, 0), (0, 4, 0, 0, 0), (5, 5, 0, 0, 0)]
+    share = np.array([0.955, 0.012, 0.008, 0.01, 0.01, 0.005])
+    states = quality_rules.chain(Counter({(9, 0, 0, 0, 0): 40, (2, 0, 0, 0, 0): 30, (0, 3, 0, 0, 0): 20}), Counter({g: int(1000 * p) for g, p in zip(good, share, strict=True)}))
+    over = {s: sum(p for g, p in zip(good, share, strict=True) if any(quality_rules.rejected(g, s))) for s in states}
+    wrong = 0
+    for _ in range(300):
+        drawn = Counter({g: int(c) for g, c in zip(good, r.multinomial(600, share), strict=True)})
+        at = quality_rules.choose(states, drawn, Counter({tuple(sizes): 100, (1, 1, 1, 1, 1): 500}), 0.02, 0.95)
+        wrong += at is not None and over[at] > 0.02
+    assert wrong <= 300 * 0.05 + 3 * (300 * 0.05 * 0.95) ** 0.5
 
 
 def test_rules_certify_with_enough_labels(spark):
@@ -280,6 +360,10 @@ def test_rules_certify_with_enough_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(3000)], "doc_id long, quality int")
     kept = {r["doc_id"] for r in quality_rules.screened(df, labels).where("kept").collect()}
     assert kept == {i for i in range(3000) if i % 10}
+    # a null stratum is one of its own; one with few labels rejects nothing
+    few = df.selectExpr("doc_id", "text", "CASE WHEN doc_id < 100 THEN 'few' END AS lang")
+    out = quality_rules.screened(few, labels)
+    assert {r["doc_id"] for r in out.where("kept").collect()} == {i for i in range(3000) if i % 10 or i < 100}
 
 
 # ---------------------------------------------------------------- 7 lines
