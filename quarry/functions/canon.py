@@ -25,6 +25,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def let(value: Column, then) -> Column:
     """``then`` of a value that is worked out once, however often it is used."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -32,7 +37,7 @@ def let(value: Column, then) -> Column:
 
 def email(raw: Column) -> Column:
     """local@domain without a tag, or null if it is malformed, a shared mailbox or a consumer domain."""
-    return let(F.trim(F.regexp_replace(ascii_lower(F.trim(raw)), "^mailto:", "")), _email)
+    return let(strip(F.regexp_replace(ascii_lower(strip(raw)), "^mailto:", "")), _email)
 
 
 def _email(s: Column) -> Column:
@@ -43,10 +48,10 @@ def _email(s: Column) -> Column:
 
 
 def host(raw: Column) -> Column:
-    s = ascii_lower(F.trim(raw))
+    s = ascii_lower(strip(raw))
     s = F.regexp_replace(s, "^(.*?://|mailto:)", "")
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "^.*@", ""), "[/?#].*$", ""), "^(.+):[0-9]*$", "$1")
-    return let(F.trim(F.regexp_replace(s, "^[.]+|[.]+$", "")), lambda h: F.when((h != "") & h.contains(".") & ~h.contains(" "), h))
+    return let(strip(F.regexp_replace(s, "^[.]+|[.]+$", "")), lambda h: F.when((h != "") & h.contains(".") & ~h.contains(" "), h))
 
 
 def registrable(name: Column) -> Column:
@@ -66,7 +71,7 @@ def domain(raw: Column) -> Column:
 
 
 def phone(raw: Column) -> Column:
-    trimmed = F.trim(raw)
+    trimmed = strip(raw)
     digits = F.regexp_replace(trimmed, "[^0-9]", "")
     plus = trimmed.startswith("+")
     abroad = ~plus & digits.startswith("00")

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import shared_dir
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a round through the folder that all executors share."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+from quarry.session import kept
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -82,8 +76,18 @@ def acl_diff(rows: DataFrame) -> DataFrame:
     return rows.withColumn("removed", F.array_sort(F.array_except("prior", "current"))).withColumn("added", F.array_sort(F.array_except("current", "prior"))).withColumn("tightened", F.size("removed") > 0)
 
 
-def fidelity(granted: DataFrame, truth: DataFrame) -> DataFrame:
-    """Verdict of every (user, record) that either side grants, and its share."""
-    g, t = granted.select("user", "record").distinct().withColumn("g", F.lit(1)), truth.select("user", "record").distinct().withColumn("t", F.lit(1))
-    verdict = F.when(F.col("g").isNull(), "missing").when(F.col("t").isNull(), "excess").otherwise("match")
-    return g.join(t, ["user", "record"], "full_outer").select("user", "record", verdict.alias("verdict"))
+def fidelity(pairs: DataFrame, granted: DataFrame, truth: DataFrame, users: DataFrame) -> DataFrame:
+    """Verdict of every audited (user, record) pair, and why one that the source lets read is hidden.
+
+    granted: pairs that are let in here; truth: pairs that the source lets read;
+    users: user, federated, view_all. Hidden pairs of users without a federated
+    identity come from that, of those with a right to view all from that, the
+    rest from sharing that is not modelled. Audited pairs that neither side
+    grants are true denials.
+    """
+    has = lambda df, c: df.select("user", "record").distinct().withColumn(c, F.lit(True))
+    rows = pairs.select("user", "record").distinct().join(has(granted, "g"), ["user", "record"], "left").join(has(truth, "t"), ["user", "record"], "left").join(users, "user", "left")
+    g, t = F.coalesce("g", F.lit(False)), F.coalesce("t", F.lit(False))
+    verdict = F.when(g & t, "match_grant").when(~g & ~t, "match_deny").when(t, "over_hide").otherwise("under_hide")
+    cause = F.when(~F.coalesce("federated", F.lit(False)), "unmapped_identity").when(F.col("view_all"), "view_all").otherwise("non_floor")
+    return rows.select("user", "record", verdict.alias("verdict"), F.when(verdict == "over_hide", cause).otherwise("none").alias("cause"))

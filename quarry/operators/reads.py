@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.scope import Scope, scoped, scoped_chunks
+from quarry.operators.scope import Scope, scoped, scoped_chunks, scoped_facts
 
 
 def clamp(limit: int, most: int) -> int:
@@ -49,25 +49,56 @@ def activity(actions: DataFrame, scope: Scope, entity: str | None = None, since:
 PREVIEW = 240
 
 
-def memories(chunks: DataFrame, facts: DataFrame, actions: DataFrame, scope: Scope) -> DataFrame:
-    """Chunks, facts and actions in one shape: kind, id, source, recorded_at, preview, truncated."""
+def memories(chunks: DataFrame, facts: DataFrame, actions: DataFrame, scope: Scope, kind: str | None = None, source: str | None = None, entity: str | None = None, text: str | None = None, ident: int | None = None, history: bool = False) -> DataFrame:
+    """Chunks, facts and actions in one shape, each under the scope's access and entity fence.
 
-    def shape(df: DataFrame, kind: str, ident: str, source: Column, at: str, text: Column) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), source.alias("source"), F.col(at).alias("recorded_at"), F.left(text, F.lit(PREVIEW)).alias("preview"), (F.length(text) > PREVIEW).alias("truncated"))
-
-    fact = F.concat("entity_id", F.lit(" "), "field", F.lit(" = "), F.coalesce("value", F.lit("")))
+    Filters that are not given leave no trace in the plan. ``text`` is looked
+    for without regard to case; an id lookup shows a replaced row too, and its
+    content whole.
+    """
+    if kind not in (None, "chunk", "fact", "action"):
+        raise ValueError(f"kind must be chunk, fact or action, not {kind!r}")
+    whole = ident is not None
+    null = lambda t: F.lit(None).cast(t)
+
+    def shape(df: DataFrame, name: str, key: str, src: Column, at: str, said: Column, has: Column, own: dict[str, Column]) -> DataFrame:
+        if kind not in (None, name):
+            df = df.where(F.lit(False))
+        if source is not None:
+            df = df.where(src == source)
+        if entity is not None:
+            df = df.where(F.array_contains(has, entity))
+        if text is not None:
+            df = df.where(F.contains(F.lower(said), F.lit(text.lower())))
+        if whole:
+            df = df.where(F.col(key) == ident)
+        extra = {"entity_id": null("string"), "field": null("string"), "document_id": null("long"), "seq": null("int"), "action_type": null("string"), "valid_to": null("long")} | own
+        return df.select(F.lit(name).alias("kind"), F.col(key).alias("id"), src.alias("source"), F.col(at).alias("recorded_at"), (said if whole else F.left(said, F.lit(PREVIEW))).alias("preview"), (F.lit(not whole) & (F.length(said) > PREVIEW)).alias("truncated"), F.array_join(has, ",").alias("entities"), F.size("visibility").alias("visible_to"), F.col("confidentiality"), *[c.alias(n) for n, c in extra.items()])
+
+    current = not (history or whole)
+    closed = {"valid_to": F.col("valid_to")}
+    # a bound scope sees actions that name one of its entities, as in the timeline
+    acts = scoped(actions, scope, F.arrays_overlap("entities", F.array(*map(F.lit, scope.entities))) if scope.entities else None)
     return (
-        shape(scoped_chunks(chunks, scope), "chunk", "id", F.col("source"), "valid_from", F.col("content"))
-        .unionByName(shape(scoped(facts, scope), "fact", "id", F.col("source"), "valid_from", fact))
-        .unionByName(shape(scoped(actions, scope), "action", "action_id", F.substring_index("action_type", ".", 1), "occurred_at", F.col("summary")))
+        shape(scoped_chunks(chunks, scope, current), "chunk", "id", F.col("source"), "valid_from", F.col("content"), F.col("tags"), {"document_id": F.col("document_id"), "seq": F.col("seq")} | closed)
+        .unionByName(shape(scoped_facts(facts, scope, current), "fact", "id", F.col("source"), "valid_from", F.coalesce("value", F.lit("")), F.array(F.concat("source", F.lit(":"), "entity_id")), {"entity_id": F.col("entity_id"), "field": F.col("field")} | (closed if "valid_to" in facts.columns else {})))
+        .unionByName(shape(acts, "action", "action_id", F.lit("agent"), "occurred_at", F.col("summary"), F.col("entities"), {"action_type": F.col("action_type")}))
     )
 
 
 def page(rows: DataFrame, limit: int, after: tuple[int, str, int] | None = None) -> DataFrame:
-    """A page of memories, newest first, after a keyset cursor (recorded_at, kind, id)."""
+    """A page of memories, newest first, after a keyset cursor (recorded_at, kind, id).
+
+    One row more than the page is taken; has_more says on every row whether it was there.
+    """
     if after is not None:
         rows = rows.where(F.struct("recorded_at", "kind", "id") < F.struct(F.lit(after[0]).cast("long"), F.lit(after[1]), F.lit(after[2]).cast("long")))
-    return rows.orderBy(F.desc("recorded_at"), F.desc("kind"), F.desc("id")).limit(clamp(limit, 200))
+    limit = clamp(limit, 200)
+    order = [F.desc("recorded_at"), F.desc("kind"), F.desc("id")]
+    # at most limit + 1 rows reach the window
+    taken = rows.orderBy(*order).limit(limit + 1).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    more = F.max("place").over(Window.partitionBy()) > limit
+    return taken.withColumn("has_more", more).where(F.col("place") <= limit).drop("place")
 
 
 def intersection(visibilities: Column) -> Column:

@@ -225,3 +225,57 @@ def echo_tags(chunks: DataFrame, entities: DataFrame, least: int = 3) -> DataFra
     own = entities.withColumn("bare", F.lower(F.element_at(F.split("entity", ":"), -1))).where(F.length("bare") >= least)
     rows = chunks.join(own, F.lower("content").contains(F.col("bare")) & ~F.array_contains("tags", F.col("entity")))
     return rows.select("id", "entity", F.lit(0.95).alias("confidence"))
+
+
+def tier2_evidence(candidates: DataFrame, entities: DataFrame, namespace: str, at: int) -> DataFrame:
+    """Evidence of tier 2 for blocked pairs (left_ref, right_ref, score) that the rule judge calls the same.
+
+    The same are parties of one domain whose names share a word; one domain
+    with names that disagree, different domains, or a domain that is not known
+    are too little, so nothing is said.
+    """
+    own = lambda side: entities.select(F.col("ref").alias(f"{side}_ref"), F.split("name", " ").alias(f"{side}_words"), F.col("domain").alias(f"{side}_domain"))
+    rows = candidates.join(own("left"), "left_ref").join(own("right"), "right_ref")
+    agree = F.coalesce(F.arrays_overlap(*[F.filter(f"{side}_words", lambda w: w != "") for side in ("left", "right")]), F.lit(False))
+    same = rows.where((F.col("left_domain") == F.col("right_domain")) & agree).withColumn("reason", F.concat(F.lit("exact shared domain "), "left_domain"))
+    return same.select(
+        F.sha2(F.concat_ws("|", F.lit("tier2"), "left_ref", "right_ref"), 256).alias("id"), "left_ref", "right_ref", F.lit(2).alias("tier"), F.lit("name_match").alias("method"), F.lit("name_match").alias("key_kind"),
+        F.concat(F.lit("name+domain_fuzzy; judge: "), "reason").alias("key_value"), F.lit(namespace).alias("namespace"), F.lit(1).alias("polarity"), F.lit(at).cast("long").alias("valid_from"), "score",
+    )
+
+
+def human_decisions(decisions: DataFrame, namespace: str) -> DataFrame:
+    """Decisions (left_ref, right_ref, confirm, at) as evidence to append: a link of tier 2, or an anti-link for good."""
+    method = F.when(F.col("confirm"), "human_confirmed").otherwise("human_rejected")
+    return decisions.select(
+        F.sha2(F.concat_ws("|", F.lit("human"), "left_ref", "right_ref", F.col("at").cast("string")), 256).alias("id"), "left_ref", "right_ref", F.lit(2).alias("tier"), method.alias("method"), method.alias("key_kind"),
+        F.lit(None).cast("string").alias("key_value"), F.lit(namespace).alias("namespace"), F.when(F.col("confirm"), 1).otherwise(-1).alias("polarity"), F.col("at").alias("valid_from"),
+    )
+
+
+def chunk_tags(evidence: DataFrame, known: DataFrame, auto: bool = False) -> DataFrame:
+    """Tags that mentions put on chunks: chunk (ref), tags, confidence.
+
+    evidence links a chunk (chunk:...) with what it mentions; known: canonical
+    names that are folded already. Tags come only where linking is automatic
+    or other evidence on the chunk, of tier 2 or better or a human's, anchors
+    it. A mention of a member stands for its own canonical if that is folded
+    and the chunk is anchored. A chunk without a known canonical gets none.
+    """
+    is_chunk = lambda c: F.col(c).startswith("chunk:")
+    rows = evidence.where((F.col("polarity") >= 0) & (is_chunk("left_ref") | is_chunk("right_ref")))
+    rows = rows.select(F.when(is_chunk("left_ref"), F.col("left_ref")).otherwise(F.col("right_ref")).alias("chunk"), F.when(is_chunk("left_ref"), F.col("right_ref")).otherwise(F.col("left_ref")).alias("other"), ((F.col("tier") <= 2) | (F.col("method") == "human_confirmed")).alias("anchors"))
+    anchored = rows.groupBy("chunk").agg(F.max("anchors").alias("anchored"))
+    folded = known.select(F.col("canonical").alias("tag")).distinct()
+    direct = rows.select("chunk", F.col("other").alias("tag"), F.lit(False).alias("member")).unionByName(rows.where(~F.col("other").startswith("canon:")).select("chunk", F.concat(F.lit("canon:"), "other").alias("tag"), F.lit(True).alias("member")))
+    own = direct.distinct().join(folded, "tag").join(anchored, "chunk").where((F.lit(auto) | F.col("anchored")) & (~F.col("member") | F.col("anchored")))
+    confidence = F.when(F.first("anchored"), "deterministic").otherwise("approximated")
+    return own.groupBy("chunk").agg(F.array_sort(F.collect_set("tag")).alias("tags"), confidence.alias("confidence"))
+
+
+def resolve_all(evidence: DataFrame, chunks_evidence: DataFrame, config: Config, prior: DataFrame, auto: bool = False) -> dict[str, DataFrame]:
+    """One resolution run: the fold of all live evidence, what it holds back, drift against the prior aliases, and chunk tags."""
+    aliases, reviews = fold(evidence, config)
+    aliases = kept(aliases)
+    known = aliases.select("canonical").unionByName(prior.select("canonical"))
+    return {"aliases": aliases, "reviews": reviews, "drift": drift(aliases, prior), "tags": chunk_tags(chunks_evidence, known, auto)}

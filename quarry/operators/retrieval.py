@@ -3,17 +3,26 @@
 Every leg ranks scoped rows only. Scores are rounded to six places and ties
 go to the smaller id, so results do not depend on partitioning; each leg ends
 in a top-k, which Spark takes per partition before anything moves.
+
+BM25 reads an index that is written once (``build_index``): postings (tenant,
+term, id, tf, dl) in files by a hash of the term, sorted by term, and one row
+of statistics for each tenant. A query opens the files of its own terms, and
+there only the row groups that hold them; no text is read or tokenised again.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import kept
-from quarry.operators.scope import Scope, chunk_fence, drop_reasons, predicate, scoped_chunks
+from quarry.operators.scope import Scope, drop_reasons, scoped_chunks
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -30,41 +39,128 @@ def cosine(a: Column, query: list[float]) -> Column:
 
 
 def dense(chunks: DataFrame, vectors: DataFrame, scope: Scope, query: list[float], k: int) -> DataFrame:
-    """id, score of the k nearest scoped chunks. Only ids cross the join; contents stay behind."""
-    rows = scoped_chunks(chunks, scope).select("id").join(vectors.where(F.col("embedding").isNotNull()), "id")
-    return rows.select("id", cosine(F.col("embedding"), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    """id, score of the k nearest scoped chunks. Vectors are scored where they are read: ids and scores alone cross the join."""
+    scores = vectors.where(F.col("embedding").isNotNull()).select("id", cosine(F.col("embedding"), query).alias("score"))
+    return scoped_chunks(chunks, scope).select("id").join(scores, "id").select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+
+
+#: Queries that are sent to every task together.
+QUERY_BLOCK = 1_000
+
+
+def dense_many(chunks: DataFrame, vectors: DataFrame, scope: Scope, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, score: the k nearest scoped chunks of each query (qid, embedding), a block of queries at a time.
+
+    Each task multiplies its vectors with the block and keeps k for each query,
+    so k rows a query and task are all that is shuffled.
+    """
+    asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding").orderBy("qid").collect()  # the stated query set
+    seen = scoped_chunks(chunks, scope).select("id").join(vectors.where(F.col("embedding").isNotNull()).select("id", "embedding"), "id")
+    out = None
+    for at in range(0, len(asked), QUERY_BLOCK):
+        block = asked[at : at + QUERY_BLOCK]
+        ids = np.array([r["qid"] for r in block], np.int64)
+        matrix = np.array([r["embedding"] for r in block], np.float64)
+        norms = np.linalg.norm(matrix, axis=1)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, norms=norms) -> Iterator[pa.RecordBatch]:
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_numpy()
+                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                length = np.linalg.norm(x, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.round((x @ matrix.T) / (length[:, None] * norms[None, :]), 6)
+                for q in range(len(ids)):
+                    use = np.isfinite(score[:, q])
+                    s, i = np.append(best[q][0], score[use, q]), np.append(best[q][1], own[use])
+                    top = np.lexsort((i, -s))[:k]
+                    best[q] = s[top], i[top]
+            sizes = [len(b[1]) for b in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], names=["qid", "id", "score"])
+
+        found = seen.mapInArrow(run, "qid long, id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "qid long, id long, score double")
+    return _top(out, k)
+
+
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _is(term: str):
-    return lambda x: x == F.lit(term)
+#: Files of postings are dealt by a hash of the term.
+TERM_FILES = 32
+
+
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    stats: DataFrame
+    files: int = TERM_FILES
+
 
+def build_index(chunks: DataFrame, folder: str, files: int = TERM_FILES) -> Index:
+    """Writes the postings and statistics of chunks (tenant, id, content) below a folder, and reads them."""
+    spark = chunks.sparkSession
+    words = chunks.select("tenant", "id", tokens(F.coalesce("content", F.lit(""))).alias("w"))
+    stats = words.groupBy("tenant").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("total"))
+    # terms are counted within each row, so postings are shuffled once, to their files
+    counted = words.select("tenant", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("tenant", "id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    part = F.pmod(F.xxhash64("term"), F.lit(files)).cast("int")
+    counted.withColumn("part", part).repartition(files, "part").sortWithinPartitions("part", "tenant", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), files)
 
-def bm25(chunks: DataFrame, scope: Scope, query: str, k: int) -> DataFrame:
+
+def terms_of(text: str) -> list[str]:
+    return [t for t in dict.fromkeys(re.split("[^a-z0-9]+", text.lower())) if t]
+
+
+def _scored(hits: DataFrame, frequencies: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds s, the term's share of the score, to postings; frequencies: term, df; stats: one row."""
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = F.coalesce(F.try_divide("dl", F.col("total") / F.col("n")), F.lit(1.0))
+    # a row for each term of the query, and one row
+    return hits.join(F.broadcast(frequencies), "term").crossJoin(F.broadcast(stats)).withColumn("s", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
+
+
+def bm25(index: Index, chunks: DataFrame, scope: Scope, query: str, k: int) -> DataFrame:
     """id, score of the k best scoped chunks that hold any term of the query.
 
     Document frequencies and the mean length are those of the tenant's whole
-    index; the scope filters what is ranked. Terms are counted inside each row
-    (a few filters over the token array), so nothing is exploded or shuffled
-    but two one-row aggregates.
+    index; the scope filters what is ranked.
     """
-    import re
-
-    terms = [t for t in dict.fromkeys(re.split("[^a-z0-9]+", query.lower())) if t]
-    rows = chunks.where(F.col("tenant") == scope.tenant).withColumn("w", tokens(F.coalesce("content", F.lit(""))))
-    seen = predicate(chunks.columns, scope, chunk_fence(scope))
-    # a few numbers for each row, worked out once and read twice
-    index = kept(rows.select("id", seen.alias("seen"), F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]))
-    stats = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(F.lit(1.0) + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.coalesce(F.try_divide("dl", "avgdl"), F.lit(1.0))))
-    hits = index.where("seen").where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
-    return hits.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)  # stats is one row
+    terms = terms_of(query)
+    files = index.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(index.files)).cast("int")).collect() if terms else []
+    own = index.postings.where(F.col("part").isin(*{r[0] for r in files}) & (F.col("tenant") == scope.tenant) & F.col("term").isin(*terms)) if terms else index.postings.where(F.lit(False))
+    rows = _scored(own, own.groupBy("term").agg(F.count("*").alias("df")), index.stats.where(F.col("tenant") == scope.tenant).select("n", "total"))
+    found = rows.groupBy("id").agg(F.round(F.sum("s"), 6).alias("score"))
+    return found.join(scoped_chunks(chunks, scope).select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(k)
+
+
+def bm25_many(index: Index, chunks: DataFrame, scope: Scope, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, score of the k best scoped chunks of each query (qid, text): one pass over the terms' postings."""
+    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    own = index.postings.where(F.col("tenant") == scope.tenant).join(asked.select("term").distinct(), "term", "left_semi")
+    rows = _scored(own, own.groupBy("term").agg(F.count("*").alias("df")), index.stats.where(F.col("tenant") == scope.tenant).select("n", "total"))
+    seen = rows.select("term", "id", "s").join(scoped_chunks(chunks, scope).select("id"), "id", "left_semi")
+    return _top(seen.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("s"), 6).alias("score")), k)
+
+
+def composite(hits: DataFrame, now: int, half_life: int = 30 * 86_400) -> DataFrame:
+    """Ranks episodic hits (id, score, at, trust_tier, importance, kind) by similarity, recency, tier and importance; facts do not age."""
+    recency = F.when(F.col("kind") == "fact", 1.0).otherwise(F.pow(F.lit(0.5), (F.lit(now) - F.col("at")) / half_life))
+    tier = F.when(F.col("trust_tier") == 1, 1.0).when(F.col("trust_tier") == 2, 0.9).otherwise(0.8)
+    return hits.withColumn("rank_score", F.round(F.col("score") * recency * tier * F.coalesce("importance", F.lit(1.0)), 6))
 
 
 def fuse(legs: list[DataFrame], k: int) -> DataFrame:
@@ -77,9 +173,9 @@ def fuse(legs: list[DataFrame], k: int) -> DataFrame:
     return rows.groupBy("id").agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def recall(chunks: DataFrame, vectors: DataFrame, scope: Scope, k: int, text: str | None = None, vector: list[float] | None = None) -> DataFrame:
+def recall(index: Index, chunks: DataFrame, vectors: DataFrame, scope: Scope, k: int, text: str | None = None, vector: list[float] | None = None) -> DataFrame:
     """Hybrid recall, or a single leg where only a text or a vector is given."""
-    legs = ([dense(chunks, vectors, scope, vector, k)] if vector is not None else []) + ([bm25(chunks, scope, text, k)] if text else [])
+    legs = ([dense(chunks, vectors, scope, vector, k)] if vector is not None else []) + ([bm25(index, chunks, scope, text, k)] if text else [])
     if not legs:
         raise ValueError("a recall needs a text, a vector or both")
     return legs[0] if len(legs) == 1 else fuse(legs, k)
@@ -87,8 +183,9 @@ def recall(chunks: DataFrame, vectors: DataFrame, scope: Scope, k: int, text: st
 
 def debug_trace(chunks: DataFrame, vectors: DataFrame, scope: Scope, query: list[float], n: int) -> DataFrame:
     """The tenant's n nearest chunks whoever asks, with every reason why the scope drops them."""
-    rows = chunks.where(F.col("tenant") == scope.tenant).join(vectors, "id")
-    top = rows.select("*", cosine(F.col("embedding"), query).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+    scores = vectors.select("id", cosine(F.col("embedding"), query).alias("score"))
+    rows = chunks.where(F.col("tenant") == scope.tenant).select("id", "tenant", "visibility", "confidentiality", "tags", "kind", "valid_to").join(scores, "id")
+    top = rows.orderBy(F.desc("score"), "id").limit(n)
     return top.select("id", "score", F.array_join(F.array_sort(drop_reasons(top, scope)), ",").alias("reasons"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.schema import CONFIDENTIAL
+from quarry.session import kept
 
 #: Retention of revocations: the longest life of a scope and an hour, in seconds.
 REVOCATION_WINDOW = 13 * 3600
@@ -135,11 +136,16 @@ def write_entities(requested: tuple[str, ...], scope: Scope) -> tuple[str, ...]:
 def allocate_tokens(known: DataFrame, seen: DataFrame) -> DataFrame:
     """Numbers for new principals in order of first sight, after the largest; known ones keep theirs.
 
-    seen: principal, at. Numbers are dealt per tenant-sized table of new names,
-    each counted once.
+    seen: principal, at. New principals are range-partitioned by first sight and
+    written; each range counts on from how many the ranges before it hold, a
+    number for each of them.
     """
     fresh = seen.groupBy("principal").agg(F.min("at").alias("at")).join(known, "principal", "left_anti")
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = kept(fresh.repartitionByRange(parts, "at", "principal").withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "base")
     top = known.agg(F.coalesce(F.max("token"), F.lit(0)).alias("top"))
-    order = Window.orderBy("at", "principal")
-    new = fresh.withColumn("rank", F.row_number().over(order)).crossJoin(F.broadcast(top)).select("principal", (F.col("rank") + F.col("top")).cast("long").alias("token"))
-    return known.select("principal", "token").unionByName(new)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at", "principal"))
+    new = placed.withColumn("rank", place).join(F.broadcast(before), "part").crossJoin(F.broadcast(top))
+    return known.select("principal", "token").unionByName(new.select("principal", (F.col("rank") + F.col("base") + F.col("top")).cast("long").alias("token")))

@@ -24,11 +24,15 @@ def latest_per_source(runs: DataFrame) -> DataFrame:
 
 
 def settings(rows: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Each tenant's value of each name: its own, else the one for all (tenant null)."""
+    """Each tenant's value of each name that exists: its own, else the one for all (tenant null).
+
+    Values for all are few names; each goes to every tenant, so they are the
+    side that is sent: one row for each default and tenant, and one for each own value.
+    """
     own = rows.where("tenant IS NOT NULL").select("tenant", "name", F.col("value").alias("own"))
-    base = rows.where("tenant IS NULL").select("name", F.col("value").alias("base"))
-    names = rows.select("name").distinct()
-    return tenants.crossJoin(names).join(own, ["tenant", "name"], "left").join(base, "name", "left").select("tenant", "name", F.coalesce("own", "base").alias("value"))
+    base = rows.where("tenant IS NULL").groupBy("name").agg(F.first("value").alias("base"))
+    given = base.withColumn("everyone", F.lit(1)).join(tenants.select("tenant").withColumn("everyone", F.lit(1)), "everyone").select("tenant", "name", "base")
+    return own.join(tenants.select("tenant"), "tenant", "left_semi").join(given, ["tenant", "name"], "full_outer").select("tenant", "name", F.coalesce("own", "base").alias("value"))
 
 
 def coverage(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -54,10 +58,13 @@ def threshold_sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     return c.select("threshold", "tp", "fp", "fn", "tn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(fp, fp + tn).alias("false_merge_rate"))
 
 
-def schema_drift(records: DataFrame, mapped: list[str], acl: list[str]) -> DataFrame:
-    """Per record (id, keys): fields that are not mapped, mapped ones that lack, and whether an access field lacks."""
+def schema_drift(records: DataFrame, mapped: list[str], acl: list[str], ignored: list[str] = ()) -> DataFrame:
+    """Per record (id, keys): fields unknown to the schema, expected ones that lack (access fields among them), and
+    whether an access field lacks, which holds the whole record back."""
     arr = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    return records.select("id", F.array_join(F.array_sort(F.array_except("keys", arr(mapped + acl))), ",").alias("unknown"), F.array_join(F.array_sort(F.array_except(arr(mapped), "keys")), ",").alias("missing"), (F.size(F.array_except(arr(acl), "keys")) > 0).alias("quarantine"))
+    said = lambda c: F.array_join(F.array_sort(c), ",")
+    lacks = F.array_except(arr([*mapped, *acl]), "keys")
+    return records.select("id", said(F.array_except("keys", arr([*mapped, *acl, *ignored]))).alias("unknown"), said(F.array_distinct(lacks)).alias("missing"), (F.size(F.array_except(arr(acl), "keys")) > 0).alias("quarantine"))
 
 
 def turns(messages: DataFrame) -> DataFrame:

@@ -116,9 +116,11 @@ def acl_diff(spark, sf):
 
 def fidelity_confusion(spark, sf):
     o = table(spark, sf, "orders")
-    granted = o.selectExpr("o_custkey AS user", "o_orderkey % 50 AS record")
+    pairs = o.selectExpr("o_custkey AS user", "o_orderkey % 50 AS record")
+    granted = o.where("o_orderkey % 9 <> 0").selectExpr("o_custkey AS user", "o_orderkey % 50 AS record")
     truth = o.where("o_orderkey % 10 <> 0").selectExpr("o_custkey AS user", "(CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey + 1 ELSE o_orderkey END) % 50 AS record")
-    return graph.fidelity(granted, truth).groupBy("verdict").agg(F.count("*").alias("n"))
+    users = table(spark, sf, "customer").selectExpr("c_custkey AS user", "c_custkey % 4 <> 0 AS federated", "c_custkey % 7 = 0 AS view_all")
+    return graph.fidelity(pairs, granted, truth, users).groupBy("verdict", "cause").agg(F.count("*").alias("n"))
 
 
 QUERIES = {q.__name__: q for q in (group_closure, users_via_groups, group_removal_tombstones, access_corpus, grant_confidence, access_documents_page, object_tokens, revocation_subtraction, windowed_revoked, token_allocation, crosswalk_resolve, idp_subject_resolve, fsck, snapshot_diff, acl_diff, fidelity_confusion)}
@@ -146,5 +148,9 @@ UNION ALL SELECT 'visibility_empty', 'warning', count(*) FROM chunks WHERE len(v
 UNION ALL SELECT 'quarantine_open', 'info', count(*) FROM events WHERE event_type = 'error' AND (event_id % 3 <> 0 OR value IS NULL)) SELECT * FROM r WHERE n > 0"""),
     "snapshot_diff": "WITH b AS (SELECT c_name AS name, c_mktsegment AS v FROM customer WHERE c_custkey % 7 <> 0), a AS (SELECT c_name AS name, CASE WHEN c_custkey % 11 = 0 THEN 'MOVED' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0) SELECT coalesce(b.name, a.name) AS name, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON b.name = a.name WHERE b.name IS NULL OR a.name IS NULL OR a.v IS DISTINCT FROM b.v",
     "acl_diff": b.sql("chunks", then=", d AS (SELECT id, visibility AS p, CASE WHEN id % 4 = 0 THEN [id % 7, 12] ELSE visibility END AS c FROM chunks), e AS (SELECT id, list_sort(list_filter(p, lambda x: NOT list_contains(c, x))) AS r, list_sort(list_filter(c, lambda x: NOT list_contains(p, x))) AS a FROM d) SELECT id, array_to_string(r, ',') AS removed, array_to_string(a, ',') AS added, len(r) > 0 AS tightened FROM e WHERE len(r) + len(a) > 0"),
-    "fidelity_confusion": "WITH g AS (SELECT DISTINCT o_custkey AS u, o_orderkey % 50 AS r FROM orders), t AS (SELECT DISTINCT o_custkey AS u, (CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey + 1 ELSE o_orderkey END) % 50 AS r FROM orders WHERE o_orderkey % 10 <> 0) SELECT CASE WHEN g.u IS NULL THEN 'missing' WHEN t.u IS NULL THEN 'excess' ELSE 'match' END AS verdict, count(*) AS n FROM g FULL JOIN t ON g.u = t.u AND g.r = t.r GROUP BY 1",
+    "fidelity_confusion": """WITH p AS (SELECT DISTINCT o_custkey AS u, o_orderkey % 50 AS r FROM orders), g AS (SELECT DISTINCT o_custkey AS u, o_orderkey % 50 AS r FROM orders WHERE o_orderkey % 9 <> 0),
+t AS (SELECT DISTINCT o_custkey AS u, (CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey + 1 ELSE o_orderkey END) % 50 AS r FROM orders WHERE o_orderkey % 10 <> 0),
+v AS (SELECT u, (u, r) IN (SELECT (u, r) FROM t) AS readable, (u, r) IN (SELECT (u, r) FROM g) AS let_in FROM p)
+SELECT CASE WHEN readable AND let_in THEN 'match_grant' WHEN readable THEN 'over_hide' WHEN let_in THEN 'under_hide' ELSE 'match_deny' END AS verdict,
+CASE WHEN NOT readable OR let_in THEN 'none' WHEN u % 4 = 0 THEN 'unmapped_identity' WHEN u % 7 = 0 THEN 'view_all' ELSE 'non_floor' END AS cause, count(*) AS n FROM v GROUP BY 1, 2""",
 }

@@ -68,7 +68,7 @@ def mail_dedup(spark, sf):
 
 def crm_facts(spark, sf):
     r = table(spark, sf, "customer").selectExpr("c_custkey AS id", "map('name', c_name, 'segment', CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, 'owner_id', CAST(c_custkey % 30 AS STRING), 'created', 'x') AS properties", "c_custkey * 60 AS updated_at")
-    owners = table(spark, sf, "supplier").where("s_suppkey < 20").selectExpr("CAST(s_suppkey AS STRING) AS owner_id", "'user:' || s_suppkey AS principals")
+    owners = table(spark, sf, "supplier").selectExpr("CAST(s_suppkey AS STRING) AS owner_id", "'user:' || s_suppkey AS principals")
     return connectors.crm_facts(r, ["created", "owner_id"], owners)
 
 
@@ -93,6 +93,6 @@ ORACLE_SQL = {
     "share_principals": "WITH s AS (SELECT o_orderkey AS record, o_orderkey % 3 AS k, o_custkey FROM orders) SELECT DISTINCT record, 'fed' || c_custkey AS principal FROM s JOIN customer ON c_custkey = o_custkey % 200 WHERE k = 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 UNION ALL SELECT record, 'group:00G' || (o_custkey % 20) FROM s WHERE k = 1",
     "mail_participants": "SELECT c_custkey, 'jane' || (c_custkey % 40) || '@acme' || (c_custkey % 3) || '.com,bob@firm.de' || CASE WHEN c_custkey % 2 = 0 THEN ',x' || c_custkey || '@gmail.com' ELSE '' END AS participants FROM customer",
     "mail_dedup": "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'm' || l_orderkey ELSE 'th' || (l_orderkey % 100) || '|' || l_linenumber END AS dedup_key, min(l_orderkey * 10 + l_linenumber) AS mailbox FROM lineitem GROUP BY 1",
-    "crm_facts": "WITH r AS (SELECT c_custkey AS id, 'name' AS field, c_name AS value, c_custkey % 30 AS o FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment, c_custkey % 30 FROM customer WHERE c_custkey % 3 <> 0) SELECT id, field, value, id * 60 AS valid_from, CASE WHEN s_suppkey IS NOT NULL THEN 'user:' || s_suppkey END AS principals FROM r LEFT JOIN supplier ON s_suppkey = o AND s_suppkey < 20",
+    "crm_facts": "WITH r AS (SELECT c_custkey AS id, 'name' AS field, c_name AS value, c_custkey % 30 AS o FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment, c_custkey % 30 FROM customer WHERE c_custkey % 3 <> 0) SELECT id, field, value, id * 60 AS valid_from, CASE WHEN s_suppkey IS NOT NULL THEN 'user:' || s_suppkey END AS principals FROM r LEFT JOIN supplier ON s_suppkey = o",
     "rolling_captions": "WITH c AS (SELECT user_id AS meeting, event_id AS at_n, CASE WHEN event_id % 8 < 6 THEN 'a' ELSE 'b' END AS speaker, repeat('word ', CAST(1 + event_id % 4 AS INT)) AS text FROM events), n AS (SELECT *, lead(text) OVER w AS nt, lead(speaker) OVER w AS ns FROM c WINDOW w AS (PARTITION BY meeting ORDER BY at_n)) SELECT meeting, at_n AS at, speaker, text FROM n WHERE NOT coalesce(ns = speaker AND starts_with(nt, text), false)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry import bindings as b
+from quarry.operators import facts as f
 from quarry.operators import knowledge as k
 from quarry.operators import service as s
 from quarry.session import table
@@ -64,23 +65,61 @@ def knowledge_candidates(spark, sf):
 SUBJECT = "actor:7"
 
 
-def _erasure(spark, sf):
-    episodes = b.actions(spark, sf).selectExpr("action_id AS episode_id", "actor AS writer")
-    chunks = b.chunks(spark, sf).withColumn("provenance", F.col("id") * 3)
-    facts = b.fact_events(spark, sf).withColumn("provenance", F.col("arrival"))
-    return k.erasure(SUBJECT, episodes, chunks, facts, b.actions(spark, sf), _evidence(spark, sf))
+ENTITY = "user:9"
+
+
+def _tables(spark, sf):
+    """The tables that an erasure walks, derived from the actions and documents."""
+    actions = b.actions(spark, sf).withColumn("provenance", F.col("action_id") * 2)
+    e = table(spark, sf, "events")
+    return {
+        "episodes": b.actions(spark, sf).selectExpr("action_id AS episode_id", "actor AS writer", "CASE WHEN action_id % 6 = 0 THEN entities[0] END AS entity"),
+        "actions": actions.select("action_id", "actor", "entities", "summary", "provenance"),
+        "chunks": b.chunks(spark, sf).selectExpr("id", "id * 3 AS provenance", "CASE WHEN id % 40 = 0 THEN array_append(tags, 'user:9') ELSE tags END AS tags", "CASE WHEN kind = 'knowledge' THEN 'knowledge:' || (id div 17) ELSE 'd' || document_id END AS document_id", "valid_to"),
+        "facts": b.fact_events(spark, sf).selectExpr("arrival AS fact_id", "entity_id", "value", "arrival AS provenance", "CASE WHEN arrival % 3 = 0 THEN arrival + 1 END AS superseded_by"),
+        "evidence": _evidence(spark, sf).where("knowledge_id < 90 OR episode_id % 20 = 7 OR episode_id < 300"),
+        "items": k.support(_evidence(spark, sf).where("knowledge_id < 90 OR episode_id % 20 = 7 OR episode_id < 300")).selectExpr("knowledge_id", "entities", "evidence", "CASE WHEN knowledge_id % 4 = 1 THEN 'candidate' ELSE 'published' END AS status"),
+        "quarantine": e.selectExpr("event_id AS id", "CASE WHEN event_id % 5 = 0 THEN '{\"who\":\"Actor:' || (user_id % 20) || '\"}' ELSE '{\"of\":\"user:' || user_id || '\"}' END AS payload"),
+        "audit": e.selectExpr("event_id AS id", "'actor:' || (event_id % 20) AS actor"),
+        "media": e.selectExpr("event_id AS id"),
+    }
+
+
+def _erased(spark, sf):
+    return k.erasure(_tables(spark, sf), b.BASE, SUBJECT, ENTITY, (3, 5, 99999999))
 
 
 def erasure_preview(spark, sf):
-    return k.erasure_preview(_erasure(spark, sf))
+    return k.erasure_preview(_erased(spark, sf)[0])
+
+
+def erasure_survivors(spark, sf):
+    """What is left: rows of every table, pointers that are left in facts, chunks still current, support of items."""
+    left = _erased(spark, sf)[1]
+    rows = k.erasure_preview(left)
+    extra = k.erasure_preview({"facts_linked": left["facts"].where("superseded_by IS NOT NULL"), "chunks_current": left["chunks"].where("valid_to IS NULL"), "items_published": left["items"].where("status = 'published'")})
+    return rows.unionByName(extra)
+
+
+def erasure_items(spark, sf):
+    return _erased(spark, sf)[1]["items"]
+
+
+def erasure_record(spark, sf):
+    return k.erasure_record(_erased(spark, sf)[0], b.BASE, "admin", SUBJECT, ENTITY)
 
 
 def subject_export(spark, sf):
-    return k.subject_export({"actions": _erasure(spark, sf)["actions"].select("action_id", "actor", "summary")})
+    removed = k.erasure(_tables(spark, sf), b.BASE, SUBJECT)[0]
+    return k.subject_export({n: removed[n] for n in ("episodes", "actions", "chunks", "facts", "audit")})
+
+
+#: A window that begins and ends within the samples.
+SLO_NOW, SLO_WINDOW = b.BASE - 9000 * b.DAY, 90 * b.DAY
 
 
 def slo_freshness(spark, sf):
-    return s.freshness(b.samples(spark, sf), b.BASE, 3000 * b.DAY)
+    return s.freshness(b.samples(spark, sf), SLO_NOW, SLO_WINDOW)
 
 
 UPDATES = "event_id % 60 AS run, event_id AS at, CASE WHEN event_id % 3 = 0 THEN 'src' || (event_id % 60 % 7) END AS source, CASE WHEN event_id % 4 = 0 THEN event_type END AS state, CASE WHEN event_id % 5 = 0 THEN event_id % 1000 END AS total, event_id % 11 AS delta"
@@ -90,9 +129,12 @@ def backfill_latest(spark, sf):
     return s.latest_per_source(s.backfill_progress(spark.sql(f"SELECT {UPDATES} FROM {{e}}", e=table(spark, sf, "events"))))
 
 
+SETTINGS = "CASE WHEN n_nationkey >= 5 THEN 't' || (n_nationkey % 4) END AS tenant, 'set' || (n_nationkey % 6) AS name, n_name AS value, n_nationkey AS at"
+
+
 def settings_resolve(spark, sf):
-    rows = table(spark, sf, "nation").selectExpr("CASE WHEN n_nationkey >= 5 THEN 't' || (n_nationkey % 4) END AS tenant", "'set' || (n_nationkey % 5) AS name", "n_name AS value", "n_nationkey").where("n_nationkey < 5 OR n_nationkey % 3 = 0").dropDuplicates(["tenant", "name"]).drop("n_nationkey")
-    return s.settings(rows.where("value IS NOT NULL"), spark.range(4).selectExpr("'t' || id AS tenant")).groupBy("tenant").agg(F.count("value").alias("n"))
+    rows = f.last_write(spark.sql(f"SELECT {SETTINGS} FROM {{n}} WHERE n_nationkey < 5 OR n_nationkey % 3 = 0", n=table(spark, sf, "nation")), ["tenant", "name"], "at").drop("at")
+    return s.settings(rows, spark.range(5).selectExpr("'t' || id AS tenant"))
 
 
 def coverage(spark, sf):
@@ -114,28 +156,54 @@ def eval_threshold_sweep(spark, sf):
 
 
 def schema_drift(spark, sf):
-    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "filter(array('id', 'name', CASE WHEN o_orderkey % 3 = 0 THEN 'extra' END, CASE WHEN o_orderkey % 4 <> 0 THEN 'owner' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'acl' END), x -> x IS NOT NULL) AS keys")
-    return s.schema_drift(rows, ["id", "name", "owner"], ["acl"])
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "filter(array('id', 'name', CASE WHEN o_orderkey % 3 = 0 THEN 'extra' END, CASE WHEN o_orderkey % 4 <> 0 THEN 'owner' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'acl' END, CASE WHEN o_orderkey % 2 = 0 THEN 'etag' END), x -> x IS NOT NULL) AS keys")
+    return s.schema_drift(rows, ["id", "name", "owner"], ["acl"], ["etag"])
 
 
 def transcript_turns(spark, sf):
     return s.turns(table(spark, sf, "conversations"))
 
 
-QUERIES = {q.__name__: q for q in (knowledge_support, publish_gate, deid_gate, forget_cascade, derived_visibility, extract_l2_facts, knowledge_candidates, erasure_preview, subject_export, slo_freshness, backfill_latest, settings_resolve, coverage, lease_queue, eval_threshold_sweep, schema_drift, transcript_turns)}
+QUERIES = {q.__name__: q for q in (knowledge_support, publish_gate, deid_gate, forget_cascade, derived_visibility, extract_l2_facts, knowledge_candidates, erasure_preview, erasure_survivors, erasure_items, erasure_record, subject_export, slo_freshness, backfill_latest, settings_resolve, coverage, lease_queue, eval_threshold_sweep, schema_drift, transcript_turns)}
 
 _SUP = f"ev AS (SELECT {EV} FROM events), sup AS (SELECT knowledge_id, count(DISTINCT entity) AS entities, count(*) AS evidence, count(DISTINCT writer) AS writers, bool_or(trust_tier = 1) AS has_tier1 FROM ev GROUP BY 1)"
 _READY = "status = 'candidate' AND entities >= 3 AND (writers >= 2 OR has_tier1)"
-_EP = "ep AS (SELECT conv_id * 1000 + turn AS episode_id, concat('Acme Corp is ', substr(text, 1, 12), '. Customers in ', role, ' always pay late! Plan: ', substr(text, 1, 9), chr(10), 'Owner: team ', conv_id % 7, '.', chr(10), 'http link: x', chr(10), 'Nothing here') AS content, ['crm:acct' || (conv_id % 9)] AS entities FROM conversations)"
+_EP = "ep AS (SELECT conv_id * 1000 + turn AS episode_id, concat('Acme Corp is ', substr(text, 1, 12), '. Customers in ', role, ' always pay late! Plan: ', substr(text, 1, 9), chr(10), 'Owner: team ', conv_id % 7, '.', chr(10), 'http link: x', chr(10), 'Nothing here.', chr(10), text) AS content, ['crm:acct' || (conv_id % 9)] AS entities FROM conversations)"
+
+
+def _erase(entity: bool) -> str:
+    """The tables of an erasure and what it removes: of the subject, and of the entity where asked."""
+    of = f"'{ENTITY}'" if entity else "NULL"
+    return f""", ent AS (SELECT {of} AS e), {_SUP.split(", sup AS")[0]}, evi AS (SELECT * FROM ev WHERE knowledge_id < 90 OR episode_id % 20 = 7 OR episode_id < 300),
+ep AS (SELECT action_id AS episode_id, actor AS writer, CASE WHEN action_id % 6 = 0 THEN entities[1] END AS entity FROM actions),
+act AS (SELECT action_id, actor, entities, summary, action_id * 2 AS provenance, actor = '{SUBJECT}' OR coalesce(list_contains(entities, e), false) AS who FROM actions, ent),
+ids AS (SELECT episode_id FROM ep, ent WHERE writer = '{SUBJECT}' OR entity = e UNION SELECT provenance FROM act WHERE who),
+ch AS (SELECT id, id * 3 AS provenance, CASE WHEN id % 40 = 0 THEN list_append(tags, 'user:9') ELSE tags END AS tags, CASE WHEN kind = 'knowledge' THEN 'knowledge:' || (id // 17) ELSE 'd' || document_id END AS document_id, valid_to FROM chunks),
+ch2 AS (SELECT ch.*, provenance IN (FROM ids) OR coalesce(list_contains(tags, e), false) AS gone FROM ch, ent),
+fa AS (SELECT arrival AS fact_id, entity_id, value, arrival AS provenance, CASE WHEN arrival % 3 = 0 THEN arrival + 1 END AS superseded_by FROM fact_events),
+fa2 AS (SELECT fa.*, provenance IN (FROM ids) OR coalesce(entity_id = e, false) AS gone FROM fa, ent),
+evi2 AS (SELECT *, episode_id IN (FROM ids) AS gone FROM evi),
+items AS (SELECT knowledge_id, count(DISTINCT entity) AS entities, count(*) AS evidence, count(DISTINCT entity) FILTER (NOT gone) AS now_entities, count(*) FILTER (NOT gone) AS now_evidence, bool_or(gone) AS touched, CASE WHEN knowledge_id % 4 = 1 THEN 'candidate' ELSE 'published' END AS was FROM evi2 GROUP BY knowledge_id),
+after_items AS (SELECT knowledge_id, CASE WHEN touched THEN now_entities ELSE entities END AS entities, CASE WHEN touched THEN now_evidence ELSE evidence END AS evidence, touched AND was = 'published' AND now_entities < 3 AS falls, CASE WHEN touched AND was = 'published' AND now_entities < 3 THEN 'invalidated' ELSE was END AS status FROM items),
+qu AS (SELECT lower(CASE WHEN event_id % 5 = 0 THEN '{{"who":"Actor:' || (user_id % 20) || '"}}' ELSE '{{"of":"user:' || user_id || '"}}' END) AS payload FROM events),
+qu2 AS (SELECT contains(payload, '{SUBJECT}') OR coalesce(contains(payload, e), false) AS gone FROM qu, ent),
+flags AS (SELECT 'actions' AS "table", who AS gone FROM act UNION ALL SELECT 'chunks', gone FROM ch2 UNION ALL SELECT 'facts', gone FROM fa2 UNION ALL SELECT 'knowledge_evidence', gone FROM evi2 UNION ALL SELECT 'quarantine', gone FROM qu2
+  UNION ALL SELECT 'audit', event_id % 20 = 7 FROM events UNION ALL SELECT 'media', event_id IN (3, 5) FROM events UNION ALL SELECT 'episodes', episode_id IN (FROM ids) FROM ep),
+removed AS (SELECT "table", count(*) FILTER (gone) AS n FROM flags GROUP BY 1 UNION ALL SELECT 'knowledge_invalidated', count(*) FILTER (falls) FROM after_items),
+remain AS (SELECT "table", count(*) FILTER (NOT gone) AS n FROM flags GROUP BY 1 UNION ALL SELECT 'items', count(*) FROM after_items UNION ALL SELECT 'items_published', count(*) FILTER (status = 'published') FROM after_items
+  UNION ALL SELECT 'facts_linked', count(*) FROM fa2 WHERE NOT gone AND superseded_by IS NOT NULL AND superseded_by NOT IN (SELECT fact_id FROM fa2 WHERE gone)
+  UNION ALL SELECT 'chunks_current', count(*) FROM ch2 WHERE NOT gone AND valid_to IS NULL AND document_id NOT IN (SELECT 'knowledge:' || knowledge_id FROM after_items WHERE falls))"""
+
+
 # a mark behind each sentence end that white space follows, as RE2 has no look-behind
 _SENT = "sent AS (SELECT episode_id, trim(unnest(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))) AS s FROM ep)"
 _IS_SQL = "^([A-Z][\\w''-]*(?:\\s+[A-Z0-9][\\w''-]*){0,3})\\s+is\\s+(.{2,})$"
 _PAIR_SQL = "^([A-Za-z][A-Za-z0-9 _/-]{0,48}):\\s+(\\S.*)$"
 ORACLE_SQL = {
-    "knowledge_support": f"WITH {_SUP} SELECT *, CASE WHEN entities >= 10 THEN 'high' WHEN entities >= 5 THEN 'medium' WHEN entities >= 3 THEN 'low' END AS tier FROM sup",
+    "knowledge_support": f"WITH {_SUP} SELECT *, CASE WHEN entities >= 10 THEN 'extensive' WHEN entities >= 5 THEN 'established' WHEN entities >= 3 THEN 'emerging' END AS tier FROM sup",
     "publish_gate": f"WITH {_SUP}, i AS (SELECT *, {_STATUS} AS status FROM sup) SELECT knowledge_id, CASE WHEN knowledge_id % 10 = 0 THEN 'visibility_empty' WHEN status NOT IN ('candidate', 'eligible') THEN 'status' WHEN entities < 3 THEN 'k_support' WHEN NOT (writers >= 2 OR has_tier1) THEN 'corroboration' END AS refused, CASE WHEN {_READY} THEN 'eligible' ELSE status END AS status FROM i",
-    "deid_gate": b.sql("chunks", then=", lex AS (SELECT DISTINCT lower(string_split(text, ' ')[2]) AS term FROM documents WHERE doc_id % 50 = 0) SELECT id, min(term) AS term FROM chunks JOIN lex ON contains(lower(content), term) WHERE length(term) >= 4 GROUP BY id"),
-    "forget_cascade": f"WITH {_SUP}, gone AS (SELECT * FROM ev WHERE episode_id % 2 = 0 OR knowledge_id % 9 = 0), l AS (SELECT knowledge_id, count(DISTINCT entity) AS e FROM ev WHERE episode_id NOT IN (SELECT episode_id FROM gone) GROUP BY 1), a AS (SELECT knowledge_id, CASE WHEN knowledge_id IN (SELECT knowledge_id FROM gone) THEN coalesce(e, 0) ELSE entities END AS entities, CASE WHEN knowledge_id IN (SELECT knowledge_id FROM gone) AND coalesce(e, 0) < 3 THEN 'invalid' ELSE 'published' END AS status FROM sup LEFT JOIN l USING (knowledge_id)) SELECT status, count(*) AS n, CAST(sum(entities) AS BIGINT) AS entities FROM a GROUP BY status",
+    "deid_gate": b.sql("chunks", then=", lex AS (SELECT DISTINCT lower(string_split(text, ' ')[2]) AS term FROM documents) SELECT id, min(term) AS term FROM chunks JOIN lex ON contains(lower(content), term) WHERE length(term) >= 4 GROUP BY id"),
+    "forget_cascade": f"WITH {_SUP}, gone AS (SELECT * FROM ev WHERE episode_id % 2 = 0 OR knowledge_id % 9 = 0), l AS (SELECT knowledge_id, count(DISTINCT entity) AS e FROM ev WHERE episode_id NOT IN (SELECT episode_id FROM gone) GROUP BY 1), a AS (SELECT knowledge_id, CASE WHEN knowledge_id IN (SELECT knowledge_id FROM gone) THEN coalesce(e, 0) ELSE entities END AS entities, CASE WHEN knowledge_id IN (SELECT knowledge_id FROM gone) AND coalesce(e, 0) < 3 THEN 'invalidated' ELSE 'published' END AS status FROM sup LEFT JOIN l USING (knowledge_id)) SELECT status, count(*) AS n, CAST(sum(entities) AS BIGINT) AS entities FROM a GROUP BY status",
     "derived_visibility": b.sql("chunks", then=""", w AS (SELECT doc_id AS write_id, CASE WHEN doc_id % 6 = 0 THEN CAST([] AS BIGINT[]) WHEN doc_id % 6 = 1 THEN [doc_id, doc_id + 21 + 1000000] WHEN doc_id % 6 = 2 THEN [doc_id, 99999999] ELSE [doc_id] END AS refs, CASE WHEN doc_id % 4 = 0 THEN [1, 3, 11] END AS declared FROM labels),
 r AS (SELECT write_id, unnest(refs) AS ref FROM w), f AS (SELECT DISTINCT write_id, ref, id, visibility, confidentiality FROM r JOIN chunks ON ref = id OR ref = id + 1000000),
 g AS (SELECT write_id, count(DISTINCT ref) AS resolved, list_reduce(list(visibility), lambda x, y: list_intersect(x, y)) AS shared, max(confidentiality) AS class FROM f GROUP BY 1),
@@ -147,12 +215,17 @@ f AS (SELECT episode_id, regexp_extract(s, '{_IS_SQL}', 1) AS subject, 'is' AS r
 UNION ALL SELECT episode_id, subject, trim(regexp_extract(s, '{_PAIR_SQL}', 1)), regexp_replace(regexp_extract(s, '{_PAIR_SQL}', 2), '[.!? ]+$', '') FROM ln WHERE regexp_matches(s, '{_PAIR_SQL}') AND NOT contains(lower(regexp_extract(s, '{_PAIR_SQL}', 1)), 'http'))
 SELECT *, CASE WHEN relation = 'is' THEN 'is' ELSE trim(regexp_replace(lower(relation), '[^a-z0-9]+', '_', 'g'), '_') END AS predicate FROM f""",
     "knowledge_candidates": f"WITH {_EP}, {_SENT} SELECT DISTINCT episode_id, s AS statement FROM sent WHERE regexp_matches(s, '(?i)\\balways\\b|\\bconsistently\\b|\\bcustomers\\b.*\\btend\\b')",
-    "erasure_preview": b.sql("actions", "chunks", then=f", ev AS (SELECT {EV} FROM events), ids AS (SELECT action_id FROM actions WHERE actor = '{SUBJECT}') SELECT 'episodes' AS \"table\", count(*) AS n FROM ids UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE id * 3 IN (FROM ids) UNION ALL SELECT 'facts', count(*) FROM events WHERE event_id IN (FROM ids) UNION ALL SELECT 'actions', count(*) FROM ids UNION ALL SELECT 'knowledge_evidence', count(*) FROM ev WHERE episode_id IN (FROM ids)"),
-    "slo_freshness": b.sql("samples", then=f" SELECT source, count(*) AS n, round(quantile_cont((queryable_at - event_at)::DOUBLE, 0.5), 3) AS p50, round(quantile_cont((queryable_at - event_at)::DOUBLE, 0.95), 3) AS p95, round(quantile_cont((queryable_at - event_at)::DOUBLE, 0.99), 3) AS p99 FROM samples WHERE queryable_at > {b.BASE - 3000 * b.DAY} AND queryable_at <= {b.BASE} GROUP BY source"),
+    "erasure_preview": b.sql("chunks", "fact_events", "actions", then=f"{_erase(True)} SELECT * FROM removed"),
+    "erasure_survivors": b.sql("chunks", "fact_events", "actions", then=f"{_erase(True)} SELECT * FROM remain"),
+    "erasure_items": b.sql("chunks", "fact_events", "actions", then=f"{_erase(True)} SELECT knowledge_id, entities, evidence, status, CASE WHEN falls THEN 'erasure_support_withdrawn' END AS invalidated_reason FROM after_items"),
+    "erasure_record": b.sql("chunks", "fact_events", "actions", then=f"{_erase(True)} SELECT 'admin' AS actor, 'erasure' AS endpoint, sha256('{SUBJECT}|{ENTITY}') AS target_hash, string_agg(\"table\" || '=' || n, ',' ORDER BY \"table\") AS counts, {b.BASE} AS at FROM removed"),
+    "subject_export": b.sql("chunks", "fact_events", "actions", then=f"{_erase(False)} SELECT 'episodes' AS \"table\", to_json(x) AS body FROM (SELECT episode_id, writer, entity FROM ep WHERE episode_id IN (FROM ids)) x UNION ALL SELECT 'actions', to_json(x) FROM (SELECT * FROM act WHERE who) x0, LATERAL (SELECT action_id, actor, entities, summary, provenance) x UNION ALL SELECT 'chunks', to_json(x) FROM (SELECT id, provenance, tags, document_id, valid_to FROM ch WHERE provenance IN (FROM ids)) x UNION ALL SELECT 'facts', to_json(x) FROM (SELECT fact_id, entity_id, value, provenance, superseded_by FROM fa WHERE provenance IN (FROM ids)) x UNION ALL SELECT 'audit', to_json(x) FROM (SELECT event_id AS id, 'actor:' || (event_id % 20) AS actor FROM events WHERE event_id % 20 = 7) x"),
+    "slo_freshness": b.sql("samples", then=f" SELECT source, count(*) AS n, round(quantile_cont((queryable_at - event_at)::DOUBLE, 0.5), 3) AS p50, round(quantile_cont((queryable_at - event_at)::DOUBLE, 0.95), 3) AS p95, round(quantile_cont((queryable_at - event_at)::DOUBLE, 0.99), 3) AS p99 FROM samples WHERE queryable_at > {SLO_NOW - SLO_WINDOW} AND queryable_at <= {SLO_NOW} GROUP BY source"),
+    "settings_resolve": f"WITH r AS (SELECT tenant, name, arg_max(value, at_n) AS value FROM (SELECT {SETTINGS.replace(' AS at', ' AS at_n')} FROM nation WHERE n_nationkey < 5 OR n_nationkey % 3 = 0) GROUP BY ALL), t AS (SELECT 't' || unnest(range(5)) AS tenant), p AS (SELECT t.tenant, r.name FROM t, r WHERE r.tenant IS NULL OR r.tenant = t.tenant GROUP BY ALL) SELECT p.tenant, p.name, coalesce(o.value, d.value) AS value FROM p LEFT JOIN r o ON o.tenant = p.tenant AND o.name = p.name LEFT JOIN r d ON d.tenant IS NULL AND d.name = p.name",
     "backfill_latest": f"WITH u AS (SELECT {UPDATES.replace(' AS at,', ' AS at_n,')} FROM events), r AS (SELECT run, arg_max(source, at_n) FILTER (source IS NOT NULL) AS source, arg_max(state, at_n) FILTER (state IS NOT NULL) AS state, CAST(sum(delta) AS BIGINT) AS processed, max(at_n) AS updated_at FROM u GROUP BY run) SELECT source, run, state, processed, updated_at FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY updated_at DESC, run DESC) = 1",
     "coverage": b.sql("chunks", "vectors", then=" SELECT source, count(*) AS n, count(v.id) AS embedded, count(*) - count(v.id) AS missing FROM chunks c LEFT JOIN vectors v ON c.id = v.id WHERE valid_to IS NULL GROUP BY source"),
     "lease_queue": f"WITH e AS (SELECT event_id AS episode_id, CASE event_id % 4 WHEN 0 THEN 'observation' WHEN 1 THEN 'webhook' WHEN 2 THEN 'doc_version' ELSE 'action' END AS kind, {b._E.format('ts')} AS recorded_at, CASE WHEN event_id % 3 = 0 THEN {b.BASE} + event_id * 60 END AS leased FROM events) SELECT episode_id, kind, recorded_at FROM e WHERE kind <> 'action' AND episode_id % 5 <> 0 AND (leased IS NULL OR leased <= {b.BASE + 3 * b.DAY}) ORDER BY recorded_at, episode_id LIMIT 200",
     "eval_threshold_sweep": f"WITH p AS (SELECT (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS score, quality = 1 AS truth FROM labels), t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold), c AS (SELECT threshold, count(*) FILTER (score >= threshold AND truth) AS tp, count(*) FILTER (score >= threshold AND NOT truth) AS fp, count(*) FILTER (score < threshold AND truth) AS fn, count(*) FILTER (score < threshold AND NOT truth) AS tn FROM p CROSS JOIN t GROUP BY 1) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(fp / nullif(fp + tn, 0), 6) AS false_merge_rate FROM c",
-    "schema_drift": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'extra' ELSE '' END AS unknown, CASE WHEN o_orderkey % 4 = 0 THEN 'owner' ELSE '' END AS missing, o_orderkey % 5 = 0 AS quarantine FROM orders",
+    "schema_drift": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'extra' ELSE '' END AS unknown, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'acl' END, CASE WHEN o_orderkey % 4 = 0 THEN 'owner' END) AS missing, o_orderkey % 5 = 0 AS quarantine FROM orders",
     "transcript_turns": "WITH a AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND lag(turn) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM a) SELECT conv_id, run, role, count(*) AS n, min(turn) AS first_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM r GROUP BY ALL",
 }

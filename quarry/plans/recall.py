@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from quarry import bindings as b
 from quarry.operators import reads, retrieval
 from quarry.operators import scope as sc
+from quarry.session import shared_dir, table
 
 SCOPE = sc.Scope("a", (1, 2, 3, 11), ceiling=2)
 BOUND = sc.Scope("a", (1, 2, 3, 4, 11, 12), ceiling=3, entities=("lang:en", "grp:0", "grp:2", "lang:fr"))
+FENCED = sc.Scope("a", (1, 2, 3, 4, 11, 12), ceiling=3, entities=("lang:en", "grp:0", "user:7", "user:8", "user:21"))
 QUERY = [((i * 37) % 17 - 8) / 8.0 for i in range(64)]
 TEXT = "the and ention of"
 K = 10
@@ -48,16 +54,45 @@ def recall_dense(spark, sf):
     return hits.join(chunks.select("id", "source", "document_id", "seq"), "id").select("id", "score", "source", "document_id", "seq")
 
 
+_indexes: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def _index(spark, sf) -> retrieval.Index:
+    """The index over the chunks of a folder, written once in a session's life."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _indexes:
+        _indexes[key] = retrieval.build_index(b.chunks(spark, sf), f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def recall_bm25(spark, sf):
-    return retrieval.bm25(b.chunks(spark, sf), SCOPE, TEXT, K)
+    return retrieval.bm25(_index(spark, sf), b.chunks(spark, sf), SCOPE, TEXT, K)
 
 
 def recall_bm25_entity(spark, sf):
-    return retrieval.bm25(b.chunks(spark, sf), BOUND, TEXT, K)
+    return retrieval.bm25(_index(spark, sf), b.chunks(spark, sf), BOUND, TEXT, K)
 
 
 def recall_hybrid_rrf(spark, sf):
-    return retrieval.recall(b.chunks(spark, sf), b.vectors(spark, sf), SCOPE, K, TEXT, QUERY)
+    return retrieval.recall(_index(spark, sf), b.chunks(spark, sf), b.vectors(spark, sf), SCOPE, K, TEXT, QUERY)
+
+
+def recall_bm25_many(spark, sf):
+    """A query for every benchmark item, of its first twelve words: what a user types."""
+    asked = table(spark, sf, "benchmark").selectExpr("item_id AS qid", "array_join(slice(split(text, ' '), 1, 12), ' ') AS text")
+    return retrieval.bm25_many(_index(spark, sf), b.chunks(spark, sf), SCOPE, asked, K)
+
+
+def recall_dense_many(spark, sf):
+    """Every vector whose id is divisible by 100 as a query against all."""
+    asked = b.vectors(spark, sf).where("id % 100 = 0").selectExpr("id AS qid", "embedding")
+    return retrieval.dense_many(b.chunks(spark, sf), b.vectors(spark, sf), SCOPE, asked, K)
+
+
+def recall_composite(spark, sf):
+    chunks = b.chunks(spark, sf)
+    hits = retrieval.dense(chunks, b.vectors(spark, sf), SCOPE, QUERY, 50).join(chunks.selectExpr("id", "valid_from AS at", "CAST(1 + id % 3 AS INT) AS trust_tier", "CASE WHEN id % 4 = 0 THEN 1.5D END AS importance", "CASE WHEN id % 6 = 0 THEN 'fact' ELSE 'chunk' END AS kind"), "id")
+    return retrieval.composite(hits, NOW).select("id", "rank_score")
 
 
 def debug_trace(spark, sf):
@@ -87,14 +122,25 @@ def activity_of_entity(spark, sf):
     return reads.activity(b.actions(spark, sf), SCOPE, "user:7", None, None, ["actor:7"], 50).select("action_id", "action_type", "occurred_at")
 
 
+def _memories(spark, sf, scope, **filters):
+    return reads.memories(b.chunks(spark, sf), b.fact_events(spark, sf).withColumnRenamed("arrival", "id"), b.actions(spark, sf), scope, **filters)
+
+
 def memories_browse(spark, sf):
-    rows = reads.memories(b.chunks(spark, sf), b.fact_events(spark, sf).withColumnRenamed("arrival", "id"), b.actions(spark, sf), SCOPE)
-    return reads.page(rows, 25, after=(b.BASE + 20 * b.DAY, "chunk", 300))
+    return reads.page(_memories(spark, sf, SCOPE), 25, after=(b.BASE + 20 * b.DAY, "chunk", 300))
+
+
+def memories_bound(spark, sf):
+    """A bound scope's view: chunks, facts and actions all within its entities."""
+    return _memories(spark, sf, FENCED, text="E").groupBy("kind", "entities").agg(F.count("*").alias("n"), F.count_if("truncated").alias("n_truncated"))
+
+
+def memories_history(spark, sf):
+    return reads.page(_memories(spark, sf, SCOPE, kind="chunk", entity="lang:en", history=True), 40)
 
 
 def memories_by_source(spark, sf):
-    rows = reads.memories(b.chunks(spark, sf), b.fact_events(spark, sf).withColumnRenamed("arrival", "id"), b.actions(spark, sf), SCOPE)
-    return rows.groupBy("source").count().withColumnRenamed("count", "n")
+    return _memories(spark, sf, SCOPE).groupBy("source").count().withColumnRenamed("count", "n")
 
 
 def brief_visibility(spark, sf):
@@ -105,12 +151,19 @@ def entity_tags(spark, sf):
     return reads.entity_tags(b.chunks(spark, sf), b.actions(spark, sf), "a")
 
 
-_MEM = f"""memories AS (
-  SELECT 'chunk' AS kind, id, source, valid_from AS recorded_at, left(content, 240) AS preview, length(content) > 240 AS truncated FROM chunks WHERE {sql_scope(SCOPE)}
-  UNION ALL SELECT 'fact', arrival, source, valid_from, left(entity_id || ' ' || field || ' = ' || coalesce(value, ''), 240), length(entity_id || ' ' || field || ' = ' || coalesce(value, '')) > 240 FROM fact_events WHERE {sql_scope(SCOPE, current=False)}
-  UNION ALL SELECT 'action', action_id, split_part(action_type, '.', 1), occurred_at, left(summary, 240), length(summary) > 240 FROM actions WHERE {sql_scope(SCOPE, current=False)})"""
+def _mem(s: sc.Scope, current: bool = True) -> str:
+    names = list(s.entities)
+    fact = f" AND list_contains({names}, entity_id)" if names else ""
+    act = f" AND list_has_any(entities, {names})" if names else ""
+    plain = sc.Scope(s.tenant, s.principals, s.ceiling)
+    none = "CAST(NULL AS VARCHAR) AS entity_id, CAST(NULL AS VARCHAR) AS field"
+    return f"""memories AS (
+  SELECT 'chunk' AS kind, id, source, valid_from AS recorded_at, left(content, 240) AS preview, length(content) > 240 AS truncated, array_to_string(tags, ',') AS entities, CAST(len(visibility) AS INT) AS visible_to, confidentiality, {none}, document_id, seq, CAST(NULL AS VARCHAR) AS action_type, valid_to, tags AS names, content AS said FROM chunks WHERE {sql_scope(s, current=current)}
+  UNION ALL SELECT 'fact', arrival, source, valid_from, left(coalesce(value, ''), 240), length(coalesce(value, '')) > 240, source || ':' || entity_id, len(visibility), confidentiality, entity_id, field, NULL, NULL, NULL, NULL, [source || ':' || entity_id], coalesce(value, '') FROM fact_events WHERE {sql_scope(plain, current=False)}{fact}
+  UNION ALL SELECT 'action', action_id, 'agent', occurred_at, left(summary, 240), length(summary) > 240, array_to_string(entities, ','), len(visibility), confidentiality, NULL, NULL, NULL, NULL, action_type, NULL, entities, summary FROM actions WHERE {sql_scope(plain, current=False)}{act})"""
+
 
-QUERIES = {f.__name__: f for f in (recall_dense, recall_bm25, recall_bm25_entity, recall_hybrid_rrf, debug_trace, freshness_gate, latest_chunks, activity_timeline, activity_of_entity, memories_browse, memories_by_source, brief_visibility, entity_tags)}
+QUERIES = {f.__name__: f for f in (recall_dense, recall_bm25, recall_bm25_entity, recall_hybrid_rrf, recall_bm25_many, recall_dense_many, recall_composite, debug_trace, freshness_gate, latest_chunks, activity_timeline, activity_of_entity, memories_browse, memories_bound, memories_history, memories_by_source, brief_visibility, entity_tags)}
 
 ORACLE_SQL = {
     "recall_dense": b.sql("chunks", "vectors", then=f" SELECT id, score, source, document_id, seq FROM ({sql_dense(SCOPE, K)}) JOIN chunks USING (id)"),
@@ -120,6 +173,16 @@ ORACLE_SQL = {
 {sql_bm25(SCOPE, TEXT, K)}, de AS ({sql_dense(SCOPE, K)}),
 legs AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM de)
 SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM legs GROUP BY id ORDER BY score DESC, id LIMIT {K}"""),
+    "recall_bm25_many": b.sql("chunks", then=f""",
+tok AS MATERIALIZED (SELECT id, unnest(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM chunks WHERE tenant = 'a'),
+dl AS (SELECT c.id, coalesce(n, 0) AS dl FROM chunks c LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) USING (id) WHERE tenant = 'a'), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:12], ' ')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark),
+tf AS (SELECT id, t, count(*) AS tf FROM tok WHERE t IN (SELECT t FROM q) GROUP BY id, t), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+sc AS (SELECT id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM tf JOIN df USING (t) JOIN dl USING (id) CROSS JOIN st WHERE id IN (SELECT id FROM chunks WHERE {sql_scope(SCOPE)})),
+r AS (SELECT qid, id, round(sum(s), 6) AS score FROM sc JOIN q USING (t) GROUP BY 1, 2) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {K}"""),
+    "recall_dense_many": b.sql("chunks", "vectors", then=f""", q AS (SELECT id AS qid, embedding AS e FROM vectors WHERE id % 100 = 0), v AS (SELECT id, embedding FROM vectors WHERE id IN (SELECT id FROM chunks WHERE {sql_scope(SCOPE)})),
+r AS (SELECT qid, id, round(list_dot_product(embedding, e) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(e, e))), 6) AS score FROM v CROSS JOIN q) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {K}"""),
+    "recall_composite": b.sql("chunks", "vectors", then=f", h AS ({sql_dense(SCOPE, 50)}) SELECT id, round(score * CASE WHEN id % 6 = 0 THEN 1.0::DOUBLE ELSE pow(0.5::DOUBLE, ({NOW} - valid_from) / (30 * 86400)::DOUBLE) END * CASE id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END * CASE WHEN id % 4 = 0 THEN 1.5::DOUBLE ELSE 1 END, 6) AS rank_score FROM h JOIN chunks USING (id)"),
     "debug_trace": b.sql("chunks", "vectors", then=f""", top AS (SELECT *, {_COS} AS score FROM chunks JOIN vectors USING (id) WHERE tenant = 'a' ORDER BY score DESC, id LIMIT 50)
 SELECT id, score, array_to_string(list_sort(list_filter([
   CASE WHEN valid_to IS NOT NULL THEN 'stale_superseded' END, CASE WHEN len(visibility) = 0 THEN 'visibility_empty' END,
@@ -134,8 +197,10 @@ SELECT * FROM v WHERE verdict IN ('exempt', 'fresh') ORDER BY score DESC, id LIM
     "latest_chunks": b.sql("chunks", then=f" SELECT id, source, valid_from FROM chunks WHERE {sql_scope(SCOPE)} AND list_contains(tags, 'lang:en') ORDER BY valid_from DESC, id DESC LIMIT 20"),
     "activity_timeline": b.sql("actions", then=f" SELECT action_id, actor, action_type, occurred_at FROM actions WHERE {sql_scope(SCOPE, current=False)} AND occurred_at >= {b.BASE + 3 * b.DAY} AND (action_type = 'view.low' OR action_type LIKE 'purchase.%') ORDER BY occurred_at DESC, action_id DESC LIMIT 50"),
     "activity_of_entity": b.sql("actions", then=f" SELECT action_id, action_type, occurred_at FROM actions WHERE {sql_scope(SCOPE, current=False)} AND list_contains(entities, 'user:7') AND actor = 'actor:7' ORDER BY occurred_at DESC, action_id DESC LIMIT 50"),
-    "memories_browse": b.sql("chunks", "fact_events", "actions", then=f",\n{_MEM} SELECT * FROM memories WHERE (recorded_at, kind, id) < ({b.BASE + 20 * b.DAY}, 'chunk', 300) ORDER BY recorded_at DESC, kind DESC, id DESC LIMIT 25"),
-    "memories_by_source": b.sql("chunks", "fact_events", "actions", then=f",\n{_MEM} SELECT source, count(*) AS n FROM memories GROUP BY source"),
+    "memories_browse": b.sql("chunks", "fact_events", "actions", then=f",\n{_mem(SCOPE)}, r AS (SELECT * EXCLUDE (names, said), row_number() OVER (ORDER BY recorded_at DESC, kind DESC, id DESC) AS k, count(*) OVER () AS n FROM memories WHERE (recorded_at, kind, id) < ({b.BASE + 20 * b.DAY}, 'chunk', 300)) SELECT * EXCLUDE (k, n), n > 25 AS has_more FROM r WHERE k <= 25"),
+    "memories_bound": b.sql("chunks", "fact_events", "actions", then=f",\n{_mem(FENCED)} SELECT kind, entities, count(*) AS n, count(*) FILTER (truncated) AS n_truncated FROM memories WHERE contains(lower(said), 'e') GROUP BY ALL"),
+    "memories_history": b.sql("chunks", "fact_events", "actions", then=f",\n{_mem(SCOPE, False)}, r AS (SELECT * EXCLUDE (names, said), row_number() OVER (ORDER BY recorded_at DESC, kind DESC, id DESC) AS k, count(*) OVER () AS n FROM memories WHERE kind = 'chunk' AND list_contains(names, 'lang:en')) SELECT * EXCLUDE (k, n), n > 40 AS has_more FROM r WHERE k <= 40"),
+    "memories_by_source": b.sql("chunks", "fact_events", "actions", then=f",\n{_mem(SCOPE)} SELECT source, count(*) AS n FROM memories GROUP BY source"),
     "brief_visibility": b.sql("chunks", "actions", then=""", items AS (
   SELECT entity, 'chunk' AS kind, id, valid_from AS seen_at, visibility FROM (SELECT *, unnest(tags) AS entity FROM chunks WHERE tenant = 'a' AND valid_to IS NULL)
   UNION ALL SELECT entity, 'action', action_id, occurred_at, visibility FROM (SELECT *, unnest(entities) AS entity FROM actions WHERE tenant = 'a')),

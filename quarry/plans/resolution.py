@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import bindings as b
 from quarry.functions import canon
+from quarry.operators import directory as d
 from quarry.operators import resolve as r
 from quarry.session import table
 
@@ -38,13 +39,12 @@ def canon_name(spark, sf):
 
 
 def _keys(spark, sf):
-    c = _customers(spark, sf).where("c_custkey % 3 <> 2")
-    one = c.selectExpr("'cust:' || c_custkey AS ref", "'email_exact' AS key_kind", "'customer_contact' AS namespace", "CASE WHEN c_custkey % 4 = 0 THEN 'k' || (c_custkey div 8) END AS key_value")
+    one = _customers(spark, sf).selectExpr("'cust:' || c_custkey AS ref", "'email_exact' AS key_kind", "'customer_contact' AS namespace", "CASE WHEN c_custkey % 4 = 0 THEN 'k' || (c_custkey div 8) END AS key_value")
     two = table(spark, sf, "supplier").selectExpr("'supp:' || s_suppkey AS ref", "'external_id' AS key_kind", "'customer_contact' AS namespace", "'x' || (s_suppkey div 3) AS key_value")
     return one.unionByName(two)
 
 
-_KEYS = """keys AS (SELECT 'cust:' || c_custkey AS ref, 'email_exact' AS key_kind, 'customer_contact' AS namespace, CASE WHEN c_custkey % 4 = 0 THEN 'k' || (c_custkey // 8) END AS key_value FROM customer WHERE c_custkey % 3 <> 2
+_KEYS = """keys AS (SELECT 'cust:' || c_custkey AS ref, 'email_exact' AS key_kind, 'customer_contact' AS namespace, CASE WHEN c_custkey % 4 = 0 THEN 'k' || (c_custkey // 8) END AS key_value FROM customer
   UNION ALL SELECT 'supp:' || s_suppkey, 'external_id', 'customer_contact', 'x' || (s_suppkey // 3) FROM supplier)"""
 
 
@@ -81,7 +81,7 @@ def fold_reviews(spark, sf):
 
 def fold_drift(spark, sf):
     aliases = r.fold(_evidence(spark, sf), CONFIG)[0]
-    prior = aliases.select("ref", F.concat(F.lit("canon:"), "ref").alias("canonical")).where("crc32(ref) % 2 = 0")
+    prior = aliases.select("ref", F.concat(F.lit("canon:"), "ref").alias("canonical")).where("ref LIKE '%1' OR ref LIKE '%2' OR ref LIKE '%5' OR ref LIKE '%7'")
     return r.drift(aliases, prior, 4)
 
 
@@ -126,7 +126,47 @@ def echo_tagger(spark, sf):
     return r.echo_tags(b.chunks(spark, sf), names).select("id", "entity", "confidence")
 
 
-QUERIES = {q.__name__: q for q in (canon_email, canon_domain, canon_phone, canon_name, tier1_evidence, fold_components, fold_reviews, fold_drift, canonical_entities, review_queue, tier2_blocking, mention_detect, tier3_decision, echo_tagger)}
+def tier2_evidence(spark, sf):
+    names = _names(spark, sf)
+    return r.tier2_evidence(r.block_pairs(names, 0.45), names, "customer_contact", b.BASE).select("left_ref", "right_ref", "method", "tier", "polarity", "key_value", "score")
+
+
+def human_decisions(spark, sf):
+    """A reviewer's verdicts are appended, and the fold says what they change: the canonical of each ref."""
+    c = _customers(spark, sf)
+    verdicts = c.where("c_custkey % 30 IN (7, 25)").selectExpr("'cust:' || c_custkey AS left_ref", "'cust:' || CASE WHEN c_custkey % 30 = 7 THEN c_custkey + 1 ELSE c_custkey + 2 END AS right_ref", "c_custkey % 30 = 7 AS confirm", f"CAST({b.BASE} + c_custkey AS BIGINT) AS at")
+    links = r.star_evidence(_keys(spark, sf).where("ref LIKE 'supp:%'")).withColumn("valid_from", F.lit(b.BASE).cast("long"))
+    crm = c.where("c_custkey % 10 = 5").selectExpr("'crm' || c_custkey AS id", "'cust:' || c_custkey AS left_ref", "'cust:' || (c_custkey + 2) AS right_ref", "1 AS tier", "'crm_fk' AS method", "'crm_fk' AS key_kind", "CAST(c_custkey AS STRING) AS key_value", "'customer_contact' AS namespace", "1 AS polarity", f"CAST({b.BASE} AS BIGINT) AS valid_from")
+    evidence = links.unionByName(crm).unionByName(r.human_decisions(verdicts, "customer_contact"))
+    return d.canonical_of(c.selectExpr("'cust:' || c_custkey AS ref"), r.fold(evidence, r.Config())[0])
+
+
+def chunk_tags(spark, sf):
+    e = table(spark, sf, "events").selectExpr("'chunk:' || (event_id % 900) AS c", "CASE WHEN event_id % 3 = 0 THEN 'canon:user:' || user_id ELSE 'user:' || user_id END AS o", "event_id")
+    ev = e.selectExpr("CASE WHEN event_id % 2 = 0 THEN c ELSE o END AS left_ref", "CASE WHEN event_id % 2 = 0 THEN o ELSE c END AS right_ref", "CASE WHEN event_id % 5 = 0 THEN 2 ELSE 3 END AS tier", "CASE WHEN event_id % 11 = 0 THEN 'human_confirmed' ELSE 'llm_mention' END AS method", "CASE WHEN event_id % 13 = 0 THEN -1 ELSE 1 END AS polarity")
+    known = table(spark, sf, "customer").where("c_custkey % 2 = 0").selectExpr("'canon:user:' || c_custkey AS canonical")
+    return r.chunk_tags(ev, known).withColumn("tags", F.array_join("tags", ","))
+
+
+def resolution_run(spark, sf):
+    """One run from evidence to aliases, reviews, drift and tags: how many of each."""
+    mentions = table(spark, sf, "events").selectExpr("'chunk:' || (event_id % 900) AS left_ref", "'cust:' || user_id AS right_ref", "CASE WHEN event_id % 5 = 0 THEN 2 ELSE 3 END AS tier", "'llm_mention' AS method", "1 AS polarity")
+    prior = _customers(spark, sf).selectExpr("'cust:' || c_custkey AS ref", "'canon:cust:' || c_custkey AS canonical").where("ref LIKE '%1' OR ref LIKE '%2' OR ref LIKE '%5' OR ref LIKE '%7'")
+    parts = r.resolve_all(_evidence(spark, sf), mentions, CONFIG, prior)
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def surface_scores(spark, sf):
+    """Scores of mentions against surface forms, with and without a co-signal."""
+    e = table(spark, sf, "events").selectExpr("event_id", "CASE event_id % 4 WHEN 0 THEN 'acme corp' WHEN 1 THEN 'acme' WHEN 2 THEN 'north acme corp' ELSE 'other' END AS mention", "'acme corp' AS form", "event_id % 3 = 0 AS co")
+    return e.select("event_id", r.surface_score(F.col("mention"), F.col("form"), F.col("co")).alias("score"))
+
+
+QUERIES = {q.__name__: q for q in (tier2_evidence, human_decisions, chunk_tags, resolution_run, surface_scores, canon_email, canon_domain, canon_phone, canon_name, tier1_evidence, fold_components, fold_reviews, fold_drift, canonical_entities, review_queue, tier2_blocking, mention_detect, tier3_decision, echo_tagger)}
 
 _IN = lambda xs: "(" + ", ".join(repr(x) for x in xs) + ")"
 _EMAIL = f"""e1 AS (SELECT c_custkey, trim(regexp_replace({_LOW.format(f'trim({RAW_EMAIL})')}, '^mailto:', '')) AS s FROM customer),
@@ -169,6 +209,7 @@ ORACLE_SQL = {
     "tier1_evidence": f"WITH {_KEYS} SELECT l.ref AS left_ref, r.ref AS right_ref, l.key_kind, l.key_value FROM keys l JOIN keys r ON l.key_kind = r.key_kind AND l.namespace = r.namespace AND l.key_value = r.key_value AND l.ref < r.ref",
     "fold_components": f"WITH RECURSIVE {_EV} SELECT * FROM aliases",
     "fold_reviews": f"WITH RECURSIVE {_EV} SELECT reason, root AS subject, members FROM held WHERE reason IS NOT NULL UNION ALL SELECT 'key_fan_out', key, members FROM sized WHERE members > 2 AND kind <> 'external_id'",
+    "fold_drift": f"WITH RECURSIVE {_EV} SELECT canonical, count(DISTINCT ref) AS fused, max(members) AS members, bool_or(confidence <> 'deterministic') AS weak FROM aliases WHERE regexp_matches(ref, '[1257]$') GROUP BY canonical HAVING count(DISTINCT ref) >= 2 AND (max(members) >= 4 OR bool_or(confidence <> 'deterministic'))",
     "canonical_entities": f"WITH RECURSIVE {_EV} SELECT entity, members FROM (SELECT 0 AS part, canonical AS entity, count(*) AS members FROM aliases GROUP BY canonical UNION ALL SELECT 1, 'cust:' || c_custkey, 1 FROM customer WHERE 'cust:' || c_custkey NOT IN (SELECT ref FROM aliases)) ORDER BY part, entity LIMIT 200",
     "review_queue": f"""WITH RECURSIVE {_EV}, al AS (SELECT 'cust:' || c_custkey AS ref, 'canon:' || (c_custkey // 20) AS canonical FROM customer WHERE c_custkey % 10 IN (5, 7)), n AS (SELECT canonical, count(*) AS n FROM al GROUP BY 1),
 ev AS (SELECT id, 'cust:' || l AS left_ref, 'cust:' || r AS right_ref, tier, method, {b.BASE} + l * 600 AS valid_from, CASE WHEN method = 'human_rejected' THEN -1 ELSE 1 END AS polarity FROM direct),
@@ -177,10 +218,27 @@ o AS (SELECT e.*, f.frequency, x.canonical AS c1, y.canonical AS c2 FROM ev e JO
   AND NOT EXISTS (SELECT 1 FROM ev z WHERE z.polarity = -1 AND least(z.left_ref, z.right_ref) = f.a AND greatest(z.left_ref, z.right_ref) = f.b) AND (x.canonical = y.canonical) IS NOT TRUE),
 v AS (SELECT o.*, coalesce(n1.n, 0) + coalesce(n2.n, 0) AS entity_value, ({NOW} - valid_from) / 86400.0::DOUBLE AS days FROM o LEFT JOIN n n1 ON n1.canonical = c1 LEFT JOIN n n2 ON n2.canonical = c2)
 SELECT id, left_ref, right_ref, frequency, entity_value, round(1.5::DOUBLE * ln(1 + frequency) + ln(1 + entity_value) + 2.0 * CASE tier WHEN 1 THEN 1.2::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END + exp(-days / 14.0::DOUBLE) + 0.2::DOUBLE * days, 6) AS priority, valid_from FROM v ORDER BY priority DESC, valid_from, id LIMIT 100""",
-    "tier2_blocking": """WITH e AS (SELECT 'part:' || p_partkey AS ref, lower(p_name) || ' ' || lower(p_brand) AS name, CASE WHEN p_partkey % 9 = 0 THEN 'firm' || (p_partkey % 45) || '.com' END AS domain FROM part WHERE p_partkey <= 400),
+    "tier2_blocking": """WITH e AS (SELECT 'part:' || p_partkey AS ref, lower(p_name) || ' ' || lower(p_brand) AS name, CASE WHEN p_partkey % 9 = 0 THEN 'firm' || (p_partkey % 45) || '.com' END AS domain FROM part),
 g AS MATERIALIZED (SELECT ref, domain, list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) AS words, list_distinct(list_transform(range(1, length('  ' || name || ' ') - 1), lambda i: substr('  ' || name || ' ', i, 3))) AS grams FROM e),
 p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, l.domain = r.domain AS same, len(list_intersect(l.words, r.words)) AS wi, len(l.words) + len(r.words) AS wn, len(list_intersect(l.grams, r.grams)) AS gi, len(l.grams) + len(r.grams) AS gn FROM g l JOIN g r ON l.ref < r.ref),
 s AS (SELECT left_ref, right_ref, greatest(wi / (wn - wi), gi / (gn - gi), CASE WHEN same THEN 0.9::DOUBLE ELSE 0 END) AS raw FROM p) SELECT left_ref, right_ref, round(raw, 4) AS score FROM s WHERE raw >= 0.45""",
+    "tier2_evidence": """WITH e AS (SELECT p_partkey, 'part:' || p_partkey AS ref, lower(p_name) || ' ' || lower(p_brand) AS name, 'firm' || (p_partkey % 45) || '.com' AS domain FROM part WHERE p_partkey % 9 = 0),
+g AS MATERIALIZED (SELECT ref, domain, list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) AS words, list_distinct(list_transform(range(1, length('  ' || name || ' ') - 1), lambda i: substr('  ' || name || ' ', i, 3))) AS grams FROM e),
+p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, l.domain, len(list_intersect(l.words, r.words)) AS wi, len(l.words) + len(r.words) AS wn, len(list_intersect(l.grams, r.grams)) AS gi, len(l.grams) + len(r.grams) AS gn FROM g l JOIN g r ON l.ref < r.ref AND l.domain = r.domain)
+SELECT left_ref, right_ref, 'name_match' AS method, 2 AS tier, 1 AS polarity, 'name+domain_fuzzy; judge: exact shared domain ' || domain AS key_value, round(greatest(wi / (wn - wi), gi / (gn - gi), 0.9::DOUBLE), 4) AS score FROM p WHERE wi > 0""",
+    "human_decisions": """WITH RECURSIVE l AS (SELECT c_custkey AS a, c_custkey + 2 AS b, 1 AS p FROM customer WHERE c_custkey % 10 = 5 UNION ALL SELECT c_custkey, c_custkey + 1, 1 FROM customer WHERE c_custkey % 30 = 7 UNION ALL SELECT c_custkey, c_custkey + 2, -1 FROM customer WHERE c_custkey % 30 = 25),
+e AS (SELECT 'cust:' || a AS a, 'cust:' || b AS b FROM l WHERE p = 1 UNION SELECT 'cust:' || b, 'cust:' || a FROM l WHERE p = 1), reach AS (SELECT a AS node, a AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a),
+root AS (SELECT node, min(other) AS root FROM reach GROUP BY node), split AS (SELECT x.root FROM l JOIN root x ON x.node = 'cust:' || a JOIN root y ON y.node = 'cust:' || b AND x.root = y.root WHERE p = -1)
+SELECT 'cust:' || c_custkey AS ref, coalesce(CASE WHEN root NOT IN (FROM split) THEN 'canon:' || root END, 'cust:' || c_custkey) AS canonical FROM customer LEFT JOIN root ON node = 'cust:' || c_custkey""",
+    "chunk_tags": """WITH e AS (SELECT 'chunk:' || (event_id % 900) AS chunk, user_id, event_id % 3 = 0 AS canon, event_id % 5 = 0 OR event_id % 11 = 0 AS anchors FROM events WHERE event_id % 13 <> 0),
+a AS (SELECT chunk, bool_or(anchors) AS anchored FROM e GROUP BY 1)
+SELECT chunk, array_to_string(list_sort(list(DISTINCT 'canon:user:' || user_id)), ',') AS tags, 'deterministic' AS confidence FROM e JOIN a USING (chunk) WHERE anchored AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY chunk""",
+    "resolution_run": f"""WITH RECURSIVE {_EV}, known AS (SELECT canonical FROM aliases UNION SELECT 'canon:cust:' || c_custkey FROM customer WHERE c_custkey % 10 IN (1, 2, 5, 7)),
+m AS (SELECT event_id % 900 AS chunk, user_id, event_id % 5 = 0 AS anchors FROM events), w AS (SELECT chunk, bool_or(anchors) AS anchored FROM m GROUP BY 1),
+dr AS (SELECT canonical FROM aliases WHERE regexp_matches(ref, '[1257]$') GROUP BY canonical HAVING count(DISTINCT ref) >= 2 AND (max(members) >= 8 OR bool_or(confidence <> 'deterministic')))
+SELECT 'aliases' AS part, count(*) AS n FROM aliases UNION ALL SELECT 'reviews', (SELECT count(*) FROM held WHERE reason IS NOT NULL) + (SELECT count(*) FROM sized WHERE members > 2 AND kind <> 'external_id')
+UNION ALL SELECT 'drift', count(*) FROM dr UNION ALL SELECT 'tags', count(DISTINCT chunk) FROM m JOIN w USING (chunk) WHERE anchored AND 'canon:cust:' || user_id IN (FROM known)""",
+    "surface_scores": "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN least(1.0::DOUBLE, s + 0.4) ELSE s END, 4) AS score FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5 WHEN 2 THEN 2.0::DOUBLE / 3 ELSE 0 END AS s FROM events)",
     "mention_detect": """WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM conversations),
 s AS (SELECT id, w, unnest(range(0, len(w))) AS at_w FROM w), f AS (SELECT id, at_w, array_to_string(w[at_w + 1 : at_w + n], ' ') AS form FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE at_w + n <= len(w))
 SELECT id, form, count(*) AS n, CAST(min(at_w) AS INT) AS first_at FROM f WHERE form IN ('the', 'of the', 'and', 'que', 'in the') GROUP BY ALL""",

@@ -47,4 +47,6 @@ QUERIES = {q.__name__: q for q in (stream_cdc, stream_subscribe, stream_windows)
 ORACLE_SQL = {
     "stream_cdc": temporal.ORACLE_SQL["fact_state_machine"],
     "stream_subscribe": b.sql("actions", then=f" SELECT action_id, actor, action_type, occurred_at FROM actions WHERE {sql_scope(SCOPE, current=False)}"),
+    # a window is written once the watermark, an hour behind the newest event, has passed its end
+    "stream_windows": "WITH d AS (SELECT epoch_us(ts) // 1000000 // 86400 * 86400 AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT day, event_type, n FROM d WHERE day + 86400 <= (SELECT max(epoch_us(ts)) / 1000000 - 3600 FROM events)",
 }

@@ -35,10 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Sets one only where the session has none, as in tests.
+    Where the session has none, a local session (as in tests) gets one under
+    the temporary folder; on a cluster that would be one machine's own, so it
+    is an error there.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), "quarry-checkpoints")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = os.path.join(os.environ.get("TMPDIR", "/tmp"), "quarry-checkpoints")
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a round through the folder that all executors share."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 RESERVED = ("acl",)
 
 
+def _split(fields: str) -> list[str]:
+    """The fields of a schema, those inside angle brackets left alone."""
+    out, depth = [""], 0
+    for c in fields:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [f.strip() for f in out]
+
+
 def parse_envelopes(raw: DataFrame, key: str = "id", acl_field: str = "acl") -> DataFrame:
     """Rows of raw JSON (arrival, body) as change events.
 
@@ -18,17 +30,20 @@ def parse_envelopes(raw: DataFrame, key: str = "id", acl_field: str = "acl") ->
     else null (the caller's clock). An access block that is malformed counts
     as none: nothing is ever seen by default.
     """
-    b = raw.select("arrival", F.coalesce(F.get_json_object("body", "$.payload"), F.col("body")).alias("p"))
-    g = lambda path: F.get_json_object("p", f"$.{path}")
-    row = F.coalesce(F.when(g("op") == "d", g("before")).otherwise(g("after")), F.lit("{}"))
-    out = b.select(
+    parts = "op string, ts_ms string, before string, after string, source struct<connector:string,db:string,schema:string,table:string,ts_ms:string>, " + f"`{acl_field}` string"
+    # the text is read once: its own fields and, where there is one, the payload's
+    both = raw.select("arrival", F.from_json("body", f"payload struct<{', '.join(p.replace(' ', ':', 1) for p in _split(parts))}>, {parts}").alias("e"))
+    b = both.select("arrival", *[F.coalesce(F.col(f"e.payload.{c}"), F.when(F.col("e.payload").isNull(), F.col(f"e.{c}"))).alias(c) for c in ("op", "ts_ms", "before", "after", "source", acl_field)])
+    row = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after"))
+    fields = F.from_json(F.coalesce(row, F.lit("{}")), "map<string,string>")
+    out = b.select("*", fields.alias("all")).select(
         "arrival",
-        F.when(g("op").isin("c", "u", "r"), "upsert").when(g("op") == "d", "delete").alias("op"),
-        F.concat(F.coalesce(g("source.connector"), F.lit("cdc")), F.lit(":"), F.concat_ws(".", g("source.db"), g("source.schema"), g("source.table"))).alias("source"),
-        F.get_json_object(row, f"$.{key}").alias("entity_id"),
-        F.coalesce(g("source.ts_ms"), g("ts_ms")).cast("long").alias("ts_ms"),
-        F.from_json(row, "map<string,string>").alias("fields"),
-        F.from_json(g(acl_field), "struct<visibility:array<bigint>,confidentiality:string,acl_provenance:string>").alias("acl"),
+        F.when(F.col("op").isin("c", "u", "r"), "upsert").when(F.col("op") == "d", "delete").alias("op"),
+        F.concat(F.coalesce("source.connector", F.lit("cdc")), F.lit(":"), F.concat_ws(".", "source.db", "source.schema", "source.table")).alias("source"),
+        F.col("all")[key].alias("entity_id"),
+        F.coalesce("source.ts_ms", "ts_ms").cast("long").alias("ts_ms"),
+        F.col("all").alias("fields"),
+        F.from_json(acl_field, "struct<visibility:array<bigint>,confidentiality:string,acl_provenance:string>").alias("acl"),
     )
     level = F.lower("acl.confidentiality")
     rank = F.when(F.col("acl.confidentiality").isNull() | (level == "internal"), 1).when(level == "public", 0).when(level == "confidential", 2).when(level == "restricted", 3)

@@ -31,9 +31,9 @@ def inherited(children: DataFrame, grants: DataFrame) -> DataFrame:
 
 
 def next_cursor(rows: DataFrame, cursor: int) -> DataFrame:
-    """Rows after the cursor, strictly, with the cursor that follows."""
+    """Rows after the cursor, strictly, with the cursor that follows (a one-row aggregate)."""
     new = rows.where(F.col("modified_at") > cursor)
-    return new.withColumn("next_cursor", F.max("modified_at").over(Window.partitionBy()))
+    return new.crossJoin(F.broadcast(new.agg(F.max("modified_at").alias("next_cursor"))))
 
 
 def drive_envelope(permissions: Column) -> Column:

@@ -31,16 +31,17 @@ def scopes(seed: int, n: int):
         yield sc.Scope(r.choice("ab"), tuple(r.sample(range(7), r.randint(0, 3))), r.randint(0, 3), tuple(r.sample(["crm:a", "crm:b", "crm:c", "lang:en"], r.randint(0, 3))))
 
 
-def test_scope_fuzz(spark):
+def test_scope_fuzz(spark, tmp_path):
     rows = rows_of(1)
     df = spark.createDataFrame(rows, CHUNKS).cache()
     vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(120)], "id long, embedding array<double>").cache()
+    index = retrieval.build_index(df, str(tmp_path), 4)
     for k, s in enumerate(scopes(2, 25)):
         want = {row[1] for row in rows if seen(row, s)}
         assert {x["id"] for x in sc.scoped_chunks(df, s).select("id").collect()} == want, s
         if k % 5 == 0:
             assert {x["id"] for x in retrieval.dense(df, vectors, s, [1.0, 0.5], 1000).collect()} == want
-            assert {x["id"] for x in retrieval.bm25(df, s, "word", 1000).collect()} == {row[1] for row in rows if row[1] in want and "word" in (row[5] or "")}
+            assert {x["id"] for x in retrieval.bm25(index, df, s, "word", 1000).collect()} == {row[1] for row in rows if row[1] in want and "word" in (row[5] or "")}
             reasons = {x["id"]: x["reasons"] for x in retrieval.debug_trace(df, vectors, s, [1.0, 0.5], 1000).collect()}
             assert all((reasons[row[1]] == "") == seen(row, s) for row in rows if row[0] == s.tenant and s.principals)
 

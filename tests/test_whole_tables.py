@@ -28,62 +28,6 @@ def test_blocking_reads_every_part(spark, tmp_path):
     assert any(int(a[5:]) > 400 < int(b[5:]) for a, b in want)
 
 
-def test_near_copies_are_those_of_exact_similarity(spark):
-    import random
-
-    from quarry.llm import simhash
-
-    r = random.Random(4)
-    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
-    texts: list[str | None] = [None, "", "  \n", "one", "one"]
-    for _ in range(25):  # chains, and copies from just over to far under the threshold
-        own = [word() for _ in range(r.choice([12, 60, 150]))]
-        texts += [" ".join(own), " ".join(own).upper()]
-        for share in (0.005, 0.015, 0.02, 0.03, 0.05, 0.1):
-            texts.append(" ".join(word() if r.random() < share else w for w in own))
-    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[5]), (None, "none like it")]
-
-    def held(text):
-        w = (text or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets, root = [held(t) for _, t in rows], list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or (both and 5 * both >= 4 * len(sets[i] | sets[j])):
-                a, b = root[i], root[j]
-                root = [b if x == a else x for x in root]
-    least: dict[int, int] = {}
-    for k, (d, _) in enumerate(rows):
-        if d is not None:
-            least[root[k]] = min(d, least.get(root[k], d))
-    want = sorted((d is None, d, least.get(root[k])) for k, (d, _) in enumerate(rows) if d is not None)
-    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
-    assert sorted((False, x.doc_id, x.component_id) for x in got if x.doc_id is not None) == want
-    assert sorted(str(x.component_id) for x in got if x.doc_id is None) == ["5", "None"]
-
-
-def test_alike_equals_all_pairs():
-    import random
-
-    import numpy as np
-
-    from quarry.llm.simhash import alike
-
-    r = random.Random(2)
-    for _ in range(60):
-        base = r.sample(range(1000), r.randint(1, 40))
-        sets = [np.array(sorted({x if r.random() > 0.08 else r.randrange(1000) for x in base})) for _ in range(r.randint(1, 25))]
-        root = list(range(len(sets)))
-        for i, j in combinations(range(len(sets)), 2):
-            if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
-                a, b = root[i], root[j]
-                root = [min(a, b) if x in (a, b) else x for x in root]
-        assert alike(sets) == root
-
-
 def test_facts_and_candidates_come_from_the_whole_turn(spark, tmp_path):
     from quarry.plans.operations import extract_l2_facts, knowledge_candidates
 
