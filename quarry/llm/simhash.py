@@ -28,9 +28,11 @@ fingerprints of small samples of its shingles (the four with the smallest
 hashes under a function of each sample). Texts that agree in one are
 candidates: at a similarity of 0.8 all but some 0.5 % of pairs are, unrelated
 texts never; so are texts whose fingerprints differ in at most ``budget``
-bits. Candidates that hang together meet in one place, each different shingle
-set once, and link where the exact Jaccard similarity of their shingle sets is
-``SIMILARITY`` or more; within such a place every pair over it is found.
+bits. Candidates that hang together meet, each different shingle set once, and
+link where the exact Jaccard similarity of their shingle sets is
+``SIMILARITY`` or more. A task holds ``BLOCK_SETS`` sets or so: larger groups
+are settled block by block (see ``_crowds``), and every component that all
+pairs over the similarity make is found either way.
 
 Cases: a null or empty text, or one of white space, has fingerprint zero and
 links like any other; with fewer words than the shingle the whole sequence is
@@ -294,9 +296,122 @@ def alike(sets: list[np.ndarray], least: tuple[int, int] = SIMILARITY) -> list[i
     return of
 
 
+def across(queries: list[tuple[int, np.ndarray]], members: list[tuple[int, np.ndarray]], least: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (label, label) between different labels: of each pair of a query and a member (label, sorted set) over the
+    similarity. Two sets over it share one of the first n - ceil(t n) + 1 of their elements, in any fixed order.
+    """
+    top, bottom = least
+    first = lambda x: x[: len(x) - -(-top * len(x) // bottom) + 1]
+    heads = [first(x) for _, x in members]
+    held = np.concatenate(heads)
+    who = np.repeat(np.arange(len(members)), [len(x) for x in heads])
+    order = np.argsort(held, kind="stable")
+    held, who = held[order], who[order]
+    found: set[tuple[int, int]] = set()
+    for label, x in queries:
+        own = first(x)
+        met = [who[a:b] for a, b in zip(np.searchsorted(held, own), np.searchsorted(held, own, side="right"), strict=True)]
+        for g in np.unique(np.concatenate(met)).tolist() if met else []:
+            other, y = members[g]
+            pair = (min(label, other), max(label, other))
+            if label == other or pair in found or bottom * len(x) < top * len(y) or bottom * len(y) < top * len(x):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if bottom * both >= top * (len(x) + len(y) - both):
+                found.add(pair)
+    return sorted(found)
+
+
+#: Sets of shingles that meet in one task.
+BLOCK_SETS = 512
+
+
+def _each(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each group, rows being sorted by their first columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:keys] != held[0][:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _alike_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sets (root, block, own, held) of one block: own and label, the smallest own of its component there."""
+    for rows in _each(batches, 2):
+        owns = [r[2] for r in rows]
+        of = alike([np.frombuffer(r[3], np.uint64) for r in rows])
+        least: dict[int, int] = {}
+        for own, at in zip(owns, of, strict=True):
+            least[at] = min(own, least.get(at, own))
+        yield pa.RecordBatch.from_arrays([pa.array(owns, pa.int64()), pa.array([least[at] for at in of], pa.int64())], names=["own", "label"])
+
+
+def _across_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (root, block, part, asks, label, held): links between labels of those that ask and the others."""
+    for rows in _each(batches, 3):
+        sides = [[(r[4], np.frombuffer(r[5], np.uint64)) for r in rows if r[3] == asks] for asks in (True, False)]
+        if all(sides):
+            pair = np.array(across(*sides), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
+def _dealt(members: DataFrame, size: int) -> DataFrame:
+    """Adds blocks, how many blocks of about ``size`` a root's members fill, and block, each member's own."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+    values = sizes.select("root", "n", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    return with_values(members, values, "root", members.count()).withColumn("block", F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int"))
+
+
+def _met(sets: DataFrame) -> DataFrame:
+    rows = sets.select("root", "block", "own", "held").repartition("root", "block").sortWithinPartitions("root", "block", "own")
+    return arrow_map(rows, _alike_within, "own long, label long")
+
+
+def _crowds(sets: DataFrame, size: int) -> DataFrame:
+    """own and label of roots with several blocks (sets: root, own, held, blocks, block; a written table).
+
+    Blocks are settled each on its own, then the first sets of their components
+    among one another in the same way, until they fit one block. That leaves
+    nearly all of a large group of copies in one component. What is not in the
+    largest of its root is then held against every set of the root, block by
+    block, so no link is lost.
+    """
+    level, links = sets, None
+    while True:
+        out = saved(_met(level), "settled")
+        own = out.where("own <> label").select(F.col("own").alias("a"), F.col("label").alias("b"))
+        links = own if links is None else links.unionByName(own)
+        firsts = out.where("own = label").select("own")
+        n, before = firsts.count(), out.count()
+        if level.where("blocks > 1").isEmpty() or n == before:
+            break
+        numbers = saved(level.select("root", "own").join(firsts, "own", "left_semi"), "firsts")
+        level = saved(sets.select("root", "own", "held").join(_dealt(numbers, size).drop("root"), "own"), "level")
+    label = lambda found: sets.select("root", "own").join(components(found).select(F.col("node").alias("own"), F.col("root").alias("label")), "own", "left").select("root", "own", F.coalesce("label", "own").alias("label"))
+    labels = saved(label(links), "labels")
+    parts = labels.groupBy("root", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels"))
+    split = saved(largest.where("labels > 1").select("root", "largest"), "split")
+    if split.isEmpty():
+        return labels.select("own", "label")
+    total = split.count()
+    known = with_values(labels.join(split.select("root"), "root", "left_semi"), split.withColumn("n", F.lit(total + 1)), "root", total)
+    rows = sets.select("own", "held", "block", "blocks").join(known, "own")
+    asks = rows.where("label <> largest").withColumn("part", F.pmod(F.xxhash64("own", "label"), F.col("blocks")).cast("int"))
+    asking = asks.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(True).alias("asks"), "label", "held")
+    asked = rows.select("root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(False).alias("asks"), "label", "held")
+    both = asking.unionByName(asked).repartition("root", "block", "part").sortWithinPartitions("root", "block", "part")
+    more = saved(arrow_map(both, _across_within, "a long, b long"), "across")
+    return label(links.unionByName(more)).select("own", "label")
+
+
 def verified(docs: DataFrame, prints: DataFrame, roots: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     """own and group, the smallest own of its component, for the shingle sets among candidates (roots: node, root)."""
-    members = saved(roots.select(F.col("node").alias("own"), "root"), "candidates")
+    members = saved(_dealt(saved(roots.select(F.col("node").alias("own"), "root"), "roots"), BLOCK_SETS), "candidates")
     # one document for each set; a null id stands for all that have none
     ids = prints.join(members, "own", "left_semi").groupBy("own").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
 
@@ -308,29 +423,11 @@ def verified(docs: DataFrame, prints: DataFrame, roots: DataFrame, k: int, seed:
 
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
     sets = arrow_map(texts, cut, "own long, held binary").join(members, "own").dropDuplicates(["own"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, owns, held = None, [], []
-
-        def close() -> pa.RecordBatch:
-            of = alike(held)
-            least: dict[int, int] = {}
-            for own, at in zip(owns, of, strict=True):
-                least[at] = min(own, least.get(at, own))
-            return pa.RecordBatch.from_arrays([pa.array(owns, pa.int64()), pa.array([least[at] for at in of], pa.int64())], names=["own", "group"])
-
-        for batch in batches:
-            for r, own, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if owns and r != root:
-                    yield close()
-                    owns, held = [], []
-                root = r
-                owns.append(own)
-                held.append(np.frombuffer(h, np.uint64))
-        if owns:
-            yield close()
-
-    return arrow_map(sets.select("root", "own", "held").repartition("root").sortWithinPartitions("root", "own"), decide, "own long, group long")
+    if members.where("blocks > 1").isEmpty():
+        return _met(sets).withColumnRenamed("label", "group")
+    sets = saved(sets, "candidate-sets")
+    found = _met(sets.where("blocks = 1")).unionByName(_crowds(saved(sets.where("blocks > 1"), "crowds"), BLOCK_SETS))
+    return found.withColumnRenamed("label", "group")
 
 
 def near_copies(docs: DataFrame, k: int = 5, budget: int = BUDGET) -> DataFrame:

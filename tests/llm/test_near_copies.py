@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pytest
 
-def test_near_copies_are_those_of_exact_similarity(spark):
+
+@pytest.mark.parametrize("block", [512, 4, 2])
+def test_near_copies_are_those_of_exact_similarity(spark, monkeypatch, block):
     import random
 
     from quarry.llm import simhash
 
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block)
+
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
     texts: list[str | None] = [None, "", "  \n", "one", "one"]
@@ -59,3 +64,32 @@ def test_alike_equals_all_pairs():
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
         assert alike(sets) == root
+
+
+def test_crowds_equal_all_pairs(spark, monkeypatch):
+    """One root of many sets in chains and clusters, settled in blocks of a few."""
+    import random
+
+    import numpy as np
+
+    from quarry.llm import simhash
+    from quarry.llm.common import saved
+
+    r = random.Random(8)
+    sets = []
+    for _ in range(6):
+        base = r.sample(range(10_000), 40)
+        for _ in range(r.randint(1, 12)):
+            sets.append(np.array(sorted({x if r.random() > 0.06 else r.randrange(10_000) for x in base}), np.uint64))
+            if r.random() < 0.5:  # a chain
+                base = sets[-1].tolist()
+    root = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    rows = [(1, i, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    df = saved(spark.createDataFrame(rows, "root long, own long, held binary"), "test")
+    dealt = saved(df.join(simhash._dealt(df.select("root", "own"), 5).drop("root"), "own"), "test")
+    got = {x.own: x.label for x in simhash._crowds(dealt, 5).collect()}
+    assert [got[i] for i in range(len(sets))] == root
