@@ -51,6 +51,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
+def marked() -> int:
+    """A point in time, for discard_since."""
+    return len(_written)
+
+
+def discard_since(mark: int, keep: int = 1) -> None:
+    """Deletes what saved() wrote after a mark, but for the last tables, whose data nothing before them is needed for."""
+    for spark, path in _written[mark : len(_written) - keep]:
+        remove(spark, path)
+    del _written[mark : len(_written) - keep]
+
+
 def discard_all() -> None:
     """Deletes what saved() wrote; a session that has ended is passed over."""
     while _written:
