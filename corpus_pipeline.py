@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import byte_cnn, decontaminate, line_dedup, packing, simhash
-from quarry.llm.common import saved
+from quarry.llm.common import discard_since, marked, saved
 from quarry.session import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -69,7 +69,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (name, stage) in enumerate(STAGES):
+        mark = marked() - bool(k)  # from the second stage on, the documents of the one before go as well
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = saved(docs, name.replace(" ", "-"))
+            discard_since(mark)
     return docs
