@@ -112,15 +112,16 @@ def chunk_versions(deliveries: DataFrame) -> DataFrame:
     """Chunks as deliveries leave them: document_id, seq, delivery (number), valid_from, content, valid_to.
 
     A later delivery closes the same place's older version, and every place
-    beyond the last it delivers (a document that shrank). The next delivery
-    that reaches a version in either way is found by windows over the
-    document's deliveries, which are few against its chunks.
+    beyond the last it delivers (a document that shrank). A document's
+    deliveries, two numbers each, travel as one sorted array with its chunks;
+    the first that is later and shorter is found there, so rows never multiply.
     """
     per = deliveries.groupBy("document_id", "valid_from").agg(F.max("seq").alias("last"))
+    history = per.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("valid_from", "last"))).alias("history"))
     place = Window.partitionBy("document_id", "seq").orderBy("valid_from")
-    rows = deliveries.dropDuplicates(["document_id", "seq", "valid_from"]).withColumn("next_same", F.lead("valid_from").over(place))
-    shrink = rows.alias("r").join(per.alias("p"), (F.col("r.document_id") == F.col("p.document_id")) & (F.col("p.valid_from") > F.col("r.valid_from")) & (F.col("p.last") < F.col("r.seq")), "left")
-    return shrink.groupBy("r.document_id", "r.seq", "r.valid_from", "r.content", "r.next_same").agg(F.min("p.valid_from").alias("shrunk")).select("document_id", "seq", "valid_from", "content", F.least("next_same", "shrunk").alias("valid_to"))
+    rows = deliveries.dropDuplicates(["document_id", "seq", "valid_from"]).withColumn("next_same", F.lead("valid_from").over(place)).join(history, "document_id")
+    shrunk = F.get(F.filter("history", lambda h: (h["valid_from"] > F.col("valid_from")) & (h["last"] < F.col("seq"))), F.lit(0))["valid_from"]
+    return rows.select("document_id", "seq", "valid_from", "content", F.least("next_same", shrunk).alias("valid_to"))
 
 
 def retract_token(chunks: DataFrame, token: int) -> DataFrame:

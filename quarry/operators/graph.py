@@ -11,17 +11,19 @@ from quarry.session import kept
 def closure(edges: DataFrame) -> DataFrame:
     """All (member, ancestor) pairs of a membership graph (member, parent); cycles end by themselves.
 
-    Paths double in length each round, so a chain of depth d takes log2 d rounds.
+    Every round joins the pairs found last with all, on either side, so paths
+    double in length: a chain of depth d takes log2 d rounds. Only what is new
+    is written in a round.
     """
-    pairs = kept(edges.select("member", F.col("parent").alias("ancestor")).where("member IS NOT NULL AND parent IS NOT NULL").distinct())
-    known = pairs.count()
-    while True:
-        further = pairs.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.member")).select("a.member", "b.ancestor")
-        pairs = kept(pairs.unionByName(further).distinct())
-        now = pairs.count()
-        if now == known:
-            return pairs
-        known = now
+    new = kept(edges.select("member", F.col("parent").alias("ancestor")).where("member IS NOT NULL AND parent IS NOT NULL").distinct())
+    pairs = new
+    while not new.isEmpty():
+        join = lambda a, b: a.select(F.col("member").alias("m"), F.col("ancestor").alias("via")).join(b.select(F.col("member").alias("via"), F.col("ancestor").alias("a")), "via").select(F.col("m").alias("member"), F.col("a").alias("ancestor"))
+        further = join(new, pairs).unionByName(join(pairs, new)).distinct()
+        known = pairs.select(F.col("member").alias("m"), F.col("ancestor").alias("a"))
+        new = kept(further.join(known, (F.col("member") == F.col("m")) & (F.col("ancestor") == F.col("a")), "left_anti"))
+        pairs = pairs.select("member", "ancestor").unionByName(new.select("member", "ancestor"))
+    return pairs
 
 
 def users_via_groups(edges: DataFrame, grants: DataFrame, most_groups: int = 5) -> DataFrame:

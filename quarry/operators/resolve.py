@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import components, kept
+from quarry.operators.knowledge import LEXICON_SENT
 
 # Methods that link on their own, and kinds of keys that may link many.
 STRONG_METHODS = ("crm_fk", "external_id", "admin_crosswalk", "human_confirmed")
@@ -29,13 +30,17 @@ class Config:
 def tier1_evidence(keys: DataFrame) -> DataFrame:
     """Links between refs that share a key: ref, key_kind, namespace, key_value.
 
-    Each pair once, smaller ref first. Pairs come from a self-join on the key;
-    a key with many refs is for the fold's fan-out rule, so callers pass keys
-    whose refs are bounded, or star_evidence's form.
+    A key of two refs links them, the smaller first. A key of more is a node of
+    its own that each of its refs links to (as in star_evidence), so a key that
+    a third of all refs hold gives a row for each, not for each pair.
     """
     own = keys.where("key_value IS NOT NULL").distinct()
-    rows = own.alias("l").join(own.alias("r"), ["key_kind", "namespace", "key_value"]).where("l.ref < r.ref")
-    return rows.select(F.sha2(F.concat_ws("|", "key_kind", "namespace", "key_value", "l.ref", "r.ref"), 256).alias("id"), F.col("l.ref").alias("left_ref"), F.col("r.ref").alias("right_ref"), F.lit(1).alias("tier"), (F.col("key_kind")).alias("method"), "key_kind", "key_value", "namespace", F.lit(1).alias("polarity"))
+    by = ["key_kind", "namespace", "key_value"]
+    sizes = own.groupBy(*by).agg(F.count("*").alias("n"), F.min("ref").alias("left_ref"), F.max("ref").alias("right_ref"))
+    pairs = sizes.where("n = 2").select("left_ref", "right_ref", *by)
+    star = own.join(sizes.where("n > 2").select(*by), by, "left_semi").select(F.col("ref").alias("left_ref"), F.concat_ws(":", F.lit("key"), "key_kind", "key_value").alias("right_ref"), *by)
+    rows = pairs.unionByName(star)
+    return rows.select(F.sha2(F.concat_ws("|", *by, "left_ref", "right_ref"), 256).alias("id"), "left_ref", "right_ref", F.lit(1).alias("tier"), F.col("key_kind").alias("method"), *by, F.lit(1).alias("polarity"))
 
 
 def star_evidence(keys: DataFrame) -> DataFrame:
@@ -183,21 +188,18 @@ def block_pairs(entities: DataFrame, threshold: float = 0.45, decided: DataFrame
     return pairs.where(F.col("raw") >= threshold).select("left_ref", "right_ref", F.round("raw", 4).alias("score"))
 
 
-def _run(n: int):
-    """The n words from a place on, joined."""
-    return lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("form"))
-
-
 def mentions(texts: DataFrame, gazetteer: DataFrame, longest: int = 5) -> DataFrame:
     """Where a text's words are a surface form: id, form, at (word number from 0). gazetteer: form, canonical.
 
-    Forms are as name() makes them; windows of up to ``longest`` words are
-    equi-joined with them.
+    Forms are as name() makes them, of up to ``longest`` words. Each place with
+    its next words is one row, met by the forms that begin with its first word,
+    so longer runs are looked at only where one may stand.
     """
-    words = texts.select("id", F.filter(F.split(F.trim(F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "").alias("w"))
-    runs = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), _run(n)) for n in range(1, longest + 1)]
-    spans = words.where("size(w) > 0").select("id", F.inline(F.concat(*[F.when(F.size("w") >= n, r).otherwise(F.slice(r, 1, 0)) for n, r in enumerate(runs, 1)])))
-    return spans.join(gazetteer.select("form").distinct(), "form").select("id", "at", "form")
+    words = texts.select("id", F.filter(F.split(F.trim(F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "").alias("w")).where("size(w) > 0")
+    forms = gazetteer.select("form", F.split("form", " ").alias("f")).where(F.size("f") <= longest).distinct().withColumn("first", F.get("f", F.lit(0)))
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("at"), F.get(F.col("w"), i).alias("first"), F.slice("w", i + 1, F.lit(longest)).alias("run")))
+    spans = words.select("id", F.inline(places))
+    return spans.join(forms, "first").where(F.slice("run", F.lit(1), F.size("f")) == F.col("f")).select("id", "at", "form")
 
 
 def decide_mentions(candidates: DataFrame, tau: float = 0.70, delta: float = 0.15, auto: bool = False) -> DataFrame:
@@ -216,15 +218,25 @@ def surface_score(mention: Column, form: Column, co_signal: Column) -> Column:
     return F.round(F.when(co_signal, F.least(F.lit(1.0), base + 0.4)).otherwise(base), 4)
 
 
-def echo_tags(chunks: DataFrame, entities: DataFrame, least: int = 3) -> DataFrame:
+def echo_tags(chunks: DataFrame, entities: DataFrame, least: int = 3, sent: int = LEXICON_SENT) -> DataFrame:
     """Suggested tags: an entity's bare name stands in a chunk that lacks the tag (confidence 0.95).
 
-    entities: entity; a bounded list of one lease, whose names are looked for
-    inside each chunk as it is read.
+    entities: entity. Up to ``sent`` of them are sent to every task and looked
+    for in each chunk as it is read. Of more, names and chunks are cut into
+    runs of ``least`` letters, and only chunks that hold a name's rarest run
+    are tested for it.
     """
-    own = entities.withColumn("bare", F.lower(F.element_at(F.split("entity", ":"), -1))).where(F.length("bare") >= least)
-    rows = chunks.join(own, F.lower("content").contains(F.col("bare")) & ~F.array_contains("tags", F.col("entity")))
-    return rows.select("id", "entity", F.lit(0.95).alias("confidence"))
+    own = entities.select("entity", F.lower(F.element_at(F.split("entity", ":"), -1)).alias("bare")).where(F.length("bare") >= least).distinct()
+    text = chunks.select("id", "tags", F.lower("content").alias("s"))
+    if own.limit(sent + 1).count() <= sent:
+        rows = text.join(F.broadcast(own), F.col("s").contains(F.col("bare")))  # counted above
+    else:
+        runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substr(c, i, F.lit(least))))
+        grams = text.where(F.length("s") >= least).select("id", F.explode(runs(F.col("s"))).alias("g"))
+        often = grams.groupBy("g").agg(F.count("*").alias("df"))
+        rarest = own.select("entity", "bare", F.explode(runs(F.col("bare"))).alias("g")).join(often, "g", "left").groupBy("entity", "bare").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
+        rows = grams.join(rarest, "g").select("id", "entity", "bare").join(text, "id").where(F.col("s").contains(F.col("bare")))
+    return rows.where(~F.array_contains("tags", F.col("entity"))).select("id", "entity", F.lit(0.95).alias("confidence"))
 
 
 def tier2_evidence(candidates: DataFrame, entities: DataFrame, namespace: str, at: int) -> DataFrame:

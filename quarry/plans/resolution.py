@@ -206,7 +206,7 @@ ORACLE_SQL = {
     "canon_domain": f"WITH {_site(f'SELECT c_custkey, {RAW_SITE} AS raw FROM customer')} SELECT * FROM dom",
     "canon_phone": f"WITH p AS (SELECT c_custkey, trim({RAW_PHONE}) AS t FROM customer), q AS (SELECT *, regexp_replace(t, '[^0-9]', '', 'g') AS d, starts_with(t, '+') AS plus FROM p), s AS (SELECT *, NOT plus AND starts_with(d, '00') AS abroad FROM q), u AS (SELECT *, CASE WHEN abroad THEN substr(d, 3) ELSE d END AS e FROM s) SELECT c_custkey, CASE WHEN length(e) >= 8 THEN CASE WHEN NOT plus AND NOT abroad AND length(e) = 10 THEN '+1' ELSE '+' END || e END AS phone FROM u",
     "canon_name": f"WITH n AS (SELECT c_custkey, trim(regexp_replace(lower({RAW_NAME}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS w FROM customer) SELECT c_custkey, nullif(regexp_replace(w, '(^| )({_LEGAL})( ({_LEGAL}))*$', ''), '') AS name, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'internal_directory' ELSE 'customer_contact' END AS namespace FROM n",
-    "tier1_evidence": f"WITH {_KEYS} SELECT l.ref AS left_ref, r.ref AS right_ref, l.key_kind, l.key_value FROM keys l JOIN keys r ON l.key_kind = r.key_kind AND l.namespace = r.namespace AND l.key_value = r.key_value AND l.ref < r.ref",
+    "tier1_evidence": f"WITH {_KEYS}, s AS (SELECT key_kind, key_value, count(*) AS n, min(ref) AS a, max(ref) AS b FROM keys WHERE key_value IS NOT NULL GROUP BY 1, 2) SELECT a AS left_ref, b AS right_ref, key_kind, key_value FROM s WHERE n = 2 UNION ALL SELECT ref, 'key:' || key_kind || ':' || key_value, key_kind, key_value FROM keys JOIN s USING (key_kind, key_value) WHERE n > 2",
     "fold_components": f"WITH RECURSIVE {_EV} SELECT * FROM aliases",
     "fold_reviews": f"WITH RECURSIVE {_EV} SELECT reason, root AS subject, members FROM held WHERE reason IS NOT NULL UNION ALL SELECT 'key_fan_out', key, members FROM sized WHERE members > 2 AND kind <> 'external_id'",
     "fold_drift": f"WITH RECURSIVE {_EV} SELECT canonical, count(DISTINCT ref) AS fused, max(members) AS members, bool_or(confidence <> 'deterministic') AS weak FROM aliases WHERE regexp_matches(ref, '[1257]$') GROUP BY canonical HAVING count(DISTINCT ref) >= 2 AND (max(members) >= 4 OR bool_or(confidence <> 'deterministic'))",

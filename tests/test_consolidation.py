@@ -109,3 +109,11 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Fake())
+
+
+def test_echo_tags_by_runs_equal_broadcast(spark, sf):
+    from quarry import bindings as b
+
+    names = spark.createDataFrame([("lang:the",), ("topic:und",), ("topic:la",), ("topic:que",), ("lang:en",), ("x:zzzz",)], "entity string")
+    rows = lambda sent: sorted((r.id, r.entity) for r in resolve.echo_tags(b.chunks(spark, sf), names, 3, sent).collect())
+    assert rows(100) == rows(0) != []
