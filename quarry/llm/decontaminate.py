@@ -1,17 +1,16 @@
 """Benchmark decontamination by suffix arrays over the training words.
 
-The corpus is cut into shards (blocks of whole documents). Each shard gets a
-suffix array over its words, and every suffix of every test item is
-binary-searched in every shard's array: the suffixes that share its first
-``WINDOW`` words form one interval, whose members are verbatim occurrences.
-Occurrences that follow one another on both sides are one longer match, so
-the longest matches and their locations come out of the same search.
+The corpus is cut into shards (blocks of whole documents). Each shard gets the
+suffix array of all its words, by difference cover, and every test suffix of a
+window or more is binary-searched in every shard's array, word by word: the
+suffixes that share its first ``WINDOW`` words form one interval, whose members
+are verbatim occurrences. Occurrences that follow one another on both sides are
+one longer match, so the longest matches and their locations come out of the
+same search.
 
 Words are numbered by the test items' vocabulary, all others are 0, so two
 words are equal just when their non-zero numbers are: there is no hashing and
-no false match. Suffixes in which a word of the first few is not followed as
-in some test item cannot match any; they are left out of the array, which
-therefore holds about the contaminated text alone.
+no false match.
 
 Scale: one pass over the documents without a shuffle; what is sent along is
 the test set, whose size is checked (``MAX_TEST_WORDS``); larger test sets
@@ -41,13 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_map, blocks, carried, saved
+from quarry.llm.suffix_dedup import suffix_order
 from quarry.session import table
 
 WINDOW = 10
 #: Words of test items that are held at a time by a worker.
 MAX_TEST_WORDS = 2_000_000
-#: Words by which suffixes that match nothing are left out.
-FILTER = 3
+#: Words of one suffix array; a longer block of documents gets several, which overlap by a window.
+SHARD_WORDS = 1 << 20
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,60 +58,61 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """Every window of the test items, ready to be searched for."""
+    """Every suffix of the test items that holds a window, ready to be searched for by its first words."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        self.window = window
         self.number: dict[bytes, int] = {}
-        self.of_length: dict[int, list[tuple[bytes, list[tuple[int, int]]]]] = {}
         found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for at, (_, text) in enumerate(items):
             own = words_of(text)
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in own], ">u4")
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in own], np.uint32)
             n = min(window, len(own))
             for s in range(len(own) - n + 1 if own else 0):
                 found.setdefault(n, {}).setdefault(ids[s : s + n].tobytes(), []).append((at, s))
-        # keys in order, so that neighbours in the array are searched for together
-        self.of_length = {n: sorted(by.items()) for n, by in found.items()}
+        # by length: the first words of each different suffix, and where it stands in which items
+        self.of_length = {n: (np.frombuffer(b"".join(by), np.uint32).reshape(-1, n), list(by.values())) for n, by in found.items()}
         self.item_ids = [i for i, _ in items]
-        self.filter = min([FILTER, *self.of_length])
-        heads = {k[: 4 * self.filter] for by in self.of_length.values() for k, _ in by}
-        self.heads = np.unique(self._pack(np.frombuffer(b"".join(heads), ">u4").reshape(-1, self.filter).T)) if heads else np.empty(0, np.uint64)
-
-    @staticmethod
-    def _pack(columns: np.ndarray) -> np.ndarray:
-        """One number for a few words; a chance equality only keeps a suffix too many."""
-        out = np.zeros(columns.shape[1], np.uint64)
-        with np.errstate(over="ignore"):
-            for c in columns:
-                out = out * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64)
-        return out
 
     def search(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]]]]:
-        """(window's length, places in ids of its occurrences, its places in items), over one shard.
+        """(words searched for, places in ids of their occurrences, their places in items), over one block.
 
-        ids: the shard's words in order, with at least one 0 after each document.
+        ids: the block's words in order, with at least one 0 after each document.
         """
-        k = self.filter
-        if not len(self.heads) or len(ids) < k:
-            return
-        some = np.flatnonzero(ids[: len(ids) - k + 1])
-        code = self._pack(np.stack([ids[some + j] for j in range(k)]))
-        at = np.minimum(np.searchsorted(self.heads, code), len(self.heads) - 1)
-        starts = some[self.heads[at] == code]
-        if not len(starts):
-            return
-        width = max(self.of_length)
-        padded = np.append(ids, np.zeros(width, ids.dtype))
-        suffix = padded[starts[:, None] + np.arange(width)].astype(">u4")
-        order = np.argsort(np.ascontiguousarray(suffix).view(f"S{4 * width}").ravel(), kind="stable")
-        array, suffix = starts[order], suffix[order]
-        for n, by in self.of_length.items():
-            prefix = np.ascontiguousarray(suffix[:, :n]).view(f"S{4 * n}").ravel()
-            keys = np.frombuffer(b"".join(key for key, _ in by), f"S{4 * n}")
-            low, high = np.searchsorted(prefix, keys, "left"), np.searchsorted(prefix, keys, "right")
-            for i in np.flatnonzero(high > low):
-                yield n, array[low[i] : high[i]], by[i][1]
+        widest = max(self.of_length, default=0)
+        for begin in range(0, len(ids) if widest else 0, SHARD_WORDS):
+            shard = ids[begin : begin + SHARD_WORDS + widest - 1]
+            used, words = np.unique(shard, return_inverse=True)
+            array = suffix_order(words)
+            first = words[array]
+            padded = np.append(words, np.full(widest, -1))
+            for n, (suffixes, where) in self.of_length.items():
+                asked = np.minimum(np.searchsorted(used, suffixes), len(used) - 1)
+                row = np.flatnonzero((used[asked] == suffixes).all(axis=1))
+                low, high = np.searchsorted(first, asked[row, 0], "left"), np.searchsorted(first, asked[row, 0], "right")
+                for depth in range(1, n):
+                    at = padded[depth:]
+                    low, high = (_bound(at, array, asked[row, depth], low, high, right) for right in (False, True))
+                    kept = low < high
+                    row, low, high = row[kept], low[kept], high[kept]
+                for r, a, b in zip(row.tolist(), low.tolist(), high.tolist(), strict=True):
+                    places = array[a:b] + begin
+                    places = places[places < begin + SHARD_WORDS]  # later ones are found in the next array
+                    if len(places):
+                        yield n, places, where[r]
+
+
+def _bound(at: np.ndarray, array: np.ndarray, word: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+    """Between low and high of the suffix array, the first place whose word is not under ``word`` (or, right, is over it)."""
+    low, high = low.copy(), high.copy()
+    while True:
+        going = np.flatnonzero(low < high)
+        if not len(going):
+            return low
+        middle = (low[going] + high[going]) >> 1
+        held = at[array[middle]]
+        before = held <= word[going] if right else held < word[going]
+        low[going[before]] = middle[before] + 1
+        high[going[~before]] = middle[~before]
 
 
 def _hits(search: TestSuffixes, own_words: list[list[bytes]]) -> tuple[np.ndarray, list[dict[int, list[int]]]]:

@@ -155,8 +155,9 @@ def brute_hits(text, items, window=10):
     return len(own), len(hit), sorted(map(str, found))
 
 
-@pytest.mark.parametrize("part", [decontaminate.MAX_TEST_WORDS, 20])
-def test_decontamination(spark, part):
+@pytest.mark.parametrize(("part", "shard"), [(decontaminate.MAX_TEST_WORDS, 1 << 20), (decontaminate.MAX_TEST_WORDS, 40), (200, 1 << 20)])
+def test_decontamination(spark, monkeypatch, part, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
     rows, df = corpus(spark, 3)
     texts = [t for _, t in rows if t and len(t.split()) > 14]
     items = [(1, " ".join(texts[0].split()[:12])), (2, "seven eight"), (3, None), (4, ""), (5, "nothing like this is anywhere in there for sure at all"), (10, texts[2].upper()), (6, texts[0]), (7, "x")]
