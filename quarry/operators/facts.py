@@ -15,12 +15,15 @@ def versions(events: DataFrame) -> DataFrame:
     A first value is inserted. An equal value changes nothing, not even the
     time the current one is valid from. A value no newer than the current one
     is late and stored as closed history that ends where the current begins.
-    Anything else supersedes. What is late depends on the current version
-    alone, so neither a lag nor a running maximum says it: each key's events
-    are folded in order, inside the engine. The state holds the closed
-    versions and the current one; a key's own history is all that is gathered.
+    Anything else supersedes. Where events have a column ``gone``, those that
+    are gone close the current version at their time, and what comes next is a
+    first value again. What is late depends on the current version alone, so
+    neither a lag nor a running maximum says it: each key's events are folded
+    in order, inside the engine. The state holds the closed versions and the
+    current one; a key's own history is all that is gathered.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("arrival", "valid_from", "value")))
+    gone = F.coalesce("gone", F.lit(False)) if "gone" in events.columns else F.lit(False)
+    ordered = F.array_sort(F.collect_list(F.struct("arrival", "valid_from", "value", gone.alias("gone"))))
     start = F.struct(F.lit(None).cast(VERSION).alias("now"), F.array().cast(f"array<{VERSION}>").alias("past"))
 
     def version(e: Column, valid_to: Column, by: Column, outcome: str) -> Column:
@@ -30,18 +33,19 @@ def versions(events: DataFrame) -> DataFrame:
 
     def step(s: Column, e: Column) -> Column:
         now, past = s["now"], s["past"]
-        closed = F.struct(now["arrival"].alias("arrival"), now["valid_from"].alias("valid_from"), now["value"].alias("value"), e["valid_from"].alias("valid_to"), e["arrival"].alias("superseded_by"), now["outcome"].alias("outcome")).cast(VERSION)
+        closed = lambda by: F.struct(now["arrival"].alias("arrival"), now["valid_from"].alias("valid_from"), now["value"].alias("value"), e["valid_from"].alias("valid_to"), by.alias("superseded_by"), now["outcome"].alias("outcome")).cast(VERSION)
         late = F.array_append(past, version(e, now["valid_from"], now["arrival"], "stale"))
         state = lambda a, b: F.struct(a.alias("now"), b.alias("past"))
         return (
-            F.when(now.isNull(), state(version(e, none, none, "inserted"), past))
+            F.when(e["gone"], F.when(now.isNull(), s).otherwise(state(F.lit(None).cast(VERSION), F.array_append(past, closed(none)))))
+            .when(now.isNull(), state(version(e, none, none, "inserted"), past))
             .when(now["value"].eqNullSafe(e["value"]), s)
             .when(e["valid_from"] <= now["valid_from"], state(now, late))
-            .otherwise(state(version(e, none, none, "superseded"), F.array_append(past, closed)))
+            .otherwise(state(version(e, none, none, "superseded"), F.array_append(past, closed(e["arrival"]))))
         )
 
     folded = events.groupBy(*KEY).agg(F.aggregate(ordered, start, step).alias("s"))
-    return folded.select(*KEY, F.inline(F.array_append(F.col("s.past"), F.col("s.now"))))
+    return folded.select(*KEY, F.inline(F.filter(F.array_append(F.col("s.past"), F.col("s.now")), lambda v: v.isNotNull())))
 
 
 def outcomes(events: DataFrame, kept: DataFrame) -> DataFrame:

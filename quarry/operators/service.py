@@ -48,6 +48,20 @@ def lease(episodes: DataFrame, leases: DataFrame, done: DataFrame, now: int, lim
     return rows.join(held, "episode_id", "left").where(F.col("leased_until").isNull() | (F.col("leased_until") <= now)).orderBy("recorded_at", "episode_id").limit(limit).select("episode_id", "kind", "recorded_at")
 
 
+def complete(done: DataFrame, leases: DataFrame, reports: DataFrame, now: int) -> DataFrame:
+    """What becomes of reports (episode_id, worker, at) of finished work: completed once, a repeat, or without a lease that runs.
+
+    done: episode_id; leases: episode_id, worker, leased_until. The first report
+    of an episode under its own running lease completes it; later ones change nothing.
+    """
+    held = leases.groupBy("episode_id", "worker").agg(F.max("leased_until").alias("leased_until"))
+    rows = reports.join(held, ["episode_id", "worker"], "left").join(done.select("episode_id").distinct().withColumn("was", F.lit(True)), "episode_id", "left")
+    valid = F.coalesce(F.col("leased_until") > F.col("at"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("episode_id", valid).orderBy("at", "worker"))
+    outcome = F.when(F.col("was"), "repeat").when(~valid, "no_lease").when(place == 1, "completed").otherwise("repeat")
+    return rows.where(F.col("at") <= now).select("episode_id", "worker", "at", outcome.alias("outcome"))
+
+
 def threshold_sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """Confusion, precision, recall, F1 and false-merge rate of (score, truth) at each threshold, in one pass."""
     per = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")

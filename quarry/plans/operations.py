@@ -148,6 +148,13 @@ def lease_queue(spark, sf):
     return s.lease(episodes, leases, e.where("event_id % 5 = 0").selectExpr("event_id AS episode_id"), b.BASE + 3 * b.DAY, 200)
 
 
+def work_completed(spark, sf):
+    e = table(spark, sf, "events")
+    leases = e.where("event_id % 3 = 0").selectExpr("event_id % 2000 AS episode_id", "'w' || (user_id % 3) AS worker", "event_id * 60 + 3600 AS leased_until")
+    reports = e.where("event_id % 4 < 2").selectExpr("event_id % 2000 AS episode_id", "'w' || (event_id % 3) AS worker", "event_id * 61 AS at").dropDuplicates(["episode_id", "worker", "at"])
+    return s.complete(spark.range(0, 2000, 7).withColumnRenamed("id", "episode_id"), leases, reports, 10**9)
+
+
 THRESHOLDS = [i / 20 for i in range(21)]
 
 
@@ -164,7 +171,7 @@ def transcript_turns(spark, sf):
     return s.turns(table(spark, sf, "conversations"))
 
 
-QUERIES = {q.__name__: q for q in (knowledge_support, publish_gate, deid_gate, forget_cascade, derived_visibility, extract_l2_facts, knowledge_candidates, erasure_preview, erasure_survivors, erasure_items, erasure_record, subject_export, slo_freshness, backfill_latest, settings_resolve, coverage, lease_queue, eval_threshold_sweep, schema_drift, transcript_turns)}
+QUERIES = {q.__name__: q for q in (knowledge_support, publish_gate, deid_gate, forget_cascade, derived_visibility, extract_l2_facts, knowledge_candidates, erasure_preview, erasure_survivors, erasure_items, erasure_record, subject_export, slo_freshness, backfill_latest, settings_resolve, coverage, lease_queue, work_completed, eval_threshold_sweep, schema_drift, transcript_turns)}
 
 _SUP = f"ev AS (SELECT {EV} FROM events), sup AS (SELECT knowledge_id, count(DISTINCT entity) AS entities, count(*) AS evidence, count(DISTINCT writer) AS writers, bool_or(trust_tier = 1) AS has_tier1 FROM ev GROUP BY 1)"
 _READY = "status = 'candidate' AND entities >= 3 AND (writers >= 2 OR has_tier1)"
@@ -225,6 +232,10 @@ SELECT *, CASE WHEN relation = 'is' THEN 'is' ELSE trim(regexp_replace(lower(rel
     "backfill_latest": f"WITH u AS (SELECT {UPDATES.replace(' AS at,', ' AS at_n,')} FROM events), r AS (SELECT run, arg_max(source, at_n) FILTER (source IS NOT NULL) AS source, arg_max(state, at_n) FILTER (state IS NOT NULL) AS state, CAST(sum(delta) AS BIGINT) AS processed, max(at_n) AS updated_at FROM u GROUP BY run) SELECT source, run, state, processed, updated_at FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY updated_at DESC, run DESC) = 1",
     "coverage": b.sql("chunks", "vectors", then=" SELECT source, count(*) AS n, count(v.id) AS embedded, count(*) - count(v.id) AS missing FROM chunks c LEFT JOIN vectors v ON c.id = v.id WHERE valid_to IS NULL GROUP BY source"),
     "lease_queue": f"WITH e AS (SELECT event_id AS episode_id, CASE event_id % 4 WHEN 0 THEN 'observation' WHEN 1 THEN 'webhook' WHEN 2 THEN 'doc_version' ELSE 'action' END AS kind, {b._E.format('ts')} AS recorded_at, CASE WHEN event_id % 3 = 0 THEN {b.BASE} + event_id * 60 END AS leased FROM events) SELECT episode_id, kind, recorded_at FROM e WHERE kind <> 'action' AND episode_id % 5 <> 0 AND (leased IS NULL OR leased <= {b.BASE + 3 * b.DAY}) ORDER BY recorded_at, episode_id LIMIT 200",
+    "work_completed": """WITH l AS (SELECT event_id % 2000 AS episode_id, 'w' || (user_id % 3) AS worker, max(event_id * 60 + 3600) AS until FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
+r AS (SELECT DISTINCT event_id % 2000 AS episode_id, 'w' || (event_id % 3) AS worker, event_id * 61 AS at_s FROM events WHERE event_id % 4 < 2), j AS (SELECT r.*, coalesce(until > at_s, false) AS valid FROM r LEFT JOIN l USING (episode_id, worker)),
+k AS (SELECT *, row_number() OVER (PARTITION BY episode_id, valid ORDER BY at_s, worker) AS place FROM j)
+SELECT episode_id, worker, at_s AS at, CASE WHEN episode_id % 7 = 0 THEN 'repeat' WHEN NOT valid THEN 'no_lease' WHEN place = 1 THEN 'completed' ELSE 'repeat' END AS outcome FROM k WHERE at_s <= 1000000000""",
     "eval_threshold_sweep": f"WITH p AS (SELECT (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS score, quality = 1 AS truth FROM labels), t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold), c AS (SELECT threshold, count(*) FILTER (score >= threshold AND truth) AS tp, count(*) FILTER (score >= threshold AND NOT truth) AS fp, count(*) FILTER (score < threshold AND truth) AS fn, count(*) FILTER (score < threshold AND NOT truth) AS tn FROM p CROSS JOIN t GROUP BY 1) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(fp / nullif(fp + tn, 0), 6) AS false_merge_rate FROM c",
     "schema_drift": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'extra' ELSE '' END AS unknown, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'acl' END, CASE WHEN o_orderkey % 4 = 0 THEN 'owner' END) AS missing, o_orderkey % 5 = 0 AS quarantine FROM orders",
     "transcript_turns": "WITH a AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND lag(turn) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM a) SELECT conv_id, run, role, count(*) AS n, min(turn) AS first_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM r GROUP BY ALL",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry import bindings as b
@@ -9,7 +11,9 @@ from quarry.operators import scope as sc
 from quarry.plans import temporal
 from quarry.plans.recall import SCOPE, sql_scope
 from quarry.streaming import facts as stream_facts
+from quarry.sources import cdc
 from quarry.streaming import subscribe as sub
+from quarry.streaming import watch
 
 
 class _Streams:
@@ -42,9 +46,39 @@ def stream_windows(spark, sf):
     return spark.read.schema(out.schema).parquet(sub.run_once(out, "windows"))
 
 
-QUERIES = {q.__name__: q for q in (stream_cdc, stream_subscribe, stream_windows)}
+_ENVELOPE = "'{\"op\":\"' || CASE WHEN o_orderkey % 11 = 0 THEN 'd' ELSE 'u' END || '\",\"source\":{\"connector\":\"pg\",\"db\":\"crm\",\"schema\":\"s\",\"table\":\"t' || (o_orderkey % 700 % 3) || '\",\"ts_ms\":' || (1700000000000 + o_orderkey * 1000) || '},\"before\":{\"id\":' || (o_orderkey % 700) || '},\"after\":{\"id\":' || (o_orderkey % 700) || ',\"status\":\"' || o_orderstatus || '\",\"prio\":\"' || o_orderpriority || '\"}' || CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE ',\"acl\":{\"visibility\":[1,2]}' END || '}'"
+
+
+def stream_cdc_driver(spark, sf):
+    """Envelopes, every third delivery an array of one, through the driver; then what the run did."""
+    from quarry.session import shared_dir, table
+
+    raw = table(_Streams(spark), sf, "orders").selectExpr("o_orderkey AS arrival", f"CASE WHEN o_orderkey % 3 = 0 THEN '[' || {_ENVELOPE} || ']' ELSE {_ENVELOPE} END AS body")
+    folder = f"{shared_dir(spark)}/cdc-{uuid.uuid4().hex}"
+    cdc.ingest(raw, folder, f"{folder}/state").awaitTermination()
+    return cdc.run_report(spark.read.parquet(f"{folder}/events"))
+
+
+def stream_watch(spark, sf):
+    """Membership changes as they come, those seen lately left out, and whether any was missed."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 500 <> 7").selectExpr("event_id AS seq", "'u:' || (user_id % 40) AS member", "'g:' || (event_id % 5) AS parent", "event_id * 30 AS at")
+    out = watch.watched(rows, 6000)
+    return out.groupBy("degraded", "fresh").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+QUERIES = {q.__name__: q for q in (stream_cdc_driver, stream_watch, stream_cdc, stream_subscribe, stream_windows)}
 
 ORACLE_SQL = {
+    # times follow arrival here, so the value before is the current one
+    "stream_cdc_driver": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 700 AS ent, o_orderkey % 11 = 0 AS del, o_orderkey % 13 <> 0 AS ok, o_orderstatus AS status, o_orderpriority AS prio FROM orders),
+f AS (SELECT k, ent, 'status' AS field, status AS v FROM o WHERE NOT del AND ok UNION ALL SELECT k, ent, 'prio', prio FROM o WHERE NOT del AND ok),
+e AS (SELECT k, ent, field, v, false AS gone FROM f UNION ALL SELECT o.k, o.ent, x.field, NULL, true FROM o JOIN (SELECT DISTINCT ent, field FROM f) x USING (ent) WHERE del),
+l AS (SELECT *, lag(v) OVER w AS before, coalesce(lag(gone) OVER w, true) AS fresh FROM e WINDOW w AS (PARTITION BY ent, field ORDER BY k)),
+c AS (SELECT 'pg:crm.s.t' || (ent % 3) AS source, count(*) FILTER (NOT gone AND fresh) AS inserted, count(*) FILTER (NOT gone AND NOT fresh AND v <> before) AS superseded, CAST(0 AS BIGINT) AS stale, count(*) FILTER (NOT gone AND NOT fresh AND v = before) AS unchanged, count(*) FILTER (gone AND NOT fresh) AS retired FROM l GROUP BY 1),
+r AS (SELECT 'pg:crm.s.t' || (ent % 3) AS source, 2 * count(*) AS refused FROM o WHERE NOT del AND NOT ok GROUP BY 1) SELECT c.*, CAST(coalesce(refused, 0) AS BIGINT) AS refused FROM c LEFT JOIN r USING (source)""",
+    "stream_watch": """WITH c AS (SELECT event_id AS seq, user_id % 40 AS m, event_id % 5 AS p, event_id * 30 AS at_s FROM events WHERE event_id % 500 <> 7),
+g AS (SELECT *, coalesce(seq - lag(seq) OVER (ORDER BY seq) > 1, false) AS gap, coalesce(at_s - lag(at_s) OVER (PARTITION BY m, p ORDER BY seq) < 6000, false) AS again FROM c), d AS (SELECT *, bool_or(gap) OVER (ORDER BY seq) AS degraded FROM g)
+SELECT degraded, NOT again AS fresh, count(*) AS n, min(seq) AS first_seq FROM d GROUP BY ALL""",
     "stream_cdc": temporal.ORACLE_SQL["fact_state_machine"],
     "stream_subscribe": b.sql("actions", then=f" SELECT action_id, actor, action_type, occurred_at FROM actions WHERE {sql_scope(SCOPE, current=False)}"),
     # a window is written once the watermark, an hour behind the newest event, has passed its end
