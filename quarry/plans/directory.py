@@ -207,7 +207,7 @@ al AS (SELECT 'user:' || c_custkey AS entity, 'canon:' || (c_custkey // 4) AS ca
 SELECT entity, chunks, actions, canonical, CASE WHEN canonical LIKE '%1' THEN 'deterministic' END AS confidence FROM t LEFT JOIN al USING (entity) ORDER BY chunks + actions DESC, entity LIMIT 120"""),
     "access_corpus_with_facts": b.sql("chunks", "fact_events", then=f""", r AS (SELECT source, confidentiality, 'doc:' || document_id AS d FROM chunks WHERE {sql_scope(SCOPE)} UNION ALL SELECT source, confidentiality, source || ':' || entity_id || ':' || field FROM fact_events WHERE {sql_scope(SCOPE, current=False)})
 SELECT 'all' AS lane, '' AS key, count(*) AS n_rows, count(DISTINCT (source, d)) AS n_documents FROM r UNION ALL SELECT 'source', source, count(*), count(DISTINCT (source, d)) FROM r GROUP BY source UNION ALL SELECT 'confidentiality', CAST(confidentiality AS VARCHAR), count(*), count(DISTINCT (source, d)) FROM r GROUP BY confidentiality"""),
-    "embedding_route": "WITH r AS (SELECT CASE WHEN n_nationkey % 5 <> 0 THEN 't' || (n_nationkey % 6) END AS tenant, arg_max('v' || n_nationkey, n_nationkey) AS value FROM nation GROUP BY 1), t AS (SELECT 't' || unnest(range(8)) AS tenant) SELECT t.tenant, 'embedding_route' AS name, r.value FROM t JOIN r ON r.tenant = t.tenant OR r.tenant IS NULL QUALIFY row_number() OVER (PARTITION BY t.tenant ORDER BY r.tenant NULLS LAST) = 1",
+    "embedding_route": "WITH r AS (SELECT CASE WHEN n_nationkey % 5 <> 0 THEN 't' || (n_nationkey % 6) END AS tenant, arg_max('v' || n_nationkey, n_nationkey) AS value FROM nation GROUP BY 1), t AS (SELECT 't' || unnest(range(8)) AS tenant) SELECT t.tenant, 'embedding_route' AS name, coalesce(o.value, d.value) AS value FROM t LEFT JOIN r o ON o.tenant = t.tenant LEFT JOIN r d ON d.tenant IS NULL",
     "episodes_sealed": "SELECT conv_id * 1000 + turn AS episode_id, sha256(text) AS content_hash, sha256(text) IS NOT NULL AS intact FROM conversations",
     "knowledge_near": b.sql("vectors", then=f" SELECT id, {_COS} AS score FROM vectors WHERE id % 3 <> 2 AND id % 4 IN (1, 2) AND {_COS} >= -0.2 ORDER BY score DESC, id LIMIT 8"),
     "latency_percentiles": "SELECT event_type AS operation, count(*) AS n FROM events GROUP BY 1",
