@@ -20,7 +20,8 @@ order within a conversation comes from a window over messages, which streams
 and spills; only rendered messages are gathered by conversation, since its one
 output row holds them all. There is no Python on the way.
 
-Cases: a null text is empty; a null role is written as an empty one; rows of
+Cases: very long texts and conversations are written whole; a null text is
+empty; a null role is written as an empty one; rows of
 one conversation with one sequence number stand in the order of role and text,
 and each counts; a null conversation id is a conversation of its own; an empty
 table gives no rows; an event before its message's ``open`` still counts, and

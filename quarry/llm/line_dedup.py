@@ -19,8 +19,9 @@ there are more blocks, takes the documents' hashes through each in turn.
 
 Cases: null or empty text is one empty line, whose empty key counts only if
 ``min_chars`` is 0; repeated lines of one document count once; repeated rows
-count each; a null doc_id stays null; other columns are not read. A table
-without rows gives none.
+count each, as documents of their own; very long texts and lines are taken
+whole; a null doc_id stays null; other columns, whatever their names, are not
+read. A table without rows gives none.
 """
 
 from __future__ import annotations
