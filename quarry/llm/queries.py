@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_cnn, chat_format, decontaminate, html_extract, line_dedup, packing, quality_rules, simhash, suffix_dedup, training_order
+from quarry.llm import byte_cnn, chat_format, clustering, decontaminate, hard_negatives, html_extract, line_dedup, packing, personal_data, quality_rules, simhash, suffix_dedup, training_order
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -15,6 +15,15 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_classifier": byte_cnn.op9_quality_classifier,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_centroid_clustering": clustering.op12_centroid_clustering,
+    "op13_pii": personal_data.op13_pii,
 }
 
-ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE_OP2, "op3_decontamination": decontaminate.ORACLE_OP3, "op7_line_dedup": line_dedup.ORACLE_OP7}
+ORACLE_SQL = {
+    "op2_chat_format": chat_format.ORACLE_OP2,
+    "op3_decontamination": decontaminate.ORACLE_OP3,
+    "op7_line_dedup": line_dedup.ORACLE_OP7,
+    "op11_hard_negatives": hard_negatives.ORACLE_OP11,
+    "op12_centroid_clustering": clustering.ORACLE_OP12,
+}
