@@ -2,7 +2,7 @@
 
 A window is an anchor and, for negatives, one of its positives: an interval of
 scores in which the first ``k`` rows are wanted. Each round cuts the interval
-of every window into ``BUCKETS`` parts of equal width; tasks count their rows
+of every window into ``buckets`` parts of equal width; tasks count their rows
 by part (an integer histogram for each window), the histograms are added up,
 and the part that holds the kth row becomes the interval of the next round, with
 ``k`` less what lies above it. After a few rounds the interval is one score.
@@ -79,8 +79,8 @@ class Windows(NamedTuple):
     top: np.ndarray
     wanted: np.ndarray
 
-    def width(self) -> np.ndarray:
-        return np.maximum(-(-(self.high - self.low + 1) // BUCKETS), 1)
+    def width(self, buckets: int) -> np.ndarray:
+        return np.maximum(-(-(self.high - self.low + 1) // buckets), 1)
 
 
 def _lanes(windows: Windows, n_anchors: int) -> Iterator[np.ndarray]:
@@ -109,13 +109,13 @@ def _places(scores: np.ndarray, may: np.ndarray, low: np.ndarray, high: np.ndarr
     return np.nonzero(may & (scores >= low[:, None]) & (scores <= high[:, None]))
 
 
-def _counted(rows: DataFrame, load, same: bool) -> DataFrame:
+def _counted(rows: DataFrame, load, same: bool, buckets: int) -> DataFrame:
     """(window, bucket, n): every task's histograms, as far as a task needs for the rows wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, windows = load.value
-        counts = np.zeros((len(windows.anchor), BUCKETS), np.int64)
-        lanes, width = list(_lanes(windows, len(anchors.ids))), windows.width()
+        counts = np.zeros((len(windows.anchor), buckets), np.int64)
+        lanes, width = list(_lanes(windows, len(anchors.ids))), windows.width(buckets)
         for _, scores, may in _blocks(batches, anchors, same):
             for own in lanes:
                 low, high = np.where(own < 0, 1, windows.low[own]), np.where(own < 0, 0, windows.high[own])
@@ -130,7 +130,7 @@ def _counted(rows: DataFrame, load, same: bool) -> DataFrame:
     return arrow_map(rows, run, "window long, bucket int, n long")
 
 
-def _narrowed(counted: DataFrame, windows: Windows) -> tuple[Windows, np.ndarray]:
+def _narrowed(counted: DataFrame, windows: Windows, buckets: int) -> tuple[Windows, np.ndarray]:
     """The interval of every window's kth row; False for windows with fewer rows than wanted, which take all.
 
     The histograms are added up and the bucket is found by the cluster; one row per window comes back.
@@ -140,7 +140,7 @@ def _narrowed(counted: DataFrame, windows: Windows) -> tuple[Windows, np.ndarray
     wanted = counted.sparkSession.createDataFrame(pa.table({"window": np.arange(len(windows.wanted)), "wanted": windows.wanted}))
     cut = summed.withColumn("upto", upto).join(F.broadcast(wanted), "window").where(F.col("upto") >= F.col("wanted"))
     low, high, left = windows.low.copy(), windows.high.copy(), windows.wanted.copy()
-    full, width = np.zeros(len(low), bool), windows.width()
+    full, width = np.zeros(len(low), bool), windows.width(buckets)
     for r in cut.groupBy("window").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("above")), "bucket").alias("at")).collect():
         w, b = r["window"], r["at"]["bucket"]
         high[w] = windows.high[w] - b * width[w]
@@ -177,7 +177,7 @@ def _gathered(rows: DataFrame, load, same: bool) -> DataFrame:
     return arrow_map(rows, run, "window long, score long, vec_id long")
 
 
-def _selected(rows: DataFrame, anchors: Anchors, windows: Windows, same: bool) -> DataFrame:
+def _selected(rows: DataFrame, anchors: Anchors, windows: Windows, same: bool, buckets: int) -> DataFrame:
     """(window, rank, score, vec_id) of the first rows of every window."""
     sc = rows.sparkSession.sparkContext
     k = int(windows.wanted.max(initial=0))
@@ -186,7 +186,7 @@ def _selected(rows: DataFrame, anchors: Anchors, windows: Windows, same: bool) -
         going = np.flatnonzero(open_ & (windows.high > windows.low))
         part = Windows(*(c[going] for c in windows))
         load = sc.broadcast((anchors, part))
-        narrowed, full = _narrowed(_counted(rows, load, same), part)
+        narrowed, full = _narrowed(_counted(rows, load, same, buckets), part, buckets)
         for column, new in zip(windows, narrowed, strict=True):
             column[going] = new
         open_[going[~full]] = False  # fewer rows than wanted: the whole interval
@@ -208,7 +208,7 @@ MINED = "anchor_id long, positive_id long, rank int, negative_id long, positive_
 
 
 def hard_negatives(
-    rows: DataFrame, is_anchor, *, n_positives: int = POSITIVES, n_negatives: int = NEGATIVES, low: int = 50, high: int = 95, part_anchors: int = PART_ANCHORS, id_column: str = "vec_id", label: str = "label", vector: str = "embedding"
+    rows: DataFrame, is_anchor, *, n_positives: int = POSITIVES, n_negatives: int = NEGATIVES, low: int = 50, high: int = 95, part_anchors: int = PART_ANCHORS, buckets: int = BUCKETS, id_column: str = "vec_id", label: str = "label", vector: str = "embedding"
 ) -> DataFrame:
     """The first negatives for every anchor and positive whose score is from low to high percent of the positive's.
 
@@ -232,13 +232,13 @@ def hard_negatives(
             continue
         bound = np.abs(vectors).sum(axis=1) * largest
         windows = Windows(np.arange(n), -bound, bound.copy(), bound.copy(), np.full(n, n_positives))
-        positives = _selected(points, anchors, windows, True).toArrow().sort_by([("window", "ascending"), ("rank", "ascending")])  # n_positives an anchor at most
+        positives = _selected(points, anchors, windows, True, buckets).toArrow().sort_by([("window", "ascending"), ("rank", "ascending")])  # n_positives an anchor at most
         anchor, score = positives.column("window").to_numpy(), positives.column("score").to_numpy()
         least, most = -_percent(-score, low), _percent(score, high)
         pairs = Windows(anchor.copy(), least, most.copy(), most.copy(), np.full(len(anchor), n_negatives))
         names = pa.table({"window": pa.array(np.arange(len(anchor))), "anchor_id": pa.array(anchors.ids[anchor]), "positive_id": positives.column("vec_id"), "positive_score": pa.array(score)})
         if len(anchor):
-            found = _selected(points, anchors, pairs, False).join(F.broadcast(spark.createDataFrame(names)), "window")
+            found = _selected(points, anchors, pairs, False, buckets).join(F.broadcast(spark.createDataFrame(names)), "window")
             mined.append(found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
             if parts > 1:
                 mined[-1] = saved(mined[-1], "mined")
