@@ -8,9 +8,11 @@ later piece finds a bin that it fills exactly.
 Scale: only lengths are packed, never texts or ids. Pieces are dealt by a hash
 of their key to shards of ``SHARD_PIECES`` on average, however large the
 corpus, and every shard is packed by one task in memory of a fixed size: the
-counts and the stacks of open bins per gap. What a shard leaves badly filled
-(a few bins each) is dealt anew to fewer shards and packed once more, until
-one shard is left or nothing is gained.
+counts and the stacks of open bins per gap. What shards leave badly filled
+(a few bins each) is dealt anew to as many shards as its number of pieces asks
+for and packed once more, as long as that is at most half of what was dealt:
+where more stays open, the lengths allow no better and further rounds gain
+nothing. So rounds halve, and no shard ever gets more than its share.
 
 Cases: very long texts are cut into pieces of one capacity; a null or empty text is a document of the end id alone; a document of
 exactly ``capacity`` tokens is one piece that fills a sequence; a table
@@ -121,15 +123,15 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
         return run
 
     while True:
-        packed = _deal(rows, shards).groupBy("shard").applyInPandas(packer(turn), PACKED)
-        if shards == 1:
-            packed = packed.drop("poor")
-            return packed if done is None else done.unionByName(packed)
-        packed = saved(packed, "packed")
-        kept = packed.where(~F.col("poor")).drop("poor")
-        done = kept if done is None else done.unionByName(kept)
+        packed = saved(_deal(rows, shards).groupBy("shard").applyInPandas(packer(turn), PACKED), "packed")
+        poor = packed.where("poor").count() if shards > 1 else 0
+        again = 0 < 2 * poor <= n  # else the lengths leave bins open, not the ends of shards
+        taken = (packed.where("NOT poor") if again else packed).drop("poor")
+        done = taken if done is None else done.unionByName(taken)
+        if not again:
+            return done
         rows = packed.where("poor").drop("sequence_id", "offset", "poor")
-        shards, turn = min(shards - 1, max(1, -(-rows.count() // shard_pieces))), turn + 1
+        n, shards, turn = poor, -(-poor // shard_pieces), turn + 1
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
