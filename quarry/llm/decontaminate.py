@@ -16,7 +16,8 @@ Scale: one pass over the documents without a shuffle; what is sent along is
 the test set, whose size is checked (``MAX_TEST_WORDS``); larger test sets
 are taken in parts of that size, one after another: each part is one pass that
 leaves its hits with the texts for the next, so neither the driver nor a worker
-ever holds two parts. A result holds one
+ever holds two parts. A task holds the places of every different window once,
+whatever the number of items or of places in items that have it; a result holds one
 element for each pair of item and document that match, never one for each
 occurrence.
 
@@ -58,23 +59,42 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """Every suffix of the test items that holds a window, ready to be searched for by its first words."""
+    """Every suffix of the test items that holds a window, ready to be searched for by its first words.
+
+    Items of equal words are one sequence and equal windows one class, however many items hold them.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        classes: dict[int, dict[bytes, int]] = {}
+        items_of: dict[bytes, list[int]] = {}
         for at, (_, text) in enumerate(items):
-            own = words_of(text)
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in own], np.uint32)
-            n = min(window, len(own))
-            for s in range(len(own) - n + 1 if own else 0):
-                found.setdefault(n, {}).setdefault(ids[s : s + n].tobytes(), []).append((at, s))
-        # by length: the first words of each different suffix, and where it stands in which items
-        self.of_length = {n: (np.frombuffer(b"".join(by), np.uint32).reshape(-1, n), list(by.values())) for n, by in found.items()}
-        self.item_ids = [i for i, _ in items]
-
-    def search(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]]]]:
-        """(words searched for, places in ids of their occurrences, their places in items), over one block.
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.uint32)
+            if len(ids):
+                items_of.setdefault(ids.tobytes(), []).append(at)
+        self.items_of = list(items_of.values())
+        #: by sequence, the class of the window at each place, and the length of its windows
+        self.sequences: list[tuple[list[int], int]] = []
+        #: by class, the sequences that hold it
+        self.holders: list[list[int]] = []
+        for q, raw in enumerate(items_of):
+            n = min(window, len(raw) // 4)
+            of = classes.setdefault(n, {})
+            own = []
+            for s in range(len(raw) // 4 - n + 1):
+                c = of.setdefault(raw[4 * s : 4 * (s + n)], len(self.holders))
+                if c == len(self.holders):
+                    self.holders.append([])
+                if self.holders[c][-1:] != [q]:
+                    self.holders[c].append(q)
+                own.append(c)
+            self.sequences.append((own, n))
+        # by length: the first words of each different suffix, and its class
+        self.of_length = {n: (np.frombuffer(b"".join(of), np.uint32).reshape(-1, n), np.array(list(of.values()))) for n, of in classes.items()}
+        self.item_ids = pa.array([i for i, _ in items], pa.int64())
+
+    def search(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(length of a window, its class, places in ids of its occurrences), over one block.
 
         ids: the block's words in order, with at least one 0 after each document.
         """
@@ -85,7 +105,7 @@ class TestSuffixes:
             array = suffix_order(words)
             first = words[array]
             padded = np.append(words, np.full(widest, -1))
-            for n, (suffixes, where) in self.of_length.items():
+            for n, (suffixes, of) in self.of_length.items():
                 asked = np.minimum(np.searchsorted(used, suffixes), len(used) - 1)
                 row = np.flatnonzero((used[asked] == suffixes).all(axis=1))
                 low, high = np.searchsorted(first, asked[row, 0], "left"), np.searchsorted(first, asked[row, 0], "right")
@@ -98,7 +118,7 @@ class TestSuffixes:
                     places = array[a:b] + begin
                     places = places[places < begin + SHARD_WORDS]  # later ones are found in the next array
                     if len(places):
-                        yield n, places, where[r]
+                        yield n, int(of[r]), places
 
 
 def _bound(at: np.ndarray, array: np.ndarray, word: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
@@ -115,35 +135,60 @@ def _bound(at: np.ndarray, array: np.ndarray, word: np.ndarray, low: np.ndarray,
         high[going[~before]] = middle[~before]
 
 
-def _hits(search: TestSuffixes, own_words: list[list[bytes]]) -> tuple[np.ndarray, list[dict[int, list[int]]]]:
-    """Which words are hit, all documents' one after the other with a False behind each, and
-    {item: [longest match in words, its first word in the document]} of each document."""
+def _hits(search: TestSuffixes, own_words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are hit, all documents' one after the other with a False behind each, and for every document
+    and sequence that match one column of (document, sequence, longest match in words, its first word in the document)."""
     number = search.number.get
     parts = [np.array([*map(number, own, _ZEROS), 0], np.uint32) for own in own_words]
     ids = np.concatenate(parts)
     ends = np.cumsum([len(p) for p in parts])
     cover = np.zeros(len(ids) + 1, np.int64)
-    pairs: list[np.ndarray] = []
-    for n, places, where in search.search(ids):
+    places_of: dict[int, list[np.ndarray]] = {}
+    for n, c, places in search.search(ids):
         cover[places] += 1
         cover[places + n] -= 1
-        pairs += [np.stack([np.full(len(places), item), places - s, places, np.full(len(places), n)], axis=1) for item, s in where]
-    longest: list[dict[int, list[int]]] = [{} for _ in own_words]
-    if pairs:
-        rows = np.concatenate(pairs)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        # windows on one diagonal that stand side by side are one match
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 2] != rows[:-1, 2] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(rows)) - 1
-        length = rows[last, 2] - rows[first, 2] + rows[first, 3]
-        doc = np.searchsorted(ends, rows[first, 2], side="right")
-        for d, item, n, place in zip(doc.tolist(), rows[first, 0].tolist(), length.tolist(), rows[first, 2].tolist(), strict=True):
-            held = longest[d].get(item)
-            if held is None or n > held[0]:
-                longest[d][item] = [n, place - int(ends[d] - len(parts[d]))]
-    return np.cumsum(cover[:-1]) > 0, longest
+        places_of.setdefault(c, []).append(places)
+    found = {c: np.sort(np.concatenate(places)) for c, places in places_of.items()}
+    longest = [_longest(q, *search.sequences[q], found, ends) for q in sorted({q for c in found for q in search.holders[c]})]
+    matches = np.concatenate([np.empty((4, 0), np.int64), *longest], axis=1)
+    matches[3] -= np.append(0, ends)[matches[0]]
+    return np.cumsum(cover[:-1]) > 0, matches
+
+
+def _longest(sequence: int, classes: list[int], n: int, places_of: dict[int, np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """The longest match of one sequence in every document that it matches, the first of equal ones.
+
+    Windows that follow one another on both sides are one match: the length of each is carried from one window to
+    the next, so what is held are the places of one window, never all pairs of places.
+    """
+    over: list[np.ndarray] = []
+    held = 0
+    none = np.empty(0, np.int64)
+    at, run = none, none
+    for c in [*classes, -1]:
+        places = places_of.get(c, none)
+        before = np.minimum(np.searchsorted(at, places - 1), max(len(at) - 1, 0))
+        goes_on = at[before] == places - 1 if len(at) else np.zeros(len(places), bool)
+        length = np.ones(len(places), np.int64)
+        length[goes_on] += run[before[goes_on]]
+        done = np.ones(len(at), bool)
+        done[before[goes_on]] = False
+        if done.any():
+            first = at[done] - run[done] + 1
+            over.append(np.stack([np.searchsorted(ends, first, "right"), np.full(len(first), sequence), run[done] + n - 1, first]))
+            held += len(first)
+            if held > 1 << 20:
+                over = [_best(over)]
+                held = over[0].shape[1]
+        at, run = places, length
+    return _best(over)
+
+
+def _best(rows: list[np.ndarray]) -> np.ndarray:
+    """Of (document, sequence, words, place) of one sequence: the longest by document, the first of equal ones."""
+    all_ = np.concatenate([np.empty((4, 0), np.int64), *rows], axis=1)
+    all_ = all_[:, np.lexsort((all_[3], -all_[2], all_[0]))]
+    return all_[:, np.diff(all_[0], prepend=-1) != 0]
 
 
 _ZEROS = itertools.repeat(0)
@@ -159,6 +204,24 @@ def _open(load, window: int) -> TestSuffixes:
     return _opened[name, window]
 
 
+_MATCH = [("item_id", pa.int64()), ("words", pa.int32()), ("at", pa.int32())]
+
+
+def _joined(before: pa.ListArray, search: TestSuffixes, found: np.ndarray) -> pa.ListArray:
+    """The matches of each document so far, and those found now: one for each item of a sequence."""
+    per = [np.array(search.items_of[q]) for q in found[1].tolist()]
+    times = np.array([len(p) for p in per], np.int64)
+    doc, words, at = (np.repeat(found[i], times) for i in (0, 2, 3))
+    items = search.item_ids.take(pa.array(np.concatenate([np.empty(0, np.int64), *per])))
+    old = before.flatten()
+    olds = before.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    both = [pa.concat_arrays([old.field(i), pa.array(new).cast(t)]) for i, (new, (_, t)) in enumerate(zip((items, words, at), _MATCH, strict=True))]
+    order = np.argsort(np.append(np.repeat(np.arange(len(before)), olds), doc), kind="stable")
+    offsets = np.append(0, np.cumsum(olds + np.bincount(doc, minlength=len(before)))).astype(np.int32)
+    values = pa.StructArray.from_arrays([b.take(pa.array(order)) for b in both], names=[name for name, _ in _MATCH])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
 MATCHED = "doc_id long, text string, n_words long, n_hit long, marks binary, matches array<struct<item_id:long,words:int,at:int>>"
 
 
@@ -179,16 +242,13 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_tes
             for batch in blocks(batches):
                 own_words = [words_of(t) for t in batch.column(1).to_pylist()]
                 search = _open(load, window)
-                hit, longest = _hits(search, own_words)
-                matches = batch.column(3).to_pylist()
-                for held, of in zip(matches, longest, strict=True):
-                    held += [{"item_id": search.item_ids[i], "words": n, "at": at} for i, (n, at) in of.items()]
+                hit, found = _hits(search, own_words)
+                matches = _joined(batch.column(3), search, found)
                 ends = np.cumsum([len(own) + 1 for own in own_words])
                 bits = [hit[e - len(own) - 1 : e - 1] for e, own in zip(ends.tolist(), own_words, strict=True)]
                 bits = [b if m is None else b | np.unpackbits(np.frombuffer(m, np.uint8), count=len(b)).astype(bool) for b, m in zip(bits, batch.column(2).to_pylist(), strict=True)]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("at", pa.int32())]))
                 counts = [pa.array([len(b) for b in bits], pa.int64()), pa.array([int(b.sum()) for b in bits], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array([np.packbits(b).tobytes() if b.any() else None for b in bits], pa.binary()), pa.array(matches, kind), *batch.columns[4:]], names=["doc_id", "text", "n_words", "n_hit", "marks", "matches", *carried_names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array([np.packbits(b).tobytes() if b.any() else None for b in bits], pa.binary()), matches, *batch.columns[4:]], names=["doc_id", "text", "n_words", "n_hit", "marks", "matches", *carried_names])
 
         rows = arrow_map(rows, run, MATCHED + schema)
         if k < parts - 1:
