@@ -52,15 +52,28 @@ def _pair(df: DataFrame) -> DataFrame:
     return df.withColumn("a", F.least("left_ref", "right_ref")).withColumn("b", F.greatest("left_ref", "right_ref"))
 
 
-def edges(evidence: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """Surviving links (a, b, ids, tier, method, human) and keys that fan out (key, members)."""
+def eligible(evidence: DataFrame, config: Config) -> DataFrame:
+    """The rows that may link, with a, b and human (a person confirmed the pair)."""
     live = _pair(evidence)
     human = live.where("method = 'human_confirmed' AND polarity >= 0").select("a", "b").distinct().withColumn("human", F.lit(True))
     use = live.where((F.col("polarity") >= 0) & (F.col("method") != "human_rejected") & ~F.col("key_kind").isin(*config.ineligible_kinds, "") & ~F.coalesce(F.col("key_value").isin(*config.denylist, ""), F.lit(False))).join(human, ["a", "b"], "left")
-    use = use.where(((F.col("tier") == 1) & F.lit(config.auto_merge_tier1)) | ((F.col("tier") == 2) & F.col("human")) | (F.col("method") == "human_confirmed"))
-    is_key = lambda c: F.col(c).startswith("key:")
+    return use.where(((F.col("tier") == 1) & F.lit(config.auto_merge_tier1)) | ((F.col("tier") == 2) & F.col("human")) | (F.col("method") == "human_confirmed"))
+
+
+def is_key(c: str) -> Column:
+    return F.col(c).startswith("key:")
+
+
+def leaves_of(use: DataFrame) -> DataFrame:
+    """Rows between a key and a ref: key, leaf, and the rest."""
+    return use.where(is_key("a") != is_key("b")).select(F.when(is_key("a"), F.col("a")).otherwise(F.col("b")).alias("key"), F.when(is_key("a"), F.col("b")).otherwise(F.col("a")).alias("leaf"), "id", "tier", "method", "key_kind", "key_value", "human")
+
+
+def edges(evidence: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Surviving links (a, b, ids, tier, method, human) and keys that fan out (key, members)."""
+    use = eligible(evidence, config)
     direct = use.where(~is_key("a") & ~is_key("b"))
-    leaves = use.where(is_key("a") != is_key("b")).select(F.when(is_key("a"), F.col("a")).otherwise(F.col("b")).alias("key"), F.when(is_key("a"), F.col("b")).otherwise(F.col("a")).alias("leaf"), "id", "tier", "method", "key_kind", "key_value", "human")
+    leaves = leaves_of(use)
     sized = leaves.groupBy("key").agg(F.count_distinct("leaf").alias("members"), F.min("leaf").alias("hub"), F.max("key_kind").alias("kind"))
     fanned = sized.where((F.col("members") > 2) & ~F.col("kind").isin(*STRONG_KINDS))
     # two leaves are a pair; a strong key's many leaves all link to the smallest, which connects them alike

@@ -4,27 +4,26 @@ Every leg ranks scoped rows only. Scores are rounded to six places and ties
 go to the smaller id, so results do not depend on partitioning; each leg ends
 in a top-k, which Spark takes per partition before anything moves.
 
-BM25 reads an index that is written once (``build_index``): postings (tenant,
-term, id, tf, dl) in files by a hash of the term, sorted by term, and one row
-of statistics for each tenant. A query opens the files of its own terms, and
-there only the row groups that hold them; no text is read or tokenised again.
+BM25 reads an index that follows its chunks (``quarry.operators.postings``).
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import postings
+from quarry.operators.postings import Index, bm25, build_index
 from quarry.operators.scope import Scope, drop_reasons, scoped_chunks
 
-K1, B, RRF = 1.2, 0.75, 60
+__all__ = ["Index", "bm25", "build_index"]
+
+RRF = 60
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -93,67 +92,9 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-
-
-#: Files of postings are dealt by a hash of the term.
-TERM_FILES = 32
-
-
-@dataclass(frozen=True)
-class Index:
-    postings: DataFrame
-    stats: DataFrame
-    files: int = TERM_FILES
-
-
-def build_index(chunks: DataFrame, folder: str, files: int = TERM_FILES) -> Index:
-    """Writes the postings and statistics of chunks (tenant, id, content) below a folder, and reads them."""
-    spark = chunks.sparkSession
-    words = chunks.select("tenant", "id", tokens(F.coalesce("content", F.lit(""))).alias("w"))
-    stats = words.groupBy("tenant").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("total"))
-    # terms are counted within each row, so postings are shuffled once, to their files
-    counted = words.select("tenant", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("tenant", "id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    part = F.pmod(F.xxhash64("term"), F.lit(files)).cast("int")
-    counted.withColumn("part", part).repartition(files, "part").sortWithinPartitions("part", "tenant", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), files)
-
-
-def terms_of(text: str) -> list[str]:
-    return [t for t in dict.fromkeys(re.split("[^a-z0-9]+", text.lower())) if t]
-
-
-def _scored(hits: DataFrame, frequencies: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds s, the term's share of the score, to postings; frequencies: term, df; stats: one row."""
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.coalesce(F.try_divide("dl", F.col("total") / F.col("n")), F.lit(1.0))
-    # a row for each term of the query, and one row
-    return hits.join(F.broadcast(frequencies), "term").crossJoin(F.broadcast(stats)).withColumn("s", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)))
-
-
-def bm25(index: Index, chunks: DataFrame, scope: Scope, query: str, k: int) -> DataFrame:
-    """id, score of the k best scoped chunks that hold any term of the query.
-
-    Document frequencies and the mean length are those of the tenant's whole
-    index; the scope filters what is ranked.
-    """
-    terms = terms_of(query)
-    files = index.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(index.files)).cast("int")).collect() if terms else []
-    own = index.postings.where(F.col("part").isin(*{r[0] for r in files}) & (F.col("tenant") == scope.tenant) & F.col("term").isin(*terms)) if terms else index.postings.where(F.lit(False))
-    rows = _scored(own, own.groupBy("term").agg(F.count("*").alias("df")), index.stats.where(F.col("tenant") == scope.tenant).select("n", "total"))
-    found = rows.groupBy("id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return found.join(scoped_chunks(chunks, scope).select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(k)
-
-
 def bm25_many(index: Index, chunks: DataFrame, scope: Scope, queries: DataFrame, k: int) -> DataFrame:
     """qid, id, score of the k best scoped chunks of each query (qid, text): one pass over the terms' postings."""
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    own = index.postings.where(F.col("tenant") == scope.tenant).join(asked.select("term").distinct(), "term", "left_semi")
-    rows = _scored(own, own.groupBy("term").agg(F.count("*").alias("df")), index.stats.where(F.col("tenant") == scope.tenant).select("n", "total"))
-    seen = rows.select("term", "id", "s").join(scoped_chunks(chunks, scope).select("id"), "id", "left_semi")
-    return _top(seen.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("s"), 6).alias("score")), k)
+    return _top(postings.scored_many(index, chunks, scope, queries), k)
 
 
 def composite(hits: DataFrame, now: int, half_life: int = 30 * 86_400) -> DataFrame:

@@ -81,7 +81,7 @@ def tags_appended(spark, sf):
 def quarantine_lifecycle(spark, sf):
     items = table(spark, sf, "customer").selectExpr("c_custkey AS id")
     r = table(spark, sf, "orders").selectExpr("o_custkey AS id", "o_orderkey AS at", "CASE o_orderkey % 5 WHEN 0 THEN 'dismiss' WHEN 1 THEN 'failed' ELSE 'reingest' END AS action", "CASE WHEN o_orderkey % 3 = 0 THEN array(o_custkey % 7) END AS visibility")
-    return d.quarantine_after(items, r.where("at % 9 < 3")).groupBy("status").agg(F.count("*").alias("n"), F.sum("refused").alias("refused"), F.sum("resolved_at").alias("at"))
+    return d.quarantine_after(items, r).groupBy("status").agg(F.count("*").alias("n"), F.sum("refused").alias("refused"), F.sum("resolved_at").alias("at"))
 
 
 _POST = "CASE o_orderkey % 7 WHEN 0 THEN '{not json' WHEN 1 THEN '{\"other\":1}' WHEN 2 THEN '{\"content\":\"x\",\"visibility\":[' || (o_orderkey % 4) || ']}' WHEN 3 THEN '{\"observation\":\"y\",\"entities\":[\"e' || (o_orderkey % 3) || '\"]}' WHEN 4 THEN '{\"facts\":{\"a\":\"b\"}}' ELSE '{\"content\":\"z\"}' END"
@@ -129,7 +129,7 @@ def knowledge_near(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    return service.latency(table(spark, sf, "events").selectExpr("event_type AS operation", "CAST(event_id * 7919 % 1000 AS DOUBLE) AS ms")).select("operation", "n")
+    return service.latency(table(spark, sf, "events").selectExpr("event_type AS operation", "value AS ms"))
 
 
 def metric_gauges(spark, sf):
@@ -156,7 +156,7 @@ def document_gates(spark, sf):
 
 def mail_organisations(spark, sf):
     a = table(spark, sf, "customer").selectExpr("'x' || c_custkey || '@mail.firm' || (c_custkey % 60) || '.co.uk' AS address")
-    return connectors.org_facts(a.unionByName(a.limit(0)), ["firm7.co.uk"])
+    return connectors.org_facts(a, ["firm7.co.uk"])
 
 
 def recording_audience(spark, sf):
@@ -210,7 +210,8 @@ SELECT 'all' AS lane, '' AS key, count(*) AS n_rows, count(DISTINCT (source, d))
     "embedding_route": "WITH r AS (SELECT CASE WHEN n_nationkey % 5 <> 0 THEN 't' || (n_nationkey % 6) END AS tenant, arg_max('v' || n_nationkey, n_nationkey) AS value FROM nation GROUP BY 1), t AS (SELECT 't' || unnest(range(8)) AS tenant) SELECT t.tenant, 'embedding_route' AS name, coalesce(o.value, d.value) AS value FROM t LEFT JOIN r o ON o.tenant = t.tenant LEFT JOIN r d ON d.tenant IS NULL",
     "episodes_sealed": "SELECT conv_id * 1000 + turn AS episode_id, sha256(text) AS content_hash, sha256(text) IS NOT NULL AS intact FROM conversations",
     "knowledge_near": b.sql("vectors", then=f" SELECT id, {_COS} AS score FROM vectors WHERE id % 3 <> 2 AND id % 4 IN (1, 2) AND {_COS} >= -0.2 ORDER BY score DESC, id LIMIT 8"),
-    "latency_percentiles": "SELECT event_type AS operation, count(*) AS n FROM events GROUP BY 1",
+    "latency_percentiles": """WITH e AS (SELECT event_type AS operation, round(value / 0.1::DOUBLE) * 0.1::DOUBLE AS ms FROM events WHERE value IS NOT NULL), c AS (SELECT *, count(*) OVER (PARTITION BY operation) AS n, count(*) OVER (PARTITION BY operation ORDER BY ms) AS upto FROM e)
+SELECT operation, max(n) AS n, round(min(ms) FILTER (upto >= 0.5 * n), 6) AS p50, round(min(ms) FILTER (upto >= 0.95 * n), 6) AS p95, round(min(ms) FILTER (upto >= 0.99 * n), 6) AS p99 FROM c GROUP BY 1""",
     "metric_gauges": "SELECT 'quarantine_depth' AS gauge, count(*) FILTER (event_id % 3 <> 0 OR value IS NULL) AS n FROM events UNION ALL SELECT 'degraded_runs', count(*) FILTER (o_orderkey % 10 = 0) FROM orders",
     "acl_changes": "WITH b AS (SELECT DISTINCT o_custkey AS r FROM orders), p AS (SELECT r, r % 4 AS n, CASE WHEN r IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) THEN r % 5 END AS o FROM b) SELECT r AS record, CASE WHEN o <> n THEN 'u:' || o ELSE '' END AS removed, CASE WHEN o IS NULL THEN 'g:1,u:' || n WHEN o <> n THEN 'u:' || n ELSE '' END AS added FROM p WHERE o IS NULL OR o <> n",
     "retractions_open": "SELECT record FROM (SELECT c_custkey AS record FROM customer WHERE c_custkey % 4 = 0 UNION SELECT o_custkey FROM orders) WHERE record NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 6 = 0)",

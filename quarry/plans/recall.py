@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry import bindings as b
-from quarry.operators import reads, retrieval
+from quarry.operators import postings, reads, retrieval
 from quarry.operators import scope as sc
-from quarry.session import shared_dir, table
+from quarry.session import kept, shared_dir, table
 
 SCOPE = sc.Scope("a", (1, 2, 3, 11), ceiling=2)
 BOUND = sc.Scope("a", (1, 2, 3, 4, 11, 12), ceiling=3, entities=("lang:en", "grp:0", "grp:2", "lang:fr"))
@@ -54,15 +54,61 @@ def recall_dense(spark, sf):
     return hits.join(chunks.select("id", "source", "document_id", "seq"), "id").select("id", "score", "source", "document_id", "seq")
 
 
-_indexes: dict[tuple[str, str], retrieval.Index] = {}
+_indexes: dict[str, tuple[tuple, str]] = {}
 
 
 def _index(spark, sf) -> retrieval.Index:
-    """The index over the chunks of a folder, written once in a session's life."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _indexes:
-        _indexes[key] = retrieval.build_index(b.chunks(spark, sf), f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}")
-    return _indexes[key]
+    """The index over the chunks of a folder. It is written anew where the session or the chunks' files are others than before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/documents.parquet")
+    state = where.getFileSystem(conf).getContentSummary(where)
+    files = spark.sparkContext.applicationId, state.getLength(), state.getFileCount(), where.getFileSystem(conf).getFileStatus(where).getModificationTime()
+    held = _indexes.get(sf)
+    if held is None or held[0] != files:
+        if held is not None:
+            _dropped(spark, held[1])
+        folder = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+        retrieval.build_index(b.chunks(spark, sf), folder)
+        _indexes[sf] = files, folder
+    return postings.open_index(spark, _indexes[sf][1])
+
+
+def _dropped(spark, folder: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def bm25_index(spark, sf):
+    """What building the index from all chunks gives: numbers by tenant, and how many postings it has of how many terms."""
+    folder = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    index = retrieval.build_index(b.chunks(spark, sf), folder)
+    rows = index.postings.read().groupBy("tenant").agg(F.sum("n").alias("postings"), F.count_distinct("term").alias("terms")).join(index.numbers(), "tenant")
+    return kept(rows)
+
+
+def _changed(spark, sf):
+    """The chunks as they are after some changed: every fifth has another text, every eleventh of the rest is gone."""
+    chunks = b.chunks(spark, sf)
+    return chunks.where("id % 5 = 0 OR id % 11 <> 0").withColumn("content", F.expr("CASE WHEN id % 5 = 0 THEN concat(replace(content, 'e', 'i'), ' the ention quarry') ELSE content END"))
+
+
+def bm25_followed(spark, sf):
+    """Recall after changes, from an index that followed them by segments instead of being built anew."""
+    chunks, now = b.chunks(spark, sf), _changed(spark, sf)
+    index = retrieval.build_index(chunks, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}")
+    touched = F.expr("id % 5 = 0 OR id % 11 = 0")
+    postings.update(index, chunks.where(touched), now.where(touched))
+    return retrieval.bm25(index, now, SCOPE, TEXT + " quarry", K)
+
+
+def bm25_erased(spark, sf):
+    """Recall after a third of the chunks was erased from the index's files, which were then merged."""
+    chunks = b.chunks(spark, sf)
+    index = retrieval.build_index(chunks, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}")
+    postings.erase(index, chunks.where("id % 3 = 1"))
+    postings.compact(index)
+    return retrieval.bm25(index, chunks.where("id % 3 <> 1"), SCOPE, TEXT, K)
 
 
 def recall_bm25(spark, sf):
@@ -78,8 +124,8 @@ def recall_hybrid_rrf(spark, sf):
 
 
 def recall_bm25_many(spark, sf):
-    """A query for every benchmark item, of its first twelve words: what a user types."""
-    asked = table(spark, sf, "benchmark").selectExpr("item_id AS qid", "array_join(slice(split(text, ' '), 1, 12), ' ') AS text")
+    """A query for every benchmark item, of its whole text."""
+    asked = table(spark, sf, "benchmark").selectExpr("item_id AS qid", "text")
     return retrieval.bm25_many(_index(spark, sf), b.chunks(spark, sf), SCOPE, asked, K)
 
 
@@ -163,11 +209,18 @@ def _mem(s: sc.Scope, current: bool = True) -> str:
   UNION ALL SELECT 'action', action_id, 'agent', occurred_at, left(summary, 240), length(summary) > 240, array_to_string(entities, ','), len(visibility), confidentiality, NULL, NULL, NULL, NULL, action_type, NULL, entities, summary FROM actions WHERE {sql_scope(plain, current=False)}{act})"""
 
 
-QUERIES = {f.__name__: f for f in (recall_dense, recall_bm25, recall_bm25_entity, recall_hybrid_rrf, recall_bm25_many, recall_dense_many, recall_composite, debug_trace, freshness_gate, latest_chunks, activity_timeline, activity_of_entity, memories_browse, memories_bound, memories_history, memories_by_source, brief_visibility, entity_tags)}
+_BASE = b.CTE["chunks"].replace("chunks AS", "base AS", 1)
+
+QUERIES = {f.__name__: f for f in (recall_dense, recall_bm25, recall_bm25_entity, recall_hybrid_rrf, recall_bm25_many, bm25_index, bm25_followed, bm25_erased, recall_dense_many, recall_composite, debug_trace, freshness_gate, latest_chunks, activity_timeline, activity_of_entity, memories_browse, memories_bound, memories_history, memories_by_source, brief_visibility, entity_tags)}
 
 ORACLE_SQL = {
     "recall_dense": b.sql("chunks", "vectors", then=f" SELECT id, score, source, document_id, seq FROM ({sql_dense(SCOPE, K)}) JOIN chunks USING (id)"),
     "recall_bm25": b.sql("chunks", then=f",\n{sql_bm25(SCOPE, TEXT, K)} SELECT id, score FROM bm"),
+    "bm25_index": b.sql("chunks", then=""", w AS (SELECT tenant, id, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM chunks),
+u AS (SELECT tenant, count(DISTINCT (id, t)) AS postings, count(DISTINCT t) AS terms, count(*) AS total FROM w GROUP BY 1), c AS (SELECT tenant, count(*) AS n FROM chunks GROUP BY 1) SELECT tenant, postings, terms, n, total FROM u JOIN c USING (tenant)"""),
+    "bm25_followed": f"""WITH {_BASE}, chunks AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN replace(content, 'e', 'i') || ' the ention quarry' ELSE content END AS content) FROM base WHERE id % 5 = 0 OR id % 11 <> 0),
+{sql_bm25(SCOPE, TEXT + ' quarry', K)} SELECT id, score FROM bm""",
+    "bm25_erased": f"WITH {_BASE}, chunks AS (SELECT * FROM base WHERE id % 3 <> 1),\n{sql_bm25(SCOPE, TEXT, K)} SELECT id, score FROM bm",
     "recall_bm25_entity": b.sql("chunks", then=f",\n{sql_bm25(BOUND, TEXT, K)} SELECT id, score FROM bm"),
     "recall_hybrid_rrf": b.sql("chunks", "vectors", then=f""",
 {sql_bm25(SCOPE, TEXT, K)}, de AS ({sql_dense(SCOPE, K)}),
@@ -176,7 +229,7 @@ SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM legs GROUP BY id
     "recall_bm25_many": b.sql("chunks", then=f""",
 tok AS MATERIALIZED (SELECT id, unnest(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM chunks WHERE tenant = 'a'),
 dl AS (SELECT c.id, coalesce(n, 0) AS dl FROM chunks c LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) USING (id) WHERE tenant = 'a'), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:12], ' ')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark),
+q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark),
 tf AS (SELECT id, t, count(*) AS tf FROM tok WHERE t IN (SELECT t FROM q) GROUP BY id, t), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 sc AS (SELECT id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM tf JOIN df USING (t) JOIN dl USING (id) CROSS JOIN st WHERE id IN (SELECT id FROM chunks WHERE {sql_scope(SCOPE)})),
 r AS (SELECT qid, id, round(sum(s), 6) AS score FROM sc JOIN q USING (t) GROUP BY 1, 2) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {K}"""),

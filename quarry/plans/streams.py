@@ -11,7 +11,9 @@ from quarry.operators import scope as sc
 from quarry.plans import temporal
 from quarry.plans.recall import SCOPE, sql_scope
 from quarry.streaming import facts as stream_facts
-from quarry.sources import cdc
+from quarry.session import table
+from quarry.sources import cdc, connector
+from quarry.streaming import membership
 from quarry.streaming import subscribe as sub
 from quarry.streaming import watch
 
@@ -66,9 +68,79 @@ def stream_watch(spark, sf):
     return out.groupBy("degraded", "fresh").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-QUERIES = {q.__name__: q for q in (stream_cdc_driver, stream_watch, stream_cdc, stream_subscribe, stream_windows)}
+#: Seconds within which a token is not revoked again, here.
+_AGAIN = 3600
+
+
+def _groups(spark, sf):
+    """Nations are in regions, regions in the world; the groups that were ever granted anything have tokens."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    edges = nation.selectExpr("'nation:' || n_nationkey AS member", "'region:' || n_regionkey AS parent").unionByName(region.selectExpr("'region:' || r_regionkey AS member", "'world' AS parent"))
+    tokens = nation.selectExpr("'nation:' || n_nationkey AS principal", "n_nationkey AS token").where("token % 6 <> 5").unionByName(region.selectExpr("'region:' || r_regionkey AS principal", "100 + r_regionkey AS token"))
+    return edges, tokens.selectExpr("principal", "CAST(token AS LONG) AS token").unionByName(spark.createDataFrame([("world", 200)], "principal string, token long"))
+
+
+def watch_tombstones(spark, sf):
+    """Every removal of a user from a nation revokes the nation's token, its region's and the world's, but not twice within an hour."""
+    edges, tokens = _groups(spark, sf)
+    removals = table(_Streams(spark), sf, "events").selectExpr("event_id AS seq", "CASE WHEN event_id % 97 <> 0 THEN 'user:' || user_id END AS member", "'nation:' || (user_id % 25) AS parent", "CAST(unix_micros(CAST(ts AS TIMESTAMP)) div 1000000 AS LONG) AS at")
+    folder = sub.run_once(membership.tombstones(removals, edges, tokens, window=_AGAIN), "tombstones", idle=False)
+    return spark.read.schema(membership.TOMBSTONES).parquet(folder)
+
+
+def watch_degraded(spark, sf):
+    """When the feeds of five brokers were degraded: each loses a change now and then and is resynced some time later."""
+    changes = table(_Streams(spark), sf, "events").where("event_id div 5 % 211 <> 17").selectExpr("'broker:' || (event_id % 5) AS feed", "event_id div 5 AS seq", "event_id div 5 % 400 = 0 AS resync")
+    folder = sub.run_once(membership.feed_events(changes), "feeds")
+    return membership.degraded(spark.read.schema(membership.FEED).parquet(folder))
+
+
+def _event_rows(spark, sf):
+    """Events of a connector: facts of orders; a share that could not be mapped now and then."""
+    return table(spark, sf, "orders").selectExpr(
+        "'fact' AS kind", "'shop' AS source", "'order:' || o_orderkey AS entity_id", "'status' AS field", "o_orderstatus AS value", "CAST(o_orderkey * 60 AS LONG) AS valid_from", "CAST(NULL AS STRING) AS content", "CAST(NULL AS STRING) AS mime_type", "CAST(NULL AS STRING) AS version",
+        "o_orderkey % 17 <> 0 AS resolvable", "array('cust:' || o_custkey) AS principals", "array('prio:' || o_orderpriority) AS groups", "array() AS tags", "o_orderkey div 2000 AS page",
+    )
+
+
+def connector_resumed(spark, sf):
+    """A connector's pages as a stream: some of them, then, from the checkpoint, those that came later; each row once."""
+    from quarry.session import shared_dir
+
+    base = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    rows = _event_rows(spark, sf)
+    half = rows.agg(F.max("page")).head()[0] // 2
+    connector.write_pages(rows.where(F.col("page") <= half), "page", f"{base}/in")
+    out = sub.run_once(connector.pages(spark, f"{base}/in", stream=True), "connector", f"{base}/state", f"{base}/out")
+    connector.write_pages(rows.where(F.col("page") > half), "page", f"{base}/in")
+    sub.run_once(connector.pages(spark, f"{base}/in", stream=True), "connector", f"{base}/state", out)
+    taken, held = connector.admitted(spark.read.schema(connector.EVENTS).parquet(out))
+    return taken.withColumn("indexed", F.lit(True)).unionByName(held.withColumn("indexed", F.lit(False))).select("entity_id", "value", "valid_from", "indexed", F.element_at("principals", 1).alias("principal"))
+
+
+def connector_poll(spark, sf):
+    """The pages behind a cursor, as a batch, by source."""
+    from quarry.session import shared_dir
+
+    base = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    connector.write_pages(_event_rows(spark, sf), "page", base)
+    return connector.pages(spark, base, cursor="page=000000000001").groupBy("value").agg(F.count("*").alias("n"), F.min("valid_from").alias("first"), F.count_if(~F.col("resolvable")).alias("quarantined"))
+
+
+QUERIES = {q.__name__: q for q in (watch_tombstones, watch_degraded, connector_resumed, connector_poll, stream_cdc_driver, stream_watch, stream_cdc, stream_subscribe, stream_windows)}
 
 ORACLE_SQL = {
+    "watch_tombstones": f"""WITH RECURSIVE e AS (SELECT event_id AS seq, CASE WHEN event_id % 97 <> 0 THEN 'user:' || user_id ELSE 'watch:unresolved-member' END AS member, user_id % 25 AS n, epoch_us(ts) // 1000000 AS at_s FROM events),
+l AS (SELECT n AS token, 'nation:' || n AS principal, seq, member, at_s FROM e WHERE n % 6 <> 5 UNION ALL SELECT 100 + n_regionkey, 'region:' || n_regionkey, seq, member, at_s FROM e JOIN nation ON n_nationkey = n UNION ALL SELECT 200, 'world', seq, member, at_s FROM e),
+f AS MATERIALIZED (SELECT token, principal, at_s, min(seq) AS seq, arg_min(member, seq) AS member FROM l GROUP BY ALL),
+t AS (SELECT token, principal, min(seq) AS seq, arg_min(member, seq) AS member, at_s FROM f WHERE (token, at_s) IN (SELECT (token, min(at_s)) FROM f GROUP BY token) GROUP BY token, principal, at_s
+  UNION ALL SELECT token, principal, seq, member, at_s FROM (SELECT f.*, row_number() OVER (PARTITION BY f.token ORDER BY f.at_s) AS r FROM t JOIN f ON f.token = t.token AND f.at_s > t.at_s + {_AGAIN}) WHERE r = 1)
+SELECT CAST(token AS BIGINT) AS token, principal, seq, member, at_s AS "at" FROM t""",
+    "watch_degraded": """WITH c AS (SELECT 'broker:' || (event_id % 5) AS feed, event_id // 5 AS seq FROM events WHERE event_id // 5 % 211 <> 17),
+g AS (SELECT *, seq - lag(seq) OVER (PARTITION BY feed ORDER BY seq) > 1 AS gap FROM c), x AS (SELECT feed, seq, CAST(sum(CASE WHEN seq % 400 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY seq) AS INT) - CASE WHEN seq % 400 = 0 THEN 1 ELSE 0 END AS term, gap FROM g),
+b AS (SELECT feed, term, min(seq) AS since FROM x WHERE gap GROUP BY ALL), r AS (SELECT feed, term, min(seq) AS until FROM x WHERE seq % 400 = 0 GROUP BY ALL) SELECT feed, since, until FROM b LEFT JOIN r USING (feed, term)""",
+    "connector_resumed": "SELECT 'order:' || o_orderkey AS entity_id, o_orderstatus AS value, o_orderkey * 60 AS valid_from, o_orderkey % 17 <> 0 AS indexed, 'cust:' || o_custkey AS principal FROM orders",
+    "connector_poll": "SELECT o_orderstatus AS value, count(*) AS n, min(o_orderkey) * 60 AS first, count(*) FILTER (o_orderkey % 17 = 0) AS quarantined FROM orders WHERE o_orderkey // 2000 > 1 GROUP BY 1",
     # times follow arrival here, so the value before is the current one
     "stream_cdc_driver": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 700 AS ent, o_orderkey % 11 = 0 AS del, o_orderkey % 13 <> 0 AS ok, o_orderstatus AS status, o_orderpriority AS prio FROM orders),
 f AS (SELECT k, ent, 'status' AS field, status AS v FROM o WHERE NOT del AND ok UNION ALL SELECT k, ent, 'prio', prio FROM o WHERE NOT del AND ok),

@@ -23,11 +23,24 @@ def stream_table(spark, path: str) -> DataFrame:
     return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> str:
-    """Takes what is available, appends it to a folder and returns the folder; a checkpoint makes runs resume."""
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_once(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None, idle: bool = True) -> str:
+    """Takes what is available, appends it to a folder and returns the folder; a checkpoint makes runs resume.
+
+    ``idle``: whether batches without data follow while they may yield something. State with a time to live
+    may always, so a run over it would never end.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(IDLE)
+    spark.conf.set(IDLE, str(idle).lower())
     base = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     out = out or f"{base}/out"
-    query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint or f"{base}/state").trigger(availableNow=True).start(out)
+    try:
+        query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint or f"{base}/state").trigger(availableNow=True).start(out)
+    finally:
+        spark.conf.set(IDLE, before)
     query.awaitTermination()
     return out
 

@@ -35,7 +35,7 @@ def test_scope_fuzz(spark, tmp_path):
     rows = rows_of(1)
     df = spark.createDataFrame(rows, CHUNKS).cache()
     vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(120)], "id long, embedding array<double>").cache()
-    index = retrieval.build_index(df, str(tmp_path), 4)
+    index = retrieval.build_index(df, str(tmp_path))
     for k, s in enumerate(scopes(2, 25)):
         want = {row[1] for row in rows if seen(row, s)}
         assert {x["id"] for x in sc.scoped_chunks(df, s).select("id").collect()} == want, s
