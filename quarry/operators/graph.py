@@ -56,13 +56,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def tombstones(edges: DataFrame, group: str, at: int) -> DataFrame:
-    """What taking a group away revokes: every member below it times the group and all above it."""
+def removal(edges: DataFrame, group: str, at: int) -> DataFrame:
+    """What taking a group away revokes, as rows of two sides (side, name, at): every member below it loses the group and
+    all above it. Readers join the sides; ``tombstones`` writes them out as pairs."""
     pairs = closure(edges)
-    below = pairs.where(F.col("ancestor") == group).select(F.col("member").alias("principal"))
-    above = pairs.where(F.col("member") == group).select(F.col("ancestor").alias("lost"))
-    lost = above.unionByName(above.sparkSession.createDataFrame([(group,)], "lost string"))
-    return below.crossJoin(lost).select("principal", "lost", F.lit(at).cast("long").alias("at"))
+    below = pairs.where(F.col("ancestor") == group).select(F.lit("member").alias("side"), F.col("member").alias("name"))
+    above = pairs.where(F.col("member") == group).select(F.lit("lost").alias("side"), F.col("ancestor").alias("name"))
+    own = edges.sparkSession.createDataFrame([("lost", group)], "side string, name string")
+    return below.unionByName(above).unionByName(own).withColumn("at", F.lit(at).cast("long"))
+
+
+def tombstones(edges: DataFrame, group: str, at: int) -> DataFrame:
+    """The same as pairs (principal, lost, at): every member below it times the group and all above it."""
+    sides = kept(removal(edges, group, at))
+    members = sides.where("side = 'member'").select(F.col("name").alias("principal"), "at")
+    return members.join(sides.where("side = 'lost'").select(F.col("name").alias("lost"), "at"), "at").select("principal", "lost", "at")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

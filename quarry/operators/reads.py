@@ -127,6 +127,25 @@ def brief(briefs: DataFrame, scope: Scope) -> DataFrame:
     return briefs.select("entity", F.when(seen, F.col("summary")).alias("summary"))
 
 
+def refreshed_briefs(briefs: DataFrame, stale: DataFrame, chunks: DataFrame, actions: DataFrame, tenant: str, at: int, n: int = 10) -> DataFrame:
+    """Briefs (entity, summary, source_visibility, refreshed_at) with those of stale entities (entity) made anew.
+
+    A summary draws on the newest ``n`` chunks and actions of its entity and
+    names them by time; it may be read by those that see all of them. An entity
+    without sources loses its brief; one that had none gets one. Only rows of
+    stale entities are ranked; the others keep what they have.
+    """
+    due = stale.select("entity").distinct()
+    one = chunks.where((F.col("tenant") == tenant) & F.col("valid_to").isNull()).select(F.explode("tags").alias("entity"), F.lit("chunk").alias("kind"), "id", F.col("valid_from").alias("at"), "visibility")
+    two = actions.where(F.col("tenant") == tenant).select(F.explode("entities").alias("entity"), F.lit("action").alias("kind"), F.col("action_id").alias("id"), F.col("occurred_at").alias("at"), "visibility")
+    newest = Window.partitionBy("entity", "kind").orderBy(F.desc("at"), F.desc("id"))
+    top = one.unionByName(two).join(due, "entity", "left_semi").withColumn("r", F.row_number().over(newest)).where(F.col("r") <= n)
+    line = F.concat_ws(":", "kind", F.col("id").cast("string"))
+    folded = top.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "id", line.alias("line"))), asc=False).alias("s"), F.collect_list("visibility").alias("vs"))
+    fresh = folded.select("entity", F.array_join("s.line", " ").alias("summary"), intersection(F.col("vs")).alias("source_visibility"), F.lit(at).cast("long").alias("refreshed_at"))
+    return briefs.select(*fresh.columns).join(due, "entity", "left_anti").unionByName(fresh)
+
+
 def entity_tags(chunks: DataFrame, actions: DataFrame, tenant: str) -> DataFrame:
     """The directory of entities: live and all chunks, actions, last seen. Partial sums go before the shuffle."""
     one = chunks.where(F.col("tenant") == tenant).select(F.explode("tags").alias("entity"), F.col("valid_to").isNull().cast("long").alias("live"), F.lit(1).alias("c"), F.lit(0).alias("a"), F.col("valid_from").alias("at"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import components, kept
-from quarry.operators.knowledge import LEXICON_SENT
 
 # Methods that link on their own, and kinds of keys that may link many.
 STRONG_METHODS = ("crm_fk", "external_id", "admin_crosswalk", "human_confirmed")
@@ -162,20 +161,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(both, F.size(a) + F.size(b) - both)
 
 
-def block_pairs(entities: DataFrame, threshold: float = 0.45, decided: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (left_ref, right_ref, score) of entities (ref, name, domain; canonical forms).
+def _alike_names(entities: DataFrame, threshold: float) -> DataFrame:
+    """left_name, right_name, by_name: pairs of different names, each name also with itself, that are alike.
 
-    The larger Jaccard of name words and of trigrams; an equal domain counts
-    0.9. Names are compared, each different one once, and refs are put in
-    afterwards, so many refs of one name cost only the rows they give. Instead
-    of all pairs of names, those are compared that share one of their
+    Instead of all pairs of names, those are compared that share one of their
     rarest trigrams: at a Jaccard of t two sets share an element among the
     first (1 - t) * size + 1 in any fixed order, so each name files under so
     many of its trigrams, rarest first, and likewise words. No pair over the
     threshold is lost, and common trigrams bring no candidates together.
     """
-    e = entities.select("ref", "name", "domain")
-    names = e.select("name").where("name IS NOT NULL").distinct().withColumn("words", F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).withColumn("grams", F.when(F.col("name") != "", trigrams(F.col("name"))))
+    names = entities.select("name").where("name IS NOT NULL").distinct().withColumn("words", F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).withColumn("grams", F.when(F.col("name") != "", trigrams(F.col("name"))))
 
     def filed(column: str) -> DataFrame:
         x = names.select("name", F.explode(column).alias("g"), F.size(column).alias("n"))
@@ -187,7 +182,39 @@ def block_pairs(entities: DataFrame, threshold: float = 0.45, decided: DataFrame
     met = keys.alias("l").join(keys.alias("r"), "key").where("l.name <= r.name").select(F.col("l.name").alias("left_name"), F.col("r.name").alias("right_name")).distinct()
     side = lambda s: names.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "words", "grams")])
     by_name = F.coalesce(F.greatest(jaccard(F.col("left_words"), F.col("right_words")), jaccard(F.col("left_grams"), F.col("right_grams"))), F.lit(0.0))
-    alike = met.join(side("left"), "left_name").join(side("right"), "right_name").withColumn("by_name", by_name).where(F.col("by_name") >= threshold).select("left_name", "right_name", "by_name")
+    return met.join(side("left"), "left_name").join(side("right"), "right_name").withColumn("by_name", by_name).where(F.col("by_name") >= threshold).select("left_name", "right_name", "by_name")
+
+
+def block_classes(entities: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """Candidates as classes instead of pairs (kind, left_ref, right_ref, score) of entities (ref, name, domain).
+
+    name: the first refs of two different names that are alike; member: a ref
+    and the first one of its name; domain: a ref and the first one of its
+    domain (0.9). Two refs are candidates just when their names are one or
+    alike, or their domains equal, so no pair is lost, and a name or domain
+    that a third of all refs have gives a row for each of them.
+    """
+    e = entities.select("ref", "name", "domain")
+    first = e.where("name IS NOT NULL").groupBy("name").agg(F.min("ref").alias("rep"))
+    rep = lambda s: first.select(F.col("name").alias(f"{s}_name"), F.col("rep").alias(f"{s}_rep"))
+    alike = _alike_names(e, threshold).where("left_name <> right_name").join(rep("left"), "left_name").join(rep("right"), "right_name")
+    named = alike.select(F.lit("name").alias("kind"), F.least("left_rep", "right_rep").alias("left_ref"), F.greatest("left_rep", "right_rep").alias("right_ref"), F.round("by_name", 4).alias("score"))
+    member = e.join(first, "name").where("ref <> rep").select(F.lit("member").alias("kind"), F.col("rep").alias("left_ref"), F.col("ref").alias("right_ref"), F.lit(1.0).alias("score"))
+    hubs = e.where("domain IS NOT NULL").groupBy("domain").agg(F.min("ref").alias("rep"))
+    domain = e.join(hubs, "domain").where("ref <> rep").select(F.lit("domain").alias("kind"), F.col("rep").alias("left_ref"), F.col("ref").alias("right_ref"), F.lit(0.9).alias("score"))
+    return named.unionByName(member).unionByName(domain).distinct()
+
+
+def block_pairs(entities: DataFrame, threshold: float = 0.45, decided: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (left_ref, right_ref, score) of entities (ref, name, domain; canonical forms), expanded.
+
+    The larger Jaccard of name words and of trigrams; an equal domain counts
+    0.9. Names are compared, each different one once, and refs are put in
+    afterwards. As many rows as there are pairs: where names or domains
+    are shared by many, take ``block_classes``.
+    """
+    e = entities.select("ref", "name", "domain")
+    alike = _alike_names(e, threshold)
     one, two = e.select(F.col("ref").alias("x"), F.col("name").alias("left_name"), F.col("domain").alias("dx")), e.select(F.col("ref").alias("y"), F.col("name").alias("right_name"), F.col("domain").alias("dy"))
     score = F.when(F.col("dx") == F.col("dy"), F.greatest("by_name", F.lit(0.9))).otherwise(F.col("by_name"))
     named = alike.join(one, "left_name").join(two, "right_name").where("x < y OR (x > y AND left_name <> right_name)").select(F.least("x", "y").alias("left_ref"), F.greatest("x", "y").alias("right_ref"), score.alias("raw"))
@@ -231,7 +258,11 @@ def surface_score(mention: Column, form: Column, co_signal: Column) -> Column:
     return F.round(F.when(co_signal, F.least(F.lit(1.0), base + 0.4)).otherwise(base), 4)
 
 
-def echo_tags(chunks: DataFrame, entities: DataFrame, least: int = 3, sent: int = LEXICON_SENT) -> DataFrame:
+#: Names that are sent to every task; more are met by runs of letters.
+NAMES_SENT = 20_000
+
+
+def echo_tags(chunks: DataFrame, entities: DataFrame, least: int = 3, sent: int = NAMES_SENT) -> DataFrame:
     """Suggested tags: an entity's bare name stands in a chunk that lacks the tag (confidence 0.95).
 
     entities: entity. Up to ``sent`` of them are sent to every task and looked

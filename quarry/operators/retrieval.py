@@ -43,8 +43,8 @@ def dense(chunks: DataFrame, vectors: DataFrame, scope: Scope, query: list[float
     return scoped_chunks(chunks, scope).select("id").join(scores, "id").select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
 
-#: Queries that are sent to every task together.
-QUERY_BLOCK = 1_000
+#: Queries that are multiplied with vectors together, and blocks of them that one pass over the vectors takes.
+QUERY_BLOCK, PASS_BLOCKS = 1_000, 16
 
 
 def dense_many(chunks: DataFrame, vectors: DataFrame, scope: Scope, queries: DataFrame, k: int) -> DataFrame:
@@ -56,13 +56,16 @@ def dense_many(chunks: DataFrame, vectors: DataFrame, scope: Scope, queries: Dat
     asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding").orderBy("qid").collect()  # the stated query set
     seen = scoped_chunks(chunks, scope).select("id").join(vectors.where(F.col("embedding").isNotNull()).select("id", "embedding"), "id")
     out = None
-    for at in range(0, len(asked), QUERY_BLOCK):
-        block = asked[at : at + QUERY_BLOCK]
-        ids = np.array([r["qid"] for r in block], np.int64)
-        matrix = np.array([r["embedding"] for r in block], np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, norms=norms) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(asked), QUERY_BLOCK * PASS_BLOCKS):
+        taken = asked[at : at + QUERY_BLOCK * PASS_BLOCKS]
+        blocks = []
+        for first in range(0, len(taken), QUERY_BLOCK):
+            matrix = np.array([r["embedding"] for r in taken[first : first + QUERY_BLOCK]], np.float64)
+            blocks.append((first, matrix, np.linalg.norm(matrix, axis=1)))
+        load = queries.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in taken], np.int64), blocks))
+
+        def run(batches: Iterator[pa.RecordBatch], load=load) -> Iterator[pa.RecordBatch]:
+            ids, blocks = load.value
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
             for batch in batches:
                 if not batch.num_rows:
@@ -70,13 +73,14 @@ def dense_many(chunks: DataFrame, vectors: DataFrame, scope: Scope, queries: Dat
                 own = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 length = np.linalg.norm(x, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = np.round((x @ matrix.T) / (length[:, None] * norms[None, :]), 6)
-                for q in range(len(ids)):
-                    use = np.isfinite(score[:, q])
-                    s, i = np.append(best[q][0], score[use, q]), np.append(best[q][1], own[use])
-                    top = np.lexsort((i, -s))[:k]
-                    best[q] = s[top], i[top]
+                for first, matrix, norms in blocks:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = np.round((x @ matrix.T) / (length[:, None] * norms[None, :]), 6)
+                    for q in range(len(norms)):
+                        use = np.isfinite(score[:, q])
+                        s, i = np.append(best[first + q][0], score[use, q]), np.append(best[first + q][1], own[use])
+                        top = np.lexsort((i, -s))[:k]
+                        best[first + q] = s[top], i[top]
             sizes = [len(b[1]) for b in best]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], names=["qid", "id", "score"])
 

@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry import bindings as b
-from quarry.operators import postings, reads, retrieval
+from quarry.operators import postings, reads, retrieval, vector_index
 from quarry.operators import scope as sc
 from quarry.session import kept, shared_dir, table
 
 SCOPE = sc.Scope("a", (1, 2, 3, 11), ceiling=2)
 BOUND = sc.Scope("a", (1, 2, 3, 4, 11, 12), ceiling=3, entities=("lang:en", "grp:0", "grp:2", "lang:fr"))
+BROAD = sc.Scope("a", tuple(range(13)), ceiling=3)
 FENCED = sc.Scope("a", (1, 2, 3, 4, 11, 12), ceiling=3, entities=("lang:en", "grp:0", "user:7", "user:8", "user:21"))
 QUERY = [((i * 37) % 17 - 8) / 8.0 for i in range(64)]
 TEXT = "the and ention of"
@@ -135,6 +136,24 @@ def recall_dense_many(spark, sf):
     return retrieval.dense_many(b.chunks(spark, sf), b.vectors(spark, sf), SCOPE, asked, K)
 
 
+def recall_dense_routed(spark, sf):
+    """Dense recall through the router: the narrow scope is scanned, the wide one goes to the index, here to all of its lists."""
+    chunks, vectors = b.chunks(spark, sf), b.vectors(spark, sf)
+    index = vector_index.build(chunks, vectors, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    legs = (("scan", SCOPE, vector_index.EXACT_BOUND), ("lists", BOUND, 0))
+    found = [vector_index.recall_routed(index, chunks, vectors, s, QUERY, K, bound, probed=1.0).select(F.lit(leg).alias("leg"), "id", "score") for leg, s, bound in legs]
+    return found[0].unionByName(found[1])
+
+
+def recall_dense_lists(spark, sf):
+    """Dense recall from the nearest quarter of the lists, with what an exact scan finds: how many of the ten are the same."""
+    chunks, vectors = b.chunks(spark, sf), b.vectors(spark, sf)
+    index = vector_index.build(chunks, vectors, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    near = vector_index.recall_routed(index, chunks, vectors, BROAD, QUERY, K, bound=0)
+    exact = retrieval.dense(chunks, vectors, BROAD, QUERY, K).select("id", F.lit(True).alias("exact"))
+    return near.join(exact, "id", "left").select("id", "score", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 def recall_composite(spark, sf):
     chunks = b.chunks(spark, sf)
     hits = retrieval.dense(chunks, b.vectors(spark, sf), SCOPE, QUERY, 50).join(chunks.selectExpr("id", "valid_from AS at", "CAST(1 + id % 3 AS INT) AS trust_tier", "CASE WHEN id % 4 = 0 THEN 1.5D END AS importance", "CASE WHEN id % 6 = 0 THEN 'fact' ELSE 'chunk' END AS kind"), "id")
@@ -211,11 +230,12 @@ def _mem(s: sc.Scope, current: bool = True) -> str:
 
 _BASE = b.CTE["chunks"].replace("chunks AS", "base AS", 1)
 
-QUERIES = {f.__name__: f for f in (recall_dense, recall_bm25, recall_bm25_entity, recall_hybrid_rrf, recall_bm25_many, bm25_index, bm25_followed, bm25_erased, recall_dense_many, recall_composite, debug_trace, freshness_gate, latest_chunks, activity_timeline, activity_of_entity, memories_browse, memories_bound, memories_history, memories_by_source, brief_visibility, entity_tags)}
+QUERIES = {f.__name__: f for f in (recall_dense, recall_bm25, recall_bm25_entity, recall_hybrid_rrf, recall_bm25_many, bm25_index, bm25_followed, bm25_erased, recall_dense_many, recall_dense_routed, recall_dense_lists, recall_composite, debug_trace, freshness_gate, latest_chunks, activity_timeline, activity_of_entity, memories_browse, memories_bound, memories_history, memories_by_source, brief_visibility, entity_tags)}
 
 ORACLE_SQL = {
     "recall_dense": b.sql("chunks", "vectors", then=f" SELECT id, score, source, document_id, seq FROM ({sql_dense(SCOPE, K)}) JOIN chunks USING (id)"),
     "recall_bm25": b.sql("chunks", then=f",\n{sql_bm25(SCOPE, TEXT, K)} SELECT id, score FROM bm"),
+    "recall_dense_routed": b.sql("chunks", "vectors", then=f" SELECT 'scan' AS leg, * FROM ({sql_dense(SCOPE, K)}) UNION ALL SELECT 'lists', * FROM ({sql_dense(BOUND, K)})"),
     "bm25_index": b.sql("chunks", then=""", w AS (SELECT tenant, id, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM chunks),
 u AS (SELECT tenant, count(DISTINCT (id, t)) AS postings, count(DISTINCT t) AS terms, count(*) AS total FROM w GROUP BY 1), c AS (SELECT tenant, count(*) AS n FROM chunks GROUP BY 1) SELECT tenant, postings, terms, n, total FROM u JOIN c USING (tenant)"""),
     "bm25_followed": f"""WITH {_BASE}, chunks AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN replace(content, 'e', 'i') || ' the ention quarry' ELSE content END AS content) FROM base WHERE id % 5 = 0 OR id % 11 <> 0),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry import bindings as b
 from quarry.functions import canon
 from quarry.operators import directory as d
+from quarry.operators import gazetteer
 from quarry.operators import resolve as r
 from quarry.session import table
 
@@ -97,7 +98,7 @@ def _aliases(spark, sf):
 
 
 def review_queue(spark, sf):
-    e = _evidence(spark, sf).where("left_ref NOT LIKE 'supp:%' AND right_ref NOT LIKE 'key:%'").withColumn("valid_to", F.lit(None).cast("long"))
+    e = _evidence(spark, sf).withColumn("valid_to", F.lit(None).cast("long"))
     return r.review_queue(e, _aliases(spark, sf), NOW, 100)
 
 
@@ -110,12 +111,36 @@ def tier2_blocking(spark, sf):
     return r.block_pairs(_names(spark, sf), 0.45)
 
 
+def tier2_classes(spark, sf):
+    return r.block_classes(_names(spark, sf), 0.45)
+
+
 def mention_detect(spark, sf):
     texts = table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS id", "text AS content")
     forms = spark.createDataFrame([("the", "c:1"), ("of the", "c:2"), ("and", "c:3"), ("que", "c:4"), ("in the", "c:5")], "form string, canonical string")
     return r.mentions(texts, forms).groupBy("id", "form").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
 
 
+def _spoken(spark, sf):
+    """Turns of conversations, each about a customer and a part."""
+    c, p = _customers(spark, sf).selectExpr("c_custkey AS k", "c_name"), table(spark, sf, "part").selectExpr("p_partkey AS q", "p_name")
+    turns = table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS id", "text", "1 + conv_id % 150 AS k", "1 + (conv_id * 7 + turn) % 190 AS q")
+    return turns.join(c, "k").join(p, "q").selectExpr("id", "concat(coalesce(text, ''), '. ', c_name, ' wants: ', upper(p_name), '!') AS content")
+
+
+def gazetteer_mentions(spark, sf):
+    """Names of all parts and customers in all conversations."""
+    forms = table(spark, sf, "part").selectExpr("p_name AS form").unionByName(_customers(spark, sf).selectExpr("c_name AS form"))
+    return gazetteer.found_forms(_spoken(spark, sf), forms).groupBy("id", "form").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+
+
+def gazetteer_near(spark, sf):
+    """Brands as they are spelt by suppliers' numbers against the names of parts with their brands: nearly the same words."""
+    forms = table(spark, sf, "part").selectExpr("concat(p_name, ' ', p_brand, ' made') AS form")
+    spelt = table(spark, sf, "part").selectExpr("concat(p_brand, ' ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' new' ELSE '' END) AS mention")
+    return gazetteer.near_forms(spelt, forms)
+
+
 def tier3_decision(spark, sf):
     e = table(spark, sf, "events").selectExpr("event_id div 3 AS mention", "'canon:' || (user_id % 11) AS canonical", "(event_id * 37 % 101) / 100.0D AS score", "event_id % 2 = 0 AS co_signal", "user_id % 3 <> 0 AS folded", "event_id % 19 = 0 AS human")
     return r.decide_mentions(e)
@@ -166,7 +191,7 @@ def surface_scores(spark, sf):
     return e.select("event_id", r.surface_score(F.col("mention"), F.col("form"), F.col("co")).alias("score"))
 
 
-QUERIES = {q.__name__: q for q in (tier2_evidence, human_decisions, chunk_tags, resolution_run, surface_scores, canon_email, canon_domain, canon_phone, canon_name, tier1_evidence, fold_components, fold_reviews, fold_drift, canonical_entities, review_queue, tier2_blocking, mention_detect, tier3_decision, echo_tagger)}
+QUERIES = {q.__name__: q for q in (tier2_evidence, human_decisions, chunk_tags, resolution_run, surface_scores, canon_email, canon_domain, canon_phone, canon_name, tier1_evidence, fold_components, fold_reviews, fold_drift, canonical_entities, review_queue, tier2_blocking, tier2_classes, gazetteer_mentions, gazetteer_near, mention_detect, tier3_decision, echo_tagger)}
 
 _IN = lambda xs: "(" + ", ".join(repr(x) for x in xs) + ")"
 _EMAIL = f"""e1 AS (SELECT c_custkey, trim(regexp_replace({_LOW.format(f'trim({RAW_EMAIL})')}, '^mailto:', '')) AS s FROM customer),
@@ -212,7 +237,7 @@ ORACLE_SQL = {
     "fold_drift": f"WITH RECURSIVE {_EV} SELECT canonical, count(DISTINCT ref) AS fused, max(members) AS members, bool_or(confidence <> 'deterministic') AS weak FROM aliases WHERE regexp_matches(ref, '[1257]$') GROUP BY canonical HAVING count(DISTINCT ref) >= 2 AND (max(members) >= 4 OR bool_or(confidence <> 'deterministic'))",
     "canonical_entities": f"WITH RECURSIVE {_EV} SELECT entity, members FROM (SELECT 0 AS part, canonical AS entity, count(*) AS members FROM aliases GROUP BY canonical UNION ALL SELECT 1, 'cust:' || c_custkey, 1 FROM customer WHERE 'cust:' || c_custkey NOT IN (SELECT ref FROM aliases)) ORDER BY part, entity LIMIT 200",
     "review_queue": f"""WITH RECURSIVE {_EV}, al AS (SELECT 'cust:' || c_custkey AS ref, 'canon:' || (c_custkey // 20) AS canonical FROM customer WHERE c_custkey % 10 IN (5, 7)), n AS (SELECT canonical, count(*) AS n FROM al GROUP BY 1),
-ev AS (SELECT id, 'cust:' || l AS left_ref, 'cust:' || r AS right_ref, tier, method, {b.BASE} + l * 600 AS valid_from, CASE WHEN method = 'human_rejected' THEN -1 ELSE 1 END AS polarity FROM direct),
+ev AS (SELECT id, 'cust:' || l AS left_ref, 'cust:' || r AS right_ref, tier, method, {b.BASE} + l * 600 AS valid_from, CASE WHEN method = 'human_rejected' THEN -1 ELSE 1 END AS polarity FROM direct UNION ALL SELECT id, leaf, key, 1, key_kind, {b.BASE}, 1 FROM star),
 f AS (SELECT least(left_ref, right_ref) AS a, greatest(left_ref, right_ref) AS b, count(*) AS frequency FROM ev WHERE polarity = 1 GROUP BY 1, 2),
 o AS (SELECT e.*, f.frequency, x.canonical AS c1, y.canonical AS c2 FROM ev e JOIN f ON f.a = least(left_ref, right_ref) AND f.b = greatest(left_ref, right_ref) LEFT JOIN al x ON x.ref = left_ref LEFT JOIN al y ON y.ref = right_ref WHERE polarity = 1 AND method NOT IN ('human_confirmed', 'human_rejected')
   AND NOT EXISTS (SELECT 1 FROM ev z WHERE z.polarity = -1 AND least(z.left_ref, z.right_ref) = f.a AND greatest(z.left_ref, z.right_ref) = f.b) AND (x.canonical = y.canonical) IS NOT TRUE),
@@ -222,6 +247,20 @@ SELECT id, left_ref, right_ref, frequency, entity_value, round(1.5::DOUBLE * ln(
 g AS MATERIALIZED (SELECT ref, domain, list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) AS words, list_distinct(list_transform(range(1, length('  ' || name || ' ') - 1), lambda i: substr('  ' || name || ' ', i, 3))) AS grams FROM e),
 p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, l.domain = r.domain AS same, len(list_intersect(l.words, r.words)) AS wi, len(l.words) + len(r.words) AS wn, len(list_intersect(l.grams, r.grams)) AS gi, len(l.grams) + len(r.grams) AS gn FROM g l JOIN g r ON l.ref < r.ref),
 s AS (SELECT left_ref, right_ref, greatest(wi / (wn - wi), gi / (gn - gi), CASE WHEN same THEN 0.9::DOUBLE ELSE 0 END) AS raw FROM p) SELECT left_ref, right_ref, round(raw, 4) AS score FROM s WHERE raw >= 0.45""",
+    "gazetteer_mentions": r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') || '. ' || c_name || ' wants: ' || upper(p_name) || '!' AS content FROM conversations JOIN customer ON c_custkey = 1 + conv_id % 150 JOIN part ON p_partkey = 1 + (conv_id * 7 + turn) % 190),
+f AS (SELECT DISTINCT trim(regexp_replace(lower(n), '[^\p{L}\p{N}]+', ' ', 'g')) AS form FROM (SELECT p_name AS n FROM part UNION SELECT c_name FROM customer)), l AS (SELECT DISTINCT len(string_split(form, ' ')) AS n FROM f),
+w AS (SELECT id, list_filter(string_split(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM t),
+s AS (SELECT id, w, unnest(range(0, len(w))) AS p FROM w), r AS (SELECT id, p, array_to_string(w[p + 1 : p + n], ' ') AS form FROM s, l WHERE p + n <= len(w))
+SELECT id, form, count(*) AS n, CAST(min(p) AS INT) AS first_at FROM r WHERE form IN (FROM f) GROUP BY ALL""",
+    "gazetteer_near": r"""WITH m AS (SELECT DISTINCT p_brand || ' ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' new' ELSE '' END AS mention FROM part), f AS (SELECT DISTINCT p_name || ' ' || p_brand || ' made' AS form FROM part),
+mw AS MATERIALIZED (SELECT mention, list_distinct(list_filter(string_split(regexp_replace(lower(mention), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS a FROM m), fw AS MATERIALIZED (SELECT form, list_distinct(list_filter(string_split(regexp_replace(lower(form), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS b FROM f),
+p AS (SELECT mention, form, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM mw, fw) SELECT mention, form, round(i / (n - i), 4) AS score FROM p WHERE i / (n - i) >= 0.6""",
+    "tier2_classes": """WITH e AS MATERIALIZED (SELECT 'part:' || p_partkey AS ref, lower(p_name) || ' ' || lower(p_brand) AS name, CASE WHEN p_partkey % 9 = 0 THEN 'firm' || (p_partkey % 45) || '.com' END AS domain FROM part),
+g AS MATERIALIZED (SELECT name, min(ref) AS rep, list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) AS words, list_distinct(list_transform(range(1, length('  ' || name || ' ') - 1), lambda i: substr('  ' || name || ' ', i, 3))) AS grams FROM e GROUP BY name),
+p AS (SELECT l.rep AS a, r.rep AS b, len(list_intersect(l.words, r.words)) AS wi, len(l.words) + len(r.words) AS wn, len(list_intersect(l.grams, r.grams)) AS gi, len(l.grams) + len(r.grams) AS gn FROM g l JOIN g r ON l.name < r.name),
+s AS (SELECT a, b, greatest(wi / (wn - wi), gi / (gn - gi)) AS raw FROM p), d AS (SELECT domain, min(ref) AS rep FROM e WHERE domain IS NOT NULL GROUP BY 1)
+SELECT 'name' AS kind, least(a, b) AS left_ref, greatest(a, b) AS right_ref, round(raw, 4) AS score FROM s WHERE raw >= 0.45 UNION ALL SELECT 'member', rep, ref, 1.0::DOUBLE FROM e JOIN g USING (name) WHERE ref <> rep
+UNION ALL SELECT 'domain', rep, ref, 0.9::DOUBLE FROM e JOIN d USING (domain) WHERE ref <> rep""",
     "tier2_evidence": """WITH e AS (SELECT p_partkey, 'part:' || p_partkey AS ref, lower(p_name) || ' ' || lower(p_brand) AS name, 'firm' || (p_partkey % 45) || '.com' AS domain FROM part WHERE p_partkey % 9 = 0),
 g AS MATERIALIZED (SELECT ref, domain, list_distinct(list_filter(string_split(name, ' '), lambda w: w <> '')) AS words, list_distinct(list_transform(range(1, length('  ' || name || ' ') - 1), lambda i: substr('  ' || name || ' ', i, 3))) AS grams FROM e),
 p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, l.domain, len(list_intersect(l.words, r.words)) AS wi, len(l.words) + len(r.words) AS wn, len(list_intersect(l.grams, r.grams)) AS gi, len(l.grams) + len(r.grams) AS gn FROM g l JOIN g r ON l.ref < r.ref AND l.domain = r.domain)

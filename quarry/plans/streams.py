@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from quarry.plans.recall import SCOPE, sql_scope
 from quarry.streaming import facts as stream_facts
 from quarry.session import table
 from quarry.sources import cdc, connector
-from quarry.streaming import membership
+from quarry.streaming import acl, membership
 from quarry.streaming import subscribe as sub
 from quarry.streaming import watch
 
@@ -35,8 +36,23 @@ def stream_cdc(spark, sf):
 
 
 def stream_subscribe(spark, sf):
-    rows = sc.scoped(b.actions(_Streams(spark), sf), SCOPE).select("action_id", "actor", "action_type", "occurred_at")
-    return spark.read.schema(rows.schema).parquet(sub.run_once(rows, "subscribe"))
+    """A subscription: every batch's rows as its scope, compiled then, lets them through."""
+    from quarry.session import shared_dir
+
+    base = f"{shared_dir(spark)}/subscribe-{uuid.uuid4().hex}"
+    deliver = lambda rows, number: rows.select("action_id", "actor", "action_type", "occurred_at").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    sub.subscribe(b.actions(_Streams(spark), sf), lambda: SCOPE, deliver, f"{base}/state", lambda: acl.fenced(b.BASE, b.BASE + 5, 60)).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("action_id", "actor", "action_type", "occurred_at")
+
+
+def subscription_polls(spark, sf):
+    """Three polls of 256 rows; between the first and the second a principal is revoked, before the third a group is."""
+    rows, mark, out = b.actions(spark, sf), sub.START, None
+    for number, principals in enumerate(_POLLS):
+        page, mark = sub.poll(rows, replace(SCOPE, principals=principals), mark)
+        page = page.select(F.lit(number).alias("poll"), "action_id", "occurred_at")
+        out = page if out is None else out.unionByName(page)
+    return out
 
 
 def stream_windows(spark, sf):
@@ -127,9 +143,21 @@ def connector_poll(spark, sf):
     return connector.pages(spark, base, cursor="page=000000000001").groupBy("value").agg(F.count("*").alias("n"), F.min("valid_from").alias("first"), F.count_if(~F.col("resolvable")).alias("quarantined"))
 
 
-QUERIES = {q.__name__: q for q in (watch_tombstones, watch_degraded, connector_resumed, connector_poll, stream_cdc_driver, stream_watch, stream_cdc, stream_subscribe, stream_windows)}
+_POLLS = ((1, 2, 3, 11), (1, 3, 11), (1, 3))
+
+
+def _polls_sql() -> str:
+    parts = []
+    for n, principals in enumerate(_POLLS):
+        later = f" AND (occurred_at, action_id) > (SELECT (max(occurred_at), arg_max(action_id, (occurred_at, action_id))) FROM p{n - 1})" if n else ""
+        parts.append(f"p{n} AS (SELECT {n} AS poll, action_id, occurred_at FROM actions WHERE {sql_scope(replace(SCOPE, principals=principals), current=False)}{later} ORDER BY occurred_at, action_id LIMIT 256)")
+    return b.sql("actions", then=", " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM p{n}" for n in range(len(_POLLS))))
+
+
+QUERIES = {q.__name__: q for q in (subscription_polls, watch_tombstones, watch_degraded, connector_resumed, connector_poll, stream_cdc_driver, stream_watch, stream_cdc, stream_subscribe, stream_windows)}
 
 ORACLE_SQL = {
+    "subscription_polls": _polls_sql(),
     "watch_tombstones": f"""WITH RECURSIVE e AS (SELECT event_id AS seq, CASE WHEN event_id % 97 <> 0 THEN 'user:' || user_id ELSE 'watch:unresolved-member' END AS member, user_id % 25 AS n, epoch_us(ts) // 1000000 AS at_s FROM events),
 l AS (SELECT n AS token, 'nation:' || n AS principal, seq, member, at_s FROM e WHERE n % 6 <> 5 UNION ALL SELECT 100 + n_regionkey, 'region:' || n_regionkey, seq, member, at_s FROM e JOIN nation ON n_nationkey = n UNION ALL SELECT 200, 'world', seq, member, at_s FROM e),
 f AS MATERIALIZED (SELECT token, principal, at_s, min(seq) AS seq, arg_min(member, seq) AS member FROM l GROUP BY ALL),

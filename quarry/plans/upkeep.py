@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry import bindings as b
-from quarry.operators import asof, hierarchy, sketches
+from quarry.operators import asof, file_erasure, hierarchy, reads, sketches
 from quarry.operators import graph as g
+from quarry.operators import knowledge as k
 from quarry.operators.refold import Resolution
-from quarry.plans import resolution, temporal
+from quarry.plans import operations, resolution, temporal
+from quarry.plans.recall import SCOPE
 from quarry.plans.streams import _Streams
 from quarry.session import kept, shared_dir, table
+from quarry.sources import documents
 from quarry.streaming import refresh
 from quarry.streaming import subscribe as sub
 
@@ -42,7 +45,7 @@ def refold_due(spark, sf):
     """Users whose bursts of events have been quiet for six hours, as a stream."""
     touches = table(_Streams(spark), sf, "events").selectExpr("'user:' || user_id AS subject", "CAST(date_trunc('second', ts) AS TIMESTAMP) AS at")
     folder = sub.run_once(refresh.due(touches, QUIET), "due")
-    return spark.read.schema(refresh.DUE).parquet(folder).select("subject", F.unix_timestamp("due").alias("due"), "touches")
+    return spark.read.schema(refresh.DUE).parquet(folder)
 
 
 def asof_events(spark, sf):
@@ -108,7 +111,54 @@ def latency_sketched(spark, sf):
     return sketches.over(kept(sketches.hourly(samples)), 0, 1 << 40)
 
 
-QUERIES = {q.__name__: q for q in (refold_aliases, refold_reviews, refold_due, asof_events, role_ancestors, role_grants, role_fidelity, percentiles_merged, latency_sketched)}
+def _on_files(spark, sf):
+    """The tables of an erasure as files, dealt by their keys, so that few of them hold any one subject's rows."""
+    from quarry.sources.files import Files
+
+    base = f"{shared_dir(spark)}/erase-{uuid.uuid4().hex}"
+    tables = operations._tables(spark, sf)
+    tables["evidence"] = tables["evidence"].withColumn("evidence_id", F.col("episode_id"))
+    tables["items"] = tables["items"].withColumn("invalidated_reason", F.lit(None).cast("string"))
+    out = {}
+    for name, df in tables.items():
+        out[name] = Files(spark, f"{base}/{name}", df.schema)
+        out[name].add(df.repartitionByRange(8, file_erasure.KEYS[name][0]))
+    return out
+
+
+def erasure_on_files(spark, sf):
+    """What is left on the files after an erasure that rewrote only those that held its rows."""
+    files = _on_files(spark, sf)
+    file_erasure.erase_on_files(files, b.BASE, operations.SUBJECT, operations.ENTITY, (3, 5, 99999999))
+    left = {name: f.read() for name, f in files.items()}
+    left["knowledge_evidence"] = left.pop("evidence")
+    rows = k.erasure_preview(left)
+    return rows.unionByName(k.erasure_preview({"facts_linked": left["facts"].where("superseded_by IS NOT NULL"), "chunks_current": left["chunks"].where("valid_to IS NULL"), "items_published": left["items"].where("status = 'published'")}))
+
+
+def folder_versions(spark, sf):
+    """A watched folder: texts by source and language, some delivered again unchanged, some with more lines; versions of each."""
+    base = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "labels").selectExpr("'s' || doc_id % 9 AS source", "doc_id", "concat(doc_id, ',', quality, ',', toxic) AS value")
+    deliver = lambda rows, scan: rows.repartition(1, "source").sortWithinPartitions("source", "doc_id").select("value", F.concat(F.lit(f"{scan}-"), "source").alias("document")).write.mode("append").partitionBy("document").text(f"{base}/in")
+    for scan, rows in enumerate((docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 <> 0 AND source < 's5'"), docs.where("source > 's2'"))):
+        deliver(rows, scan)
+        found = documents.delivered(documents.read_texts(spark, f"{base}/in", stream=True), r"document=\d+-([^/]+)/")
+        sub.run_once(found, "folder", f"{base}/state", f"{base}/out")
+    rows = documents.versions(spark.read.parquet(f"{base}/out"))
+    return rows.select("document", "version", (F.size(F.split("content", "\n")) - 1).alias("n_lines"), "content_hash")
+
+
+def brief_refresh(spark, sf):
+    """Briefs of all entities, those of stale ones made anew, as a caller reads them: no summary whose sources one may not see."""
+    chunks, actions = b.chunks(spark, sf), b.actions(spark, sf)
+    old = chunks.where("tenant = 'a'").select(F.explode("tags").alias("entity")).distinct().selectExpr("entity", "concat('old ', entity) AS summary", "array(1L) AS source_visibility", "0L AS refreshed_at")
+    stale = actions.where("action_id % 3 = 0").select(F.explode("entities").alias("entity")).unionByName(old.where("entity <> 'grp:0'").select("entity"))
+    briefs = reads.refreshed_briefs(old, stale, chunks, actions, "a", b.BASE, 3)
+    return reads.brief(briefs, SCOPE).join(briefs.select("entity", "refreshed_at", F.array_join("source_visibility", ",").alias("visible_to")), "entity")
+
+
+QUERIES = {q.__name__: q for q in (brief_refresh, erasure_on_files, folder_versions, refold_aliases, refold_reviews, refold_due, asof_events, role_ancestors, role_grants, role_fidelity, percentiles_merged, latency_sketched)}
 
 _UP = """r AS (SELECT c_custkey AS role, CASE WHEN c_custkey IN (3, 4) THEN c_custkey + 1 WHEN c_custkey = 5 THEN 3 WHEN c_custkey > 5 THEN c_custkey // 3 END AS parent FROM customer),
 up AS (SELECT role, parent AS ancestor, 1 AS level, [role, parent] AS passed FROM r WHERE parent IS NOT NULL
@@ -116,7 +166,22 @@ up AS (SELECT role, parent AS ancestor, 1 AS level, [role, parent] AS passed FRO
 _GRANTS = """own AS (SELECT DISTINCT o_orderkey AS record, ancestor AS u FROM orders JOIN up ON role = o_custkey),
 granted AS (SELECT * FROM own WHERE record % 7 <> 0 UNION SELECT o_orderkey, own.u FROM orders JOIN own ON own.record = o_orderkey // 7 * 2 WHERE o_orderkey % 7 = 0)"""
 
+_MIN_VIS = "list_sort(list_reduce(list(visibility), lambda x, y: list_intersect(x, y)))"
 ORACLE_SQL = {
+    "brief_refresh": b.sql(
+        "chunks",
+        "actions",
+        then=f""", o AS (SELECT DISTINCT unnest(tags) AS entity FROM chunks WHERE tenant = 'a'), st AS (SELECT unnest(entities) AS entity FROM actions WHERE action_id % 3 = 0 UNION SELECT entity FROM o WHERE entity <> 'grp:0'),
+s AS (SELECT unnest(tags) AS entity, 'chunk' AS kind, id, valid_from AS t, visibility FROM chunks WHERE tenant = 'a' AND valid_to IS NULL UNION ALL SELECT unnest(entities), 'action', action_id, occurred_at, visibility FROM actions WHERE tenant = 'a'),
+r AS (SELECT * FROM s WHERE entity IN (FROM st) QUALIFY row_number() OVER (PARTITION BY entity, kind ORDER BY t DESC, id DESC) <= 3),
+n AS (SELECT entity, string_agg(kind || ':' || id, ' ' ORDER BY t DESC, kind DESC, id DESC) AS summary, {_MIN_VIS} AS v, {b.BASE} AS refreshed_at FROM r GROUP BY entity UNION ALL SELECT entity, 'old ' || entity, [1], 0 FROM o WHERE entity NOT IN (FROM st))
+SELECT entity, CASE WHEN list_has_any(v, {list(SCOPE.principals)}) THEN summary END AS summary, refreshed_at, array_to_string(v, ',') AS visible_to FROM n""",
+    ),
+    "erasure_on_files": operations.ORACLE_SQL["erasure_survivors"],
+    # text files end every line, so a file's bytes are its lines, each with a line feed
+    "folder_versions": """WITH d AS (SELECT 's' || doc_id % 9 AS document, doc_id, doc_id || ',' || quality || ',' || toxic AS v FROM labels),
+f AS (SELECT document, 1 AS version, string_agg(v || chr(10), '' ORDER BY doc_id) AS content, count(*) AS n FROM d WHERE doc_id % 10 <> 0 GROUP BY 1 UNION ALL SELECT document, 2, string_agg(v || chr(10), '' ORDER BY doc_id), count(*) FROM d WHERE document > 's2' GROUP BY 1 HAVING bool_or(doc_id % 10 = 0))
+SELECT document, version, CAST(n AS INT) AS n_lines, sha256(content) AS content_hash FROM f""",
     "refold_aliases": resolution.ORACLE_SQL["fold_components"],
     "refold_reviews": resolution.ORACLE_SQL["fold_reviews"],
     "refold_due": f"""WITH e AS (SELECT 'user:' || user_id AS subject, epoch_us(ts) // 1000000 AS at_s FROM events), m AS (SELECT max(at_s) - 3600 AS mark FROM e),

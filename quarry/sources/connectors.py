@@ -25,17 +25,6 @@ def share_principals(shares: DataFrame, roster: DataFrame) -> DataFrame:
     return rows.select("record", principal.alias("principal")).where("principal IS NOT NULL").distinct()
 
 
-def inherited(children: DataFrame, grants: DataFrame) -> DataFrame:
-    """Children (record, parent) get their parent's principals beside their own."""
-    return children.join(grants, children["parent"] == grants["record"]).select(children["record"], "principal").unionByName(grants).distinct()
-
-
-def next_cursor(rows: DataFrame, cursor: int) -> DataFrame:
-    """Rows after the cursor, strictly, with the cursor that follows (a one-row aggregate)."""
-    new = rows.where(F.col("modified_at") > cursor)
-    return new.crossJoin(F.broadcast(new.agg(F.max("modified_at").alias("next_cursor"))))
-
-
 def drive_envelope(permissions: Column) -> Column:
     """Principals of a file's permissions (type, email, domain, role, deleted), or null: one unknown entry spoils all."""
     live = F.filter(permissions, lambda p: ~F.coalesce(p["deleted"], F.lit(False)))
@@ -95,13 +84,3 @@ def captions(cues: DataFrame) -> DataFrame:
 def audience(setting: Column, host: Column, domain: Column, own_domain: str) -> Column:
     """Who sees a recording by its sharing setting."""
     return F.when(setting == "none", F.concat(F.lit("user:"), F.lower(host))).when((setting == "internally") & (F.lower(domain) == own_domain), F.lit(f"domain:{own_domain}")).otherwise(F.lit("quarantine"))
-
-
-def first_same(verdicts: DataFrame) -> DataFrame:
-    """The merge target of each candidate: the first in blocker order that the judge calls the same."""
-    return verdicts.where("same").groupBy("candidate").agg(F.min_by("target", "place").alias("target"))
-
-
-def reingest_body(q: DataFrame) -> DataFrame:
-    """What a quarantined payload is ingested from: an override, else its content, observation or raw text."""
-    return q.withColumn("text", F.coalesce("content_override", F.get_json_object("payload", "$.content"), F.get_json_object("payload", "$.observation"), "payload")).withColumn("ingestible", F.coalesce(F.trim("text") != "", F.lit(False)))

@@ -5,16 +5,37 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BYTES = 2000
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a path as documents: path, content, content_hash (over the bytes delivered)."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def read_texts(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Files below a path as documents: path, modified, content, content_hash (over the bytes delivered)."""
+    raw = (spark.readStream.schema(FILES) if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*").load(path)
+    return raw.select("path", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
+
+
+def delivered(texts: DataFrame, name: str, late: str = "7 days") -> DataFrame:
+    """A folder's files as deliveries of documents, each content of a document once; works on streams.
+
+    ``name``: a pattern whose group is the document in the path; a document
+    that changes is delivered as a file of another path. A content that comes
+    again within ``late`` is no delivery, state is kept for as long.
+    """
+    rows = texts.select(F.regexp_extract("path", name, 1).alias("document"), "modified", "content", "content_hash")
+    return rows.withWatermark("modified", late).dropDuplicatesWithinWatermark(["document", "content_hash"])
+
+
+def versions(deliveries: DataFrame) -> DataFrame:
+    """Deliveries with their version, from 1 by time; one with the content of the one before it is none."""
+    own = Window.partitionBy("document").orderBy("modified", "content_hash")
+    rows = deliveries.withColumn("before", F.lag("content_hash").over(own)).where("before IS NULL OR before <> content_hash").drop("before")
+    return rows.withColumn("version", F.row_number().over(own))
 
 
 def pieces(text: str, most: int = MAX_BYTES) -> list[str]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
@@ -13,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.streaming.membership import stateful
 
-DUE = "subject string, due timestamp, touches long"
+#: due: seconds.
+DUE = "subject string, due long, touches long"
 
 
 class Debounce(StatefulProcessor):
@@ -47,7 +47,8 @@ class Debounce(StatefulProcessor):
         yield self._rows(key, [(last + self.quiet, touches)])
 
     def _rows(self, key: Any, due: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({"subject": [key[0]] * len(due), "due": pd.Series([datetime.fromtimestamp(ms / 1000, timezone.utc).replace(tzinfo=None) for ms, _ in due], dtype="datetime64[ns]"), "touches": pd.Series([n for _, n in due], dtype="int64")})
+        rows = pd.DataFrame([(key[0], ms // 1000, n) for ms, n in due], columns=["subject", "due", "touches"])
+        return rows.astype({"subject": "object", "due": "int64", "touches": "int64"})
 
     def close(self) -> None:
         pass

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.scope import Scope, scoped
-from quarry.session import shared_dir
+from quarry.session import kept, shared_dir
 
 
 def stream_table(spark, path: str) -> DataFrame:
@@ -45,16 +45,42 @@ def run_once(df: DataFrame, name: str, checkpoint: str | None = None, out: str |
     return out
 
 
-def subscribe(rows: DataFrame, scope_now: Callable[[], Scope], deliver: Callable[[DataFrame, int], None], checkpoint: str, most: int = 256) -> StreamingQuery:
-    """Hands each batch's visible rows on. The scope is compiled anew for every batch, so revocations take hold at once."""
+#: Rows of one poll.
+PAGE = 256
+
+#: A place in the order of delivery: (occurred_at, action_id).
+Mark = tuple[int, int]
+START: Mark = (-(1 << 62), -(1 << 62))
+
+
+class StaleFence(RuntimeError):
+    """Revocations may be missing: nothing is delivered until the membership watch has caught up."""
+
+
+def subscribe(rows: DataFrame, scope_now: Callable[[], Scope], deliver: Callable[[DataFrame, int], None], checkpoint: str, fence: Callable[[], bool] = lambda: False) -> StreamingQuery:
+    """Hands each batch's visible rows on. The scope is compiled anew for every batch, so revocations take hold at once.
+
+    A batch that meets a stale fence fails, is not committed, and comes again when the subscription is started anew.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        deliver(scoped(batch, scope_now()).orderBy("occurred_at", "action_id"), number)
+        if fence():
+            raise StaleFence(f"batch {number}")
+        deliver(scoped(batch, scope_now()), number)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def after(rows: DataFrame, mark: tuple[int, int], most: int = 256) -> DataFrame:
-    """The next rows after a high-water mark (recorded_at, id); rows of one time are not skipped."""
+def after(rows: DataFrame, mark: Mark, most: int = PAGE) -> DataFrame:
+    """The next rows after a high-water mark (occurred_at, action_id); rows of one time are not skipped."""
     new = rows.where(F.struct("occurred_at", "action_id") > F.struct(F.lit(mark[0]).cast("long"), F.lit(mark[1]).cast("long")))
     return new.orderBy("occurred_at", "action_id").limit(most)
+
+
+def poll(rows: DataFrame, scope: Scope, mark: Mark, fence: bool = False, most: int = PAGE) -> tuple[DataFrame, Mark]:
+    """(the next visible rows after a mark, the mark behind them); the mark stays where there are none."""
+    if fence:
+        raise StaleFence(str(mark))
+    page = kept(after(scoped(rows, scope), mark, most))
+    last = page.agg(F.max(F.struct("occurred_at", "action_id")).alias("m")).head()["m"]
+    return page, mark if last is None else (last["occurred_at"], last["action_id"])
