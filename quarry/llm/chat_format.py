@@ -101,13 +101,24 @@ def masked_text(formatted: Column, loss: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Whole turns as an event log: each is opened empty and gets its text in two deltas."""
+    """Whole turns as the log of how they might have come about.
+
+    Each is opened empty; a draft is begun and generated anew; the first half of
+    its text streams in, is edited by mistake and edited back; the second half
+    follows. Every third turn is preceded by one that is opened, begun and
+    deleted. What the fold leaves are the turns.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("message"))
+    numbered = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("number"))
     half = F.floor(F.length("text") / 2).cast("int")
-    event = lambda k, kind, text: F.struct((F.col("message") * 3 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    events = F.array(event(0, "open", F.lit("")), event(1, "delta", F.substr("text", F.lit(1), half)), event(2, "delta", F.substr("text", half + 1)))
-    return numbered.select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", "e.text")
+    first, second = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    event = lambda message, k, kind, text: F.struct(message.alias("message"), (F.col("number") * 16 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    own = lambda k, kind, text: event(F.col("number"), k, kind, text)
+    none = lambda k, kind, text: event(-F.col("number"), k, kind, text)
+    kept = F.array(own(4, "open", F.lit("")), own(5, "delta", F.lit("I would say ")), own(6, "regenerate", F.lit(None).cast("string")), own(7, "delta", first), own(8, "edit", F.lit("</turn> ##")), own(9, "edit", first), own(10, "delta", second))
+    dropped = F.array(none(1, "open", F.lit("")), none(2, "delta", F.lit("never mind")), none(3, "delete", F.lit(None).cast("string")))
+    events = F.concat(kept, F.when(F.col("number") % 3 == 0, dropped).otherwise(F.slice(dropped, 1, 0)))
+    return numbered.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.message", "e.seq", "e.kind", "role", "e.text")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ tree is a few dozen numbers. Work grows with the length of the page, whatever
 is left open in it.
 
 Cases: null or empty html gives an empty text; tags that are not closed end
-with their parents; broken tags and comments never reach the text; a very long
+with their parents, and silent elements whose parents are not closed either are empty (but scripts and styles, which go to the end); broken tags and comments never reach the text; a very long
 page may be a single line; equal blocks each stay; rows that repeat count each;
 null keys stay null; other columns, whatever their names, are not read; a table
 without rows gives none.
@@ -97,6 +97,15 @@ class Block:
         self.text, self.words, self.linked, self.element, self.heading, self.item = text, words, min(linked, words), element, heading, item
 
 
+def _marked(element: Element | None) -> bool:
+    """Whether a name on the way up, below body, says that an element is not main text."""
+    while element and element.name not in ("html", "body"):
+        if element.marks > 1:
+            return True
+        element = element.parent
+    return False
+
+
 def settle(elements: list[Element], found: list[Block]) -> list[Block]:
     """Words of every element, which ones are around the main part, and whose names count; the blocks that are not hidden.
 
@@ -108,6 +117,13 @@ def settle(elements: list[Element], found: list[Block]) -> list[Block]:
         if e.parent:
             e.parent.words += e.words
     roots = [e for e in elements if e.root is e]
+    if len(roots) > 1:
+        # several articles beside more text than the largest of them: they are teasers, and the text is outside
+        outside = sum(b.words - b.linked for b in found if not b.element.root and not b.element.apart and not _marked(b.element))
+        if outside > max(e.words for e in roots):
+            for e in elements:
+                e.apart, e.root = e.apart or e.root is not None, None
+            roots = []
     first = max(roots, key=lambda e: e.words) if roots else next((b.element for b in found if b.element.name == "h1"), None)
     while first and not first.wraps:
         first.wraps, first = True, first.parent
@@ -151,7 +167,7 @@ def text_blocks(page: str) -> list[Block]:
 
     def parent_end(stop: int) -> int:
         """Where the innermost block element that is closed before ``stop`` ends, or ``stop``."""
-        for parent in dict.fromkeys(e.name for e in reversed(stack)):
+        for parent in dict.fromkeys(e.name for e in reversed(stack) if e.name not in ("html", "body")):
             depth = 1
             for m in re.compile(rf"<(/?){re.escape(parent)}(?=[\s/>])[^>]*>", re.I).finditer(page, at, stop):
                 depth += -1 if m[1] else 1
@@ -166,7 +182,9 @@ def text_blocks(page: str) -> list[Block]:
         if name not in closings or (end and end.start() < at):
             end = closings[name] = next((m for m in tag.finditer(page, at) if m[1]), None)
         if end is None:
-            return n if name in ("script", "style") else parent_end(n)
+            # no closing tag at all: up to where the parent is closed; where it is not, or is the page itself, nothing is inside
+            own = n if name in ("script", "style") else parent_end(n)
+            return own if own < n or name in ("script", "style") else at
         if name not in ("script", "style") and (other := tag.search(page, at, end.start())):
             # the closing tag may be that of a later element of the same name
             own = parent_end(other.start())

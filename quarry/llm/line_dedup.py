@@ -48,11 +48,6 @@ BLOCK_BYTES = 64 << 20
 _M = (1 << 64) - 1
 
 
-def key_of(line: bytes) -> bytes:
-    """The stripped line with A-Z in lower case (bytes.lower touches no other byte)."""
-    return line.strip(SPACE).lower()
-
-
 def _hashes(lines: list[bytes], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hashes as (n, 2) unsigned numbers, and which lines have a long enough key."""
     digest, out, use = xxhash.xxh3_128_digest, [], np.ones(len(lines), bool)
