@@ -214,7 +214,10 @@ _PAIR_SQL = "^([A-Za-z][A-Za-z0-9 _/-]{0,48}):\\s+(\\S.*)$"
 ORACLE_SQL = {
     "knowledge_support": f"WITH {_SUP} SELECT *, CASE WHEN entities >= 10 THEN 'extensive' WHEN entities >= 5 THEN 'established' WHEN entities >= 3 THEN 'emerging' END AS tier FROM sup",
     "publish_gate": f"WITH {_SUP}, i AS (SELECT *, {_STATUS} AS status FROM sup) SELECT knowledge_id, CASE WHEN knowledge_id % 10 = 0 THEN 'visibility_empty' WHEN status NOT IN ('candidate', 'eligible') THEN 'status' WHEN entities < 3 THEN 'k_support' WHEN NOT (writers >= 2 OR has_tier1) THEN 'corroboration' END AS refused, CASE WHEN {_READY} THEN 'eligible' ELSE status END AS status FROM i",
-    "deid_gate": b.sql("chunks", then=", lex AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents) SELECT id, min(term) AS term FROM chunks JOIN lex ON contains(lower(content), term) WHERE length(term) >= 4 GROUP BY id"),
+    # a statement's own first word in order is a term that it holds, so none behind that need be tried
+    "deid_gate": b.sql("chunks", then=""", lex AS MATERIALIZED (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents),
+own AS MATERIALIZED (SELECT id, lower(content) AS s, list_min(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 4)) AS m FROM chunks)
+SELECT id, min(term) AS term FROM own JOIN (FROM lex WHERE length(term) >= 4) ON term <= coalesce(m, chr(1114111)) AND contains(s, term) GROUP BY id"""),
     "forget_cascade": f"WITH {_SUP}, gone AS (SELECT * FROM ev WHERE episode_id % 2 = 0 OR knowledge_id % 9 = 0), l AS (SELECT knowledge_id, count(DISTINCT entity) AS e FROM ev WHERE episode_id NOT IN (SELECT episode_id FROM gone) GROUP BY 1), a AS (SELECT knowledge_id, CASE WHEN knowledge_id IN (SELECT knowledge_id FROM gone) THEN coalesce(e, 0) ELSE entities END AS entities, CASE WHEN knowledge_id IN (SELECT knowledge_id FROM gone) AND coalesce(e, 0) < 3 THEN 'invalidated' ELSE 'published' END AS status FROM sup LEFT JOIN l USING (knowledge_id)) SELECT status, count(*) AS n, CAST(sum(entities) AS BIGINT) AS entities FROM a GROUP BY status",
     "derived_visibility": b.sql("chunks", then=""", w AS (SELECT doc_id AS write_id, CASE WHEN doc_id % 6 = 0 THEN CAST([] AS BIGINT[]) WHEN doc_id % 6 = 1 THEN [doc_id, doc_id + 21 + 1000000] WHEN doc_id % 6 = 2 THEN [doc_id, 99999999] ELSE [doc_id] END AS refs, CASE WHEN doc_id % 4 = 0 THEN [1, 3, 11] END AS declared FROM labels),
 r AS (SELECT write_id, unnest(refs) AS ref FROM w), f AS (SELECT DISTINCT write_id, ref, id, visibility, confidentiality FROM r JOIN chunks ON ref = id OR ref = id + 1000000),
