@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, hierarchy
+from quarry.operators import graph, hierarchy, resolve
+from quarry.plans import registry
+from quarry.plans.compare import differences
+from quarry.streaming import membership, refresh
 
 
 @pytest.fixture
@@ -63,3 +69,89 @@ def test_fidelity_audits_given_pairs_alone(spark):
     users = spark.createDataFrame([("a", True, False), ("b", True, True)], "user string, federated boolean, view_all boolean")
     got = {tuple(r) for r in graph.fidelity(pairs, granted, truth, users).collect()}
     assert got == {("a", 1, "match_grant", "none"), ("b", 1, "over_hide", "view_all"), ("c", 1, "match_deny", "none"), (None, 1, "match_deny", "none")}
+
+
+def test_tier2_without_pairs_that_say_nothing(spark):
+    """As of all blocked pairs, names or domains that are null, empty, repeated or not alike among them."""
+    words = ["red", "bolt", "ring", "steel", "co"]
+    rows = [(f"r{i:02d}", [None, "", " ".join(w for k, w in enumerate(words) if i >> k & 1), words[i % 5]][i % 4], [None, "a.com", "b.com"][i % 3]) for i in range(48)]
+    e = spark.createDataFrame(rows, "ref string, name string, domain string")
+    want = resolve.tier2_evidence(resolve.block_pairs(e), e, "n", 7)
+    got = resolve.tier2_of_domains(e, "n", 7)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert want.count() < resolve.block_pairs(e).count()
+
+
+@pytest.mark.parametrize("least", [True, False])
+def test_briefs_whatever_the_numbers_of_partitions(spark, sf, conf, least):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", str(least).lower())
+    conf("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.shuffle.partitions", "16")
+    assert differences(spark, registry.QUERIES["brief_refresh"], registry.ORACLE_SQL["brief_refresh"], sf) == ""
+
+
+def test_folder_lines_in_order_whatever_the_order_of_rows(spark, sf, tmp_path):
+    """Labels in files that are not in order of their numbers."""
+    spark.read.parquet(f"{sf}/labels.parquet").orderBy(F.desc("doc_id")).coalesce(1).write.parquet(str(tmp_path / "made"))
+    file = next((tmp_path / "made").glob("*.parquet"))
+    (tmp_path / "sf").mkdir()
+    file.rename(tmp_path / "sf" / "labels.parquet")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "conversations"):
+        (tmp_path / "sf" / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    assert differences(spark, registry.QUERIES["folder_versions"], registry.ORACLE_SQL["folder_versions"], str(tmp_path / "sf")) == ""
+
+
+class _Handle:
+    """State of one key, held in memory."""
+
+    def __init__(self):
+        self.value, self.list, self.timers = None, None, set()
+
+    def getValueState(self, *_):
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def getListState(self, *_):
+        return SimpleNamespace(exists=lambda: self.list is not None, get=lambda: iter(self.list), put=lambda v: setattr(self, "list", list(v)), clear=lambda: setattr(self, "list", None))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_burst_is_due_by_the_watermark_alone():
+    """A burst that a later touch follows is not due before the watermark says so, and a late touch may still join two."""
+    d, handle = refresh.Debounce(100), _Handle()
+    d.init(handle)
+    frame = lambda *at: pd.DataFrame({"at": [pd.Timestamp(t, unit="s", tz="UTC") for t in at]})
+    rows = lambda out: [tuple(r) for f in out for r in f.itertuples(index=False)]
+    assert rows(d.handleInputRows(("u",), iter([frame(1000, 1300), frame(1010, 2000)]), None)) == []
+    assert handle.timers == {1_110_000}
+    assert rows(d.handleInputRows(("u",), iter([frame(1400, 1120, 1210)]), None)) == []
+    assert handle.timers == {1_110_000}
+    at = lambda s: SimpleNamespace(getCurrentWatermarkInMs=lambda: s * 1000)
+    handle.timers.clear()
+    assert rows(d.handleExpiredTimer(("u",), at(1110), None)) == [("u", 1110, 2)]
+    assert rows(d.handleExpiredTimer(("u",), at(1999), None)) == [("u", 1500, 4)]
+    assert rows(d.handleExpiredTimer(("u",), at(2100), None)) == [("u", 2100, 1)] and handle.list is None
+
+
+def test_tombstones_hold_no_more_than_the_different_times(monkeypatch):
+    held = []
+    made = membership._first_by_time
+    monkeypatch.setattr(membership, "HELD", 1000)
+    monkeypatch.setattr(membership, "_first_by_time", lambda parts: held.append(sum(p.num_rows for p in parts)) or made(parts))
+    t, handle = membership.Tombstones(15, 1), _Handle()
+    t.init(handle)
+    n = 50_000
+    frames = (pd.DataFrame({"token": 1, "principal": "g", "seq": range(k, n, n // 500), "member": [f"u{s}" for s in range(k, n, n // 500)], "at": [s * 7919 % 300 for s in range(k, n, n // 500)]}) for k in range(n // 500))
+    got = [(r.seq, r.member, r.at) for f in t.handleInputRows((1,), frames, None) for r in f.itertuples(index=False)]
+    first = {}
+    for s in range(n):
+        first.setdefault(s * 7919 % 300, s)
+    assert got == [(first[a], f"u{first[a]}", a) for a in range(0, 300, 16)]
+    assert max(held) <= 3000 and handle.value == (got[-1][2],)
+    assert [f for f in t.handleInputRows((1,), iter([pd.DataFrame({"token": [1], "principal": ["g"], "seq": [1], "member": ["x"], "at": [303]})]), None)] == []
