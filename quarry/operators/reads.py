@@ -121,10 +121,10 @@ def brief_sources(chunks: DataFrame, actions: DataFrame, tenant: str, n: int = 1
     return folded.select("entity", "n_sources", F.array_join(intersection(F.col("vs")), ",").alias("source_visibility"))
 
 
-def brief(briefs: DataFrame, scope: Scope) -> DataFrame:
-    """Briefs with their summary only where the caller may see all its sources: entity, summary, source_visibility."""
+def brief(briefs: DataFrame, scope: Scope, *more: Column | str) -> DataFrame:
+    """Briefs with their summary only where the caller may see all its sources: entity, summary, and ``more`` of their columns."""
     seen = F.coalesce(F.arrays_overlap("source_visibility", F.array(*[F.lit(p) for p in scope.principals]).cast("array<bigint>")), F.lit(False))
-    return briefs.select("entity", F.when(seen, F.col("summary")).alias("summary"))
+    return briefs.select("entity", F.when(seen, F.col("summary")).alias("summary"), *more)
 
 
 def refreshed_briefs(briefs: DataFrame, stale: DataFrame, chunks: DataFrame, actions: DataFrame, tenant: str, at: int, n: int = 10) -> DataFrame:
@@ -143,7 +143,11 @@ def refreshed_briefs(briefs: DataFrame, stale: DataFrame, chunks: DataFrame, act
     line = F.concat_ws(":", "kind", F.col("id").cast("string"))
     folded = top.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "id", line.alias("line"))), asc=False).alias("s"), F.collect_list("visibility").alias("vs"))
     fresh = folded.select("entity", F.array_join("s.line", " ").alias("summary"), intersection(F.col("vs")).alias("source_visibility"), F.lit(at).cast("long").alias("refreshed_at"))
-    return briefs.select(*fresh.columns).join(due, "entity", "left_anti").unionByName(fresh)
+    # no entity is on both sides. Spark 4.1 may fail on a union of two sides that are shuffled alike ("can't zip"), where
+    # adaptive execution gives them different numbers of partitions; a join gives them the same
+    rest = briefs.select(*fresh.columns).join(due, "entity", "left_anti")
+    both = rest.join(fresh.select("entity", *[F.col(c).alias(f"new_{c}") for c in fresh.columns[1:]]), "entity", "full_outer")
+    return both.select("entity", *[F.coalesce(c, f"new_{c}").alias(c) for c in fresh.columns[1:]])
 
 
 def entity_tags(chunks: DataFrame, actions: DataFrame, tenant: str) -> DataFrame:

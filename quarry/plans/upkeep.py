@@ -156,7 +156,7 @@ def brief_refresh(spark, sf):
     old = chunks.where("tenant = 'a'").select(F.explode("tags").alias("entity")).distinct().selectExpr("entity", "concat('old ', entity) AS summary", "array(1L) AS source_visibility", "0L AS refreshed_at")
     stale = actions.where("action_id % 3 = 0").select(F.explode("entities").alias("entity")).unionByName(old.where("entity <> 'grp:0'").select("entity"))
     briefs = reads.refreshed_briefs(old, stale, chunks, actions, "a", b.BASE, 3)
-    return reads.brief(briefs, SCOPE).join(briefs.select("entity", "refreshed_at", F.array_join("source_visibility", ",").alias("visible_to")), "entity")
+    return reads.brief(briefs, SCOPE, "refreshed_at", F.array_join("source_visibility", ",").alias("visible_to"))
 
 
 QUERIES = {q.__name__: q for q in (brief_refresh, erasure_on_files, folder_versions, refold_aliases, refold_reviews, refold_due, asof_events, role_ancestors, role_grants, role_fidelity, percentiles_merged, latency_sketched)}
