@@ -141,7 +141,9 @@ def folder_versions(spark, sf):
     """A watched folder: texts by source and language, some delivered again unchanged, some with more lines; versions of each."""
     base = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
     docs = table(spark, sf, "labels").selectExpr("'s' || doc_id % 9 AS source", "doc_id", "concat(doc_id, ',', quality, ',', toxic) AS value")
-    deliver = lambda rows, scan: rows.repartition(1, "source").sortWithinPartitions("source", "doc_id").select("value", F.concat(F.lit(f"{scan}-"), "source").alias("document")).write.mode("append").partitionBy("document").text(f"{base}/in")
+    # a document is one row, its lines in order: what writes folders sorts by these, and drops a sort of lines made before
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "value"))), lambda x: x["value"]), "\n")
+    deliver = lambda rows, scan: rows.groupBy("source").agg(content.alias("value")).select("value", F.concat(F.lit(f"{scan}-"), "source").alias("document")).write.mode("append").partitionBy("document").text(f"{base}/in")
     for scan, rows in enumerate((docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 <> 0 AND source < 's5'"), docs.where("source > 's2'"))):
         deliver(rows, scan)
         found = documents.delivered(documents.read_texts(spark, f"{base}/in", stream=True), r"document=\d+-([^/]+)/")
