@@ -17,34 +17,49 @@ DUE = "subject string, due long, touches long"
 
 
 class Debounce(StatefulProcessor):
-    """By subject: the last touch and how many there were, and a timer behind the last one."""
+    """By subject: the bursts that are not due yet (first, last, touches), and a timer behind the earliest of them.
+
+    A burst is settled by the watermark alone: until it has passed the due time, a touch that
+    is late may still lengthen the burst or make one of two.
+    """
 
     def __init__(self, quiet: int):
         self.quiet = quiet * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "last long, touches long")
+        self.open = handle.getListState("open", "first long, last long, touches long")
+
+    def _merged(self, bursts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(bursts):
+            if out and first - out[-1][1] <= self.quiet:
+                first, last, n = out[-1][0], max(last, out[-1][1]), out.pop()[2] + n
+            out.append((first, last, n))
+        return out
+
+    def _held(self) -> list[tuple[int, int, int]]:
+        return [tuple(b) for b in self.open.get()] if self.open.exists() else []
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        times = sorted(int(t.timestamp() * 1000) for frame in rows for t in frame["at"])
-        last, touches = self.held.get() if self.held.exists() else (None, 0)
-        if last is not None:
-            self.handle.deleteTimer(last + self.quiet)
-        due = []
-        for t in times:
-            if last is not None and t - last > self.quiet:
-                due.append((last + self.quiet, touches))
-                touches = 0
-            last, touches = t if last is None else max(last, t), touches + 1
-        self.held.update((last, touches))
-        self.handle.registerTimer(last + self.quiet)
-        yield self._rows(key, due)
+        bursts = before = self._held()
+        for frame in rows:
+            bursts = self._merged(bursts + [(t, t, 1) for t in (int(t.timestamp() * 1000) for t in frame["at"])])
+        if before:
+            self.handle.deleteTimer(min(last for _, last, _ in before) + self.quiet)
+        self.open.put(bursts)
+        self.handle.registerTimer(bursts[0][1] + self.quiet)
+        yield self._rows(key, [])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        last, touches = self.held.get()
-        self.held.clear()
-        yield self._rows(key, [(last + self.quiet, touches)])
+        bursts, mark = self._held(), timerValues.getCurrentWatermarkInMs()
+        left = [b for b in bursts if b[1] + self.quiet > mark]
+        if left:
+            self.open.put(left)
+            self.handle.registerTimer(left[0][1] + self.quiet)
+        else:
+            self.open.clear()
+        yield self._rows(key, [(last + self.quiet, n) for _, last, n in bursts if last + self.quiet <= mark])
 
     def _rows(self, key: Any, due: list[tuple[int, int]]) -> pd.DataFrame:
         rows = pd.DataFrame([(key[0], ms // 1000, n) for ms, n in due], columns=["subject", "due", "touches"])
