@@ -163,9 +163,22 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     # the same few rows, in one order: a running total of their bytes
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     upto = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = taught.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("upto") == size)).select("doc_id", "text", "quality").collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    return fit([chunks_of((r["text"] or "").encode()) for r in rows], np.array([r["quality"] for r in rows], np.float32), steps)
+    rows = taught.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("upto") == size)).select("doc_id", "text", "quality")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, qualities = [], []
+        for batch in batches:
+            documents += [chunks_of((t or "").encode()) for t in batch.column(1).to_pylist()]
+            qualities += batch.column(2).to_pylist()
+        net = fit(documents, np.array(qualities, np.float32), steps)
+        shapes, values = [list(p.shape) for p in net.parameters()], [p.astype(np.float32).tobytes() for p in net.parameters()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(shapes, pa.list_(pa.int32())), pa.array(values, pa.binary())], names=["place", "shape", "bytes"])
+
+    # the sample is bounded and learned from in one task, so the driver holds no text of it, only the weights
+    learned = arrow_map(rows.coalesce(1).sortWithinPartitions("doc_id"), run, "place int, shape array<int>, bytes binary").collect()
+    if not learned:
+        return fit([], np.array([], np.float32), steps)
+    return Network(*[np.frombuffer(bytes(r["bytes"]), np.float32).reshape(r["shape"]).copy() for r in sorted(learned, key=lambda r: r["place"])])
 
 
 def scored(docs: DataFrame, network: Network, carry: tuple[str, ...] = ()) -> DataFrame:
