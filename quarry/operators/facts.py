@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["tenant", "source", "entity_id", "field"]
-VERSION = "struct<arrival:bigint,valid_from:bigint,value:string,valid_to:bigint,superseded_by:bigint,outcome:string>"
+VERSION = "arrival long, valid_from long, value string, valid_to long, superseded_by long, outcome string"
+VERSION_NAMES = [c.split()[0] for c in VERSION.split(", ")]
 
 
 def versions(events: DataFrame) -> DataFrame:
@@ -18,34 +22,50 @@ def versions(events: DataFrame) -> DataFrame:
     Anything else supersedes. Where events have a column ``gone``, those that
     are gone close the current version at their time, and what comes next is a
     first value again. What is late depends on the current version alone, so
-    neither a lag nor a running maximum says it: each key's events are folded
-    in order, inside the engine. The state holds the closed versions and the
-    current one; a key's own history is all that is gathered.
+    neither a lag nor a running maximum says it: each key's events pass in order,
+    as Arrow batches, and only the current version is held. A key with a long
+    history takes time by its length, and no memory.
     """
     gone = F.coalesce("gone", F.lit(False)) if "gone" in events.columns else F.lit(False)
-    ordered = F.array_sort(F.collect_list(F.struct("arrival", "valid_from", "value", gone.alias("gone"))))
-    start = F.struct(F.lit(None).cast(VERSION).alias("now"), F.array().cast(f"array<{VERSION}>").alias("past"))
-
-    def version(e: Column, valid_to: Column, by: Column, outcome: str) -> Column:
-        return F.struct(e["arrival"].alias("arrival"), e["valid_from"].alias("valid_from"), e["value"].alias("value"), valid_to.alias("valid_to"), by.alias("superseded_by"), F.lit(outcome).alias("outcome")).cast(VERSION)
-
-    none = F.lit(None).cast("long")
-
-    def step(s: Column, e: Column) -> Column:
-        now, past = s["now"], s["past"]
-        closed = lambda by: F.struct(now["arrival"].alias("arrival"), now["valid_from"].alias("valid_from"), now["value"].alias("value"), e["valid_from"].alias("valid_to"), by.alias("superseded_by"), now["outcome"].alias("outcome")).cast(VERSION)
-        late = F.array_append(past, version(e, now["valid_from"], now["arrival"], "stale"))
-        state = lambda a, b: F.struct(a.alias("now"), b.alias("past"))
-        return (
-            F.when(e["gone"], F.when(now.isNull(), s).otherwise(state(F.lit(None).cast(VERSION), F.array_append(past, closed(none)))))
-            .when(now.isNull(), state(version(e, none, none, "inserted"), past))
-            .when(now["value"].eqNullSafe(e["value"]), s)
-            .when(e["valid_from"] <= now["valid_from"], state(now, late))
-            .otherwise(state(version(e, none, none, "superseded"), F.array_append(past, closed(e["arrival"]))))
-        )
-
-    folded = events.groupBy(*KEY).agg(F.aggregate(ordered, start, step).alias("s"))
-    return folded.select(*KEY, F.inline(F.filter(F.array_append(F.col("s.past"), F.col("s.now")), lambda v: v.isNotNull())))
+    rows = events.select(*KEY, F.col("arrival").cast("long").alias("arrival"), F.col("valid_from").cast("long").alias("valid_from"), F.col("value").cast("string").alias("value"), gone.alias("gone"))
+    ordered = rows.repartition(*KEY).sortWithinPartitions(*KEY, "arrival", "valid_from", "value", "gone")
+    keys = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in KEY)
+    return ordered.mapInArrow(_folded, f"{keys}, {VERSION}")
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Versions of events in order of key and arrival; a key may go on in the next batch."""
+    key, now, schema = None, None, None
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        if schema is None:
+            schema = pa.schema([*list(batch.schema)[: len(KEY)], *[pa.field(c, pa.string() if c in ("value", "outcome") else pa.int64()) for c in VERSION_NAMES]])
+        out = []
+        for *own, arrival, start, value, gone in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if own != key:
+                if now is not None:
+                    out.append((*key, *now[:3], None, None, now[3]))
+                key, now = own, None
+            if gone:
+                if now is not None:
+                    out.append((*key, *now[:3], start, None, now[3]))
+                now = None
+            elif now is None:
+                now = arrival, start, value, "inserted"
+            elif value == now[2]:
+                continue
+            elif start is not None and now[1] is not None and start <= now[1]:
+                out.append((*key, arrival, start, value, now[1], now[0], "stale"))
+            else:
+                out.append((*key, *now[:3], start, arrival, now[3]))
+                now = arrival, start, value, "superseded"
+        yield batch_of(out)
+    if now is not None:
+        yield batch_of([(*key, *now[:3], None, None, now[3])])
 
 
 def outcomes(events: DataFrame, kept: DataFrame) -> DataFrame:

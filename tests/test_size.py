@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, hierarchy, resolve
+from quarry.operators import facts, graph, hierarchy, knowledge, resolve
 from quarry.plans import registry
 from quarry.plans.compare import differences
 from quarry.streaming import membership, refresh
@@ -155,3 +155,41 @@ def test_tombstones_hold_no_more_than_the_different_times(monkeypatch):
     assert got == [(first[a], f"u{first[a]}", a) for a in range(0, 300, 16)]
     assert max(held) <= 3000 and handle.value == (got[-1][2],)
     assert [f for f in t.handleInputRows((1,), iter([pd.DataFrame({"token": [1], "principal": ["g"], "seq": [1], "member": ["x"], "at": [303]})]), None)] == []
+
+
+def test_long_history_of_one_key(spark, conf):
+    """A key's versions take time by their number (as arrays that grew, the square of it), and go on from batch to batch."""
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    n = 30_000
+    events = spark.range(n).selectExpr("'a' AS tenant", "'s' AS source", "IF(id < 5, NULL, 'one') AS entity_id", "'f' AS field", "id AS arrival", "IF(id % 10 = 9, id - 20, id) AS valid_from", "IF(id % 4 = 3, NULL, CAST(id % 4 AS STRING)) AS value", "id % 100 = 50 AS gone")
+    got = sorted(tuple(r) for r in facts.versions(events).select("arrival", "valid_from", "value", "valid_to", "superseded_by", "outcome", "entity_id").collect())
+    want, now, before = [], None, None
+    for i in range(n):
+        entity, start, value = None if i < 5 else "one", i - 20 if i % 10 == 9 else i, None if i % 4 == 3 else str(i % 4)
+        if entity != before and now is not None:
+            want.append((*now[:3], None, None, now[3], before))
+            now = None
+        before = entity
+        if i % 100 == 50:
+            want.append((*now[:3], start, None, now[3], entity))
+            now = None
+        elif now is None:
+            now = (i, start, value, "inserted")
+        elif start <= now[1]:
+            want.append((i, start, value, now[1], now[0], "stale", entity))
+        else:
+            want.append((*now[:3], start, i, now[3], entity))
+            now = (i, start, value, "superseded")
+    want.append((*now[:3], None, None, now[3], "one"))
+    key = lambda r: tuple((x is not None, x) if x is not None else (False, "") for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_lexicon_in_blocks_tries_what_is_left(spark, monkeypatch):
+    """A lexicon over what is sent comes in blocks by order; a statement that named a term is not tried again."""
+    s = spark.createDataFrame([(1, "zebra and aardvark"), (2, "zebra"), (3, "none"), (4, "monkeys"), (5, None)], "id long, statement string")
+    terms = spark.createDataFrame([(w,) for w in ("aardvark", "badger", "monkey", "monkeys", "zebra", "zoo")], "term string")
+    sizes, made = [], knowledge.kept
+    monkeypatch.setattr(knowledge, "kept", lambda df: sizes.append(made(df).where("term IS NULL").count()) or made(df))
+    assert sorted(map(tuple, knowledge.identifying(s, terms, sent=2).collect())) == [(1, "aardvark"), (2, "zebra"), (4, "monkey")]
+    assert sizes == [0, 3, 2, 1]  # the terms, then what is left behind each block
