@@ -22,12 +22,16 @@ postings of its own terms alone.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.scope import Scope, scoped_chunks
+from quarry.session import kept
 from quarry.sources.files import Files
 
 # The usual parameters of BM25.
@@ -42,6 +46,7 @@ SPAN = 256
 AHEAD = 16
 
 POSTINGS = "tenant string, term string, span long, sign int, n int, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>"
+LISTED = "tenant string, term string, span long, sign int, ids array<long>, tfs array<int>, dls array<int>"
 STATS = "tenant string, n long, total long"
 
 
@@ -71,22 +76,62 @@ def open_index(spark: SparkSession, folder: str) -> Index:
     return Index(Files(spark, f"{folder}/postings", POSTINGS), Files(spark, f"{folder}/stats", STATS))
 
 
-def _counted(chunks: DataFrame) -> DataFrame:
-    """Chunks (tenant, id, content) as tenant, id, dl, w (their words)."""
-    return chunks.select("tenant", "id", tokens(F.coalesce("content", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+#: Characters whose words are put in blocks at once.
+FLUSH = 4 << 20
+#: What postings of one term in one span are together.
+BLOCK = ["tenant", "term", "span", "sign"]
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings (tenant, term, id, sign, tf, dl) as rows by span."""
-    held = F.sort_array(F.collect_list(F.struct("id", "tf", "dl")))
-    rows = postings.groupBy("tenant", "term", F.expr(f"id div {SPAN}").alias("span"), "sign").agg(held.alias("p"))
-    return rows.select("tenant", "term", "span", "sign", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+def _lowered(chunks: DataFrame) -> DataFrame:
+    return chunks.select("tenant", F.col("id").cast("long").alias("id"), F.lower(F.coalesce("content", F.lit(""))).alias("s"))
 
 
-def _written(index: Index, blocks: DataFrame, expected: int, drop: list[str] = ()) -> None:
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (tenant, id, s, sign) as blocks, each of what one stretch of texts holds of a term and span."""
+    word, names = re.compile("[a-z0-9]+"), ["tenant", "term", "span", "sign", "ids", "tfs", "dls"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def block() -> pa.RecordBatch:
+        columns = [*zip(*held, strict=True), *zip(*held.values(), strict=True)] if held else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    held, size = {}, 0
+    for batch in batches:
+        for tenant, ident, text, sign in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            words = word.findall(text)
+            span = None if ident is None else ident // SPAN if ident >= 0 else -(-ident // SPAN)
+            for term, tf in Counter(words).items():
+                ids, tfs, dls = held.setdefault((tenant, term, span, sign), ([], [], []))
+                ids.append(ident)
+                tfs.append(tf)
+                dls.append(len(words))
+            size += len(text)
+            if size >= FLUSH:
+                yield block()
+                held, size = {}, 0
+    yield block()
+
+
+def _dealt(blocks: DataFrame, expected: int) -> DataFrame:
+    """Blocks with part and salt, which follow from term and span, shuffled by these to where they are written."""
     salts = max(1, -(-expected // (PARTS * FILE_POSTINGS)))
-    dealt = blocks.withColumn("part", _part(F.col("term"))).repartition(PARTS * salts, "part", F.pmod("span", F.lit(salts))).sortWithinPartitions("part", "tenant", "term", "span")
-    index.postings.add(dealt, F.col("part"), drop)
+    return blocks.withColumn("part", _part(F.col("term"))).withColumn("salt", F.coalesce(F.pmod("span", F.lit(salts)), F.lit(0))).repartition(PARTS * salts, "part", "salt")
+
+
+def _rows_of(grouped: GroupedData, held: Column, by: list[str]) -> DataFrame:
+    """Posting rows of groups by term, span and sign; held: their postings as an array of (id, tf, dl)."""
+    rows = grouped.agg(F.sort_array(held).alias("p"))
+    return rows.select(*{c: 0 for c in [*by, *BLOCK]}, F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+
+
+def _merged(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each term, span and sign of blocks that lie together by ``by``: no shuffle."""
+    held = F.flatten(F.collect_list(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
+    return _rows_of(blocks.groupBy(*by, *[c for c in BLOCK if c not in by]), held, by)
+
+
+def _written(index: Index, merged: DataFrame, drop: list[str] = ()) -> None:
+    index.postings.add(merged.sortWithinPartitions("part", "tenant", "term", "span"), F.col("part"), drop)
 
 
 def update(index: Index, before: DataFrame, after: DataFrame) -> Index:
@@ -94,13 +139,13 @@ def update(index: Index, before: DataFrame, after: DataFrame) -> Index:
 
     A new chunk is in ``after`` alone, one that is retired in ``before`` alone.
     """
-    words = _counted(before).withColumn("sign", F.lit(-1)).unionByName(_counted(after).withColumn("sign", F.lit(1)))
-    sums = words.groupBy("tenant").agg(F.sum("sign").cast("long").alias("n"), F.sum(F.col("sign") * F.col("dl")).alias("total"))
-    index.stats.add(sums.coalesce(1))
-    size = words.agg(F.sum("dl")).head()[0] or 0
-    # terms are counted within each row before they are shuffled, once, to their spans
-    one = words.select("tenant", "id", "sign", "dl", F.explode("w").alias("term")).groupBy("tenant", "id", "sign", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    _written(index, _blocks(one), size)
+    texts = _lowered(before).withColumn("sign", F.lit(-1)).unionByName(_lowered(after).withColumn("sign", F.lit(1)))
+    words = texts.select("tenant", "sign", F.size(tokens(F.col("s"))).cast("long").alias("dl"))
+    sums = kept(words.groupBy("tenant").agg(F.sum("sign").cast("long").alias("n"), F.sum(F.col("sign") * F.col("dl")).alias("total"), F.sum("dl").alias("size")))
+    index.stats.add(sums.select("tenant", "n", "total").coalesce(1))
+    size = sums.agg(F.sum("size")).head()[0] or 0
+    # words are counted and put in blocks within tasks, and these shuffled once, to their files
+    _written(index, _merged(_dealt(texts.mapInArrow(_listed, LISTED), size), ["part", "salt"]))
     return index
 
 
@@ -109,18 +154,28 @@ def build_index(chunks: DataFrame, folder: str) -> Index:
     return update(open_index(chunks.sparkSession, folder), chunks.limit(0), chunks)
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """Live postings (tenant, term, id, tf, dl) of posting rows: those whose signs do not cancel out."""
-    one = rows.select("tenant", "term", "sign", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("tenant", "term", "sign", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
-    summed = one.groupBy("tenant", "term", "id").agg(F.sum("sign").alias("live"), F.sum(F.col("sign") * F.col("tf")).cast("int").alias("tf"), F.sum(F.col("sign") * F.col("dl")).cast("int").alias("dl"))
+def _postings(rows: DataFrame, *by: str) -> DataFrame:
+    """Live postings (tenant, term, id, tf, dl) of posting rows: those whose signs do not cancel out.
+
+    With ``by``, columns that follow from term and span, rows that lie together by these are not shuffled.
+    """
+    keys = ["tenant", "term", *[c for c in by if c not in ("tenant", "term")]]
+    one = rows.select(*keys, "sign", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select(*keys, "sign", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+    summed = one.groupBy(*keys, "id").agg(F.sum("sign").alias("live"), F.sum(F.col("sign") * F.col("tf")).cast("int").alias("tf"), F.sum(F.col("sign") * F.col("dl")).cast("int").alias("dl"))
     return summed.where("live > 0").drop("live")
 
 
+def _blocks(postings: DataFrame, by: list[str]) -> DataFrame:
+    """Live postings (by, tenant, term, span, id, tf, dl) that lie together by ``by`` as rows of sign 1."""
+    return _rows_of(postings.withColumn("sign", F.lit(1)).groupBy(*by, *[c for c in BLOCK if c not in by]), F.collect_list(F.struct("id", "tf", "dl")), by)
+
+
 def compact(index: Index) -> None:
     """One row of sign 1 for every term and span, and one row of numbers for every tenant."""
     names = index.postings.names()
-    rows = _postings(index.postings.read(names)).withColumn("sign", F.lit(1))
-    _written(index, _blocks(rows), int(index.numbers().agg(F.sum("total")).head()[0] or 0), names)
+    by = ["part", "salt"]
+    rows = _dealt(index.postings.read(names), int(index.numbers().agg(F.sum("total")).head()[0] or 0))
+    _written(index, _blocks(_postings(rows, *by, "span"), by), names)
     old = index.stats.names()
     index.stats.add(index.numbers().coalesce(1), drop=old)
 
@@ -131,20 +186,22 @@ def erase(index: Index, chunks: DataFrame) -> list[str]:
     Rows of a term and span that held an erased chunk are merged, so no sign of
     the chunk, of its words or of former texts of it that had the same words is left there.
     """
-    words = _counted(chunks)
-    keys = words.select("tenant", F.expr(f"id div {SPAN}").alias("span"), F.explode(F.array_distinct("w")).alias("term"), "id")
-    gone = keys.select("tenant", "term", "span", "id").distinct()
-    parts = sorted(r[0] for r in gone.select(_part(F.col("term"))).distinct().collect())
+    texts = _lowered(chunks)
+    listed = texts.withColumn("sign", F.lit(1)).mapInArrow(_listed, LISTED)
     on = ["tenant", "term", "span"]
+    # written once: what is gone of each term and span
+    gone = kept(listed.groupBy(*on).agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("gone")))
+    parts = sorted(r[0] for r in gone.select(_part(F.col("term"))).distinct().collect())
 
     def change(rows: DataFrame) -> DataFrame:
-        own = gone.select(*on).distinct()
-        left = _postings(rows.join(own, on, "left_semi")).join(gone.select("tenant", "term", "id"), ["tenant", "term", "id"], "left_anti")
-        return rows.join(own, on, "left_anti").unionByName(_blocks(left.withColumn("sign", F.lit(1))))
+        kept_here = F.filter(F.arrays_zip("ids", "tfs", "dls"), lambda p: ~F.array_contains("gone", p["ids"])).alias("p")
+        held = rows.join(gone, on).select(*on, "sign", kept_here)
+        left = _postings(held.select(*on, "sign", *[F.col(f"p.{c}").alias(c) for c in ("ids", "tfs", "dls")]), *on)
+        return rows.join(gone.select(*on), on, "left_anti").unionByName(_blocks(left, on))
 
     # every row of these terms and spans is in a file that is rewritten, so all signs of a posting meet
     touched = index.postings.rewrite(gone, on, change, _part(F.col("term")), parts)
-    sums = words.groupBy("tenant").agg((-F.count("*")).alias("n"), (-F.sum("dl")).cast("long").alias("total"))
+    sums = texts.select("tenant", F.size(tokens(F.col("s"))).alias("dl")).groupBy("tenant").agg((-F.count("*")).alias("n"), (-F.sum("dl")).cast("long").alias("total"))
     index.stats.add(sums.coalesce(1))
     return touched
 
