@@ -21,14 +21,17 @@ postings of its own terms alone.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from quarry.operators.scope import Scope, scoped_chunks
 from quarry.session import kept
@@ -40,14 +43,19 @@ K1, B = 1.2, 0.75
 PARTS = 32
 #: Postings of one file, about.
 FILE_POSTINGS = 4_000_000
+#: Words that one task puts in blocks, and the fewest for which there is another task.
+TASK_WORDS, LEAST_WORDS = 8_000_000, 500_000
 #: Ids of one span.
 SPAN = 256
 #: Spans that are scored first.
 AHEAD = 16
+#: Queries that are scored together, and blocks of them that one pass over the postings takes.
+QUERY_BLOCK, PASS_BLOCKS = 1_000, 16
 
 POSTINGS = "tenant string, term string, span long, sign int, n int, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>"
 LISTED = "tenant string, term string, span long, sign int, ids array<long>, tfs array<int>, dls array<int>"
 STATS = "tenant string, n long, total long"
+_BEST = StructType([StructField("q", IntegerType()), StructField("id", LongType()), StructField("score", DoubleType())])
 
 
 def tokens(text: Column) -> Column:
@@ -82,6 +90,11 @@ FLUSH = 4 << 20
 BLOCK = ["tenant", "term", "span", "sign"]
 
 
+def _span(ident: Column) -> Column:
+    # towards zero, as div rounds
+    return F.call_function("div", ident.cast("long"), F.lit(SPAN))
+
+
 def _lowered(chunks: DataFrame) -> DataFrame:
     return chunks.select("tenant", F.col("id").cast("long").alias("id"), F.lower(F.coalesce("content", F.lit(""))).alias("s"))
 
@@ -118,6 +131,11 @@ def _dealt(blocks: DataFrame, expected: int) -> DataFrame:
     return blocks.withColumn("part", _part(F.col("term"))).withColumn("salt", F.coalesce(F.pmod("span", F.lit(salts)), F.lit(0))).repartition(PARTS * salts, "part", "salt")
 
 
+def _tasks(spark: SparkSession, words: int) -> int:
+    """Tasks for so many words: as many as run at once, and more where these would be too large."""
+    return max(1, -(-words // TASK_WORDS), min(spark.sparkContext.defaultParallelism, words // LEAST_WORDS))
+
+
 def _rows_of(grouped: GroupedData, held: Column, by: list[str]) -> DataFrame:
     """Posting rows of groups by term, span and sign; held: their postings as an array of (id, tf, dl)."""
     rows = grouped.agg(F.sort_array(held).alias("p"))
@@ -253,13 +271,93 @@ def bm25(index: Index, chunks: DataFrame, scope: Scope, query: str, k: int, ahea
     return scored(bounds.where(F.col("most") >= first[-1]["score"] - 1e-6).select("span"))
 
 
-def scored_many(index: Index, chunks: DataFrame, scope: Scope, queries: DataFrame) -> DataFrame:
-    """qid, id, score of all scoped chunks that hold a term of a query (qid, text): one pass over the terms' postings."""
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    own = _postings(index.postings.read().where(F.col("tenant") == scope.tenant).join(asked.select("term").distinct(), "term", "left_semi"))
-    stats = index.numbers().where(F.col("tenant") == scope.tenant).select("n", "total")
-    # frequencies have a row for each different word that is asked for, of any number: an equi-join
-    frequencies = own.groupBy("term").agg(F.count("*").alias("df"))
-    rows = own.join(frequencies, "term").crossJoin(F.broadcast(stats)).withColumn("s", _share(F.col("tf"), F.col("dl")))
-    seen = rows.select("term", "id", "s").join(scoped_chunks(chunks, scope).select("id"), "id", "left_semi")
-    return seen.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+def best_many(index: Index, chunks: DataFrame, scope: Scope, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, score: k rows and more of each query (qid, text), the k best scoped chunks that hold a term of it among them.
+
+    Postings of the queries' terms are shuffled by span, as they are in the files.
+    A task adds up the scores of one span's ids after another, by a
+    product of matrices for each block of queries, and gives its k best for each query.
+    """
+    spark, kind = chunks.sparkSession, queries.schema["qid"].dataType
+    asked = defaultdict(set)
+    for r in queries.select("qid", tokens(F.coalesce("text", F.lit(""))).alias("terms")).collect():  # the stated query set
+        asked[r["qid"]].update(r["terms"])
+    qids = [q for q, terms in asked.items() if terms]
+    stats = index.numbers().where(F.col("tenant") == scope.tenant).head()
+    out = spark.createDataFrame([], StructType([StructField("qid", kind), *_BEST.fields[1:]]))
+    if stats is None:
+        return out
+    own = index.postings.read().where(F.col("tenant") == scope.tenant)
+    seen = scoped_chunks(chunks, scope).select(_span(F.col("id")).alias("span"), F.col("id").cast("long").alias("id"))
+    # ids that are seen come as rows without a term
+    visible = seen.where("id IS NOT NULL").groupBy("span").agg(F.collect_set("id").alias("ids")).selectExpr("span", "-1 AS t", "0 AS sign", "ids", "array() AS tfs", "array() AS dls")
+    for first in range(0, len(qids), QUERY_BLOCK * PASS_BLOCKS):
+        taken = qids[first : first + QUERY_BLOCK * PASS_BLOCKS]
+        terms = spark.createDataFrame([(t,) for t in sorted(set().union(*(asked[q] for q in taken)))], "term string")
+        counts = own.join(F.broadcast(terms), "term").groupBy("term").agg(F.sum(F.col("sign") * F.col("n")).alias("df")).where("df > 0").collect()  # a row a term
+        number = {r["term"]: t for t, r in enumerate(counts)}
+        if not number:
+            continue
+        idf = np.array([math.log(1.0 + (stats["n"] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in counts])
+        mean = stats["total"] / stats["n"] if stats["n"] else 0.0
+        load = spark.sparkContext.broadcast((k, idf, mean, [[number[t] for t in sorted(asked[q]) if t in number] for q in taken]))
+        numbers = F.broadcast(spark.createDataFrame(list(number.items()), "term string, t int"))
+        blocks = own.join(numbers, "term").select("span", "t", "sign", "ids", "tfs", "dls").where("span IS NOT NULL").unionByName(visible)
+        near = blocks.select("span", "t", "sign", F.transform("ids", lambda i: (i - F.col("span") * SPAN).cast("short")).alias("at"), "tfs", "dls").repartition(_tasks(spark, stats["total"]), "span")
+        found = near.sortWithinPartitions("span", "t").mapInArrow(lambda batches, load=load: _best_of(batches, *load.value), _BEST)
+        named = F.broadcast(spark.createDataFrame(list(enumerate(taken)), StructType([StructField("q", IntegerType()), StructField("qid", kind)])))
+        out = out.unionByName(found.join(named, "q").select("qid", "id", "score"))
+    return out
+
+
+def _best_of(batches: Iterator[pa.RecordBatch], k: int, idf: np.ndarray, mean: float, asked: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """q, id, score of the k best for each query, from rows (span, t, sign, at, tfs, dls) in order of span, those of seen ids first."""
+    best = [(np.empty(0), np.empty(0, np.int64)) for _ in asked]
+
+    def score(span: int, rows: list[tuple]) -> None:
+        seen = np.concatenate([r[2] for r in rows if r[0] < 0] or [np.empty(0, np.int64)])
+        rows = [r for r in rows if r[0] >= 0]
+        if not len(seen) or not rows:
+            return
+        own, line = np.unique([r[0] for r in rows], return_inverse=True)
+        sizes = [len(r[2]) for r in rows]
+        where = np.repeat(line, sizes), np.concatenate([r[2] for r in rows]) + SPAN - 1
+        sign = np.repeat([r[1] for r in rows], sizes)
+        live, tf, dl = (np.zeros((len(own), 2 * SPAN)) for _ in range(3))
+        for held, values in ((live, sign), (tf, sign * np.concatenate([r[3] for r in rows])), (dl, sign * np.concatenate([r[4] for r in rows]))):
+            np.add.at(held, where, values)
+        seen = np.sort(seen)
+        live, tf, dl = (x[:, seen + SPAN - 1] for x in (live, tf, dl))
+        # postings whose signs cancel out have no share
+        length = dl / mean if mean else np.ones_like(dl)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shares = np.where(live > 0, idf[own][:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length)), 0.0)
+        place = {t: i for i, t in enumerate(own.tolist())}
+        for first in range(0, len(asked), QUERY_BLOCK):
+            block = [[place[t] for t in terms if t in place] for terms in asked[first : first + QUERY_BLOCK]]
+            weights = np.zeros((len(block), len(own)))
+            for q, terms in enumerate(block):
+                weights[q, terms] = 1.0
+            scores = weights @ shares
+            for q in np.flatnonzero(scores.any(axis=1)).tolist():
+                use = scores[q] > 0
+                s, i = np.append(best[first + q][0], np.round(scores[q, use], 6)), np.append(best[first + q][1], span * SPAN + seen[use])
+                top = np.lexsort((i, -s))[:k]
+                best[first + q] = s[top], i[top]
+
+    at, rows = None, []
+    for batch in batches:
+        spans, ts, signs = (batch.column(c).to_numpy() for c in range(3))
+        lists = []
+        for c in range(3, 6):
+            column = batch.column(c)
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy().astype(np.int64)
+            lists.append([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        for span, *row in zip(spans.tolist(), ts.tolist(), signs.tolist(), *lists, strict=True):
+            if span != at:
+                score(at, rows)
+                at, rows = span, []
+            rows.append(tuple(row))
+    score(at, rows)
+    sizes = [len(i) for _, i in best]
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best), dtype=np.int32), sizes)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["q", "id", "score"])

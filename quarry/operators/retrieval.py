@@ -98,7 +98,7 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 
 def bm25_many(index: Index, chunks: DataFrame, scope: Scope, queries: DataFrame, k: int) -> DataFrame:
     """qid, id, score of the k best scoped chunks of each query (qid, text): one pass over the terms' postings."""
-    return _top(postings.scored_many(index, chunks, scope, queries), k)
+    return _top(postings.best_many(index, chunks, scope, queries, k), k)
 
 
 def composite(hits: DataFrame, now: int, half_life: int = 30 * 86_400) -> DataFrame:

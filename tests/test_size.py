@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
 from types import SimpleNamespace
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import facts, graph, hierarchy, knowledge, resolve
+from quarry.operators import facts, graph, hierarchy, knowledge, postings, resolve, retrieval
+from quarry.operators import scope as sc
 from quarry.plans import registry
 from quarry.plans.compare import differences
 from quarry.streaming import membership, refresh
@@ -193,3 +197,58 @@ def test_lexicon_in_blocks_tries_what_is_left(spark, monkeypatch):
     monkeypatch.setattr(knowledge, "kept", lambda df: sizes.append(made(df).where("term IS NULL").count()) or made(df))
     assert sorted(map(tuple, knowledge.identifying(s, terms, sent=2).collect())) == [(1, "aardvark"), (2, "zebra"), (4, "monkey")]
     assert sizes == [0, 3, 2, 1]  # the terms, then what is left behind each block
+
+
+CHUNKS = "tenant string, id long, content string, visibility array<long>, confidentiality int, valid_to long, tags array<string>, kind string"
+
+
+def _chunks(spark, rows):
+    """Chunks of (id, content) that the tenant's first principal sees."""
+    return spark.createDataFrame([("a", i, c, [1], 1, None, ["t"], "document") for i, c in rows], CHUNKS)
+
+
+def _texts(n, words=120, start=0):
+    rng = random.Random(n + start)
+    return [(start + i * 2, " ".join(f"{rng.choice(['pre', 'con', 'dis'])}{int(rng.paretovariate(0.7)) % 3000}" for _ in range(words))) for i in range(n)]
+
+
+def _shuffled(spark, act) -> int:
+    """Bytes of the shuffle files that an action leaves."""
+    held = lambda: (lambda files: {files.apply(i).getName(): files.apply(i).length() for i in range(files.size())})(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    before = held()
+    act()
+    return sum(size for name, size in held().items() if name not in before and name.startswith("shuffle_"))
+
+
+def _plain_scores(rows, query):
+    """BM25 of (id, content) for a query's words, by the formula."""
+    words = {i: re.findall("[a-z0-9]+", c.lower()) for i, c in rows}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    terms = set(re.findall("[a-z0-9]+", query.lower()))
+    df = {t: sum(t in set(w) for w in words.values()) for t in terms}
+    share = lambda t, w: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    return {i: round(sum(share(t, w) for t in terms if t in w), 6) for i, w in words.items() if any(t in w for t in terms)}
+
+
+def test_many_queries_shuffle_postings_and_not_their_pairs(spark, tmp_path, monkeypatch):
+    """Queries that have words of every chunk: what is shuffled doesn't grow with how many they are; changed and negative ids among the chunks."""
+    monkeypatch.setattr(postings, "QUERY_BLOCK", 7, raising=False)
+    monkeypatch.setattr(postings, "PASS_BLOCKS", 3, raising=False)
+    rows = _texts(700, start=-500)
+    index = postings.build_index(_chunks(spark, rows), str(tmp_path / "i"))
+    now = [(i, f"{c} pre1 pre1" if i % 3 == 0 else c) for i, c in rows if i % 10 != 4]
+    touched = lambda held: _chunks(spark, [r for r in held if r[0] % 3 == 0 or r[0] % 10 == 4])
+    postings.update(index, touched(rows), touched(now))
+    texts = [" ".join(c.split()[:50]) for _, c in rows[:40]] + [None, "", "absent", "pre1 PRE1"]
+    asked = spark.createDataFrame([*enumerate(texts), (3, "con2")], "qid long, text string")
+    out = []
+    shuffled = _shuffled(spark, lambda: out.extend(retrieval.bm25_many(index, _chunks(spark, now), sc.Scope("a", (1,)), asked, 5).collect()))
+    got = {}
+    for r in out:
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    for q, text in enumerate(texts):
+        scores = _plain_scores(now, f"{text or ''} con2" if q == 3 else text or "")
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+        assert sorted(got.get(q, [])) == sorted((i, pytest.approx(scores[i], abs=2e-6)) for i in best), q
+    assert shuffled < 3 * sum(len(c) for _, c in rows)
+    assert postings.best_many(postings.open_index(spark, str(tmp_path / "none")), _chunks(spark, now), sc.Scope("a", (1,)), asked, 5).count() == 0
