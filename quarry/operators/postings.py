@@ -35,7 +35,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from quarry.operators.scope import Scope, scoped_chunks
 from quarry.session import kept
-from quarry.sources.files import Files
+from quarry.sources.files import NAME, Files
 
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
@@ -148,8 +148,9 @@ def _merged(blocks: DataFrame, by: list[str]) -> DataFrame:
     return _rows_of(blocks.groupBy(*by, *[c for c in BLOCK if c not in by]), held, by)
 
 
-def _written(index: Index, merged: DataFrame, drop: list[str] = ()) -> None:
-    index.postings.add(merged.sortWithinPartitions("part", "tenant", "term", "span"), F.col("part"), drop)
+def _written(index: Index, rows: DataFrame, drop: list[str] = ()) -> None:
+    dealt = rows.withColumn("part", _part(F.col("term")))
+    index.postings.add(dealt.sortWithinPartitions("part", "tenant", "term", "span"), F.col("part"), drop)
 
 
 def update(index: Index, before: DataFrame, after: DataFrame) -> Index:
@@ -188,37 +189,66 @@ def _blocks(postings: DataFrame, by: list[str]) -> DataFrame:
     return _rows_of(postings.withColumn("sign", F.lit(1)).groupBy(*by, *[c for c in BLOCK if c not in by]), F.collect_list(F.struct("id", "tf", "dl")), by)
 
 
+def _with_files(index: Index) -> DataFrame:
+    """All posting rows with their file's name."""
+    return index.postings.read().select("*", F.regexp_extract("_metadata.file_path", NAME, 1).alias("file"))
+
+
+def _files_of(rows: DataFrame) -> list[str]:
+    return sorted(r["file"] for r in rows.select("file").distinct().collect())
+
+
 def compact(index: Index) -> None:
-    """One row of sign 1 for every term and span, and one row of numbers for every tenant."""
-    names = index.postings.names()
-    by = ["part", "salt"]
-    rows = _dealt(index.postings.read(names), int(index.numbers().agg(F.sum("total")).head()[0] or 0))
-    _written(index, _blocks(_postings(rows, *by, "span"), by), names)
+    """One row of sign 1 for every term and span, and one row of numbers for every tenant.
+
+    One update writes each term of a span once for a sign, so only spans are merged
+    that have rows of several or negative signs; files without any stay as they are.
+    """
+    on = ["tenant", "span"]
+    rows = _with_files(index).withColumn("folder", F.xxhash64(F.substring_index("file", "/", 1)))
+    found = rows.groupBy(*on).agg(F.min("sign").alias("sign"), F.min("folder").alias("least"), F.max("folder").alias("most"))
+    # a row for the ids of a span: small beside the postings
+    mixed = F.broadcast(kept(found.where("sign < 0 OR least <> most").select(*on)))
+    same = [F.col("r.tenant").eqNullSafe(F.col("m.tenant")), F.col("r.span").eqNullSafe(F.col("m.span"))]
+    among = lambda held, how: held.alias("r").join(mixed.alias("m"), same, how)
+    touched = _files_of(among(rows.select(*on, "file"), "left_semi"))
+    if touched:
+        held = index.postings.read(touched)
+        tasks = _tasks(held.sparkSession, int(index.numbers().agg(F.sum("total")).head()[0] or 0))
+        merged = _blocks(_postings(among(held, "left_semi").repartition(tasks, "span"), "span"), ["span"])
+        _written(index, among(held, "left_anti").unionByName(merged), touched)
     old = index.stats.names()
     index.stats.add(index.numbers().coalesce(1), drop=old)
 
 
+def _place(ident: str) -> str:
+    """SQL of an id's place in its span, from 0: span 0 has ids of both signs."""
+    return f"({ident} - span * {SPAN} + {SPAN - 1})"
+
+
+def _gone(ident: str) -> str:
+    """SQL of whether an id is among the erased ones of its span."""
+    return f"(bit_get(gone[CAST({_place(ident)} div 64 AS INT)], CAST({_place(ident)} % 64 AS INT)) = 1)"
+
+
 def erase(index: Index, chunks: DataFrame) -> list[str]:
     """Takes chunks (tenant, id, and content as it was indexed last) out of the files; returns the files that were written anew.
 
-    Rows of a term and span that held an erased chunk are merged, so no sign of
-    the chunk, of its words or of former texts of it that had the same words is left there.
+    Rows lose the postings of erased chunks, of whatever text these were, so no
+    sign of the chunk, of its words or of former texts of it is left there.
+    Rows stay where they are: which ids go is sent to them, as bits of each span.
     """
+    on = ["tenant", "span"]
+    places = chunks.select("tenant", F.col("id").cast("long").alias("id"), _span(F.col("id")).alias("span")).selectExpr(*on, f"{_place('id')} AS place")
+    bits = [F.bit_or(F.expr(f"IF(place div 64 = {word}, shiftleft(1L, CAST(place % 64 AS INT)), 0L)")) for word in range(2 * SPAN // 64)]
+    gone = F.broadcast(kept(places.groupBy(*on).agg(F.array(*bits).alias("gone"))))
+    touched = _files_of(_with_files(index).select(*on, "ids", "file").join(gone, on).where(f"exists(ids, x -> {_gone('x')})"))
+    if touched:
+        held = index.postings.read(touched).join(gone, on, "left").withColumn("p", F.arrays_zip("ids", "tfs", "dls"))
+        left = held.withColumn("p", F.expr(f"IF(gone IS NULL, p, filter(p, q -> NOT {_gone('q.ids')}))")).where("size(p) > 0")
+        fresh = {"n": F.size("p"), "max_tf": F.array_max("p.tfs"), "min_dl": F.array_min("p.dls"), "ids": F.col("p.ids"), "tfs": F.col("p.tfs"), "dls": F.col("p.dls")}
+        _written(index, left.withColumns(fresh).drop("p", "gone"), touched)
     texts = _lowered(chunks)
-    listed = texts.withColumn("sign", F.lit(1)).mapInArrow(_listed, LISTED)
-    on = ["tenant", "term", "span"]
-    # written once: what is gone of each term and span
-    gone = kept(listed.groupBy(*on).agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("gone")))
-    parts = sorted(r[0] for r in gone.select(_part(F.col("term"))).distinct().collect())
-
-    def change(rows: DataFrame) -> DataFrame:
-        kept_here = F.filter(F.arrays_zip("ids", "tfs", "dls"), lambda p: ~F.array_contains("gone", p["ids"])).alias("p")
-        held = rows.join(gone, on).select(*on, "sign", kept_here)
-        left = _postings(held.select(*on, "sign", *[F.col(f"p.{c}").alias(c) for c in ("ids", "tfs", "dls")]), *on)
-        return rows.join(gone.select(*on), on, "left_anti").unionByName(_blocks(left, on))
-
-    # every row of these terms and spans is in a file that is rewritten, so all signs of a posting meet
-    touched = index.postings.rewrite(gone, on, change, _part(F.col("term")), parts)
     sums = texts.select("tenant", F.size(tokens(F.col("s"))).alias("dl")).groupBy("tenant").agg((-F.count("*")).alias("n"), (-F.sum("dl")).cast("long").alias("total"))
     index.stats.add(sums.coalesce(1))
     return touched

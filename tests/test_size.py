@@ -252,3 +252,30 @@ def test_many_queries_shuffle_postings_and_not_their_pairs(spark, tmp_path, monk
         assert sorted(got.get(q, [])) == sorted((i, pytest.approx(scores[i], abs=2e-6)) for i in best), q
     assert shuffled < 3 * sum(len(c) for _, c in rows)
     assert postings.best_many(postings.open_index(spark, str(tmp_path / "none")), _chunks(spark, now), sc.Scope("a", (1,)), asked, 5).count() == 0
+
+
+def test_erasing_shuffles_no_postings_and_takes_former_texts(spark, tmp_path):
+    """Words of a former text that the last one lacks go too; compacting leaves files alone whose spans have nothing to merge."""
+    rows = _texts(900, start=-600)
+    index = postings.build_index(_chunks(spark, rows), str(tmp_path / "i"))
+    former = [(i, f"{c} onlythen{i}") for i, c in rows if i % 6 == 0]
+    postings.update(index, _chunks(spark, [r for r in rows if r[0] % 6 == 0]), _chunks(spark, former))
+    postings.update(index, _chunks(spark, former), _chunks(spark, [r for r in rows if r[0] % 6 == 0]))
+    gone = [r for r in rows if r[0] % 3 == 0]
+    held = _chunks(spark, gone)
+    shuffled = _shuffled(spark, lambda: postings.erase(index, held))
+    assert shuffled < 0.2 * sum(len(c) for _, c in gone)
+    left = index.postings.read()
+    assert left.where("term LIKE 'onlythen%' OR exists(ids, x -> x % 3 = 0) OR n <> size(ids) OR n = 0").count() == 0
+    assert left.where("sign < 0").count() == 0
+    stay = [r for r in rows if r[0] % 3]
+    want = {(t, i, w.count(t), len(w)) for i, c in stay for w in [c.split()] for t in w}
+    plain = lambda: index.postings.read().selectExpr("term", "explode(arrays_zip(ids, tfs, dls)) AS p").select("term", "p.*").collect()
+    assert {tuple(r) for r in plain()} == want and len(plain()) == len(want)
+    postings.compact(index)
+    before = index.postings.names()
+    postings.compact(index)
+    assert index.postings.names() == before
+    assert {tuple(r) for r in plain()} == want
+    assert postings.erase(index, _chunks(spark, [(10**6, "never there")])) == []
+    assert index.postings.names() == before
