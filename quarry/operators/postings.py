@@ -10,13 +10,15 @@ found. The result is that of scoring everything.
 Upkeep is by segments with signs: changed chunks add rows of sign -1 for their
 old text and +1 for the new one, and all counts (of a term, of the tenant, of a
 posting) are sums with signs. ``compact`` merges them. Erasing takes rows out of
-the files themselves: only files that hold terms of the erased texts in their
-spans are written anew, and nothing of them stays in any.
-
-Scale: files are dealt by term and, within one, by span, in numbers that follow the
-number of postings, so a common word is in many files; they are sorted by
-term, so row groups without the query's terms are skipped. A query shuffles
-postings of its own terms alone.
+the files themselves: only files that hold postings of the erased chunks are
+written anew, and nothing of them stays in any.
+
+Scale: texts are shuffled by span, which takes less disk than their postings, so a
+task has whole spans and writes each term of a span once. Files are dealt by
+term within a task, so a common word is in many files; they are sorted by
+term, so row groups without the query's terms are skipped. Erasing shuffles
+no postings, compacting those of changed spans. A query shuffles postings of
+its own terms alone.
 """
 
 from __future__ import annotations
@@ -41,8 +43,6 @@ from quarry.sources.files import NAME, Files
 K1, B = 1.2, 0.75
 #: Folders that terms are dealt to.
 PARTS = 32
-#: Postings of one file, about.
-FILE_POSTINGS = 4_000_000
 #: Words that one task puts in blocks, and the fewest for which there is another task.
 TASK_WORDS, LEAST_WORDS = 8_000_000, 500_000
 #: Ids of one span.
@@ -53,9 +53,10 @@ AHEAD = 16
 QUERY_BLOCK, PASS_BLOCKS = 1_000, 16
 
 POSTINGS = "tenant string, term string, span long, sign int, n int, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>"
-LISTED = "tenant string, term string, span long, sign int, ids array<long>, tfs array<int>, dls array<int>"
 STATS = "tenant string, n long, total long"
 _BEST = StructType([StructField("q", IntegerType()), StructField("id", LongType()), StructField("score", DoubleType())])
+#: How posting files are written: ids, which rise within a row, by their differences.
+PACKED = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#ids.list.element": "false"}
 
 
 def tokens(text: Column) -> Column:
@@ -81,7 +82,7 @@ class Index:
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
-    return Index(Files(spark, f"{folder}/postings", POSTINGS), Files(spark, f"{folder}/stats", STATS))
+    return Index(Files(spark, f"{folder}/postings", POSTINGS, PACKED), Files(spark, f"{folder}/stats", STATS))
 
 
 #: Characters whose words are put in blocks at once.
@@ -100,35 +101,56 @@ def _lowered(chunks: DataFrame) -> DataFrame:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (tenant, id, s, sign) as blocks, each of what one stretch of texts holds of a term and span."""
-    word, names = re.compile("[a-z0-9]+"), ["tenant", "term", "span", "sign", "ids", "tfs", "dls"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-
-    def block() -> pa.RecordBatch:
-        columns = [*zip(*held, strict=True), *zip(*held.values(), strict=True)] if held else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    held, size = {}, 0
+    """Texts (tenant, id, s, sign, span) in order of span and id as posting rows, one for each term, span and sign."""
+    word, size, last = re.compile("[a-z0-9]+"), 0, None
+    texts: list[tuple] = []  # group, id, words and different words of each text
+    groups, terms = defaultdict(), defaultdict()  # numbers in order of first sight
+    groups.default_factory, terms.default_factory = groups.__len__, terms.__len__
+    found, tfs = [], []
     for batch in batches:
-        for tenant, ident, text, sign in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for tenant, ident, text, sign, span in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            # a span is never cut in two
+            if size >= FLUSH and (span is None or span != last):
+                yield _block(texts, list(groups), list(terms), found, tfs)
+                size = 0
+                for held in (texts, groups, terms, found, tfs):
+                    held.clear()
+            last = span
             words = word.findall(text)
-            span = None if ident is None else ident // SPAN if ident >= 0 else -(-ident // SPAN)
-            for term, tf in Counter(words).items():
-                ids, tfs, dls = held.setdefault((tenant, term, span, sign), ([], [], []))
-                ids.append(ident)
-                tfs.append(tf)
-                dls.append(len(words))
+            counts = Counter(words)
+            texts.append((groups[tenant, span, sign], ident, len(words), len(counts)))
+            found.extend(map(terms.__getitem__, counts))
+            tfs.extend(counts.values())
             size += len(text)
-            if size >= FLUSH:
-                yield block()
-                held, size = {}, 0
-    yield block()
-
-
-def _dealt(blocks: DataFrame, expected: int) -> DataFrame:
-    """Blocks with part and salt, which follow from term and span, shuffled by these to where they are written."""
-    salts = max(1, -(-expected // (PARTS * FILE_POSTINGS)))
-    return blocks.withColumn("part", _part(F.col("term"))).withColumn("salt", F.coalesce(F.pmod("span", F.lit(salts)), F.lit(0))).repartition(PARTS * salts, "part", "salt")
+    yield _block(texts, list(groups), list(terms), found, tfs)
+
+
+def _block(texts: list[tuple], groups: list[tuple], terms: list[str], found: list[int], tfs: list[int]) -> pa.RecordBatch:
+    """Posting rows of texts, by numbers of their groups (tenant, span, sign) and terms."""
+    group, idents, words, sizes = zip(*texts, strict=True) if texts else [()] * 4
+    sizes = np.array(sizes, np.int64)
+    key = np.repeat(np.array(group, np.int64), sizes) * len(terms) + np.array(found, np.int64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = pa.array(np.append(starts, len(key)), pa.int32())
+    line = pa.array(np.repeat(np.arange(len(texts)), sizes)[order])
+    tf, dl = np.array(tfs, np.int32)[order], np.array(words, np.int32)[line.to_numpy()]
+    of, term = np.divmod(key[starts], max(len(terms), 1))
+    tenants, spans, signs = zip(*groups, strict=True) if groups else [()] * 3
+    columns = {
+        "tenant": pa.array(tenants, pa.string()).take(pa.array(of)),
+        "term": pa.array(terms, pa.string()).take(pa.array(term)),
+        "span": pa.array(spans, pa.int64()).take(pa.array(of)),
+        "sign": pa.array(signs, pa.int32()).take(pa.array(of)),
+        "n": pa.array(np.diff(np.append(starts, len(key))), pa.int32()),
+        "max_tf": pa.array(np.maximum.reduceat(tf, starts) if len(key) else tf),
+        "min_dl": pa.array(np.minimum.reduceat(dl, starts) if len(key) else dl),
+        "ids": pa.ListArray.from_arrays(ends, pa.array(idents, pa.int64()).take(line)),
+        "tfs": pa.ListArray.from_arrays(ends, pa.array(tf)),
+        "dls": pa.ListArray.from_arrays(ends, pa.array(dl)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _tasks(spark: SparkSession, words: int) -> int:
@@ -142,12 +164,6 @@ def _rows_of(grouped: GroupedData, held: Column, by: list[str]) -> DataFrame:
     return rows.select(*{c: 0 for c in [*by, *BLOCK]}, F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
 
 
-def _merged(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each term, span and sign of blocks that lie together by ``by``: no shuffle."""
-    held = F.flatten(F.collect_list(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
-    return _rows_of(blocks.groupBy(*by, *[c for c in BLOCK if c not in by]), held, by)
-
-
 def _written(index: Index, rows: DataFrame, drop: list[str] = ()) -> None:
     dealt = rows.withColumn("part", _part(F.col("term")))
     index.postings.add(dealt.sortWithinPartitions("part", "tenant", "term", "span"), F.col("part"), drop)
@@ -159,12 +175,12 @@ def update(index: Index, before: DataFrame, after: DataFrame) -> Index:
     A new chunk is in ``after`` alone, one that is retired in ``before`` alone.
     """
     texts = _lowered(before).withColumn("sign", F.lit(-1)).unionByName(_lowered(after).withColumn("sign", F.lit(1)))
-    words = texts.select("tenant", "sign", F.size(tokens(F.col("s"))).cast("long").alias("dl"))
+    words = texts.select("tenant", "sign", F.regexp_count("s", F.lit("[a-z0-9]+")).cast("long").alias("dl"))
     sums = kept(words.groupBy("tenant").agg(F.sum("sign").cast("long").alias("n"), F.sum(F.col("sign") * F.col("dl")).alias("total"), F.sum("dl").alias("size")))
     index.stats.add(sums.select("tenant", "n", "total").coalesce(1))
     size = sums.agg(F.sum("size")).head()[0] or 0
-    # words are counted and put in blocks within tasks, and these shuffled once, to their files
-    _written(index, _merged(_dealt(texts.mapInArrow(_listed, LISTED), size), ["part", "salt"]))
+    spans = texts.withColumn("span", _span(F.col("id"))).repartition(_tasks(texts.sparkSession, size), F.coalesce("span", F.xxhash64("s")))
+    _written(index, spans.sortWithinPartitions("span", "id").mapInArrow(_listed, POSTINGS))
     return index
 
 

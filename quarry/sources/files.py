@@ -25,8 +25,8 @@ NAME = r"/(d-[0-9a-f]{32}/.*)$"
 
 
 class Files:
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, options: dict[str, str] | None = None):
+        self.spark, self.path, self.schema, self.options = spark, path.rstrip("/"), schema, options or {}
 
     def _store(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -69,7 +69,7 @@ class Files:
         """Writes rows (with ``by``, a small number, in a folder for each of its values) and lists them instead of ``drop``."""
         columns = self.spark.createDataFrame([], self.schema).columns
         folder = f"d-{uuid.uuid4().hex}"
-        writer = (rows.select(*columns) if by is None else rows.select(*columns, by.alias("part"))).write
+        writer = (rows.select(*columns) if by is None else rows.select(*columns, by.alias("part"))).write.options(**self.options)
         (writer if by is None else writer.partitionBy("part")).parquet(f"{self.path}/{folder}")
         where, fs = self._store(f"{self.path}/{folder}")
         found, new = fs.listFiles(where, True), []

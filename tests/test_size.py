@@ -8,6 +8,7 @@ import re
 from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,16 @@ def test_erasing_shuffles_no_postings_and_takes_former_texts(spark, tmp_path):
     assert {tuple(r) for r in plain()} == want
     assert postings.erase(index, _chunks(spark, [(10**6, "never there")])) == []
     assert index.postings.names() == before
+
+
+def test_changes_of_the_index_shuffle_texts(spark, tmp_path):
+    """Less than the texts take, also where ids that lie together come from different partitions; each term of a span is in one row."""
+    rows = random.Random(5).sample(_texts(900), 900)
+    df = _chunks(spark, rows)
+    index = postings.open_index(spark, str(tmp_path / "i"))
+    shuffled = _shuffled(spark, lambda: postings.update(index, df.limit(0), df))
+    assert shuffled < 0.9 * sum(len(c) for _, c in rows)
+    assert index.postings.read().groupBy("tenant", "term", "span", "sign").count().where("count > 1").count() == 0
+    for name in index.postings.names():
+        terms = pq.read_table(f"{tmp_path}/i/postings/{name}").column("term").to_pylist()
+        assert terms == sorted(terms)
