@@ -88,6 +88,33 @@ def test_tier2_without_pairs_that_say_nothing(spark):
     assert want.count() < resolve.block_pairs(e).count()
 
 
+def test_pairs_of_one_name_are_dealt_out(spark):
+    """Two names that are alike: neither their pairs nor those of one of them are made in one task."""
+    e = spark.range(3_000).selectExpr("'r' || id AS ref", "CASE WHEN id % 20 = 0 THEN 'red bolts' ELSE 'red bolt' END AS name", "CAST(NULL AS STRING) AS domain")
+    got = resolve.block_pairs(e).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == 3_000 * 2_999 // 2
+    assert max(r.n for r in got) < 3_000 * 2_999 // 4
+
+
+def test_pairs_of_blocks_are_all_pairs(spark):
+    """Classes of several blocks, names or domains that are null or empty, refs that come twice."""
+    names, domains = ["red bolt", "red bolts", "", None, " ", "blue ring"], [None, "a.com", None, "b.com", ""]
+    rows = [(f"r{i:02d}", names[i * 5 % 7 % 6], domains[i * 3 % 11 % 5]) for i in range(70)]
+    rows += [("r03", "red bolt", None), ("r04", "red bolts", "a.com")]
+    words = lambda s: {w for w in s.split(" ") if w}
+    grams = lambda s: {f"  {s} "[i : i + 3] for i in range(len(s) + 1)} if s else set()
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    want = []
+    for k, (r, n, d) in enumerate(rows):
+        for q, m, o in rows[:k]:
+            score = max(0 if n is None or m is None else max(jaccard(words(n), words(m)), jaccard(grams(n), grams(m))), 0.9 if d is not None and d == o else 0)
+            if q != r and score >= 0.45:
+                want.append((min(q, r), max(q, r), round(score, 4)))
+    e = spark.createDataFrame(rows, "ref string, name string, domain string")
+    for block in (1, 3, 256):
+        assert sorted(map(tuple, resolve.block_pairs(e, block=block).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("least", [True, False])
 def test_briefs_whatever_the_numbers_of_partitions(spark, sf, conf, least):
     conf("spark.sql.adaptive.coalescePartitions.enabled", str(least).lower())
